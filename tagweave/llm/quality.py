@@ -25,24 +25,25 @@ from .textnum import WORD_BYTES, code_points, column_of, row_slices, shingle_has
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter_words")
 
 #: name, bit and failure condition of each rule; a bit is never given to another rule.
 RULES: tuple[tuple[str, int, str], ...] = (
     ("few_words", 0, "n_words < 20"),
     ("repeated_words", 1, "100 * n_repeat_words > 30 * n_words"),
     ("symbols", 2, "10 * n_symbols > n_words"),
-    ("repeated_lines", 3, "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", 3, "n_dup_lines >= 5 and 100 * n_dup_lines > 30 * n_lines"),
     ("short_words", 4, "word_chars < 2 * n_words"),
     ("long_words", 5, "word_chars > 15 * n_words"),
     ("many_words", 6, "n_words > 100000"),
+    ("stutter", 7, "100 * n_stutter_words > 30 * n_words"),
 )
 BIT = {name: 1 << bit for name, bit, _ in RULES}
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base-1": ("few_words", "repeated_words"),
     "web-1": ("few_words", "repeated_words", "symbols", "repeated_lines"),
-    "web-2": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "many_words"),
+    "web-2": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "many_words", "stutter"),
 }
 POLICY = "web-2"
 
@@ -81,7 +82,12 @@ def measure_bytes(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n_dup = np.bincount(group[order][1:][again], minlength=rows)
     n_lines = np.bincount(group, minlength=rows)
 
-    windows, begin = shingle_hashes(span_hashes(buf, starts, ends), first, WINDOW)
+    words = span_hashes(buf, starts, ends)
+    stutter = np.zeros(len(words), bool)
+    stutter[1:] = words[1:] == words[:-1]
+    stutter[first[:-1][n_words > 0]] = False
+    n_stutter = np.diff(np.concatenate([[0], np.cumsum(stutter)])[first])
+    windows, begin = shingle_hashes(words, first, WINDOW)
     owner = np.repeat(np.arange(rows), np.diff(begin))
     whole = n_words[owner] >= WINDOW
     flags = _repeats(owner[whole], windows[whole])
@@ -91,7 +97,7 @@ def measure_bytes(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(edge, hit + WINDOW, -1)
     covered = np.cumsum(edge[:-1]) > 0
     n_repeat = np.diff(np.concatenate([[0], np.cumsum(covered)])[first])
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup, "n_repeat_words": n_repeat}
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "n_stutter_words": n_stutter}
 
 
 def measure(df: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
@@ -159,13 +165,13 @@ SQL = {
     "op1_quality_rules": r"""
 WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM rows)),
-win AS (SELECT rid, word, pos, CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN concat_ws(chr(31), word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) END AS k FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
-flag AS (SELECT rid, word, pos, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY rid, k) > 1 THEN 1 ELSE 0 END AS f FROM win),
-cov AS (SELECT rid, word, max(f) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM flag),
-m AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars, sum(c) AS n_repeat_words FROM cov GROUP BY rid),
+win AS (SELECT rid, word, pos, CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN concat_ws(chr(31), word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) END AS k, CASE WHEN word = lag(word) OVER o THEN 1 ELSE 0 END AS st FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+flag AS (SELECT rid, word, pos, st, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY rid, k) > 1 THEN 1 ELSE 0 END AS f FROM win),
+cov AS (SELECT rid, word, st, max(f) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM flag),
+m AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars, sum(c) AS n_repeat_words, sum(st) AS n_st FROM cov GROUP BY rid),
 l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
-a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM rows LEFT JOIN m USING (rid) LEFT JOIN l USING (rid)),
-b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END) + (CASE WHEN n_words > 100000 THEN 64 ELSE 0 END) AS bits FROM a)
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_st, 0) AS n_st FROM rows LEFT JOIN m USING (rid) LEFT JOIN l USING (rid)),
+b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END) + (CASE WHEN n_words > 100000 THEN 64 ELSE 0 END) + (CASE WHEN 100 * n_st > 30 * n_words THEN 128 ELSE 0 END) AS bits FROM a)
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits, 'web-2' AS policy FROM b
 """
 }
