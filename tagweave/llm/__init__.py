@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of their numbers.
-MODULES = ("quality", "chat", "sharding", "licenses")
+MODULES = ("quality", "bpe", "chat", "sharding", "licenses")
 
 
 def _modules():
