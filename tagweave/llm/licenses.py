@@ -98,12 +98,12 @@ def licence_words(texts: DataFrame) -> DataFrame:
     return texts.withColumn("hits", F.filter(near, lambda h: h.word.isin(*vocab)))
 
 
-def word_idf(hits: DataFrame, n_docs: DataFrame) -> DataFrame:
+def word_idf(hits: DataFrame, n_docs: int) -> DataFrame:
     """(word, df, idf) of all vocabulary words; a word that no document has gets the highest idf."""
     spark = hits.sparkSession
     words = spark.createDataFrame([(w,) for w in vocabulary()], "word string")
     df = hits.select(F.explode(F.array_distinct(F.col("hits.word"))).alias("word"), "copies").groupBy("word").agg(F.sum("copies").alias("df"))
-    return words.join(df, "word", "left").crossJoin(F.broadcast(n_docs)).select("word", F.coalesce("df", F.lit(0)).alias("df"), F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
+    return words.join(df, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"), F.log(F.lit(n_docs + 1.0) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
 
 
 def postings(spark: SparkSession, idf: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     # rows of one key have equal values; hot keys are combined before the shuffle
     per_text = per_row.groupBy("key").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.max("hits").alias("hits"))
     per_text = stored(per_text)
-    n_docs = per_text.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_docs"))
+    n_docs = per_text.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     with_hits = per_text.filter(F.size("hits") > 0)
     index = stored(postings(spark, word_idf(with_hits, n_docs)))
     found = candidates(with_hits, index)
@@ -165,7 +165,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce("labels", F.lit("")).alias("labels"),
         F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
     )
-    return keyed.join(result, "__key").drop("__key")
+    # both sides are read anew, so that Spark can split a text that a third of the rows share
+    return keyed.join(stored(result), "__key").drop("__key")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
