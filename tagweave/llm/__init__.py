@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of their numbers.
-MODULES = ("quality", "bpe", "chat", "minhash", "sharding", "licenses", "toxicity")
+MODULES = ("quality", "bpe", "chat", "minhash", "passages", "sharding", "licenses", "toxicity")
 
 
 def _modules():
