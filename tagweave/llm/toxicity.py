@@ -115,9 +115,9 @@ def _summed(rows: DataFrame, fn, width: int) -> np.ndarray:
         for part in batches:
             for at in range(0, part.num_rows, 256):
                 total += fn(*_matrix(part.slice(at, 256)))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["total"])
 
-    return sum((np.frombuffer(r.total) for r in arrow_map(rows, run, "total binary").collect()), np.zeros(width))
+    return sum((np.frombuffer(r.total, np.float32).astype(np.float64) for r in arrow_map(rows, run, "total binary").collect()), np.zeros(width))
 
 
 def _lbfgs(value_and_slope, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
@@ -148,7 +148,7 @@ def _lbfgs(value_and_slope, x: np.ndarray, rounds: int, memory: int = 8) -> np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    rows = stored(training_features(docs, labels, text))
+    rows = stored(training_features(docs, labels, text)).coalesce(FIT_TASKS)  # one vector from each task, whatever the files' split
     dims = 1 << BITS
 
     def counts(label, row, bucket, value):
