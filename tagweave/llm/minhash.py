@@ -9,16 +9,17 @@ similarity, concentrated as for independent samples.
 
 Links. `ROWS` bins make a band; documents that agree in a band share a bucket.
 At similarity 0.8 all `BANDS` bands miss with probability below 2e-9. Equal sets
-are one *class* beforehand. Within a bucket no pairs of all members are made:
-
-1. Each class is paired with the leaders of its buckets. The leader is the
-   class whose buckets are the fullest, the centre of a group of copies.
-2. Pairs are verified on full shingle sets and give components.
-3. Buckets that hold several components go through another round with the
-   members that have a verified link already as leaders, then
-4. all pairs across components within a bucket are verified, so no link between
-   components is lost. A pair whose sketches agree so little that similarity 0.8
-   is out of the question (nine standard deviations) isn't verified.
+are one *class* beforehand. Pairs of a bucket aren't made into rows:
+
+1. Every class points to the co-member of its buckets that has the fullest
+   buckets; following the pointers to their end gives each class a *home*.
+2. The full sets of a home are compared in blocks of at most `BLOCK` shingles
+   (pairs of blocks if a home has several), within one task each: only classes
+   that share a band, and only until they are known to be connected. A task
+   gives at most one link for each of its rows.
+3. Pairs that share a bucket and have different homes and components, and whose
+   sketches don't rule similarity 0.8 out (nine standard deviations), are
+   verified on the full sets of their texts.
 
 Components are found by least labels with pointer jumping, on written tables.
 
@@ -36,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, stored, table
@@ -46,6 +46,7 @@ ROWS = 5
 BANDS = 51
 T = ROWS * BANDS
 PERCENT = 80
+BLOCK = 2_000_000  # shingles of a block; a task holds two blocks at most
 #: Sketch agreement (of T bins, one byte each) below which a pair is not verified: 0.8 less nine standard deviations.
 LEAST_AGREE = int(T * 0.8 - 9 * (T * 0.16) ** 0.5)
 _SEED = np.random.default_rng(20170405).integers(0, 1 << 64, 2 * T, dtype=np.uint64)
@@ -158,27 +159,108 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "root")
 
 
-def _in_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Bucket rows with their component, of buckets that hold several components."""
-    rows = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    return rows.join(mixed, "bucket")
+def homes_of(buckets: DataFrame) -> DataFrame:
+    """(id, home): pointers to the highest-ranked co-member, followed to their end; rows have bucket, id, rank."""
+    heads = buckets.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("order"), "id")).alias("head"))
+    up = stored(buckets.join(heads, "bucket").groupBy("id").agg(F.max("head").alias("head")).select("id", F.col("head.id").alias("home")))
+    while True:
+        far = stored(up.join(up.select(F.col("id").alias("home"), F.col("home").alias("far")), "home").select("id", "home", "far"))
+        if far.filter("home != far").isEmpty():
+            return far.select("id", "home")
+        up = far.select("id", F.col("far").alias("home"))
 
 
-def _leader_pairs(rows: DataFrame, best: int) -> DataFrame:
-    """Pairs of each class with the `best` leaders that it shares most buckets with; rows have bucket, id, rank."""
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("order"), "id")).alias("head")).select("bucket", F.col("head.id").alias("head"))
-    shared = rows.join(heads, "bucket").filter("head != id").groupBy("id", "head").agg(F.count("*").alias("shared"))
-    order = W.partitionBy("id").orderBy(F.desc("shared"), "head")
-    top = shared.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= best)
-    return top.select(F.least("id", "head").alias("x"), F.greatest("id", "head").alias("y"), F.col("head").alias("a"), F.col("id").alias("b")).dropDuplicates(["x", "y"]).select("a", "b")
+def _local_links(ids: list, keys: list[np.ndarray], sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the rows of a block, or of two blocks: rows that share a key, verified on full sets.
+
+    `side` is the block of each row; with `across` only pairs of both sides count.
+    """
+    n = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    fresh = np.append(True, flat[order][1:] != flat[order][:-1])
+    token = np.empty(len(flat), np.int64)
+    token[order] = np.cumsum(fresh) - 1
+    held_by = np.repeat(np.arange(len(sets)), n)[order]  # rows that have a shingle, shingle by shingle
+    begin = np.append(np.flatnonzero(fresh), len(flat))
+    sizes = np.diff(begin)
+    at = np.concatenate([[0], np.cumsum(n)])
+    rows_of: dict[int, list[int]] = {}
+    for i, ks in enumerate(keys):
+        for k in ks.tolist():
+            rows_of.setdefault(k, []).append(i)
+    share = {k: np.array(v) for k, v in rows_of.items() if len(v) > 1}
+    group = np.arange(len(sets))
+    links = []
+    for i in range(len(sets)):
+        near = [share[k] for k in keys[i].tolist() if k in share]
+        if not near:
+            continue
+        met = np.zeros(len(sets), bool)
+        for x in near:
+            met[x] = True
+        met &= group != group[i]
+        met[: i + 1] = False
+        if across:
+            met &= side != side[i]
+        other = np.flatnonzero(met)
+        other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
+        if not len(other):
+            continue
+        own = token[at[i] : at[i + 1]]
+        own = own[sizes[own] > 1]
+        m = sizes[own]
+        ends = np.cumsum(m)
+        spots = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[own] - ends + m, m)
+        both = np.bincount(held_by[spots], minlength=len(sets))[other]
+        for j in other[100 * both >= percent * (n[i] + n[other] - both)].tolist():
+            if group[j] != group[i]:
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def home_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) links within homes. docs: (id, text); members: (id, home, block, blocks, keys)."""
+    kind = dict(members.dtypes)["id"]
+    joined = docs.join(members, "id").select("id", "text", "home", "block", "blocks", "keys")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, "text"):
+            hashes, begin = sets_of(*string_bytes(column_of(part, "text")), k)
+            packed = [hashes[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in ("id", "home", "block", "blocks", "keys")), pa.array(packed, pa.binary())], names=["id", "home", "block", "blocks", "keys", "set"])
+
+    rows = arrow_map(joined, sets, f"id {kind}, home {kind}, block int, blocks int, keys array<long>, set binary")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
+    dealt = rows.withColumn("pair", F.explode(pair)).select("home", "pair.lo", "pair.hi", "id", "block", "keys", "set").repartition("home", "lo", "hi").sortWithinPartitions("home", "lo", "hi", "id")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for part in row_slices(batches, "set"):
+            for row in zip(*(column_of(part, c).to_pylist() for c in ("home", "lo", "hi", "id", "block", "keys", "set")), strict=True):
+                if row[:3] != now:
+                    yield from done(part.schema, now, held)
+                    now, held = row[:3], []
+                held.append((row[3], row[4], np.array(row[5], np.int64), np.frombuffer(row[6], np.uint64)))
+        if held:
+            yield from done(None, now, held)
+
+    def done(_, now, held) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            ids, side, keys, own = zip(*held, strict=True)
+            found = _local_links(ids, keys, own, np.array(side), now[1] != now[2], percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], names=["a", "b"])
+
+    return arrow_map(dealt, link, f"a {kind}, b {kind}")
 
 
 def _cross_pairs(rows: DataFrame, sketches_of: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket whose sketches don't rule the link out."""
-    left = rows.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    right = rows.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    pairs = left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
+    """Pairs of different homes and components within a bucket whose sketches don't rule the link out."""
+    left = rows.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("home").alias("ha"))
+    right = rows.select(F.col("bucket").alias("key"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("home").alias("hb"))
+    pairs = left.join(right, (left.bucket == right.key) & (F.col("ra") < F.col("rb")) & (F.col("ha") != F.col("hb"))).select("a", "b").distinct()
     a = sketches_of.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     b = sketches_of.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
@@ -204,21 +286,26 @@ def near_duplicates(df: DataFrame, text: str = "text", k: int = 5, percent: int
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     full = stored(banded.join(sizes, "bucket"))
     crowd = full.groupBy("id").agg(F.sum("members").alias("rank"))
-    texts = stored(docs.join(crowd.select("id"), F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")))
     buckets = stored(full.join(crowd, "id").select("bucket", "id", "rank"))
-
-    tried = stored(_leader_pairs(buckets, 2))
-    links = stored(verified(tried, texts, k, percent))
-    roots = components(links)
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("rank"))
-    open_rows = stored(_in_buckets(buckets.drop("rank"), roots))
-    again = _leader_pairs(open_rows.join(degree, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0))), 2)
-    links = stored(links.unionAll(verified(again, texts, k, percent)))
+    homes = stored(homes_of(buckets))
+
+    weight = homes.join(classes.select("id", "n"), "id")
+    blocks = weight.groupBy("home").agg(F.sum("n").alias("whole"), F.count("*").alias("rows")).filter("rows > 1").select("home", F.ceil(F.col("whole") / BLOCK).cast("int").alias("blocks"))
+    keys = buckets.groupBy("id").agg(F.collect_list("bucket").alias("keys"))
+    members = weight.join(blocks, "home").withColumn("block", F.pmod(F.hash("id"), "blocks").cast("int")).join(keys, "id").select("id", "home", "block", "blocks", "keys")
+    own = docs.select(F.col("doc_id").alias("id"), "text")
+    links = stored(home_links(own, stored(members), k, percent))
     roots = components(links)
-    open_rows = stored(_in_buckets(open_rows.select("bucket", "id"), roots))
+
+    open_rows = buckets.drop("rank").join(homes, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = open_rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("home").alias("h0"), F.max("home").alias("h1")).filter("lo < hi and h0 < h1").select("bucket")
+    open_rows = stored(open_rows.join(mixed, "bucket"))
     sketch_rows = firsts.join(open_rows.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    links = stored(links.unionAll(verified(_cross_pairs(open_rows, sketch_rows), texts, k, percent)))
-    roots = components(links)
+    pairs = stored(_cross_pairs(open_rows, sketch_rows))
+    if not pairs.isEmpty():
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = stored(own.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        roots = components(links.unionAll(verified(pairs, texts, k, percent)))
 
     of_class = stored(classes.join(roots, "id", "left").select("n", "s1", "s2", F.coalesce("root", "id").alias("component_id")))
     out = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
