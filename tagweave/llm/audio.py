@@ -4,7 +4,8 @@ Samples become frames of twelve pitch-class energies. Over the integral image of
 the frames, `FILTERS` compare two parts of a window of time and pitch; each
 difference is quantised to two bits (Gray code), and the bits of all filters at
 one place are packed into one 32-bit integer. Recordings align where they share
-integers: a histogram of place differences gives the offset, and the share of
+two integers `SPAN` places apart (single ones recur by chance in every large
+collection): a histogram of place differences gives the offset, and the share of
 differing bits over the whole overlap confirms it.
 
 Recordings with equal fingerprints are one class with the least id, so copies
@@ -32,6 +33,7 @@ RATE = 4000
 FRAME = 512
 HOP = 256
 WIDTH = 16
+SPAN = 12
 LEAST_VOTES = 8
 LEAST_FRAMES = 20
 MOST_ERROR = 0.2
@@ -121,12 +123,13 @@ def classes_of(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def matches(queries: DataFrame, all_prints: DataFrame) -> DataFrame:
-    """(query, match, offset, votes, frames, bit_error): for each pair of classes that share integers the best offset, if it holds.
+    """(query, match, offset, votes, frames, bit_error): for each pair of classes that share pairs of integers the best offset, if it holds.
 
     `queries` and `all_prints` have (class, print).
     """
-    place = lambda df, key, pos: df.select(F.col("class").alias(key), F.posexplode("print").alias(pos, "code"))
-    met = place(queries, "query", "p").join(place(all_prints, "match", "q"), "code")
+    pairs = F.transform(F.slice("print", F.lit(1), F.greatest(F.size("print") - SPAN, F.lit(0))), lambda x, i: F.struct(x.alias("code"), F.element_at("print", i + 1 + SPAN).alias("later")))
+    place = lambda df, key, pos: df.select(F.col("class").alias(key), F.posexplode(pairs).alias(pos, "x")).select(key, pos, "x.code", "x.later")
+    met = place(queries, "query", "p").join(place(all_prints, "match", "q"), ["code", "later"])
     votes = met.groupBy("query", "match", (F.col("q") - F.col("p")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("query", "match").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("best"))
     best = best.select("query", "match", (-F.col("best.back")).alias("offset"), F.col("best.votes").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
