@@ -295,11 +295,11 @@ def aggregation_groups(answer: Column) -> Column:
     lists = "map<string,array<string>>"
     groups = F.from_json(F.get_json_object(body, "$.groups"), lists)
     pairs = F.from_json(F.get_json_object(body, "$.mappings"), "map<string,string>")
-    names = F.array_distinct(F.filter(F.transform(F.map_values(pairs), F.trim), lambda n: n != ""))
+    names = F.array_distinct(F.filter(F.transform(F.map_values(pairs), lambda n: F.trim(n)), lambda n: n != ""))
     inverted = F.map_from_arrays(names, F.transform(names, lambda n: F.array_distinct(F.transform(F.filter(F.map_entries(pairs), lambda e: F.trim(e.value) == n), lambda e: F.trim(e.key)))))
     bare = F.from_json(body, lists)
     picked = F.when(F.get_json_object(body, "$.groups").isNotNull(), groups).when(F.get_json_object(body, "$.mappings").isNotNull(), inverted).otherwise(bare)
-    clean = F.map_filter(F.transform_values(picked, lambda k, v: F.array_distinct(F.filter(F.transform(v, F.trim), lambda t: t != ""))), lambda k, v: (F.trim(k) != "") & (F.size(v) > 0))
+    clean = F.map_filter(F.transform_values(picked, lambda k, v: F.array_distinct(F.filter(F.transform(v, lambda t: F.trim(t)), lambda t: t != ""))), lambda k, v: (F.trim(k) != "") & (F.size(v) > 0))
     return F.when(F.size(clean) > 0, clean)
 
 
