@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -95,12 +96,15 @@ def _named(split):
     return lambda n: F.concat(F.array(F.lower(n)), X.tokens(split(n), 2))
 
 
-def base_tags_by_language(lang: Column, symbol: Column, signature: Column, path: Column, hint: Column) -> Column:
-    out = None
-    for name in STYLES:
-        tags = base_tags(name, symbol, signature, path, hint)
-        out = F.when(lang == name, tags) if out is None else out.when(lang == name, tags)
-    return out.otherwise(base_tags("cpp", symbol, signature, path, hint))
+def with_base_tags(rows: DataFrame, name: str, symbol: str, signature: str, path: str, hint: str) -> DataFrame:
+    """rows (with `lang`) and their base tags. The expressions of a language are applied to its rows only:
+    all languages in one expression would be too large to compile. rows are read once for each language."""
+    langs = [r.lang for r in rows.select("lang").distinct().collect()]  # no more than there are languages
+    parts = []
+    for lang in langs:
+        mine = rows.filter(F.col("lang").eqNullSafe(F.lit(lang)))
+        parts.append(mine.withColumn(name, base_tags(lang if lang in STYLES else "cpp", F.col(symbol), F.col(signature), F.col(path), F.col(hint))))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.withColumn(name, X.strings())
 
 
 def path_tags(symbol: Column, path: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..extract import registry as R
 from ..functions import text as X
-from ..functions.basetags import base_tags_by_language
+from ..functions.basetags import with_base_tags
 from ..operators import changes as C
 from ..operators import tags as T
 from ..schema import FILE_META
@@ -38,10 +38,11 @@ def candidates(files: DataFrame) -> DataFrame:
             "qualifier_depth": X.qualifier_depth(F.col("raw_id")),
         }
     )
-    kept = R.with_snippets(C.dedup_candidates(rows, "symbol_key", "scan_seq", "pos"))
+    kept = R.with_snippets(C.dedup_candidates(rows, "symbol_key", "scan_seq", "pos")).drop("content").persist()
+    kept = with_base_tags(kept, "base_raw", "symbol_id", "norm", "rel_path", "hint")
     return kept.select(
         "symbol_id", "kind", F.col("norm").alias("signature"), F.sha1("norm").alias("decl_hash"), X.impl_hash(F.col("norm"), F.col("snippet")).alias("impl_hash"), F.col("rel_path").alias("file_path"), "decl_line", "impl_line", "snippet", "hint", F.col("hint").alias("module"), "raw_id", "lang",
-        base_tags_by_language(F.col("lang"), F.col("symbol_id"), F.col("norm"), F.col("rel_path"), F.col("hint")).alias("base_raw"), (F.col("scan_seq") * 1_000_000 + F.col("pos")).alias("seq"),
+        "base_raw", (F.col("scan_seq") * 1_000_000 + F.col("pos")).alias("seq"),
     )
 
 

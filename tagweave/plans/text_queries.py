@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..extract import registry as R
 from ..functions import text as X
-from ..functions.basetags import base_tags_by_language
+from ..functions.basetags import base_tags
 from ..functions.vocabulary import HARD_ALIASES, STOP_WORDS
 from ..operators import changes as C
 from ..sources import ignore
@@ -89,8 +89,8 @@ def extracted(lang):
         path, code = SNIPPETS[lang]
         files = spark.createDataFrame([(path, lang, code, 0)], "rel_path string, lang string, content string, scan_seq long")
         rows = R.extract(files)
-        hint = F.when(F.col("lang") == "cpp", X.module_hint_cpp(F.col("rel_path"))).otherwise(X.module_hint(F.col("rel_path")))
-        tags = base_tags_by_language(F.col("lang"), X.symbol_id(hint, F.col("raw_id")), F.col("signature"), F.col("rel_path"), hint)
+        hint = (X.module_hint_cpp if lang == "cpp" else X.module_hint)(F.col("rel_path"))
+        tags = base_tags(lang, X.symbol_id(hint, F.col("raw_id")), F.col("signature"), F.col("rel_path"), hint)
         return rows.select("raw_id", "kind", "signature", "decl_line", "impl_line", F.array_join(tags, ",").alias("base_tags"))
 
     return run
