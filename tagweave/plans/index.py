@@ -19,6 +19,7 @@ from ..sources import files as S
 from ..sources import routing as J
 from .config import BuildConfig
 from .enrich import Client, aggregate_unknown, with_briefs
+from .settle import settled
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def candidates(files: DataFrame) -> DataFrame:
             "qualifier_depth": X.qualifier_depth(F.col("raw_id")),
         }
     )
-    kept = R.with_snippets(C.dedup_candidates(rows, "symbol_key", "scan_seq", "pos")).drop("content").persist()
+    kept = settled(R.with_snippets(C.dedup_candidates(rows, "symbol_key", "scan_seq", "pos")).drop("content"))
     kept = with_base_tags(kept, "base_raw", "symbol_id", "norm", "rel_path", "hint")
     return kept.select(
         "symbol_id", "kind", F.col("norm").alias("signature"), F.sha1("norm").alias("decl_hash"), X.impl_hash(F.col("norm"), F.col("snippet")).alias("impl_hash"), F.col("rel_path").alias("file_path"), "decl_line", "impl_line", "snippet", "hint", F.col("hint").alias("module"), "raw_id", "lang",
@@ -51,23 +52,25 @@ def assemble(rows: DataFrame, previous: J.Index, client: Client | None, aggregat
     spark = rows.sparkSession
     old = previous.edges.filter("tag_type = 'semantic'").groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t")).select("symbol_id", F.col("t.tag").alias("__sem"))
     prev = previous.symbols.select("symbol_id", F.col("brief").alias("__brief"))
-    split = C.split_reuse(rows, previous.symbols).join(prev, "symbol_id", "left").join(old, "symbol_id", "left").persist()
+    split = C.split_reuse(rows, previous.symbols).join(prev, "symbol_id", "left").join(old, "symbol_id", "left")
+    split = settled(split)
     reused = split.filter("reuse").withColumns({"brief": F.col("__brief"), "semantic": F.coalesce("__sem", X.strings()), "brief_status": F.lit("done")})
     fresh = with_briefs(split.filter("not reuse"), client, config.enrich)
     low = X.low_info_tags(F.col("base_raw"), F.col("file_path"), F.col("raw_id"))
     fresh = fresh.withColumn("semantic", X.index_tags(X.semantic_tags(F.col("semantic_raw"), low))).drop("semantic_raw")
-    symbols = fresh.unionByName(reused.select(fresh.columns)).withColumn("base", X.index_tags(F.col("base_raw"))).drop("reuse", "__brief", "__sem", "base_raw").persist()
+    symbols = settled(fresh.unionByName(reused.select(fresh.columns)).withColumn("base", X.index_tags(F.col("base_raw"))).drop("reuse", "__brief", "__sem", "base_raw"))
 
     semantic = symbols.select(F.explode("semantic").alias("tag"))
     known = previous.categories
     new_aliases = aggregate_unknown(T.unknown_tags(semantic, previous.aliases, known), known, aggregator, config.batch_size)
-    aliases = T.without_cycles(T.merge_maps(previous.aliases, new_aliases, "raw", "canonical")).persist()
-    canon = T.resolve_aliases(semantic, aliases)
+    merged = settled(T.merge_maps(previous.aliases, new_aliases, "raw", "canonical"))
+    aliases = settled(T.without_cycles(merged))
+    canon = settled(T.resolve_aliases(semantic, aliases))
     resolved = symbols.select("symbol_id", F.posexplode("semantic").alias("pos", "tag")).join(canon, "tag").groupBy("symbol_id", F.col("canonical").alias("tag")).agg(F.min("pos").alias("pos"))
     base = symbols.select("symbol_id", F.posexplode("base").alias("pos", "tag"))
     typed = base.withColumn("tag_type", F.lit("base")).unionByName(resolved.withColumn("tag_type", F.lit("semantic")))
     custom = previous.edges.filter("tag_type = 'custom'").join(symbols.select("symbol_id"), "symbol_id", "left_semi").join(typed.select("symbol_id", "tag"), ["symbol_id", "tag"], "left_anti")
-    edges = typed.select("symbol_id", "tag", "tag_type", "pos").unionByName(custom.select("symbol_id", "tag", "tag_type", "pos")).persist()
+    edges = settled(typed.select("symbol_id", "tag", "tag_type", "pos").unionByName(custom.select("symbol_id", "tag", "tag_type", "pos")))
 
     grouped = edges.filter("tag_type = 'semantic'").groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t")).select("symbol_id", F.col("t.tag").alias("s"))
     named = symbols.select("symbol_id", "hint", "base").join(grouped, "symbol_id", "left").select("symbol_id", "hint", "base", F.coalesce("s", X.strings()).alias("semantic"))

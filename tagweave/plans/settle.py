@@ -1,0 +1,15 @@
+"""Cutting of long plans in jobs of many steps."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder of spark.checkpoint.dir, which executors share; a local one where it is unset, as in tests."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagweave-"))
+    return df.checkpoint()
