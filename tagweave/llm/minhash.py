@@ -240,13 +240,13 @@ def home_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
         for part in row_slices(batches, "set"):
             for row in zip(*(column_of(part, c).to_pylist() for c in ("home", "lo", "hi", "id", "block", "keys", "set")), strict=True):
                 if row[:3] != now:
-                    yield from done(part.schema, now, held)
+                    yield from done(now, held)
                     now, held = row[:3], []
                 held.append((row[3], row[4], np.array(row[5], np.int64), np.frombuffer(row[6], np.uint64)))
         if held:
-            yield from done(None, now, held)
+            yield from done(now, held)
 
-    def done(_, now, held) -> Iterator[pa.RecordBatch]:
+    def done(now, held) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
             ids, side, keys, own = zip(*held, strict=True)
             found = _local_links(ids, keys, own, np.array(side), now[1] != now[2], percent)

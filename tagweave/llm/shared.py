@@ -55,6 +55,3 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
-
-def spread(n: int, at_least: int = 1) -> int:
-    return max(at_least, n)

@@ -134,9 +134,5 @@ def code_points(buf: np.ndarray) -> np.ndarray:
     return (buf & 0xC0) != 0x80
 
 
-def as_column(name: str, values, kind: pa.DataType) -> tuple[str, pa.Array]:
-    return name, pa.array(values, type=kind)
-
-
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
