@@ -167,6 +167,13 @@ def api_prompt(hits: DataFrame, code: str, order: Sequence[str] = ("score",)) ->
     return listed.select(F.concat(F.lit("Available APIs:\n"), "apis", F.lit("\n\nCode:\n"), F.lit(code)).alias("prompt"))
 
 
+def docs_prompt(hits: DataFrame, code: str) -> DataFrame:
+    """One row `prompt`: chosen documents (path, content) one after another, and the code they are asked for."""
+    block = F.concat(F.lit("## "), "path", F.lit("\n"), "content")
+    joined = hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", block.alias("b")))), lambda x: x.b), "\n\n").alias("docs"))
+    return joined.select(F.concat("docs", F.lit("\n\nCode:\n"), F.lit(code)).alias("prompt"))
+
+
 def auto_query(selection: str = "", line: str = "", file_name: str = "") -> str:
     return next((x.strip() for x in (selection, line, file_name) if x and x.strip()), "")
 
