@@ -60,12 +60,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         goals[dim] = stored(seen.select("value", (F.col("share") / F.lit(float(whole or 1.0))).alias("share")))
     weights = stored(present)
     for _ in range(rounds):
+        weights = weights.withColumn("__off", F.lit(0.0))
         for dim in dims:
-            scale = weights.groupBy(dim).agg(F.sum("weight").alias("__sum")).join(goals[dim].withColumnRenamed("value", dim), dim, "left").select(dim, F.when(F.col("__sum") > 0, F.coalesce("share", F.lit(0.0)) / F.col("__sum")).otherwise(0.0).alias("__scale"))
-            weights = weights.join(scale, dim).withColumn("weight", F.col("weight") * F.col("__scale")).drop("__scale")
+            sums = weights.groupBy(dim).agg(F.sum("weight").alias("__sum"))
+            # both sides are small here and may be large elsewhere: a shuffle join, so that nothing goes through the driver
+            scale = sums.join(goals[dim].withColumnRenamed("value", dim).hint("shuffle_hash"), dim, "left").select(dim, "__sum", F.coalesce("share", F.lit(0.0)).alias("__share"))
+            weights = weights.join(scale.hint("shuffle_hash"), dim)
+            weights = weights.withColumn("__off", F.greatest("__off", F.abs(F.col("__sum") - F.col("__share")))).withColumn("weight", F.when(F.col("__sum") > 0, F.col("weight") * F.col("__share") / F.col("__sum")).otherwise(0.0)).drop("__sum", "__share")
         weights = stored(weights)
-        off = [weights.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("w")).join(goals[dim], "value").select(F.abs(F.col("w") - F.col("share")).alias("off")) for dim in dims]
-        if (reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0) < tolerance:
+        off = weights.agg(F.max("__off")).first()[0] or 0.0  # how far the sums were off before this round
+        weights = weights.drop("__off")
+        if off < tolerance:
             break
     return weights
 
