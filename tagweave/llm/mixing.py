@@ -51,28 +51,29 @@ def flattened(cells: DataFrame, dim: str, power: float = TEMPERATURE) -> DataFra
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with `weight`, whose sums over each dimension of `targets` are in the target shares; they add up to 1."""
-    dims = list(targets)
     present = cells.filter("tokens > 0").withColumn("weight", F.col("tokens"))
-    goals = {}
+    weights = present
     for dim, target in targets.items():
         seen = target.join(present.select(F.col(dim).alias("value")).distinct(), "value", "left_semi")
         whole = seen.agg(F.sum("share")).first()[0]
-        goals[dim] = stored(seen.select("value", (F.col("share") / F.lit(float(whole or 1.0))).alias("share")))
-    weights = stored(present)
+        goal = seen.select(F.col("value").alias(dim), (F.col("share") / F.lit(float(whole or 1.0))).alias(f"__share_{dim}"))
+        weights = weights.join(goal.hint("shuffle_hash"), dim, "left").fillna(0.0, f"__share_{dim}")
+    weights = stored(weights)
     for _ in range(rounds):
         weights = weights.withColumn("__off", F.lit(0.0))
-        for dim in dims:
+        for dim in targets:
+            share = F.col(f"__share_{dim}")
+            # the sums are few here and may be many elsewhere: a shuffle join, so that nothing goes through the driver;
+            # written after each dimension, else the plan doubles with each, as a join reads the weights twice
             sums = weights.groupBy(dim).agg(F.sum("weight").alias("__sum"))
-            # both sides are small here and may be large elsewhere: a shuffle join, so that nothing goes through the driver
-            scale = sums.join(goals[dim].withColumnRenamed("value", dim).hint("shuffle_hash"), dim, "left").select(dim, "__sum", F.coalesce("share", F.lit(0.0)).alias("__share"))
-            weights = weights.join(scale.hint("shuffle_hash"), dim)
-            weights = weights.withColumn("__off", F.greatest("__off", F.abs(F.col("__sum") - F.col("__share")))).withColumn("weight", F.when(F.col("__sum") > 0, F.col("weight") * F.col("__share") / F.col("__sum")).otherwise(0.0)).drop("__sum", "__share")
-        weights = stored(weights)
+            scaled = F.when(F.col("__sum") > 0, F.col("weight") * share / F.col("__sum")).otherwise(0.0)
+            off = F.greatest("__off", F.abs(F.col("__sum") - share))
+            weights = stored(weights.join(sums.hint("shuffle_hash"), dim).withColumns({"__off": off, "weight": scaled}).drop("__sum"))
         off = weights.agg(F.max("__off")).first()[0] or 0.0  # how far the sums were off before this round
         weights = weights.drop("__off")
         if off < tolerance:
             break
-    return weights
+    return weights.drop(*[f"__share_{dim}" for dim in targets])
 
 
 def probabilities(weights: DataFrame) -> DataFrame:
