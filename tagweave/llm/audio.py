@@ -3,17 +3,21 @@
 Samples become frames of twelve pitch-class energies. Over the integral image of
 the frames, `FILTERS` compare two parts of a window of time and pitch; each
 difference is quantised to two bits (Gray code), and the bits of all filters at
-one place are packed into one 32-bit integer. Recordings align where they share
-two integers `SPAN` places apart (single ones recur by chance in every large
-collection): a histogram of place differences gives the offset, and the share of
-differing bits over the whole overlap confirms it.
+one place are packed into one 32-bit integer. Recordings align where the share of
+differing bits over the whole overlap is `MOST_ERROR` at most. That share is
+computed for every offset of every pair, by correlating the bits as signs with
+one Fourier transform, and counted again bit by bit where it may hold: no pair
+depends on integers that are equal in both. Equal integers only choose between
+offsets. The work grows with queries times recordings; both are cut into blocks
+of `BLOCK` integers, and every pair of blocks is a row of its own.
 
 Recordings with equal fingerprints are one class with the least id, so copies
 are never paired with each other.
 
 Defined cases: a null or too short recording has no fingerprint, gets no match
-and forms no class; ties between offsets go to the least offset; repeated rows
-of an id are one recording with the fingerprint that is first in order.
+and forms no class; of the offsets that hold the one with most equal integers is
+given, then the one with the least bit error, then the least; repeated rows of an
+id are one recording with the fingerprint that is first in order.
 """
 
 from __future__ import annotations
@@ -33,8 +37,7 @@ RATE = 4000
 FRAME = 512
 HOP = 256
 WIDTH = 16
-SPAN = 12
-LEAST_VOTES = 8
+BLOCK = 80_000
 LEAST_FRAMES = 20
 MOST_ERROR = 0.2
 QUERY_EVERY = 50
@@ -122,23 +125,106 @@ def classes_of(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return member, own
 
 
+def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """(recording, bit, frequency) of the bits as signs; places after the end are 0."""
+    signs = np.zeros((len(prints), 32, max(map(len, prints))), np.float32)
+    for i, p in enumerate(prints):
+        signs[i, :, : len(p)] = (p >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.float32) * 2 - 1
+    return np.fft.rfft(signs, size, axis=2)
+
+
+def _runs(prints: list[np.ndarray], most: int) -> Iterator[list[int]]:
+    """Numbers of prints of similar length, so many that they have `most` integers when padded, but one at least."""
+    run: list[int] = []
+    for i in sorted(range(len(prints)), key=lambda i: len(prints[i])):
+        if run and (len(prints[i]) * (len(run) + 1) > most or len(prints[i]) > 2 * len(prints[run[0]])):
+            yield run
+            run = []
+        run.append(i)
+    if run:
+        yield run
+
+
+def alignments(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(query, other, offset, votes, frames, bit error) of each pair of prints (uint32) with an offset that holds."""
+    for at_b in _runs(others, BLOCK):
+        b, held = [others[i] for i in at_b], 0
+        for at_a in _runs(queries, min(BLOCK, 25 * BLOCK // len(at_b))):
+            a = [queries[i] for i in at_a]
+            most_a, most_b = max(map(len, a)), max(map(len, b))
+            size = min(m << max(0, (-(-(most_a + most_b) // m) - 1).bit_length()) for m in (1, 3, 5, 7, 9, 15, 21))
+            if size != held:
+                right, held = np.ascontiguousarray(_spectra(b, size).transpose(2, 1, 0)), size
+            left = np.ascontiguousarray(_spectra(a, size).conj().transpose(2, 0, 1))
+            both = np.ascontiguousarray(np.matmul(left, right).reshape(len(left), -1).T)
+            agree = np.fft.irfft(both, size, axis=1).reshape(len(a), len(b), size)
+            offset = (np.arange(size) + most_a) % size - most_a
+            (len_a, of_a), (len_b, of_b) = (np.unique([len(p) for p in x], return_inverse=True) for x in (a, b))
+            frames = np.minimum(len_a[:, None, None] - np.maximum(-offset, 0), len_b[None, :, None] - np.maximum(offset, 0))
+            least = np.where(frames >= LEAST_FRAMES, 32 * (1 - 2 * MOST_ERROR) * frames - 1 - 1e-3 * frames, np.inf).astype(np.float32)
+            near = agree >= (least[of_a][:, of_b] if least[..., 0].size > 1 else least)
+            best: dict[tuple[int, int], tuple] = {}
+            for i, j, k in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                o, n = int(offset[k]), int(frames[of_a[i], of_b[j], k])
+                x, y = a[i][max(-o, 0) :][:n], b[j][max(o, 0) :][:n]
+                error = round(int(np.bitwise_count(x ^ y).sum()) / (32 * n), 6)
+                if error <= MOST_ERROR:
+                    best[i, j] = min(best.get((i, j), (1,)), (-int((x == y).sum()), error, o, n))
+            for (i, j), (votes, error, o, n) in best.items():
+                yield at_a[i], at_b[j], o, -votes, n, error
+
+
+def blocks_of(prints: DataFrame, name: str) -> DataFrame:
+    """(`name`: array of classes, `name`_sizes, `name`_codes) with about BLOCK integers a row."""
+    n = prints.agg(F.sum(F.size("print"))).first()[0] or 0
+    kind = dict(prints.dtypes)["class"]
+    rows = prints.select("class", "print").repartition(max(1, -(-n // BLOCK)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, codes, held = [], [], [], 0
+        for batch in batches:
+            ident = column_of(batch, "class")
+            for i, p in enumerate(column_of(batch, "print")):
+                own = p.values.to_numpy()
+                if held and held + len(own) > 2 * BLOCK:
+                    yield block(ident.type, ids, sizes, codes)
+                    ids, sizes, codes, held = [], [], [], 0
+                ids.append(ident[i].as_py())
+                sizes.append(len(own))
+                codes.append(own.tobytes())
+                held += len(own)
+        if ids:
+            yield block(ident.type, ids, sizes, codes)
+
+    def block(kind: pa.DataType, ids: list, sizes: list, codes: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary())], names=[name, f"{name}_sizes", f"{name}_codes"])
+
+    return arrow_map(rows, run, f"{name} array<{kind}>, {name}_sizes array<int>, {name}_codes binary")
+
+
 def matches(queries: DataFrame, all_prints: DataFrame) -> DataFrame:
-    """(query, match, offset, votes, frames, bit_error): for each pair of classes that share pairs of integers the best offset, if it holds.
+    """(query, match, offset, votes, frames, bit_error): for each pair of classes the best offset that holds, of all offsets.
 
     `queries` and `all_prints` have (class, print).
     """
-    pairs = F.transform(F.slice("print", F.lit(1), F.greatest(F.size("print") - SPAN, F.lit(0))), lambda x, i: F.struct(x.alias("code"), F.element_at("print", i + 1 + SPAN).alias("later")))
-    place = lambda df, key, pos: df.select(F.col("class").alias(key), F.posexplode(pairs).alias(pos, "x")).select(key, pos, "x.code", "x.later")
-    met = place(queries, "query", "p").join(place(all_prints, "match", "q"), ["code", "later"])
-    votes = met.groupBy("query", "match", (F.col("q") - F.col("p")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query", "match").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("best"))
-    best = best.select("query", "match", (-F.col("best.back")).alias("offset"), F.col("best.votes").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
-    both = best.join(queries.select(F.col("class").alias("query"), F.col("print").alias("a")), "query").join(all_prints.select(F.col("class").alias("match"), F.col("print").alias("b")), "match")
-    begin_a, begin_b = F.greatest(-F.col("offset"), F.lit(0)), F.greatest("offset", F.lit(0))
-    frames = F.least(F.size("a") - begin_a, F.size("b") - begin_b)
-    wrong = F.aggregate(F.zip_with(F.slice("a", begin_a + 1, frames), F.slice("b", begin_b + 1, frames), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    found = both.withColumn("frames", frames).withColumn("bit_error", F.round(wrong / (F.col("frames") * 32), 6))
-    return found.filter((F.col("frames") >= LEAST_FRAMES) & (F.col("bit_error") <= MOST_ERROR)).select("query", "match", "offset", "votes", "frames", "bit_error")
+    kind = dict(all_prints.dtypes)["class"]
+    pairs = blocks_of(queries, "query").crossJoin(blocks_of(all_prints, "match"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, prints = [], []
+                for name in ("query", "match"):
+                    sizes = column_of(batch, f"{name}_sizes")[i].values.to_numpy()
+                    ids.append(column_of(batch, name)[i].values)
+                    prints.append(np.split(np.frombuffer(column_of(batch, f"{name}_codes")[i].as_buffer(), np.uint32), np.cumsum(sizes)[:-1]))
+                found = list(alignments(*prints))
+                if found:
+                    a, b, *rest = zip(*found, strict=True)
+                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(a)), ids[1].take(pa.array(b)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names=["query", "match", "offset", "votes", "frames", "bit_error"])
+
+    return arrow_map(pairs, run, f"query {kind}, match {kind}, offset int, votes long, frames int, bit_error double")
 
 
 def search(prints: DataFrame, every: int = QUERY_EVERY) -> DataFrame:

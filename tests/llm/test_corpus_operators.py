@@ -134,6 +134,26 @@ def test_audio_alignment(spark):
     assert audio.search(prints.limit(0)).isEmpty()
 
 
+def test_audio_matches_need_no_equal_integers(spark):
+    rng = np.random.default_rng(4)
+    one, other = rng.integers(0, 1 << 32, (2, 84), dtype=np.uint32)
+    flipped = lambda p, share: p ^ (rng.random((len(p), 32)) < share) @ (1 << np.arange(32, dtype=np.uint32))
+    prints = {50: one, 51: flipped(one, 0.05), 52: flipped(one, 0.15), 53: np.concatenate([other[:70], flipped(one, 0.1)[:24]]), 54: one[:19], 55: other, 56: np.tile(one, 40)}
+    df = spark.createDataFrame([(i, p.astype(np.uint32).view(np.int32).tolist()) for i, p in prints.items()], "id long, print array<int>")
+    got = {r.match_class: r for r in audio.search(df).collect()}
+    assert set(got) == {50, 51, 52, 53, 56}
+    assert [got[i].offset for i in (50, 51, 52, 53)] == [0, 0, 0, 70] and got[53].frames == 24
+    want = {}
+    for i, p in prints.items():
+        for o in range(-83, len(p)):
+            x, y = one[max(-o, 0) :], p[max(o, 0) :].astype(np.uint32)
+            n = min(len(x), len(y))
+            error = int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)
+            if n >= audio.LEAST_FRAMES and error <= audio.MOST_ERROR:
+                want[i] = min(want.get(i, (1,)), (-int((x[:n] == y[:n]).sum()), round(error, 6), o))
+    assert want == {i: (-r.votes, r.bit_error, r.offset) for i, r in got.items()}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
