@@ -9,12 +9,13 @@ includes leading blank lines.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from ..functions.text import SPACE
 
-MOST_CHARS = 2_000_000
 _WHITE = re.compile(f"[{SPACE}]+")
 
 
@@ -53,15 +54,16 @@ class Language:
 
     def symbols(self, code: str, path: str) -> Iterator[tuple[str, str, str, int]]:
         """(raw id, kind, signature, line) of all declarations, rule by rule."""
-        if not code or len(code) > MOST_CHARS or "\0" in code:
+        if not code or "\0" in code:
             return
         code = self.source(code, path)
         found = re.search(white(self.scope), code, re.M | re.A) if self.scope else None
         scope = found[1] if found else ""
+        ends = [m.start() for m in re.finditer("\n", code)]
         for rule in self.rules:
             for m in rule.regex.finditer(code):
                 raw, signature = rule.build(m, code, scope)
-                yield raw, rule.kind, signature, code.count("\n", 0, m.start()) + 1
+                yield raw, rule.kind, signature, bisect_left(ends, m.start()) + 1
 
     def source(self, code: str, path: str) -> str:
         return code
@@ -76,24 +78,28 @@ _dot, _back = scoped("."), scoped("\\")
 _ENCLOSING = {name: re.compile(white(p), re.M | re.A) for name, p in {"python": r"^(~*)class~+(\w+)", "ruby": r"^(~*)(?:class|module)~+(\w+)"}.items()}
 
 
+@lru_cache(1)
+def _types(language: str, code: str) -> list[tuple[int, int, str]]:
+    return [(m.end(), len(m[1]), m[2]) for m in _ENCLOSING[language].finditer(code)]
+
+
 def enclosing(language: str, code: str, at: int, indent: str) -> str:
     """Name of the last type before `at` that is indented less."""
-    name = ""
-    for m in _ENCLOSING[language].finditer(code, 0, at):
-        if len(m[1]) < len(indent):
-            name = m[2]
-    return name
+    types = _types(language, code)
+    return next((name for _, size, name in reversed(types[: bisect_right(types, at, key=lambda x: x[0])]) if size < len(indent)), "")
 
 
 def decorators(code: str, at: int) -> list[str]:
     """Lines with @ directly before a definition, but for blank lines and comments."""
     lines: list[str] = []
-    for line in reversed(code[:at].split("\n")):
-        word = line.strip()
+    while at >= 0:
+        start = code.rfind("\n", 0, at) + 1
+        word = code[start:at].strip()
         if word.startswith("@"):
             lines.append(word)
         elif word and not word.startswith("#"):
             break
+        at = start - 1
     return lines[::-1]
 
 
@@ -161,7 +167,7 @@ class Script(Language):
 
     def symbols(self, code, path):
         yield from super().symbols(code, path)
-        if path.lower().endswith(".vue") and code and len(code) <= MOST_CHARS and re.search(r"export\s+default\s+", self.source(code, path)):
+        if path.lower().endswith(".vue") and code and re.search(r"export\s+default\s+", self.source(code, path)):
             name = re.split(r"[/\\]", path)[-1][: -len(".vue")]
             yield name, "class", f"Vue Component: {name}", 1
 

@@ -59,7 +59,7 @@ def register_functions(spark: SparkSession) -> None:
 def extract(files: DataFrame) -> DataFrame:
     """files (rel_path, lang, content, scan_seq, ...) with a row for each symbol: raw_id, kind, signature, lines, pos.
 
-    The size and binary guards come before the Python function, as a filter.
+    The guards come before the Python function, as a filter: no NUL, and the size guard of the C++ scanner for C++ only.
     """
     kept = files.columns
 
@@ -70,7 +70,8 @@ def extract(files: DataFrame) -> DataFrame:
             out = batch.reset_index(drop=True).iloc[found.pop("__i")].reset_index(drop=True)
             yield pd.concat([out, found.astype({"decl_line": "Int32", "impl_line": "Int32"})], axis=1)
 
-    ok = files.filter(F.length("content") > 0).filter((F.length("content") <= 2_000_000) & ~F.contains("content", F.lit("\0")))
+    whole = F.coalesce("lang", F.lit("")).isin([n for n in EXTRACTORS if n != "cpp"])
+    ok = files.filter(F.length("content") > 0).filter(whole | (F.length("content") <= cpp.MOST_CHARS)).filter(~F.contains("content", F.lit("\0")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), *(c.replace(":", "") for c in SYMBOL.split(", "))])
     return ok.select(*kept).mapInPandas(run, schema)
 

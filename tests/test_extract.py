@@ -64,3 +64,11 @@ def test_udtf(spark):
     R.register_functions(spark)
     spark.createDataFrame([("x.py", "python", "def f():\n  pass\n")], "p string, l string, c string").createOrReplaceTempView("src")
     assert spark.sql("select s.raw_id, s.decl_line from src, lateral extract_symbols(l, p, c) s").collect() == [("f", 1)]
+
+
+def test_size_guard_holds_for_cpp_only(spark):
+    pad = "# pad pad pad pad pad pad pad pad pad\n" * 60_000
+    code = {"python": f"{pad}class A:\n    @cached\n    def f(self):\n        pass\n", "js": "function f() {}\n" + "// pad pad pad pad\n" * 150_000, "cpp": "int f() {}\n" + "// pad pad pad pad\n" * 150_000}
+    files = spark.createDataFrame([(f"a.{x}", x, c) for x, c in code.items()], "rel_path string, lang string, content string")
+    got = {(r.lang, r.raw_id, r.decl_line) for r in R.extract(files).drop("content").collect()}
+    assert got == {("python", "A", 60_001), ("python", "A.f", 60_003), ("js", "f", 1)}
