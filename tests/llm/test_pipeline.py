@@ -47,3 +47,18 @@ def test_stages_take_effect(spark, tmp_path):
         want = tk.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_last_stage_gives_the_token_ids(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(bpe.default_path())
+    rows = docs.collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    got = corpus_pipeline.encode(spark, docs, "").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert list(r.token_ids) == tk.encode(texts[r.doc_id], add_special_tokens=False).ids
+    key = lambda r: (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)
+    assert sorted(map(key, got)) == sorted(map(key, bpe.round_trip(docs, ["doc_id"]).collect()))
+    assert corpus_pipeline.encode(spark, none, "").isEmpty()
