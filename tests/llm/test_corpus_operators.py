@@ -84,6 +84,29 @@ def test_passages(spark):
     assert passages.passages(df.limit(0)).isEmpty()
 
 
+def _spans(spark, docs):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    return {r.doc_id: [(x.lo, x.hi) for x in r.passages] for r in passages.passages(df).collect()}
+
+
+def test_passages_whose_seeds_have_many_first_places(spark):
+    rng = random.Random(3)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    shared = fresh(60)
+    early = [(k, fresh(20) + shared[4 * k : 4 * k + 12] + fresh(20)) for k in range(15)]
+    got = _spans(spark, [*early, (50, fresh(30) + shared + fresh(30)), (51, fresh(10) + shared + fresh(10))])
+    assert got == {51: [(10, 70)]}
+
+
+def test_passages_of_a_repeated_line(spark):
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    for period in (1, 2, 7, 10):
+        line = fresh(period)
+        run = (line * 60)[:60]
+        assert _spans(spark, [(1, fresh(20) + run + fresh(20)), (2, fresh(15) + run + fresh(15)), (3, fresh(40))]) == {2: [(15, 75)]}
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(30):
