@@ -107,6 +107,22 @@ def test_passages_of_a_repeated_line(spark):
         assert _spans(spark, [(1, fresh(20) + run + fresh(20)), (2, fresh(15) + run + fresh(15)), (3, fresh(40))]) == {2: [(15, 75)]}
 
 
+def test_failing_chains_are_split(spark):
+    rng = random.Random(5)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    first, second = fresh(50), fresh(20)
+    fuzzy = [w if i % 12 != 6 else "other" for i, w in enumerate(first)]
+    (lo, hi), = _spans(spark, [(1, fresh(9) + first + fresh(25) + second + fresh(9)), (2, fresh(9) + fuzzy + second + fresh(9))])[2]
+    assert abs(lo - 9) <= 3 and 56 <= hi <= 79
+    a, b = first + second, first + fresh(25) + second
+    number = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+    a, b = ([number[w] for w in x] for x in (a, b))
+    q = [0, 8, 16, 24, 32, 45, 50, 58, 65]
+    s = [x + 25 * (x >= 50) for x in q]
+    assert not passages.align(a, b, (0, 70), (0, 95))[2]
+    assert sorted(passages.held_parts(a, b, q, s)) == [(0, 50), (50, 70)]
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(30):
