@@ -3,10 +3,11 @@
 `measure` computes the measurements of every whole text once; `ledger` turns
 them into one integer of failure bits with a bit for each rule of `RULES`;
 `apply_policy` keeps the rows none of whose failure bits are in a policy's mask;
+words, lines and windows are equal where their bytes are, not their hashes;
 `ablations` counts, from the bits alone, what each rule of a policy decides.
 
 Defined cases: a null text counts as empty (zero measurements, so it fails
-`few_words`); a policy is looked up by its version and an unknown version is an
+`few_words`); a text of any length is measured whole; a policy is looked up by its version and an unknown version is an
 error; repeated rows are rows of their own; an empty table gives an empty
 ledger; input columns named like an added column are replaced.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, table, without
-from .textnum import WORD_BYTES, code_points, column_of, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
+from .textnum import WORD_BYTES, code_points, column_of, mix, row_slices, shingle_hashes, span_ids, string_bytes, words_of
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -48,11 +49,17 @@ POLICIES: dict[str, tuple[str, ...]] = {
 POLICY = "web-2"
 
 
-def _repeats(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """True where another element of the same group has the same key."""
+def _repeats(group: np.ndarray, keys: np.ndarray, views: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True where another window of the same group holds the same words; window i is views[at[i]], with the hash keys[i]."""
     order = np.lexsort((keys, group))
     g, k = group[order], keys[order]
     same = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+    met = np.flatnonzero(same)
+    if (views[at[order[met]]] != views[at[order[met + 1]]]).any():  # different windows have one hash
+        keys = np.unique(views[at], axis=0, return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((keys, group))
+        g, k = group[order], keys[order]
+        same = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
     flags = np.zeros(len(keys), bool)
     flags[order[1:][same]] = True
     flags[order[:-1][same]] = True
@@ -76,22 +83,23 @@ def measure_bytes(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     line_ends = np.where(last, next_start, np.maximum(next_start - 1, line_starts))
     filled = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     at, group = np.flatnonzero(filled), line_row[filled]
-    keys = span_hashes(buf, line_starts[at], line_ends[at])
+    keys = span_ids(buf, line_starts[at], line_ends[at])
     order = np.lexsort((keys, group))
     again = (group[order][1:] == group[order][:-1]) & (keys[order][1:] == keys[order][:-1])
     n_dup = np.bincount(group[order][1:][again], minlength=rows)
     n_lines = np.bincount(group, minlength=rows)
 
-    words = span_hashes(buf, starts, ends)
+    words = span_ids(buf, starts, ends)
     stutter = np.zeros(len(words), bool)
     stutter[1:] = words[1:] == words[:-1]
     stutter[first[:-1][n_words > 0]] = False
     n_stutter = np.diff(np.concatenate([[0], np.cumsum(stutter)])[first])
-    windows, begin = shingle_hashes(words, first, WINDOW)
+    windows, begin = shingle_hashes(mix(words.astype(np.uint64)), first, WINDOW)
     owner = np.repeat(np.arange(rows), np.diff(begin))
     whole = n_words[owner] >= WINDOW
-    flags = _repeats(owner[whole], windows[whole])
-    hit = first[:-1][owner[whole][flags]] + (np.flatnonzero(whole)[flags] - begin[:-1][owner[whole][flags]])
+    at = (np.arange(len(owner)) + np.repeat(first[:-1] - begin[:-1], np.diff(begin)))[whole]
+    views = np.lib.stride_tricks.sliding_window_view(words, WINDOW) if len(words) >= WINDOW else np.zeros((0, WINDOW), np.int64)
+    hit = at[_repeats(owner[whole], windows[whole], views, at)]
     edge = np.zeros(len(starts) + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + WINDOW, -1)
@@ -157,12 +165,17 @@ def ablations(rows: DataFrame, policies: Sequence[str] = tuple(POLICIES)) -> Dat
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(measure(table(sf_dir, "documents", spark), keep=["doc_id"]))
     base = ~passes("base-1")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes(POLICY).alias("kept"), "fail_bits", F.lit(POLICY).alias("policy"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes(POLICY).alias("kept"), "fail_bits", F.lit(POLICY).alias("policy"), "n_lines", "n_stutter_words")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-SQL = {
-    "op1_quality_rules": r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy decides, from the ledger of all documents."""
+    return ablations(ledger(measure(table(sf_dir, "documents", spark), keep=["doc_id"])))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "quality_ablations": quality_ablations}
+#: Shared by both queries: measurements and failure bits of every row.
+_LEDGER = r"""
 WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM rows)),
 win AS (SELECT rid, word, pos, CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN concat_ws(chr(31), word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) END AS k, CASE WHEN word = lag(word) OVER o THEN 1 ELSE 0 END AS st FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
@@ -172,6 +185,11 @@ m AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars, sum(c) A
 l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_st, 0) AS n_st FROM rows LEFT JOIN m USING (rid) LEFT JOIN l USING (rid)),
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END) + (CASE WHEN n_words > 100000 THEN 64 ELSE 0 END) + (CASE WHEN 100 * n_st > 30 * n_words THEN 128 ELSE 0 END) AS bits FROM a)
-SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits, 'web-2' AS policy FROM b
 """
+SQL = {
+    "op1_quality_rules": _LEDGER
+    + """SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits, 'web-2' AS policy, n_lines, n_st::BIGINT AS n_stutter_words FROM b""",
+    "quality_ablations": _LEDGER
+    + f""", x(policy, rule, mask, bit) AS (VALUES {", ".join(f"('{p}', '{r}', {mask_of(p)}, {BIT[r]})" for p, rules in POLICIES.items() for r in rules)})
+SELECT policy, rule, count(*) FILTER ((bits & bit) <> 0) AS failed, count(*) FILTER ((bits & mask) = bit) AS failed_alone, count(*) FILTER ((bits & mask) = 0) AS kept, count(*) FILTER ((bits & (mask & ~bit)) = 0) AS kept_without, bit_or(bits::BIGINT) AS bits_seen FROM b, x GROUP BY policy, rule""",
 }

@@ -14,10 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-BASE = np.uint64(0x9E6C63D0876A9A99)  # odd, so it has an inverse modulo 2**64
-BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE = np.uint64(0x9E6C63D0876A9A99)
 STEP = np.uint64(0xD1342543DE82EF95)
-_powers: dict[str, np.ndarray] = {}
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the bits of a lane's first n bytes
 
 
 def byte_class(separators) -> np.ndarray:
@@ -92,24 +91,41 @@ def words_of(buf: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD_BYTES)
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_powers.get("up", ())):
-        size = max(n, SLICE_BYTES + 1)
-        ups, downs = np.full(size, BASE), np.full(size, BASE_INV)
-        ups[0] = downs[0] = 1
-        ups, downs = np.cumprod(ups, dtype=np.uint64), np.cumprod(downs, dtype=np.uint64)
-        if size > SLICE_BYTES + 1:
-            return ups, downs
-        _powers.update(up=ups, down=downs)
-    return _powers["up"], _powers["down"]
+def _lanes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans as lanes of 8 bytes, the last one filled with zeros: values, place in the span, and the first lane of each span."""
+    counts = np.maximum((ends - starts + 7) >> 3, 1)
+    begin = np.cumsum(counts) - counts
+    place = np.arange(int(counts.sum())) - np.repeat(begin, counts)
+    at = np.repeat(starts, counts) + 8 * place
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    values = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))[at]
+    values &= _TAIL[np.minimum(np.repeat(ends, counts) - at, 8)]
+    return values, place, begin
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span: a polynomial modulo 2**64, then mixed."""
-    ups, downs = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * ups[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * downs[starts] + (ends - starts).astype(np.uint64) * STEP)
+    """64-bit hash of the bytes of each span: lanes of 8 bytes, each mixed with its place, are added up and mixed with the length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    values, place, begin = _lanes(buf, starts, ends)
+    sums = np.add.reduceat(mix(mix(values + STEP) + place.astype(np.uint64) * BASE), begin)
+    return mix(sums + (ends - starts).astype(np.uint64) * STEP)
+
+
+def span_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal numbers for spans of equal bytes and no others: hashes tell candidates, all bytes are compared."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    _, first, ids = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    like = first[ids]
+    same = (ends - starts) == (ends - starts)[like]
+    if same.all():
+        own, _, begin = _lanes(buf, starts, ends)
+        same = np.bitwise_and.reduceat(own == _lanes(buf, starts[like], ends[like])[0], begin)
+    if same.all():
+        return ids
+    known: dict[bytes, int] = {}  # different spans have one hash
+    return np.array([known.setdefault(buf[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)], np.int64)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +141,8 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     size = np.repeat(np.minimum(n, k), counts)
     for j in range(k):
         use = size > j if len(out) and size.min() <= j else slice(None)
-        out[use] = out[use] * BASE + words[at[use] + j]
+        h = out[use]
+        out[use] = (h ^ h >> np.uint64(29)) * BASE + words[at[use] + j]  # the shift keeps the hash from being a polynomial
     return mix(out + size.astype(np.uint64)), begin
 
 

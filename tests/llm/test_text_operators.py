@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tagweave.llm import bpe, chat, licenses, quality, sharding
+from tagweave.llm import bpe, chat, licenses, quality, sharding, textnum
 from tagweave.llm.textnum import string_bytes
 
 from tests.llm.conftest import ROWS
@@ -33,6 +33,27 @@ def test_measures_by_brute_force():
     assert list(zip(*(got[m].tolist() for m in quality.MEASURES), strict=True)) == [brute_measures(t) for t in texts]
 
 
+def alternating(n):
+    """The Thue-Morse sequence, whose prefixes and their complements defeat polynomials modulo a power of two."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return bits[:n]
+
+
+def test_equal_means_equal_bytes(monkeypatch):
+    bits = alternating(1024)
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [f"{one}\n{other}", f"{one} {other} " * 5, f"{one}\n{one}", "aa bb\ncc dd\naa bb ee ff gg hh ii jj aa bb kk ll mm nn oo pp"]
+    measured = lambda: list(zip(*(x.tolist() for x in quality.measure_bytes(*string_bytes(pa.array(texts))).values()), strict=True))
+    want = [brute_measures(t) for t in texts]
+    assert measured() == want
+    weak = lambda words, first, k: (np.zeros_like(textnum.shingle_hashes(words, first, k)[0]), textnum.shingle_hashes(words, first, k)[1])
+    monkeypatch.setattr(quality, "shingle_hashes", weak)
+    monkeypatch.setattr(textnum, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    assert measured() == want
+
+
 def test_ledger_policies_and_ablations(docs, none):
     clash = docs.withColumn("n_words", F.lit("clash")).withColumn("fail_bits", F.lit(0))
     rows = quality.ledger(quality.measure(clash, keep=["doc_id", "n_words", "fail_bits"]))
