@@ -119,10 +119,75 @@ def test_failing_chains_are_split(spark):
     a, b = ([number[w] for w in x] for x in (a, b))
     q = [0, 8, 16, 24, 32, 45, 50, 58, 65]
     s = [x + 25 * (x >= 50) for x in q]
-    assert not passages.align(a, b, (0, 70), (0, 95))[2]
+    assert 100 * passages.matched(a, b, q, s) < passages.PERCENT * len(b)
     assert sorted(passages.held_parts(a, b, q, s)) == [(0, 50), (50, 70)]
 
 
+def test_of_two_texts_of_a_doc_id_one_is_the_document(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, long, short = fresh(60), fresh(300), "too short"
+    rows = [(1, shared), (2, f"{long} {shared}"), (2, short), (2, None), (3, f"{shared} {short}"), (3, f"{shared} {short}")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, passages string").repartition(4)
+    left = passages.dedup_passages(df)
+    assert left.columns == df.columns
+    got = sorted((r.doc_id, r.text or "") for r in left.collect())
+    assert got[0] == (1, shared) and [x for x in got if x[0] == 3] == [(3, short)] * 2
+    assert {x[1].strip() for x in got if x[0] == 2} in ({long, short, ""}, {f"{long} {shared}", short, ""})
+
+
+def test_exact_repeats_by_brute_force(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 2) for _ in range(n)]
+    pool = [fresh(rng.randint(30, 90)) for _ in range(8)]
+    docs = [(i, [w for _ in range(rng.randint(0, 4)) for w in (rng.choice(pool) if rng.random() < 0.6 else fresh(rng.randint(1, 60)))]) for i in range(60)]
+    got, seen = _spans(spark, docs), set()
+    for i, words in docs:
+        own = [tuple(words[k : k + passages.MIN_WORDS]) for k in range(len(words) - passages.MIN_WORDS + 1)]
+        want = {k + j for k, x in enumerate(own) if x in seen for j in range(passages.MIN_WORDS)}
+        assert want <= {k for lo, hi in got.get(i, []) for k in range(lo, hi)}
+        seen |= set(own)
+
+
+def test_recall_of_fuzzy_passages(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    docs, planted = [], {}
+    for rate in (5, 10, 15, 20):
+        for _ in range(40):
+            one = [word() for _ in range(100)]
+            other = [word() if rng.random() < rate / 100 else w for w in one]
+            docs += [(len(docs), [word() for _ in range(50)] + one), (len(docs) + 1, [word() for _ in range(40)] + other + [word() for _ in range(40)])]
+            if sum(a == b for a, b in zip(one, other, strict=True)) >= 80:
+                planted[len(docs) - 1] = rate
+    docs += [(len(docs) + i, [word() for _ in range(200)]) for i in range(50)]
+    got = _spans(spark, docs)
+    assert set(got) <= set(range(1, 320, 2))
+    for rate in (5, 10, 15, 20):
+        covered = [sum(max(0, min(hi, 140) - max(lo, 40)) for lo, hi in got.get(i, [])) for i, x in planted.items() if x == rate]
+        assert np.mean(covered) >= 90
+
+
+def test_growth_and_matches_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [rng.randrange(6) for _ in range(rng.randint(0, 20))]
+        b = [x for x in a if rng.random() > 0.1] + [rng.randrange(6) for _ in range(rng.randint(0, 8))]
+        cells = {(0, 0): 0}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i or j:
+                    at = lambda x, y: cells.get((x, y), -1000)
+                    cells[i, j] = max(at(i - 1, j - 1) + (1 if i and j and a[i - 1] == b[j - 1] else -2), at(i - 1, j) - 2, at(i, j - 1) - 2)
+        i, j = passages.grown(a, b)
+        assert 0 <= cells[i, j] <= max(cells.values()) and (cells[i, j] == max(cells.values()) or len(a) > passages.DRIFT)
+        common = np.zeros((len(a) + 1, len(b) + 1), int)
+        for x in range(len(a)):
+            for y in range(len(b)):
+                common[x + 1, y + 1] = common[x, y] + 1 if a[x] == b[y] else max(common[x, y + 1], common[x + 1, y])
+        assert passages.common_words(a, b) == common[-1, -1]
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(30):
