@@ -11,23 +11,27 @@ Links. `ROWS` bins make a band; documents that agree in a band share a bucket.
 At similarity 0.8 all `BANDS` bands miss with probability below 2e-9. Equal sets
 are one *class* beforehand. Pairs of a bucket aren't made into rows:
 
-1. Every class points to the co-member of its buckets that has the fullest
-   buckets; following the pointers to their end gives each class a *home*.
-2. The full sets of a home are compared in blocks of at most `BLOCK` shingles
-   (pairs of blocks if a home has several), within one task each: only classes
-   that share a band, and only until they are known to be connected. A task
-   gives at most one link for each of its rows.
-3. Pairs that share a bucket and have different homes and components, and whose
-   sketches don't rule similarity 0.8 out (nine standard deviations), are
-   verified on the full sets of their texts.
+1. `STARS` times, every class is compared with one member of its buckets that is
+   not in its component yet, the one that has the fullest buckets: pairs are no
+   more than classes, and a group of near copies becomes a star.
+2. Buckets that still hold several components are left. There the rows outside
+   the largest component are compared with the others. Most pairs are ruled out
+   before their texts are read: by set sizes, by one bit of each bin (six standard
+   deviations), and by the triangle inequality of Jaccard distances where both
+   have been compared with the same class.
+3. Every pair is decided on the full sets of both texts.
 
 Components are found by least labels with pointer jumping, on written tables.
 
 Defined cases: A-Z are lower-cased; a text with fewer than k words has its whole
 sequence as its one shingle; a null text, or one without words, has the empty
-set and links with nothing; repeated rows of a doc_id are one document with the
-first of its texts in order; a null doc_id is never linked and kept.
-Sets are sets of 64-bit shingle hashes.
+set and links with nothing; every row has the result of its own text, so a doc_id
+with several texts is several documents; repeated rows are kept or go together;
+of a component's documents with the least doc_id the one with the least set is
+kept; a null doc_id is never linked and kept; ids may be of any ordered type; an
+empty table gives an empty result; only doc_id and the text are read, so other
+columns can't clash. Sets are sets of 64-bit shingle hashes: two sets of a million
+shingles hold one common hash too many with a probability of 5e-8.
 """
 
 from __future__ import annotations
@@ -36,19 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, stored, table
+from .shared import arrow_map, stored, table, text_key
 from .textnum import column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
 
 ROWS = 5
 BANDS = 51
 T = ROWS * BANDS
 PERCENT = 80
-BLOCK = 2_000_000  # shingles of a block; a task holds two blocks at most
-#: Sketch agreement (of T bins, one byte each) below which a pair is not verified: 0.8 less nine standard deviations.
-LEAST_AGREE = int(T * 0.8 - 9 * (T * 0.16) ** 0.5)
+STARS = 2
+#: Equal bits (of T, one of each bin) below which a pair is not compared: at similarity 0.8 they are 0.9 of all, less six standard deviations.
+LEAST_AGREE = int(T * 0.9 - 6 * (T * 0.09) ** 0.5)
 _SEED = np.random.default_rng(20170405).integers(0, 1 << 64, 2 * T, dtype=np.uint64)
 
 
@@ -96,9 +100,10 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
-def sketched(df: DataFrame, text: str, k: int, ident: str = "doc_id") -> DataFrame:
-    """(doc_id, n, s1, s2, bands, sketch): set size, two sums that identify the set, band keys, low byte of each bin."""
-    rows = df.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def sketched(df: DataFrame, text: str, k: int) -> DataFrame:
+    """(doc_id, key, n, s1, s2, bands, bits): text key, set size, two sums that identify the set, band keys, one bit of each bin."""
+    body = F.col(f"`{text}`")
+    rows = df.select("doc_id", text_key(body).alias("key"), body.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,43 +111,40 @@ def sketched(df: DataFrame, text: str, k: int, ident: str = "doc_id") -> DataFra
             hashes, begin = sets_of(*string_bytes(column_of(part, "text")), k)
             bins = sketches(hashes, begin)
             total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[begin]).view(np.int64)
-            full = np.arange(0, (part.num_rows + 1) * BANDS, BANDS, dtype=np.int32)
-            low = np.ascontiguousarray((bins & np.uint64(0xFF)).astype(np.uint8))
-            sketch = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.arange(0, (part.num_rows + 1) * T, T, dtype=np.int32)), pa.py_buffer(low.tobytes())])
+            bits = np.zeros((part.num_rows, 256), np.uint8)
+            bits[:, :T] = bins & np.uint64(1)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [column_of(part, "doc_id"), pa.array(np.diff(begin)), pa.array(total(hashes)), pa.array(total(mix(hashes + np.uint64(1)))), pa.ListArray.from_arrays(pa.array(full), pa.array(band_keys(bins).view(np.int64).reshape(-1))), sketch],
-                names=["doc_id", "n", "s1", "s2", "bands", "sketch"],
+                [column_of(part, "doc_id"), column_of(part, "key"), pa.array(np.diff(begin)), pa.array(total(hashes)), pa.array(total(mix(hashes + np.uint64(1)))), listed(band_keys(bins).view(np.int64)), listed(np.packbits(bits, axis=1).view(np.int64))],
+                names=["doc_id", "key", "n", "s1", "s2", "bands", "bits"],
             )
 
-    return arrow_map(rows, run, f"doc_id {kind}, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    return arrow_map(rows, run, f"doc_id {kind}, key string, n long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets have 100 * intersection >= percent * union.
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, common, size_a, size_b) of pairs (a, b) of classes, on their full sets; `texts` has (id, text).
 
-    `texts` has (id, text) of the classes. Pairs are sorted by a within a task, so a leader's set is made once in a row.
+    Pairs are sorted by a within a task, so a set that many are compared with is made once in a row.
     """
-    sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    # the leader's text comes last and once: its rows carry no other text of their own size
+    sides = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = sides.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for part in row_slices(batches, "text_b"):
             hashes, begin = sets_of(*string_bytes(column_of(part, "text_b")), k)
-            ids, texts_a, keep = column_of(part, "a").to_pylist(), column_of(part, "text_a"), []
-            for i, a in enumerate(ids):
+            texts_a, common, sizes = column_of(part, "text_a"), [], []
+            for i, a in enumerate(column_of(part, "a").to_pylist()):
                 if a != last:
                     own, _ = sets_of(*string_bytes(texts_a.slice(i, 1)), k)
                     last = a
-                other = hashes[begin[i] : begin[i + 1]]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([column_of(part, "a").filter(mask), column_of(part, "b").filter(mask)], names=["a", "b"])
+                common.append(len(np.intersect1d(own, hashes[begin[i] : begin[i + 1]], assume_unique=True)))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([column_of(part, "a"), column_of(part, "b"), pa.array(common, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.diff(begin))], names=["a", "b", "common", "size_a", "size_b"])
 
     kind = dict(pairs.dtypes)["a"]
-    return arrow_map(both, run, f"a {kind}, b {kind}")
+    return arrow_map(both, run, f"a {kind}, b {kind}, common long, size_a long, size_b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,167 +161,96 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "root")
 
 
-def homes_of(buckets: DataFrame) -> DataFrame:
-    """(id, home): pointers to the highest-ranked co-member, followed to their end; rows have bucket, id, rank."""
-    heads = buckets.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("order"), "id")).alias("head"))
-    up = stored(buckets.join(heads, "bucket").groupBy("id").agg(F.max("head").alias("head")).select("id", F.col("head.id").alias("home")))
-    while True:
-        far = stored(up.join(up.select(F.col("id").alias("home"), F.col("home").alias("far")), "home").select("id", "home", "far"))
-        if far.filter("home != far").isEmpty():
-            return far.select("id", "home")
-        up = far.select("id", F.col("far").alias("home"))
+def open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(bucket, id, rank, root): the rows of buckets that hold more than one component."""
+    if roots is None:
+        return buckets.withColumn("root", F.col("id"))
+    rows = buckets.join(roots, "id", "left").select("bucket", "id", "rank", F.coalesce("root", "id").alias("root"))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    return rows.join(stored(mixed), "bucket")
 
 
-def _local_links(ids: list, keys: list[np.ndarray], sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the rows of a block, or of two blocks: rows that share a key, verified on full sets.
+def star_pairs(rows: DataFrame, done: DataFrame | None) -> DataFrame:
+    """(a, b): every id b with the highest-ranked head a of its buckets that isn't in its component and hasn't been compared with it."""
+    heads = stored(rows.groupBy("bucket").agg(F.max(F.struct("rank", "id", "root")).alias("head")))
+    ends = rows.join(heads, "bucket").filter("root != head.root").select(F.col("id").alias("b"), "head")
+    best = ends.groupBy("b").agg(F.max("head").alias("head"))
+    if done is not None:
+        met = done.select(F.col("a").alias("__a"), "b")
+        best = ends.withColumn("__a", F.col("head.id")).join(met, ["__a", "b"], "left_anti").groupBy("b").agg(F.max("head").alias("head"))
+    return best.select(F.col("head.id").alias("a"), "b")
 
-    `side` is the block of each row; with `across` only pairs of both sides count.
-    """
-    n = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    fresh = np.append(True, flat[order][1:] != flat[order][:-1])
-    token = np.empty(len(flat), np.int64)
-    token[order] = np.cumsum(fresh) - 1
-    held_by = np.repeat(np.arange(len(sets)), n)[order]  # rows that have a shingle, shingle by shingle
-    begin = np.append(np.flatnonzero(fresh), len(flat))
-    sizes = np.diff(begin)
-    at = np.concatenate([[0], np.cumsum(n)])
-    rows_of: dict[int, list[int]] = {}
-    for i, ks in enumerate(keys):
-        for k in ks.tolist():
-            rows_of.setdefault(k, []).append(i)
-    share = {k: np.array(v) for k, v in rows_of.items() if len(v) > 1}
-    group = np.arange(len(sets))
-    links = []
-    for i in range(len(sets)):
-        near = [share[k] for k in keys[i].tolist() if k in share]
-        if not near:
-            continue
-        met = np.zeros(len(sets), bool)
-        for x in near:
-            met[x] = True
-        met &= group != group[i]
-        met[: i + 1] = False
-        if across:
-            met &= side != side[i]
-        other = np.flatnonzero(met)
-        other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-        if not len(other):
-            continue
-        own = token[at[i] : at[i + 1]]
-        own = own[sizes[own] > 1]
-        m = sizes[own]
-        ends = np.cumsum(m)
-        spots = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[own] - ends + m, m)
-        both = np.bincount(held_by[spots], minlength=len(sets))[other]
-        for j in other[100 * both >= percent * (n[i] + n[other] - both)].tolist():
-            if group[j] != group[i]:
-                links.append((i, j))
-                group[group == group[j]] = group[i]
-    return links
-
-
-def home_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) links within homes. docs: (id, text); members: (id, home, block, blocks, keys)."""
-    kind = dict(members.dtypes)["id"]
-    joined = docs.join(members, "id").select("id", "text", "home", "block", "blocks", "keys")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches, "text"):
-            hashes, begin = sets_of(*string_bytes(column_of(part, "text")), k)
-            packed = [hashes[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in ("id", "home", "block", "blocks", "keys")), pa.array(packed, pa.binary())], names=["id", "home", "block", "blocks", "keys", "set"])
-
-    rows = arrow_map(joined, sets, f"id {kind}, home {kind}, block int, blocks int, keys array<long>, set binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
-    dealt = rows.withColumn("pair", F.explode(pair)).select("home", "pair.lo", "pair.hi", "id", "block", "keys", "set").repartition("home", "lo", "hi").sortWithinPartitions("home", "lo", "hi", "id")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for part in row_slices(batches, "set"):
-            for row in zip(*(column_of(part, c).to_pylist() for c in ("home", "lo", "hi", "id", "block", "keys", "set")), strict=True):
-                if row[:3] != now:
-                    yield from done(now, held)
-                    now, held = row[:3], []
-                held.append((row[3], row[4], np.array(row[5], np.int64), np.frombuffer(row[6], np.uint64)))
-        if held:
-            yield from done(now, held)
-
-    def done(now, held) -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            ids, side, keys, own = zip(*held, strict=True)
-            found = _local_links(ids, keys, own, np.array(side), now[1] != now[2], percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], names=["a", "b"])
-
-    return arrow_map(dealt, link, f"a {kind}, b {kind}")
-
-
-def _cross_pairs(rows: DataFrame, sketches_of: DataFrame) -> DataFrame:
-    """Pairs of different homes and components within a bucket whose sketches don't rule the link out."""
-    left = rows.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("home").alias("ha"))
-    right = rows.select(F.col("bucket").alias("key"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("home").alias("hb"))
-    pairs = left.join(right, (left.bucket == right.key) & (F.col("ra") < F.col("rb")) & (F.col("ha") != F.col("hb"))).select("a", "b").distinct()
-    a = sketches_of.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches_of.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                x, y = (string_bytes(column_of(part, c))[0].reshape(-1, T) for c in ("sa", "sb"))
-                mask = pa.array((x == y).sum(axis=1) >= LEAST_AGREE)
-                yield pa.RecordBatch.from_arrays([column_of(part, c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+def rest_pairs(rows: DataFrame, nodes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """(a, b): ids of different components that share an open bucket, but for pairs that can't be similar enough.
 
-    kind = dict(rows.dtypes)["id"]
-    return arrow_map(joined, run, f"a {kind}, b {kind}")
+    The first star of `done` gives each id its distance to a head; a head has distance 0 to itself.
+    """
+    first = done.filter("star = 0").select(F.col("b").alias("id"), F.col("a").alias("head"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("far"))
+    known = nodes.join(first, "id", "left").select("id", "n", "bits", F.coalesce("head", "id").alias("head"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    rows = stored(rows.select("bucket", "id", "root").join(known, "id"))
+    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("largest"))
+    few = rows.join(stored(most), "bucket").filter("root != largest").drop("largest")
+    x, y = few.alias("x"), rows.alias("y")
+    equal_bits = 255 - sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(4)), F.lit(0))
+    near = (
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.root") != F.col("y.root"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (equal_bits >= LEAST_AGREE)
+        & ((F.col("x.head") != F.col("y.head")) | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9))
+    )
+    return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of df; doc_id must be an integer."""
+    """(doc_id, key, n_shingles, component_id, kept) of every row of df; `key` is the text_key of its text."""
     docs = df.select("doc_id", F.col(f"`{text}`").alias("text"))
     rows = stored(sketched(docs, "text", k))
-    classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")))
-    firsts = rows.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
+    sets = rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("own"))
+    # a class is known by its least doc_id; a doc_id that is the least of several sets gives its name to the first of them
+    turn = F.row_number().over(Window.partitionBy("own.doc_id").orderBy("n", "s1", "s2"))
+    kind = dict(docs.dtypes)["doc_id"]
+    name = F.when(F.col("turn") == 1, F.col("own.doc_id")).otherwise(F.xxhash64("own.doc_id", "n", "s1", "s2").cast(kind))
+    classes = stored(sets.withColumn("turn", turn).select("n", "s1", "s2", name.alias("id"), "own.doc_id", "own.key"))
+    firsts = rows.select("doc_id", "key", "bands", "bits").join(classes.select("doc_id", "key", "id", "n"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
     banded = firsts.select("id", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     full = stored(banded.join(sizes, "bucket"))
     crowd = full.groupBy("id").agg(F.sum("members").alias("rank"))
     buckets = stored(full.join(crowd, "id").select("bucket", "id", "rank"))
-    homes = stored(homes_of(buckets))
-
-    weight = homes.join(classes.select("id", "n"), "id")
-    blocks = weight.groupBy("home").agg(F.sum("n").alias("whole"), F.count("*").alias("rows")).filter("rows > 1").select("home", F.ceil(F.col("whole") / BLOCK).cast("int").alias("blocks"))
-    keys = buckets.groupBy("id").agg(F.collect_list("bucket").alias("keys"))
-    members = weight.join(blocks, "home").withColumn("block", F.pmod(F.hash("id"), "blocks").cast("int")).join(keys, "id").select("id", "home", "block", "blocks", "keys")
-    own = docs.select(F.col("doc_id").alias("id"), "text")
-    links = stored(home_links(own, stored(members), k, percent))
-    roots = components(links)
-
-    open_rows = buckets.drop("rank").join(homes, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = open_rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("home").alias("h0"), F.max("home").alias("h1")).filter("lo < hi and h0 < h1").select("bucket")
-    open_rows = stored(open_rows.join(mixed, "bucket"))
-    sketch_rows = firsts.join(open_rows.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    pairs = stored(_cross_pairs(open_rows, sketch_rows))
-    if not pairs.isEmpty():
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = stored(own.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        roots = components(links.unionAll(verified(pairs, texts, k, percent)))
-
-    of_class = stored(classes.join(roots, "id", "left").select("n", "s1", "s2", F.coalesce("root", "id").alias("component_id")))
-    out = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    nodes = stored(firsts.join(crowd.select("id"), "id", "left_semi").select("id", "n", "bits", "doc_id", "key"))
+    texts = stored(docs.withColumn("key", text_key(F.col("text"))).join(nodes.select("doc_id", "key", "id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text"))
+
+    roots, done = None, None
+    for star in range(STARS):
+        found = compared(stored(star_pairs(open_buckets(buckets, roots), done)), texts, k).withColumn("star", F.lit(star))
+        done = stored(found if done is None else done.unionAll(found))
+        roots = components(links_of(done, percent))
+    rest = stored(rest_pairs(open_buckets(buckets, roots), nodes, done, percent))
+    if not rest.isEmpty():
+        roots = components(links_of(done.drop("star").unionAll(compared(rest, texts, k)), percent))
+
+    lead = roots.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("lead"))
+    of_class = classes.join(roots, "id", "left").join(lead, "root", "left")
+    of_class = stored(of_class.select("n", "s1", "s2", F.coalesce("lead.doc_id", "doc_id").alias("least"), F.coalesce(F.col("lead.id") == F.col("id"), F.lit(True)).alias("leads")))
+    out = rows.select("doc_id", "key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(True)).alias("kept"))
+
+
+def links_of(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.filter(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(sf_dir, "documents", spark), k=2)
+    return near_duplicates(table(sf_dir, "documents", spark), k=2).drop("key")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles), with the columns of docs."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles), with the columns of docs; names that begin with two underscores are reserved."""
+    gone = near_duplicates(docs, text).filter("not kept").select("doc_id", F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", text_key(F.col(f"`{text}`"))).join(gone, ["doc_id", "__key"], "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op4_minhash_dedup": op4_minhash_dedup}

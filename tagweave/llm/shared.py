@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -46,6 +46,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """Identity of a text: two hashes and its length; a null is the empty text."""
+    body = F.coalesce(text, F.lit(""))
+    return F.concat_ws("-", F.xxhash64(body), F.crc32(body.cast("binary")), F.octet_length(body))
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that an operator is about to add; its own columns win over clashing ones."""
     taken = {n.lower() for n in names}

@@ -47,13 +47,29 @@ def test_near_duplicates_by_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).isEmpty()
 
 
-def test_blocks_of_a_home_give_the_same_components(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 400)
+def test_groups_of_near_copies_by_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(100)]
-    rows = [(i, " ".join(w if rng.random() > 0.01 else f"x{rng.random()}" for w in base)) for i in range(40)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2)
-    assert got.select("component_id").distinct().count() == 1
+    rows = [(i, " ".join(w if rng.random() > 0.01 + 0.005 * (i % 9) else f"x{rng.random()}" for w in base)) for i in range(60)]
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(99)} for i, t in rows}
+    want = components([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    assert len(set(want.values())) > 2
+    df = spark.createDataFrame([(f"d{i:03}", t) for i, t in rows], "doc_id string, text string")
+    for stars in (1, 2):
+        monkeypatch.setattr(minhash, "STARS", stars)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=2).collect()} == {f"d{i:03}": f"d{c:03}" for i, c in want.items()}
+
+
+def test_two_texts_of_a_doc_id_are_two_documents(spark):
+    rng = random.Random(5)
+    one, other = (" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(40)) for _ in range(2))
+    rows = [(1, one), (2, other), (2, one), (2, one), (3, other), (4, other + " end"), (None, other)]
+    df = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id long, text string, key string, n_shingles int").repartition(3)
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (2, 2, True), (3, 2, False), (4, 2, False)]
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, other), (1, one), (2, other)]
 
 
 def test_sketch_fills_every_bin_and_estimates():
