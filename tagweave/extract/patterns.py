@@ -1,8 +1,7 @@
 """Declarations of nine languages as patterns: what is a symbol, its id and its signature.
 
 A rule is a pattern over the whole text with a function from a match to (raw id,
-signature). `~` in a pattern is a white-space character, `!` is that set inside
-brackets. The line of a symbol counts the line breaks before the match, which
+signature). White space in patterns is that of the source language (`white`). The line of a symbol counts the line breaks before the match, which
 includes leading blank lines.
 """
 
@@ -20,7 +19,12 @@ _WHITE = re.compile(f"[{SPACE}]+")
 
 
 def white(pattern: str) -> str:
-    return pattern.replace("~", f"[{SPACE}]").replace("!", SPACE)
+    """A pattern whose white-space class also has the no-break and typographic spaces, in and outside brackets."""
+    out, inside = [], False
+    for piece in re.split(r"(\\.|[\[\]])", pattern):
+        out.append((SPACE if inside else f"[{SPACE}]") if piece == r"\s" else piece)
+        inside = piece == "[" or (inside and piece != "]")
+    return "".join(out)
 
 
 def joined(*parts: str | None) -> str:
@@ -54,7 +58,7 @@ class Language:
 
     def symbols(self, code: str, path: str) -> Iterator[tuple[str, str, str, int]]:
         """(raw id, kind, signature, line) of all declarations, rule by rule."""
-        if not code or "\0" in code:
+        if not code:
             return
         code = self.source(code, path)
         found = re.search(white(self.scope), code, re.M | re.A) if self.scope else None
@@ -75,7 +79,7 @@ def scoped(separator: str = "."):
 
 _dot, _back = scoped("."), scoped("\\")
 
-_ENCLOSING = {name: re.compile(white(p), re.M | re.A) for name, p in {"python": r"^(~*)class~+(\w+)", "ruby": r"^(~*)(?:class|module)~+(\w+)"}.items()}
+_ENCLOSING = {name: re.compile(white(p), re.M | re.A) for name, p in {"python": r"^(\s*)class\s+(\w+)", "ruby": r"^(\s*)(?:class|module)\s+(\w+)"}.items()}
 
 
 @lru_cache(1)
@@ -105,7 +109,7 @@ def decorators(code: str, at: int) -> list[str]:
 
 # --- Java ---
 
-_JAVA_OPEN = re.compile(white(r"(?:class|interface)~+(\w+)[^{]*\{[^}]*$"), re.A)
+_JAVA_OPEN = re.compile(white(r"(?:class|interface)\s+(\w+)[^{]*\{[^}]*$"), re.A)
 
 
 def _java_class(m, code, scope):
@@ -176,43 +180,43 @@ class Script(Language):
 LANGUAGES: dict[str, Language] = {
     x.name: x
     for x in (
-        Language("java", ("java",), scope=r"^~*package~+([\w.]+)~*;", rules=(
-            Rule("class", r"^~*((?:public|private|protected|abstract|final|static|~)*)(class|interface|enum)~+(\w+)(?:~+extends~+(\w+))?(?:~+implements~+([\w,!]+))?~*\{?", _java_class),
-            Rule("function", r"^~*((?:public|private|protected|static|final|abstract|synchronized|native|~)*)~*(?:<[\w,!?]+>~*)?(\w+(?:<[\w,!?]+>)?)~+(\w+)~*\(([^)]*)\)~*(?:throws~+[\w,!]+)?~*[{;]", _java_method),
+        Language("java", ("java",), scope=r"^\s*package\s+([\w.]+)\s*;", rules=(
+            Rule("class", r"^\s*((?:public|private|protected|abstract|final|static|\s)*)(class|interface|enum)\s+(\w+)(?:\s+extends\s+(\w+))?(?:\s+implements\s+([\w,\s]+))?\s*\{?", _java_class),
+            Rule("function", r"^\s*((?:public|private|protected|static|final|abstract|synchronized|native|\s)*)\s*(?:<[\w,\s?]+>\s*)?(\w+(?:<[\w,\s?]+>)?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w,\s]+)?\s*[{;]", _java_method),
         )),
         Script("js", ("js", "jsx", "ts", "tsx", "mjs", "cjs", "vue"), rules=(
-            Rule("class", r"^~*(export~+)?(default~+)?(abstract~+)?class~+(\w+)(?:~+extends~+(\w+))?(?:~+implements~+[\w,!]+)?~*\{", _js_class),
-            Rule("function", r"^~*(export~+)?(default~+)?(async~+)?function~*(\*)?~*(\w+)~*\(([^)]*)\)", _js_function),
-            Rule("function", r"^~*(export~+)?(const|let|var)~+(\w+)~*=~*(async~*)?\([^)]*\)~*=>", _js_arrow),
+            Rule("class", r"^\s*(export\s+)?(default\s+)?(abstract\s+)?class\s+(\w+)(?:\s+extends\s+(\w+))?(?:\s+implements\s+[\w,\s]+)?\s*\{", _js_class),
+            Rule("function", r"^\s*(export\s+)?(default\s+)?(async\s+)?function\s*(\*)?\s*(\w+)\s*\(([^)]*)\)", _js_function),
+            Rule("function", r"^\s*(export\s+)?(const|let|var)\s+(\w+)\s*=\s*(async\s*)?\([^)]*\)\s*=>", _js_arrow),
         )),
         Language("python", ("py", "pyw"), body="indent", rules=(
-            Rule("class", r"^~*class~+(\w+)~*(?:\(([^)]*)\))?~*:", lambda m, c, s: (m[1], f"class {m[1]}" + (f"({m[2]})" if m[2] else ""))),
-            Rule("function", r"^(~*)(async~+)?def~+(\w+)~*\(([^)]*)\)~*(?:->([^:]+))?~*:", _python_def),
+            Rule("class", r"^\s*class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:", lambda m, c, s: (m[1], f"class {m[1]}" + (f"({m[2]})" if m[2] else ""))),
+            Rule("function", r"^(\s*)(async\s+)?def\s+(\w+)\s*\(([^)]*)\)\s*(?:->([^:]+))?\s*:", _python_def),
         )),
-        Language("go", ("go",), scope=r"^package~+(\w+)", rules=(
-            Rule("class", r"^type~+(\w+)~+struct~*\{", lambda m, c, s: (_dot(s, m[1]), f"type {m[1]} struct")),
-            Rule("class", r"^type~+(\w+)~+interface~*\{", lambda m, c, s: (_dot(s, m[1]), f"type {m[1]} interface")),
-            Rule("function", r"^func~+(?:\((\w+)~+\*?(\w+)\)~+)?(\w+)~*\(([^)]*)\)(?:~*\(([^)]*)\)|~*(\w+))?~*\{", _go_func),
+        Language("go", ("go",), scope=r"^package\s+(\w+)", rules=(
+            Rule("class", r"^type\s+(\w+)\s+struct\s*\{", lambda m, c, s: (_dot(s, m[1]), f"type {m[1]} struct")),
+            Rule("class", r"^type\s+(\w+)\s+interface\s*\{", lambda m, c, s: (_dot(s, m[1]), f"type {m[1]} interface")),
+            Rule("function", r"^func\s+(?:\((\w+)\s+\*?(\w+)\)\s+)?(\w+)\s*\(([^)]*)\)(?:\s*\(([^)]*)\)|\s*(\w+))?\s*\{", _go_func),
         )),
         Language("rust", ("rs",), rules=(
-            *(Rule("class", rf"^~*(pub~+)?{word}~+(\w+)", lambda m, c, s, word=word: (m[2], joined(m[1] and "pub", word, m[2]))) for word in ("struct", "enum", "trait")),
-            Rule("function", r"^~*(pub~+)?(async~+)?fn~+(\w+)~*(<[^>]*>)?~*\(([^)]*)\)(?:~*->~*([^\{]+))?~*\{", _rust_fn),
+            *(Rule("class", rf"^\s*(pub\s+)?{word}\s+(\w+)", lambda m, c, s, word=word: (m[2], joined(m[1] and "pub", word, m[2]))) for word in ("struct", "enum", "trait")),
+            Rule("function", r"^\s*(pub\s+)?(async\s+)?fn\s+(\w+)\s*(<[^>]*>)?\s*\(([^)]*)\)(?:\s*->\s*([^\{]+))?\s*\{", _rust_fn),
         )),
         Language("ruby", ("rb", "rake"), body="end", rules=(
-            Rule("class", r"^~*class~+(\w+)(?:~*<~*(\w+))?~*$", lambda m, c, s: (m[1], joined("class", m[1], m[2] and f"< {m[2]}"))),
-            Rule("class", r"^~*module~+(\w+)~*$", lambda m, c, s: (m[1], f"module {m[1]}")),
-            Rule("function", r"^(~*)def~+(self\.)?(\w+[?\x21=]?)~*(?:\(([^)]*)\))?~*$", _ruby_def),
+            Rule("class", r"^\s*class\s+(\w+)(?:\s*<\s*(\w+))?\s*$", lambda m, c, s: (m[1], joined("class", m[1], m[2] and f"< {m[2]}"))),
+            Rule("class", r"^\s*module\s+(\w+)\s*$", lambda m, c, s: (m[1], f"module {m[1]}")),
+            Rule("function", r"^(\s*)def\s+(self\.)?(\w+[?!=]?)\s*(?:\(([^)]*)\))?\s*$", _ruby_def),
         )),
-        Language("php", ("php",), scope=r"namespace~+([\w\\]+)~*;", rules=(
-            Rule("class", r"^~*((?:abstract|final|~)*)(class|interface|trait)~+(\w+)(?:~+extends~+(\w+))?(?:~+implements~+([^\{]+))?~*\{", lambda m, c, s: (_back(s, m[3]), joined(flat(f"{m[1]} {m[2]} {m[3]}"), m[4] and f"extends {m[4]}", m[5] and f"implements {m[5].strip()}"))),
-            Rule("function", r"^~*((?:public|private|protected|static|final|abstract|~)*)~*function~+(\w+)~*\(([^)]*)\)(?:~*:~*(\??\w+))?~*[{;]", lambda m, c, s: (m[2], flat(f"{m[1]} function {m[2]}({m[3].strip()})") + (f": {m[4]}" if m[4] else ""))),
+        Language("php", ("php",), scope=r"namespace\s+([\w\\]+)\s*;", rules=(
+            Rule("class", r"^\s*((?:abstract|final|\s)*)(class|interface|trait)\s+(\w+)(?:\s+extends\s+(\w+))?(?:\s+implements\s+([^\{]+))?\s*\{", lambda m, c, s: (_back(s, m[3]), joined(flat(f"{m[1]} {m[2]} {m[3]}"), m[4] and f"extends {m[4]}", m[5] and f"implements {m[5].strip()}"))),
+            Rule("function", r"^\s*((?:public|private|protected|static|final|abstract|\s)*)\s*function\s+(\w+)\s*\(([^)]*)\)(?:\s*:\s*(\??\w+))?\s*[{;]", lambda m, c, s: (m[2], flat(f"{m[1]} function {m[2]}({m[3].strip()})") + (f": {m[4]}" if m[4] else ""))),
         )),
-        Language("csharp", ("cs",), scope=r"namespace~+([\w.]+)", rules=(
-            Rule("class", r"^~*((?:public|private|protected|internal|abstract|sealed|static|partial|~)*)(class|interface|struct|enum)~+(\w+)(?:~*:~*([^\{]+))?~*\{", lambda m, c, s: (_dot(s, m[3]), joined(flat(f"{m[1]} {m[2]} {m[3]}"), m[4] and m[4].strip() and f": {m[4].strip()}"))),
-            Rule("function", r"^~*((?:public|private|protected|internal|static|virtual|override|abstract|async|~)*)~*(\w+(?:<[\w,!]+>)?)~+(\w+)~*\(([^)]*)\)~*[{;]", lambda m, c, s: (m[3], flat(f"{m[1]} {m[2]} {m[3]}({m[4].strip()})"))),
+        Language("csharp", ("cs",), scope=r"namespace\s+([\w.]+)", rules=(
+            Rule("class", r"^\s*((?:public|private|protected|internal|abstract|sealed|static|partial|\s)*)(class|interface|struct|enum)\s+(\w+)(?:\s*:\s*([^\{]+))?\s*\{", lambda m, c, s: (_dot(s, m[3]), joined(flat(f"{m[1]} {m[2]} {m[3]}"), m[4] and m[4].strip() and f": {m[4].strip()}"))),
+            Rule("function", r"^\s*((?:public|private|protected|internal|static|virtual|override|abstract|async|\s)*)\s*(\w+(?:<[\w,\s]+>)?)\s+(\w+)\s*\(([^)]*)\)\s*[{;]", lambda m, c, s: (m[3], flat(f"{m[1]} {m[2]} {m[3]}({m[4].strip()})"))),
         )),
         Language("bash", ("sh", "bash", "zsh"), body="shell", rules=(
-            Rule("function", r"^~*(function~+)?(\w+)~*\(~*\)~*\{", lambda m, c, s: (m[2], joined(m[1] and "function", f"{m[2]}()"))),
+            Rule("function", r"^\s*(function\s+)?(\w+)\s*\(\s*\)\s*\{", lambda m, c, s: (m[2], joined(m[1] and "function", f"{m[2]}()"))),
         )),
     )
 }

@@ -16,6 +16,7 @@ from pyspark.sql.functions import udtf
 from . import bodies, cpp
 from .patterns import LANGUAGES
 
+SYMBOL_COLUMNS = ("raw_id", "kind", "signature", "decl_line", "impl_line", "pos")
 SYMBOL = "raw_id: string, kind: string, signature: string, decl_line: int, impl_line: int, pos: int"
 Extractor = Callable[[str, str], Iterator[tuple[str, str, str, int | None, int | None]]]
 
@@ -57,31 +58,22 @@ def register_functions(spark: SparkSession) -> None:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files (rel_path, lang, content, scan_seq, ...) with a row for each symbol: raw_id, kind, signature, lines, pos.
+    """A row for each symbol of files (rel_path, lang, content, ...): the other columns, raw_id, kind, signature, lines, pos and snippet.
 
-    The guards come before the Python function, as a filter: no NUL, and the size guard of the C++ scanner for C++ only.
+    Content isn't repeated on the rows; the snippet of a symbol is taken while its file is at hand. The guards of the
+    C++ scanner, against long files and files with a NUL, hold for C++ only.
     """
-    kept = files.columns
+    kept = [c for c in files.columns if c != "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *s, pos) for i, (lang, path, code) in enumerate(zip(batch.lang, batch.rel_path, batch.content, strict=True)) if code for pos, s in enumerate(extractor_of(lang)(code, path))]
-            found = pd.DataFrame(rows, columns=["__i", "raw_id", "kind", "signature", "decl_line", "impl_line", "pos"])
-            out = batch.reset_index(drop=True).iloc[found.pop("__i")].reset_index(drop=True)
-            yield pd.concat([out, found.astype({"decl_line": "Int32", "impl_line": "Int32"})], axis=1)
-
-    whole = F.coalesce("lang", F.lit("")).isin([n for n in EXTRACTORS if n != "cpp"])
-    ok = files.filter(F.length("content") > 0).filter(whole | (F.length("content") <= cpp.MOST_CHARS)).filter(~F.contains("content", F.lit("\0")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), *(c.replace(":", "") for c in SYMBOL.split(", "))])
-    return ok.select(*kept).mapInPandas(run, schema)
-
-
-def with_snippets(symbols: DataFrame) -> DataFrame:
-    """symbols (lang, content, signature, ...) with `snippet`."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(snippet=[bodies.implementation(x, c, s) for x, c, s in zip(batch.lang, batch.content, batch.signature, strict=True)])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in symbols.schema), "snippet string"])
-    return symbols.mapInPandas(run, schema)
+            for i in range(len(batch)):  # a file at a time, so that a batch of symbols is as large as one file's
+                lang, path, code = (batch[c].iloc[i] for c in ("lang", "rel_path", "content"))
+                rows = [(*s, pos, bodies.implementation(lang, code, s[2])) for pos, s in enumerate(extractor_of(lang)(code, path))] if code else []
+                if rows:
+                    found = pd.DataFrame(rows, columns=[*SYMBOL_COLUMNS, "snippet"])
+                    own = batch[kept].iloc[[i] * len(rows)].reset_index(drop=True)
+                    yield pd.concat([own, found.astype({"decl_line": "Int32", "impl_line": "Int32"})], axis=1)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content"), *(c.replace(":", "") for c in SYMBOL.split(", ")), "snippet string"])
+    return files.filter(F.length("content") > 0).mapInPandas(run, schema)

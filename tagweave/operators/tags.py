@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..settle import settled
 
 HOPS = 10
 TYPE_RANK = "case tag_type when 'base' then 0 when 'semantic' then 1 else 2 end"
@@ -37,8 +38,19 @@ def type_of_tags(edges: DataFrame) -> DataFrame:
     return edges.groupBy("tag").agg(F.min(F.struct(F.expr(TYPE_RANK).alias("r"), "tag_type")).alias("t")).select("tag", F.col("t.tag_type").alias("tag_type"))
 
 
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """(tag, tag_type, count): the tags with the number of their symbols, which is summed before the shuffle."""
+    nodes = edges.select("symbol_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("count"))
+    return nodes.join(type_of_tags(edges), "tag").select("tag", "tag_type", "count")
+
+
+def graph_items(edges: DataFrame) -> DataFrame:
+    """(tag, symbol_id): the symbols of each tag as rows, in order; no tag is gathered in one row."""
+    return edges.select("tag", "symbol_id").distinct().orderBy("tag", "symbol_id")
+
+
 def graph(edges: DataFrame) -> DataFrame:
-    """(tag, tag_type, count, items): the symbols of each tag, items in order of symbol."""
+    """(tag, tag_type, count, items): the symbols of each tag as one list, for results that are shown; see graph_items for large tags."""
     nodes = edges.select("symbol_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("count"), F.array_sort(F.collect_list("symbol_id")).alias("items"))
     return nodes.join(type_of_tags(edges), "tag").select("tag", "tag_type", "count", "items")
 
@@ -71,30 +83,36 @@ def bubble_sizes(counts: DataFrame, least: float = 70, most: float = 190) -> Dat
 def resolve_aliases(tags: DataFrame, aliases: DataFrame, hops: int = HOPS) -> DataFrame:
     """(tag, canonical) of distinct tags: at most `hops` steps along the aliases, stopping before a tag seen already.
 
-    Each round joins only the tags that moved in the round before, so chains of one step cost one join and a check.
+    Each round joins only the tags that moved in the round before and is written, so the plan doesn't grow;
+    rounds end when no tag moves.
     """
-    now = tags.select("tag").distinct().withColumns({"canonical": F.col("tag"), "path": F.array("tag")})
-    done = None
+    now = settled(tags.select("tag").distinct().withColumns({"canonical": F.col("tag"), "path": F.array("tag")}))
     steps = aliases.select(F.col("raw").alias("canonical"), F.col("canonical").alias("next"))
+    moves = F.coalesce(F.col("next").isNotNull() & ~F.array_contains("path", F.coalesce("next", F.lit(""))), F.lit(False))
+    done = None
     for _ in range(hops):
-        joined = now.join(steps, "canonical", "left")
-        moves = F.col("next").isNotNull() & ~F.array_contains("path", F.coalesce("next", F.lit("")))
-        rest = joined.filter(~F.coalesce(moves, F.lit(False))).select("tag", "canonical")
+        joined = settled(now.join(steps, "canonical", "left").withColumn("moves", moves))
+        rest = joined.filter("not moves").select("tag", "canonical")
         done = rest if done is None else done.unionByName(rest)
-        now = joined.filter(moves).select("tag", F.col("next").alias("canonical"), F.concat("path", F.array("next")).alias("path"))
+        now = joined.filter("moves").select("tag", F.col("next").alias("canonical"), F.concat("path", F.array("next")).alias("path"))
+        if now.isEmpty():
+            return done
     return done.unionByName(now.select("tag", "canonical"))
 
 
 def cyclic_aliases(aliases: DataFrame) -> DataFrame:
     """Raw names whose chain reaches a cycle, by doubling steps: a chain that never ends is on or leads to a cycle.
 
-    After n doublings every chain of at most 2**n steps has ended, so the number of aliases bounds the rounds.
+    After n doublings every chain of at most 2**n steps has ended. Rounds are written and end when none has ended:
+    a longer chain that ends has names on it whose own chains are of every lesser length.
     """
-    rounds = max(1, int(aliases.count()).bit_length())
-    now = aliases.select("raw", F.col("canonical").alias("at"))
-    for _ in range(rounds):
-        now = now.alias("a").join(now.alias("b"), F.col("a.at") == F.col("b.raw")).select(F.col("a.raw").alias("raw"), F.col("b.at").alias("at"))
-    return now.select("raw").distinct()
+    now = settled(aliases.select("raw", F.col("canonical").alias("at")))
+    left = now.count()
+    while True:
+        now = settled(now.alias("a").join(now.alias("b"), F.col("a.at") == F.col("b.raw")).select(F.col("a.raw").alias("raw"), F.col("b.at").alias("at")))
+        before, left = left, now.count()
+        if left == before or not left:
+            return now.select("raw").distinct()
 
 
 def without_cycles(aliases: DataFrame) -> DataFrame:
@@ -212,12 +230,17 @@ def bumped_index(index: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def folded_edits(edges: DataFrame, log: DataFrame) -> DataFrame:
-    """Edges after add and remove edits: the last edit of an edge decides, at equal sequence an addition."""
+    """Edges after add and remove edits: the last edit of an edge decides, at equal sequence an addition.
+
+    An edge that stays keeps its place `pos`, if the edges have one; added ones come last.
+    """
     key = ["symbol_id", "tag", "tag_type"]
+    placed = "pos" in edges.columns
     edits = log.filter("op in ('add', 'remove')").select("symbol_id", X.clean_tag(F.col("value")).alias("tag"), "tag_type", "seq", "op").filter("tag <> ''")
     last = edits.groupBy(*key).agg(F.max(F.struct("seq", (F.col("op") == "add").cast("int").alias("adds"))).alias("l")).select(*key, F.col("l.adds").alias("adds"))
-    kept = edges.select(key).distinct().withColumn("has", F.lit(True)).join(last, key, "full")
-    return kept.filter("coalesce(adds, case when has then 1 else 0 end) = 1").select(*key)
+    own = edges.groupBy(*key).agg(F.min("pos").alias("pos")) if placed else edges.select(key).distinct()
+    kept = own.withColumn("has", F.lit(True)).join(last, key, "full").filter("coalesce(adds, case when has then 1 else 0 end) = 1")
+    return kept.select(*key, F.coalesce("pos", F.lit((1 << 31) - 1)).cast("int").alias("pos")) if placed else kept.select(*key)
 
 
 def folded_briefs(symbols: DataFrame, log: DataFrame) -> DataFrame:

@@ -25,4 +25,6 @@ class BuildConfig:
     min_cluster: int = 3
     cluster_by_path_from: int = 300
     batch_size: int = 100
+    #: Also write the index as one JSON document, which passes the driver whole; for small trees and tools that read it.
+    export_json: bool = False
     enrich: EnrichConfig = EnrichConfig()

@@ -15,19 +15,16 @@ from ..functions.basetags import with_base_tags
 from ..operators import changes as C
 from ..operators import tags as T
 from ..schema import FILE_META
+from ..settle import settled
 from ..sources import files as S
 from ..sources import routing as J
 from .config import BuildConfig
 from .enrich import Client, aggregate_unknown, with_briefs
-from .settle import settled
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """One row for each symbol of the files, after normalization, hashing and deduplication.
-
-    Deduplication comes before anything expensive; snippets are taken of the rows that are left.
-    """
-    rows = R.extract(files.select("rel_path", "lang", "content", "scan_seq"))
+def candidates(extracted: DataFrame) -> DataFrame:
+    """One row for each symbol of extracted rows (see `extract.registry.extract`), after normalization, hashing and deduplication."""
+    rows = extracted
     sig = F.when(F.col("lang") == "python", F.col("signature")).otherwise(X.normalize_signature(F.col("signature")))
     hint = F.when(F.col("lang") == "cpp", X.module_hint_cpp(F.col("rel_path"))).otherwise(X.module_hint(F.col("rel_path")))
     rows = rows.withColumns({"hint": hint, "norm": X.normalize_signature(sig)}).filter("norm <> ''").filter((F.col("lang") != "cpp") | ~X.invalid_signature(F.col("norm")))
@@ -39,7 +36,7 @@ def candidates(files: DataFrame) -> DataFrame:
             "qualifier_depth": X.qualifier_depth(F.col("raw_id")),
         }
     )
-    kept = settled(R.with_snippets(C.dedup_candidates(rows, "symbol_key", "scan_seq", "pos")).drop("content"))
+    kept = settled(C.dedup_candidates(rows, "symbol_key", "scan_seq", "pos"))
     kept = with_base_tags(kept, "base_raw", "symbol_id", "norm", "rel_path", "hint")
     return kept.select(
         "symbol_id", "kind", F.col("norm").alias("signature"), F.sha1("norm").alias("decl_hash"), X.impl_hash(F.col("norm"), F.col("snippet")).alias("impl_hash"), F.col("rel_path").alias("file_path"), "decl_line", "impl_line", "snippet", "hint", F.col("hint").alias("module"), "raw_id", "lang",
@@ -47,12 +44,15 @@ def candidates(files: DataFrame) -> DataFrame:
     )
 
 
-def assemble(rows: DataFrame, previous: J.Index, client: Client | None, aggregator: Callable[[str], str] | None, config: BuildConfig) -> J.Index:
-    """Index tables from candidate rows; unchanged symbols keep brief and semantic tags of the previous index."""
+def assemble(rows: DataFrame, previous: J.Index, client: Client | None, aggregator: Callable[[str], str] | None, config: BuildConfig, changed: DataFrame | None = None) -> J.Index:
+    """Index tables from candidate rows; unchanged symbols keep brief and semantic tags of the previous index.
+
+    `changed` are the files that changed, if they are known: symbols of other files need no comparison of their bodies.
+    """
     spark = rows.sparkSession
     old = previous.edges.filter("tag_type = 'semantic'").groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t")).select("symbol_id", F.col("t.tag").alias("__sem"))
     prev = previous.symbols.select("symbol_id", F.col("brief").alias("__brief"))
-    split = C.split_reuse(rows, previous.symbols).join(prev, "symbol_id", "left").join(old, "symbol_id", "left")
+    split = C.split_reuse(rows, previous.symbols, changed).join(prev, "symbol_id", "left").join(old, "symbol_id", "left")
     split = settled(split)
     reused = split.filter("reuse").withColumns({"brief": F.col("__brief"), "semantic": F.coalesce("__sem", X.strings()), "brief_status": F.lit("done")})
     fresh = with_briefs(split.filter("not reuse"), client, config.enrich)
@@ -102,13 +102,15 @@ def publish(staged: str, out: str) -> None:
     shutil.rmtree(backup, ignore_errors=True)
 
 
-def _write(index: J.Index, meta: DataFrame, out: str) -> None:
+def _write(index: J.Index, extracted: DataFrame, meta: DataFrame, out: str, config: BuildConfig) -> None:
     staged = f"{out}.tmp"
     shutil.rmtree(staged, ignore_errors=True)
     J.save_tables(index, f"{staged}/tables")
     meta.write.parquet(f"{staged}/tables/meta")
-    saved = J.load_tables(index.symbols.sparkSession, f"{staged}/tables")
-    J.save_routing(J.Index(saved.symbols, saved.edges, saved.tag_index, saved.aliases, saved.categories, index.version), f"{staged}/routing.json")
+    extracted.write.parquet(f"{staged}/tables/extracted")
+    if config.export_json:
+        saved = J.load_tables(index.symbols.sparkSession, f"{staged}/tables")
+        J.save_routing(J.Index(saved.symbols, saved.edges, saved.tag_index, saved.aliases, saved.categories, index.version), f"{staged}/routing.json")
     publish(staged, out)
 
 
@@ -118,23 +120,61 @@ def _previous(spark: SparkSession, out: str) -> tuple[J.Index, DataFrame]:
     return J.load_routing(spark, f"{out}/routing.json"), spark.createDataFrame([], FILE_META)
 
 
+def _extracted(files: DataFrame) -> DataFrame:
+    return R.extract(files.select("rel_path", "lang", "content", "scan_seq"))
+
+
 def build(spark: SparkSession, root: str, out: str, client: Client | None = None, aggregator=None, config: BuildConfig | None = None) -> None:
     """Build the index of a source tree anew; scores, aliases and custom tags of the index before are kept."""
     config = config or BuildConfig()
     files = scan(spark, root, config).persist()
     previous, _ = _previous(spark, out)
     nothing = J.Index(previous.symbols.limit(0), previous.edges.filter("tag_type = 'custom'"), previous.tag_index, previous.aliases, previous.categories, previous.version)
-    _write(assemble(candidates(files), nothing, client, aggregator, config), J.build_meta(files), out)
+    extracted = settled(_extracted(files))
+    _write(assemble(candidates(extracted), nothing, client, aggregator, config), extracted, J.build_meta(files), out, config)
     files.unpersist()
 
 
+def extracted_again(files: DataFrame, changed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Extracted rows of all files: those of changed files are extracted, those of the others are taken from the table before."""
+    fresh = _extracted(files.join(changed.select("rel_path"), "rel_path", "left_semi"))
+    kept = stored.drop("scan_seq").join(changed.select("rel_path"), "rel_path", "left_anti").join(files.select("rel_path", "scan_seq"), "rel_path")
+    return fresh.unionByName(kept)
+
+
 def update(spark: SparkSession, root: str, out: str, client: Client | None = None, aggregator=None, config: BuildConfig | None = None) -> bool:
-    """Bring the index up to date; False if no file changed. Unchanged symbols are reused."""
+    """Bring the index up to date; False if no file changed. Only changed files are extracted; unchanged symbols are reused."""
     config = config or BuildConfig()
     files = scan(spark, root, config).persist()
     previous, meta = _previous(spark, out)
-    changed = not C.changed_files(files, meta).isEmpty()
-    if changed:
-        _write(assemble(candidates(files), previous, client, aggregator, config), J.build_meta(files), out)
+    changed = settled(C.changed_files(files, meta))
+    any_change = not changed.isEmpty()
+    if any_change:
+        known = os.path.isdir(f"{out}/tables/extracted")  # indexes from elsewhere have no such table
+        extracted = settled(extracted_again(files, changed, spark.read.parquet(f"{out}/tables/extracted")) if known else _extracted(files))
+        _write(assemble(candidates(extracted), previous, client, aggregator, config, changed), extracted, J.build_meta(files), out, config)
     files.unpersist()
-    return changed
+    return any_change
+
+
+def apply_logs(spark: SparkSession, out: str, edits: DataFrame | None = None, usage: DataFrame | None = None, config: BuildConfig | None = None) -> None:
+    """Fold a log of edits and a log of usage into the index and publish it.
+
+    edits: (symbol_id, op, value, tag_type, seq), op one of add, remove, brief; usage: (tag). The tables are written
+    beside the old ones and switched; edges keep their places.
+    """
+    config = config or BuildConfig()
+    before, meta = _previous(spark, out)
+    symbols, edges, index = before.symbols, before.edges, before.tag_index
+    if edits is not None:
+        symbols, edges = T.folded_briefs(symbols, edits), settled(T.folded_edits(edges, edits))
+        index = T.folded_index(before.edges, edges, index)
+    if usage is not None:
+        index = T.bumped_index(settled(index), usage)
+    after = J.Index(symbols, edges, index.select("tag_type", "tag", "count", "score"), before.aliases, before.categories, before.version + 1)
+    _write(after, spark.read.parquet(f"{out}/tables/extracted"), meta, out, config)
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    """Append rows to a log of usage or edits, as Parquet files that later runs fold."""
+    log.write.mode("append").parquet(path)

@@ -101,7 +101,7 @@ def edit_fold(spark, d):
     """Events as edits of users' tags: errors remove, other events add; the edge is (user, event type)."""
     log = B.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("symbol_id"), F.when(F.col("value") > 20, "remove").otherwise("add").alias("op"), F.col("event_type").alias("value"), F.lit("custom").alias("tag_type"))
     start = spark.createDataFrame([("7", "click", "custom", 0), ("-1", "kept", "base", 0)], "symbol_id string, tag string, tag_type string, pos int")
-    return T.folded_edits(start, log)
+    return T.folded_edits(start, log).select("symbol_id", "tag", "tag_type")
 
 
 def usage_fold(spark, d):

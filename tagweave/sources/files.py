@@ -17,6 +17,7 @@ from ..extract.registry import EXTENSIONS
 from ..functions import text as X
 from .ignore import is_ignored
 
+READ_CHARS = 8_000_000  # characters of the files that are read into one batch, but one file at least
 INDEX_DIRS = (".ai_context", "llm_index")
 
 
@@ -53,14 +54,17 @@ def read_files(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFram
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for p in batch.rel_path:
+            texts, size, begin = [], 0, 0
+            for i, p in enumerate(batch.rel_path):
                 try:
                     with open(os.path.join(root, p), encoding="utf-8", errors="replace") as f:
                         texts.append(f.read())
                 except OSError:
                     texts.append(None)
-            yield batch.assign(content=texts)
+                size += len(texts[-1] or "")
+                if size > READ_CHARS or i + 1 == len(batch):
+                    yield batch.iloc[begin : i + 1].assign(content=texts)
+                    texts, size, begin = [], 0, i + 1
 
     n = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
     listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "rel_path string, scan_seq long").repartition(n)

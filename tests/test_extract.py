@@ -40,7 +40,8 @@ def test_every_language_finds_its_symbols():
 
 
 def test_guards_and_registry():
-    assert list(R.extractor_of("python")("def f():\n  pass\0", "x.py")) == []
+    assert list(R.extractor_of("cpp")("int f() {}\0", "x.cpp")) == []
+    assert [r[0] for r in R.extractor_of("python")("def f():\n  pass\0", "x.py")] == ["f"]
     assert R.language_of("a/b.HPP") == "cpp" and R.language_of("x.unknown") is None
     R.register("toy", ("toy",), lambda code, path: iter([("x", "function", "x", 1, None)]))
     assert R.language_of("a.toy") == "toy" and list(R.extractor_of("toy")("", ""))[0][0] == "x"
@@ -70,5 +71,7 @@ def test_size_guard_holds_for_cpp_only(spark):
     pad = "# pad pad pad pad pad pad pad pad pad\n" * 60_000
     code = {"python": f"{pad}class A:\n    @cached\n    def f(self):\n        pass\n", "js": "function f() {}\n" + "// pad pad pad pad\n" * 150_000, "cpp": "int f() {}\n" + "// pad pad pad pad\n" * 150_000}
     files = spark.createDataFrame([(f"a.{x}", x, c) for x, c in code.items()], "rel_path string, lang string, content string")
-    got = {(r.lang, r.raw_id, r.decl_line) for r in R.extract(files).drop("content").collect()}
+    rows = R.extract(files)
+    assert "content" not in rows.columns and "snippet" in rows.columns
+    got = {(r.lang, r.raw_id, r.decl_line) for r in rows.collect()}
     assert got == {("python", "A", 60_001), ("python", "A.f", 60_003), ("js", "f", 1)}

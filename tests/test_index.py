@@ -5,6 +5,7 @@ import json
 import pytest
 
 from tagweave.plans import index as I
+from tagweave.plans.config import BuildConfig
 from tagweave.plans.corpus import SNIPPETS
 from tagweave.sources import files, ignore, markdown, routing
 from tagweave.streaming import updates
@@ -38,7 +39,8 @@ def test_build_update_and_reuse(spark, tree, tmp_path):
             f.write(signature + "\n")
         return 'Here: {"brief": "does it", "tags": ["Json", "parsing"]}'
 
-    I.build(spark, str(tree), out, client, lambda prompt: '{"groups": {"parser": ["parsing"]}}')
+    config = BuildConfig(export_json=True)
+    I.build(spark, str(tree), out, client, lambda prompt: '{"groups": {"parser": ["parsing"]}}', config)
     first = routing.load_tables(spark, f"{out}/tables")
     ids = {r.symbol_id: r for r in first.symbols.collect()}
     assert any(i.endswith("::A.top") for i in ids)
@@ -47,7 +49,7 @@ def test_build_update_and_reuse(spark, tree, tmp_path):
     assert {(r.raw, r.canonical) for r in first.aliases.collect()} == {("parsing", "parser")}
     calls = open(asked).read().count("\n")
     assert calls > 0
-    assert I.update(spark, str(tree), out, client) is False
+    assert I.update(spark, str(tree), out, client, config=config) is False
 
     doc = json.load(open(f"{out}/routing.json"))
     assert doc["schemaVersion"] == 4 and set(doc["symbols"]) == set(ids)
@@ -60,11 +62,44 @@ def test_build_update_and_reuse(spark, tree, tmp_path):
     (tree / "bin/deploy.sh").unlink()
     open(asked, "w").close()
     assert I.update(spark, str(tree), out, client) is True
+    assert not (tmp_path / "index" / "routing.json").exists()
     assert open(asked).read().splitlines() == ["def top()"]
     left = routing.load_tables(spark, f"{out}/tables").symbols
     assert left.filter("file_path like '%.sh'").isEmpty() and left.count() == len(ids) - 2
 
 
+def test_unchanged_files_are_not_extracted_again(spark, tmp_path):
+    root, out = tmp_path / "tree", str(tmp_path / "index")
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    return 1\n")
+    (root / "b.py").write_text("def two():\n    return 2\n")
+    I.build(spark, str(root), out)
+    # what the table holds of an unchanged file is what the next index has, so the file wasn't read by the extractor
+    rows = spark.read.parquet(f"{out}/tables/extracted").toPandas()
+    rows["signature"] = rows.signature.str.replace("one", "uno")
+    spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{out}/tables/extracted")
+    (root / "b.py").write_text("def two():\n    return 3\n")
+    assert I.update(spark, str(root), out) is True
+    assert {r.signature for r in routing.load_tables(spark, f"{out}/tables").symbols.collect()} == {"def uno()", "def two()"}
+
+
+def test_logs_are_folded_into_the_index(spark, tmp_path):
+    root, out, log = tmp_path / "tree", str(tmp_path / "index"), str(tmp_path / "log")
+    root.mkdir()
+    (root / "cache.py").write_text("def load_cache():\n    return 1\n")
+    I.build(spark, str(root), out)
+    symbol = routing.load_tables(spark, f"{out}/tables").symbols.first().symbol_id
+    edits = "symbol_id string, op string, value string, tag_type string, seq long"
+    I.append_log(spark.createDataFrame([(symbol, "add", "mine", "custom", 1)], edits), log)
+    I.append_log(spark.createDataFrame([(symbol, "brief", "new words", None, 2), (symbol, "add", "gone", "custom", 3), (symbol, "remove", "gone", "custom", 4)], edits), log)
+    before = routing.load_tables(spark, f"{out}/tables").edges.count()
+    I.apply_logs(spark, out, spark.read.parquet(log), spark.createDataFrame([("mine",), ("mine",)], "tag string"))
+    now = routing.load_tables(spark, f"{out}/tables")
+    assert now.symbols.first().brief == "new words" and now.edges.count() == before + 1
+    assert [(r["count"], r.score) for r in now.tag_index.filter("tag = 'mine'").collect()] == [(1, 2)]
+    assert now.tag_index.filter("tag = 'gone'").isEmpty()
+
+
 def test_old_documents_are_migrated(spark, tmp_path):
     path = str(tmp_path / "old.json")
     symbol = {"module": "m", "declHash": "h", "tagsBase": ["a"], "tagsSemantic": ["b"], "signature": "int f()"}
