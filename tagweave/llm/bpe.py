@@ -2,10 +2,13 @@
 
 Encoding. A text is cut into pretokens; no merge crosses their borders, so the
 tokens before a border are stable. Inside a pretoken a token is stable once the
-merge list's *sufficient lookahead* has been read behind it (see `lookahead`),
-so `Transducer` holds a window of bounded size however long the pretoken is.
-Finished pretokens of a batch that are not in a bounded cache are merged
-together, as columns, by numpy.
+merge list's *sufficient lookahead* has been read behind it (see `lookahead`).
+A pretoken that fits in the lookahead has no stable token before its end; such
+ones are merged together, as columns, by numpy, and kept in a cache that is
+bounded by bytes. A longer one passes through `Transducer`, which emits tokens as
+they become stable and holds a window of bounded size, and `pretokens` cuts even a
+pretoken of many megabytes into blocks of `CHUNK` characters: besides the text
+itself, memory doesn't depend on its length.
 
 The bound: for rules in the order of rank let M[x] be how many bytes behind a
 token x must be read to know that x is not taken by a rule seen so far whose
@@ -20,7 +23,9 @@ they come and keeps no more than an unfinished UTF-8 sequence.
 
 Defined cases: a null or empty text has no tokens; the added special token is
 one id wherever its string stands; invalid ids are an error; repeated rows and
-ties are rows of their own; a text is read in chunks of `CHUNK` characters.
+ties are rows of their own; a text of any length is read in chunks of `CHUNK`
+characters; an empty table gives an empty result; input columns named like an
+added column are replaced, and names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -43,9 +48,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .shared import arrow_map, table, without
 from .textnum import column_of, row_slices
 
-CHUNK = 1 << 18
-LONG = 96  # bytes of a pretoken from which on it is encoded through the window
-CACHE = 500_000
+CHUNK = 1 << 16
+CACHE_BYTES = 24 << 20  # of the pretokens in the cache
 NO_RANK = np.int64(1 << 40)
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -74,8 +78,8 @@ def _split_one(points: list[int]) -> Iterator[tuple[str, int]]:
 
 
 @lru_cache(2)
-def pretoken_pattern(top: int) -> re.Pattern:
-    """The byte-level splitting pattern over code points up to `top`."""
+def pretoken_pattern(top: int) -> tuple[re.Pattern, tuple[re.Pattern, ...]]:
+    """The byte-level splitting pattern over code points up to `top`, and its runs of letters, numbers, others and white space."""
 
     # code points newer than Python's tables: the library's own splitter tells their class
     newer = [c for c in range(min(top, 0x3FFFF) + 1) if unicodedata.category(chr(c)) == "Cn"]
@@ -95,25 +99,44 @@ def pretoken_pattern(top: int) -> re.Pattern:
         return "".join(found)
 
     letters, numbers = ranges("L"), ranges("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    classes = letters, numbers, f"^{SPACES}{letters}{numbers}", SPACES
+    whole = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{classes[0]}]+| ?[{classes[1]}]+| ?[{classes[2]}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    return whole, tuple(re.compile(f"[{c}]+") for c in classes)
 
 
-_CUT = re.compile(f"[^{SPACES}](?=[{SPACES}])")
+def pieces_of(text: str, most: int = CHUNK) -> Iterator[list[str] | Iterator[str]]:
+    """The pretokens of a text in order: lists of whole ones, and pretokens too long for a chunk as iterators of their parts.
 
-
-def chunks_of(text: str, most: int = CHUNK) -> Iterator[str]:
-    """Pieces of a text that end where a pretoken ends: before white space that follows another character."""
+    A pretoken may go on behind a chunk, and what begins one may be changed by three characters behind it; so the last
+    three pretokens of a chunk are read again with the next one. A run that fills a chunk goes on as long as its class does.
+    """
+    whole, runs = pretoken_pattern(0xFFFF if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else sys.maxunicode)
     at = 0
     while len(text) - at > most:
-        cut = None
-        for m in _CUT.finditer(text, at, at + most + 1):
-            cut = m.end()
-        if cut is None:
-            m = _CUT.search(text, at + most)
-            cut = m.end() if m else len(text)
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+        found = whole.findall(text[at : at + most])
+        if len(found) > 3:
+            yield found[:-3]
+            at += sum(map(len, found[:-3]))
+            continue
+        run = next(r for r in runs if r.match(found[0][-1]))
+        end = {"at": at + (found[0][0] == " " and run is not runs[3])}
+
+        def parts(begin=at, run=run, end=end) -> Iterator[str]:
+            spot = end["at"]
+            while m := run.match(text, spot, spot + most):
+                spot = m.end()
+            # the last white space before another character isn't part of the run
+            stop = spot - 1 if run is runs[3] and spot < len(text) and spot - begin > 1 else spot
+            yield from (text[k : min(k + most, stop)] for k in range(begin, stop, most))
+            end["at"] = stop
+
+        if len(found[0]) < most // 4:  # one of the last three is the long one
+            yield found[:1]
+            at += len(found[0])
+            continue
+        yield parts()
+        at = end["at"]
+    yield whole.findall(text[at:])
 
 
 class Merges:
@@ -249,30 +272,25 @@ class Encoder:
         self.place: dict[str, int] = {s: k for k, s in enumerate(special)}
         self.ids = np.array(list(special.values()), np.int64)
         self.starts, self.counts = np.arange(len(special)), np.ones(len(special), np.int64)
+        self.size = 0
 
     def learn(self, pretokens: set[str]) -> None:
         fresh = [p for p in pretokens if p not in self.place]
         if not fresh:
             return
-        if len(self.place) + len(fresh) > CACHE:
+        if self.size + sum(map(len, fresh)) > CACHE_BYTES:
             self.clear()
-            fresh = list(pretokens)
-        short = [p for p in fresh if len(p) < LONG]
-        ids, counts = self.merges.merge_all([p.encode() for p in short])
-        parts, sizes = [ids], [counts]
-        for p in (p for p in fresh if len(p) >= LONG):
-            window = Transducer(self.merges)
-            got = np.concatenate([*window.feed(p.encode()), window.finish()])
-            parts.append(got)
-            sizes.append(np.array([len(got)]))
-            short.append(p)
-        counts = np.concatenate(sizes)
+            fresh = [p for p in pretokens if p not in self.place]
+        coded = [p.encode() for p in fresh]
+        self.size += sum(map(len, coded))
+        ids, counts = self.merges.merge_all(coded)
         n = len(self.starts)
         begin = len(self.ids) + np.concatenate([[0], np.cumsum(counts)])[:-1]
-        self.place.update(zip(short, range(n, n + len(short)), strict=True))
-        self.ids, self.starts, self.counts = np.concatenate([self.ids, *parts]), np.concatenate([self.starts, begin]), np.concatenate([self.counts, counts])
+        self.place.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.ids, self.starts, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, begin]), np.concatenate([self.counts, counts])
 
     def lookup(self, pretokens: list[str]) -> np.ndarray:
+        """Ids of pretokens that fit in the lookahead."""
         try:
             at = np.fromiter(map(self.place.__getitem__, pretokens), np.int64, len(pretokens))
         except KeyError:
@@ -282,23 +300,42 @@ class Encoder:
         ends = np.cumsum(counts)
         return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - ends + counts, counts)]
 
-    def pretokens(self, text: str) -> Iterator[list[str]]:
-        """Pretokens of a text, a chunk at a time; a special token is a chunk of its own."""
-        pattern = pretoken_pattern(0xFFFF if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else sys.maxunicode)
+    def pretokens(self, text: str) -> Iterator[list[str] | Iterator[str]]:
+        """What `pieces_of` gives of a text; a special token is a pretoken of its own."""
         special = self.split is not None and any(s in text for s in self.merges.special)
         for segment in self.split.split(text) if special else (text,):
             if special and segment in self.merges.special:
                 yield [segment]
             elif segment:
-                yield from map(pattern.findall, chunks_of(segment))
+                yield from pieces_of(segment)
+
+    def long(self, parts: Iterator[str]) -> Iterator[np.ndarray]:
+        """Ids of one pretoken, given in parts, as they become stable."""
+        window = Transducer(self.merges)
+        for part in parts:
+            yield from window.feed(part.encode())
+        yield window.finish()
 
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a text in pieces, each emitted as soon as it is stable."""
-        yield from map(self.lookup, self.pretokens(text))
+        most = self.merges.lookahead
+        for piece in self.pretokens(text):
+            if not isinstance(piece, list):
+                yield from self.long(piece)
+                continue
+            begin = 0
+            for k in [i for i, p in enumerate(piece) if len(p) > most]:
+                yield self.lookup(piece[begin:k])
+                yield from self.long(iter((piece[k],)))
+                begin = k + 1
+            yield self.lookup(piece[begin:])
 
     def streams(self, texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
-        """A stream of ids for each text; the short texts of a slice are looked up together."""
-        short = [[p for chunk in self.pretokens(t) for p in chunk] if len(t) <= CHUNK else None for t in texts]
+        """A stream of ids for each text; the texts of a slice that have short pretokens only are looked up together."""
+        most, short = self.merges.lookahead, []
+        for t in texts:
+            ps = [p for piece in self.pretokens(t) for p in piece] if len(t) <= CHUNK else None
+            short.append(None if ps is None or max(map(len, ps), default=0) > most else ps)
         ids = self.lookup([p for ps in short if ps for p in ps])
         ends = np.concatenate([[0], np.cumsum(self.last_counts)])
         at = n = 0

@@ -97,8 +97,29 @@ def test_bpe_window_is_bounded():
     got.append(window.finish())
     assert most <= window.block + merges.lookahead + 128
     assert np.concatenate(got).tolist() == merges.merge_all([text])[0].tolist()
-    chunks = list(bpe.chunks_of("ab  cd " * 50, 20))
-    assert "".join(chunks) == "ab  cd " * 50 and len(chunks) > 10
+
+
+def test_bpe_of_long_pretokens_is_a_stream():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(bpe.default_path()), bpe.encoder_of(bpe.default_path())
+    rng = np.random.default_rng(7)
+    for text in ("aest" * 3000, " " + "7" * 9000 + "x", "\n" * 5000 + "a", " " * 5000, " " * 4999 + "b", "!'s" * 4000, "\t " * 3000 + "é" * 5000 + " 中", "it's " * 2000, "".join(rng.choice(list("aest'  \n1é中😀-"), 20000)), ("x" * 300 + "\n\n") * 40):
+        for most in (64, 1000):
+            pieces = [p if isinstance(p, list) else ["".join(p)] for p in bpe.pieces_of(text, most)]
+            assert [p for ps in pieces for p in ps] == bpe.pretoken_pattern(0x10FFFF)[0].findall(text)
+        assert np.concatenate(list(enc.stream(text))).tolist() == tk.encode(text, add_special_tokens=False).ids
+    peaks = []
+    for size in (1, 8):
+        text = "aestion" * (size * 150_000)
+        tracemalloc.start()
+        n = sum(map(len, enc.stream(text)))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert n > size * 150_000
+    assert peaks[1] < peaks[0] + 3 and enc.size <= bpe.CACHE_BYTES
 
 
 def test_chat_round_trip(spark):
