@@ -240,6 +240,41 @@ def test_raking_and_sampling(spark):
     assert mixing.mixed(df.limit(0)).isEmpty()
 
 
+def test_raking_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(1, 1000, (3, 4, 2)).astype(float)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(tokens[i, j, k])) for i in range(3) for j in range(4) for k in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    goals = {d: rng.dirichlet(np.ones(n) * 3) for d, n in zip(mixing.DIMS, tokens.shape, strict=True)}
+    targets = {d: spark.createDataFrame([(f"{d[0]}{i}", float(x)) for i, x in enumerate(g)], "value string, share double") for d, g in goals.items()}
+    got = mixing.rake(cells, targets)
+    want = tokens / tokens.sum()
+    for _ in range(500):
+        for axis, g in enumerate(goals.values()):
+            other = tuple(a for a in range(3) if a != axis)
+            want = want * (g / want.sum(axis=other)).reshape([-1 if a == axis else 1 for a in range(3)])
+    for r in got.weights.collect():
+        assert abs(r.weight - want[int(r.source[1]), int(r.lang[1]), int(r.topic[1])]) < 1e-5
+    assert got.converged and all(abs(r.target - r.reached) < 1e-5 for r in mixing.report(got, targets).collect())
+
+
+def test_targets_that_contradict_each_other_are_told(spark, caplog):
+    cells = spark.createDataFrame([("a", "en", "x", 10.0), ("b", "de", "x", 30.0)], "source string, lang string, topic string, tokens double")
+    shares = lambda *x: spark.createDataFrame(x, "value string, share double")
+    targets = {"source": shares(("a", 0.9), ("b", 0.1)), "lang": shares(("en", 0.1), ("de", 0.9))}
+    got = mixing.rake(cells, targets)
+    assert not got.converged and got.deviation == pytest.approx(0.8) and "off by 0.8" in caplog.text
+    assert {(r.dimension, r.value): round(r.reached, 6) for r in mixing.report(got, targets).collect()}[("source", "a")] == 0.1
+
+
+def test_an_odd_document_does_not_cut_the_sample(spark):
+    rows = [(i, "w " * 50, "en", f"s{i % 2}") for i in range(5000)] + [(9999, "w", None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in mixing.mixed(df).collect()}
+    assert got[9999].probability == 1 and got[9999].sampled
+    assert min(r.probability for r in got.values()) > 0.5
+
+
 def test_audio_alignment(spark):
     rng = np.random.default_rng(8)
     tune = audio.melody_of(rng.normal(0, 0.2, 64).tolist())
