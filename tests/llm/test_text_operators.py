@@ -175,9 +175,31 @@ def test_license_scan_by_brute_force(docs, none):
     for doc_id, text, *_ in ROWS:
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         places = [i for p, _ in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-        labels = {x for p, x in licenses.PHRASES if f" {p} " in f" {' '.join(words)} "}
+        labels = {x for p, x in licenses.BASE + licenses.NAMES if f" {p} " in f" {' '.join(words)} "}
         r = got[doc_id]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
         assert r.labels == ",".join(sorted(labels)) and (r.score == 1.0) == bool(labels)
-    assert got[10].base_labels == "cc-by,gpl,reserved" and "mit" in got[10].labels
+    assert got[10].base_labels == "cc-by,gpl,reserved" and "mit" in got[10].labels.split(",")
     assert licenses.scan(none).isEmpty()
+
+
+def test_whole_licences_are_found_when_reworded(spark):
+    rng = np.random.default_rng(3)
+    label, text, keys = licenses.TEMPLATES[0]
+    words = licenses.words_in(text)
+    kept = {i + j for k in keys for i in range(len(words)) if words[i : i + len(k.split())] == k.split() for j in range(len(k.split()))}
+    reworded = [w if i in kept or rng.random() > 0.15 else "thing" for i, w in enumerate(words)]
+    reworded[:0] = "a preface of our own with É and ÀÉ".split()
+    reworded[60:60] = ["inserted"] * 5 if 60 not in kept else []
+    broken = " ".join(words).replace("restriction", "limits")
+    cut = " ".join(w for i, w in enumerate(words) if i in kept)
+    rows = [(1, text), (2, " ".join(reworded)), (3, broken), (4, cut), (5, "software " * 300), (6, "ſoftware Kelvin K permission"), (7, None)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert label in got[1].labels.split(",") and got[1].score == 1
+    assert label in got[2].labels.split(",")
+    assert got[3].labels == "mit" and got[3].score == 1  # its opening clause still stands
+    assert got[4].labels == "" and got[4].score < 1  # key phrases alone, without the text around them
+    assert got[5].labels == "" and got[5].n_words == 300 and got[6].labels == "" and got[7].score == 0
+    rows = [(i, whole) for i, (_, whole, _) in enumerate(licenses.TEMPLATES)]
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert licenses.TEMPLATES[r.doc_id][0] in r.labels.split(",")
