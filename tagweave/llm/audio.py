@@ -17,7 +17,10 @@ are never paired with each other.
 Defined cases: a null or too short recording has no fingerprint, gets no match
 and forms no class; of the offsets that hold the one with most equal integers is
 given, then the one with the least bit error, then the least; repeated rows of an
-id are one recording with the fingerprint that is first in order.
+id are one recording with the fingerprint that is first in order; silence has a
+fingerprint like any other recording; a long recording is read whole, a few
+thousand frames at a time; only the id and the media column are read, so other
+columns can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ RATE = 4000
 FRAME = 512
 HOP = 256
 WIDTH = 16
+SPECTRA = 4096  # frames that are transformed together
+BATCH_BYTES = 4 << 20  # of media values that are decoded together, but one value at least
 BLOCK = 80_000
 LEAST_FRAMES = 20
 MOST_ERROR = 0.2
@@ -65,9 +70,10 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     n = (len(samples) - FRAME) // HOP + 1
     if n < 1:
         return np.zeros((0, 12))
-    at = np.arange(n)[:, None] * HOP + np.arange(FRAME)
-    power = np.abs(np.fft.rfft(samples[at] * np.hanning(FRAME), axis=1)) ** 2
-    out = power @ _pitch_bins(rate)
+    out = np.empty((n, 12))
+    for begin in range(0, n, SPECTRA):
+        at = np.arange(begin, min(n, begin + SPECTRA))[:, None] * HOP + np.arange(FRAME)
+        out[begin : begin + SPECTRA] = np.abs(np.fft.rfft(samples[at] * np.hanning(FRAME), axis=1)) ** 2 @ _pitch_bins(rate)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -99,14 +105,26 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return packed
 
 
+def media_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no part has more than BATCH_BYTES of its binary or list column `media`, but one row at least."""
+    media = column_of(batch, "media")
+    wide = pa.types.is_large_binary(media.type) or pa.types.is_large_list(media.type)
+    ends = np.frombuffer(media.buffers()[1], np.int64 if wide else np.int32)[media.offset : media.offset + len(media) + 1] if len(media) else np.zeros(1)
+    unit = media.type.value_type.bit_width // 8 if pa.types.is_list(media.type) or pa.types.is_large_list(media.type) else 1
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_BYTES // unit, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def fingerprints(df: DataFrame, ident: str, media: str, samples: Callable = samples_of_pcm, rate: int = RATE) -> DataFrame:
     """(id, print): array<int> of packed integers of each recording; `samples` decodes a value of the media column."""
     rows = df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{media}`").alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in media_slices(batch):
                 prints = [fingerprint(chroma(samples(v), rate)).view(np.int32) if v is not None else np.zeros(0, np.int32) for v in column_of(part, "media").to_pylist()]
                 offs = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prints])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([column_of(part, "id"), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(prints)))], names=["id", "print"])

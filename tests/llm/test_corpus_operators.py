@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagweave.llm import audio, minhash, mixing, passages, toxicity
@@ -289,6 +290,23 @@ def test_audio_alignment(spark):
     assert audio.search(prints.limit(0)).isEmpty()
 
 
+def test_long_and_silent_recordings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    tune = np.concatenate([audio.melody_of(rng.normal(0, 0.2, 64).tolist()) for _ in range(8)])
+    want = audio.fingerprint(audio.chroma(tune))
+    monkeypatch.setattr(audio, "SPECTRA", 7)
+    assert (audio.fingerprint(audio.chroma(tune)) == want).all()
+    pcm = lambda x: (np.clip(x, -1, 1) * 32000).astype("<i2").tobytes()
+    rows = [(50, pcm(tune), "clash"), (1, pcm(tune[30_000:60_000]), ""), *((100 + i, bytes(20_000 + 600 * i), "") for i in range(12))]
+    df = spark.createDataFrame(rows, "id long, media binary, print string")
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows])], names=["media"])
+    assert [p.num_rows for p in audio.media_slices(batch)] == [len(rows)]
+    monkeypatch.setattr(audio, "BATCH_BYTES", 30_000)
+    assert sum(p.num_rows for p in audio.media_slices(batch)) == len(rows) and len(list(audio.media_slices(batch))) > 5
+    got = {(r.query_id, r.match_class) for r in audio.search(audio.fingerprints(df, "id", "media")).collect()}
+    assert {(50, 50), (50, 1)} <= got and {m for q, m in got if q == 100} == set(range(100, 112))
+
+
 def test_audio_matches_need_no_equal_integers(spark):
     rng = np.random.default_rng(4)
     one, other = rng.integers(0, 1 << 32, (2, 84), dtype=np.uint32)
