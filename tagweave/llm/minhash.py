@@ -11,9 +11,12 @@ Links. `ROWS` bins make a band; documents that agree in a band share a bucket.
 At similarity 0.8 all `BANDS` bands miss with probability below 2e-9. Equal sets
 are one *class* beforehand. Pairs of a bucket aren't made into rows:
 
-1. `STARS` times, every class is compared with one member of its buckets that is
-   not in its component yet, the one that has the fullest buckets: pairs are no
-   more than classes, and a group of near copies becomes a star.
+1. Every class is compared with one member of its buckets, the one that has the
+   fullest buckets. Then, in rounds, every class whose buckets still hold another
+   component is compared with one more member: each bucket names one at random, and
+   of those the class takes the one with the most equal bits. A round has no more
+   pairs than classes; rounds end when fewer than `LEAST_GAIN` per cent of the pairs
+   are links. So a group of near copies becomes connected by few pairs a document.
 2. Buckets that still hold several components are left. There the rows outside
    the largest component are compared with the others. Most pairs are ruled out
    before their texts are read: by set sizes, by one bit of each bin (six standard
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, stored, table, text_key
@@ -50,7 +53,7 @@ ROWS = 5
 BANDS = 51
 T = ROWS * BANDS
 PERCENT = 80
-STARS = 2
+LEAST_GAIN = 2
 #: Equal bits (of T, one of each bin) below which a pair is not compared: at similarity 0.8 they are 0.9 of all, less six standard deviations.
 LEAST_AGREE = int(T * 0.9 - 6 * (T * 0.09) ** 0.5)
 _SEED = np.random.default_rng(20170405).integers(0, 1 << 64, 2 * T, dtype=np.uint64)
@@ -170,15 +173,27 @@ def open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(stored(mixed), "bucket")
 
 
-def star_pairs(rows: DataFrame, done: DataFrame | None) -> DataFrame:
-    """(a, b): every id b with the highest-ranked head a of its buckets that isn't in its component and hasn't been compared with it."""
-    heads = stored(rows.groupBy("bucket").agg(F.max(F.struct("rank", "id", "root")).alias("head")))
-    ends = rows.join(heads, "bucket").filter("root != head.root").select(F.col("id").alias("b"), "head")
-    best = ends.groupBy("b").agg(F.max("head").alias("head"))
-    if done is not None:
-        met = done.select(F.col("a").alias("__a"), "b")
-        best = ends.withColumn("__a", F.col("head.id")).join(met, ["__a", "b"], "left_anti").groupBy("b").agg(F.max("head").alias("head"))
-    return best.select(F.col("head.id").alias("a"), "b")
+def star_pairs(rows: DataFrame, nodes: DataFrame, done: DataFrame | None) -> DataFrame:
+    """(a, b): every id b with one head a of its buckets that isn't in its component and hasn't been compared with it.
+
+    At first heads are the highest-ranked members; later each bucket has a random one, and the head with most equal bits is taken.
+    """
+    if done is None:
+        heads = rows.groupBy("bucket").agg(F.max(F.struct("rank", "id", "root")).alias("head"))
+        ends = rows.join(stored(heads), "bucket").filter("root != head.root").select(F.col("id").alias("b"), "head")
+        return ends.groupBy("b").agg(F.max("head").alias("head")).select(F.col("head.id").alias("a"), "b")
+    turn = done.agg(F.max("star")).first()[0]
+    rows = stored(rows.select("bucket", "id", "root").join(nodes.select("id", "bits"), "id"))
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("draw"), "id", "root", "bits")).alias("head"))
+    ends = rows.join(stored(heads), "bucket").filter("root != head.root").select(F.col("head.id").alias("a"), F.col("id").alias("b"), equal_bits("bits", "head.bits").alias("equal"))
+    ends = ends.groupBy("a", "b").agg(F.max("equal").alias("equal"))  # a pair that shares several buckets
+    met = done.select("a", "b").unionAll(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return ends.join(met, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("equal", "a")).alias("best")).select("best.a", "b")
+
+
+def equal_bits(x: str, y: str) -> Column:
+    """Of the T bits of two sketches, how many are equal; the 256th is 0 in both."""
+    return 255 - sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(4)), F.lit(0))
 
 
 def rest_pairs(rows: DataFrame, nodes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
@@ -192,12 +207,11 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, done: DataFrame, percent: int)
     most = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("largest"))
     few = rows.join(stored(most), "bucket").filter("root != largest").drop("largest")
     x, y = few.alias("x"), rows.alias("y")
-    equal_bits = 255 - sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(4)), F.lit(0))
     near = (
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.root") != F.col("y.root"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (equal_bits >= LEAST_AGREE)
+        & (equal_bits("x.bits", "y.bits") >= LEAST_AGREE)
         & ((F.col("x.head") != F.col("y.head")) | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9))
     )
     return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
@@ -222,18 +236,24 @@ def near_duplicates(df: DataFrame, text: str = "text", k: int = 5, percent: int
     nodes = stored(firsts.join(crowd.select("id"), "id", "left_semi").select("id", "n", "bits", "doc_id", "key"))
     texts = stored(docs.withColumn("key", text_key(F.col("text"))).join(nodes.select("doc_id", "key", "id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text"))
 
-    roots, done = None, None
-    for star in range(STARS):
-        found = compared(stored(star_pairs(open_buckets(buckets, roots), done)), texts, k).withColumn("star", F.lit(star))
-        done = stored(found if done is None else done.unionAll(found))
-        roots = components(links_of(done, percent))
+    roots, done, star = None, None, 0
+    while True:
+        found = stored(compared(stored(star_pairs(open_buckets(buckets, roots), nodes, done)), texts, k).withColumn("star", F.lit(star)))
+        done = found if done is None else done.unionAll(found)
+        n, gain = found.count(), links_of(found, percent).count()
+        if gain or roots is None:
+            roots = components(links_of(done, percent))
+        if 100 * gain <= LEAST_GAIN * n:
+            break
+        star += 1
     rest = stored(rest_pairs(open_buckets(buckets, roots), nodes, done, percent))
     if not rest.isEmpty():
         roots = components(links_of(done.drop("star").unionAll(compared(rest, texts, k)), percent))
 
     lead = roots.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("lead"))
-    of_class = classes.join(roots, "id", "left").join(lead, "root", "left")
-    of_class = stored(of_class.select("n", "s1", "s2", F.coalesce("lead.doc_id", "doc_id").alias("least"), F.coalesce(F.col("lead.id") == F.col("id"), F.lit(True)).alias("leads")))
+    # a merge join, so that Spark splits a root that a large part of the classes has
+    ends = stored(roots.join(stored(lead).hint("merge"), "root").select("id", "lead"))
+    of_class = stored(classes.join(ends, "id", "left").select("n", "s1", "s2", F.coalesce("lead.doc_id", "doc_id").alias("least"), F.coalesce(F.col("lead.id") == F.col("id"), F.lit(True)).alias("leads")))
     out = rows.select("doc_id", "key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(True)).alias("kept"))

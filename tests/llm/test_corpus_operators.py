@@ -56,8 +56,8 @@ def test_groups_of_near_copies_by_brute_force(spark, monkeypatch):
     want = components([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
     assert len(set(want.values())) > 2
     df = spark.createDataFrame([(f"d{i:03}", t) for i, t in rows], "doc_id string, text string")
-    for stars in (1, 2):
-        monkeypatch.setattr(minhash, "STARS", stars)
+    for least in (100, 2):  # after the first star all is left to step 2, or further stars do most
+        monkeypatch.setattr(minhash, "LEAST_GAIN", least)
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=2).collect()} == {f"d{i:03}": f"d{c:03}" for i, c in want.items()}
 
 
