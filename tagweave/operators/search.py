@@ -161,7 +161,7 @@ def nearest_symbols(cursors: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def api_prompt(hits: DataFrame, code: str, order: Sequence[str] = ("score",)) -> DataFrame:
     """One row `prompt`: the hits as a list and the code they are asked for; hits are a short list already."""
-    line = F.concat(F.lit("- "), F.coalesce("signature", "symbol_id"), F.lit(" ["), F.coalesce("module", F.lit("unknown")), F.lit("] "), F.coalesce("brief", F.lit("N/A")))
+    line = F.concat(F.lit("- "), F.coalesce("signature", F.col("symbol_id").cast("string")), F.lit(" ["), F.coalesce("module", F.lit("unknown")), F.lit("] "), F.coalesce("brief", F.lit("N/A")))
     rows = hits.select(F.struct(*[(-F.col(c)).alias(c) for c in order], F.col("symbol_id"), line.alias("line")).alias("x"))
     listed = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n").alias("apis"))
     return listed.select(F.concat(F.lit("Available APIs:\n"), "apis", F.lit("\n\nCode:\n"), F.lit(code)).alias("prompt"))
@@ -185,3 +185,20 @@ def printed(found: DataFrame) -> DataFrame:
 
 def suggestions(tag_counts: DataFrame, query: str, n: int = 8) -> DataFrame:
     return tag_counts.filter(F.contains("tag", F.lit(query.lower()))).orderBy(F.desc("count"), "tag").limit(n)
+
+
+def single_tag(symbols: DataFrame, tag: str, limit: int | None = None) -> DataFrame:
+    """Symbols one of whose base or semantic tags contains the tag or is contained in it, whatever their lengths; the first `limit` if asked for.
+
+    symbols: symbol_id and the arrays base and semantic.
+    """
+    q = F.lit(tag.strip().lower())
+    low = F.transform(F.concat(F.coalesce("semantic", X.strings()), F.coalesce("base", X.strings())), F.lower)
+    found = symbols.filter(F.exists(low, lambda t: F.contains(t, q) | F.contains(q, t)))
+    return found if limit is None else found.orderBy("symbol_id").limit(limit)
+
+
+def auto_prompt(symbols: DataFrame, code: str, selection: str = "", line: str = "", file_name: str = "", n: int = 8) -> DataFrame:
+    """One row `prompt`: the n best symbols for what is selected, or the line, or the file name, and the code they are asked for."""
+    hits = top(keyword_search(symbols, auto_query(selection, line, file_name)), n, "symbol_id")
+    return api_prompt(hits, code)

@@ -157,6 +157,19 @@ def _sources(symbols: DataFrame) -> DataFrame:
     return symbols.select("symbol_id", F.posexplode(F.filter(F.transform(picked, X.clean_tag), lambda t: t != "")).alias("pos", "tag"))
 
 
+def normalization_counts(symbols: DataFrame) -> DataFrame:
+    """One row: base and semantic tags as given, semantic ones left after normalization, all left, and distinct ones of both.
+
+    symbols: symbol_id and the arrays base and semantic.
+    """
+    given = symbols.select(F.coalesce("base", X.strings()).alias("base"), F.coalesce("semantic", X.strings()).alias("semantic"))
+    left = given.select("*", X.index_tags(F.col("base")).alias("b"), X.index_tags(F.col("semantic")).alias("s"))
+    sums = left.agg(F.sum(F.size("base")).alias("raw_base"), F.sum(F.size("semantic")).alias("raw_semantic"), F.sum(F.size("s")).alias("semantic"), F.sum(F.size("b") + F.size("s")).alias("total"))
+    one = left.select(F.explode("s").alias("tag"), F.lit(1).alias("is_s")).unionAll(left.select(F.explode("b"), F.lit(0))).groupBy("tag").agg(F.max("is_s").alias("is_s"))
+    distinct = one.agg(F.sum("is_s").alias("distinct_semantic"), F.count("*").alias("distinct_total"))
+    return sums.join(F.broadcast(distinct))  # one row each
+
+
 def primary_tags(symbols: DataFrame) -> DataFrame:
     """(symbol_id, tag): the most frequent tag of each symbol, the earlier one of equals."""
     rows = _sources(symbols)
