@@ -12,17 +12,16 @@ At similarity 0.8 all `BANDS` bands miss with probability below 2e-9. Equal sets
 are one *class* beforehand. Pairs of a bucket aren't made into rows:
 
 1. Every class is compared with one member of its buckets, the one that has the
-   fullest buckets. Then, in rounds, every class whose buckets still hold another
-   component is compared with one more member: each bucket names one at random, and
-   of those the class takes the one with the most equal bits. A round has no more
-   pairs than classes; rounds end when fewer than `LEAST_GAIN` per cent of the pairs
-   are links. So a group of near copies becomes connected by few pairs a document.
-2. Buckets that still hold several components are left. There the rows outside
-   the largest component are compared with the others. Most pairs are ruled out
-   before their texts are read: by set sizes, by one bit of each bin (six standard
-   deviations), and by the triangle inequality of Jaccard distances where both
-   have been compared with the same class.
-3. Every pair is decided on the full sets of both texts.
+   fullest buckets. Then, in rounds, every class outside its bucket's largest component
+   is compared with `TRIES` members of that: each bucket names one at random, and those
+   with the most equal bits are taken. Rounds end when fewer than `LEAST_GAIN` per cent
+   of the pairs are links. So a group of near copies becomes connected by few pairs a
+   document, which are decided on the full sets of both texts.
+2. Buckets that still hold several components are left; their *region* is the largest
+   component in them. The few rows of a region that are outside it are compared with
+   all rows of the region on full sets, in blocks of bounded rows and shingles: a task
+   has one block of the few and one of the others, counts common shingles by an
+   inverted index, and gives one link at most for each row and component it meets.
 
 Components are found by least labels with pointer jumping, on written tables.
 
@@ -54,8 +53,9 @@ BANDS = 51
 T = ROWS * BANDS
 PERCENT = 80
 LEAST_GAIN = 2
-#: Equal bits (of T, one of each bin) below which a pair is not compared: at similarity 0.8 they are 0.9 of all, less six standard deviations.
-LEAST_AGREE = int(T * 0.9 - 6 * (T * 0.09) ** 0.5)
+TRIES = 4
+#: Rows of a block of the few and of the others, and shingles of either.
+FEW, MANY, SHINGLES = 128, 512, 1_000_000
 _SEED = np.random.default_rng(20170405).integers(0, 1 << 64, 2 * T, dtype=np.uint64)
 
 
@@ -183,12 +183,19 @@ def star_pairs(rows: DataFrame, nodes: DataFrame, done: DataFrame | None) -> Dat
         ends = rows.join(stored(heads), "bucket").filter("root != head.root").select(F.col("id").alias("b"), "head")
         return ends.groupBy("b").agg(F.max("head").alias("head")).select(F.col("head.id").alias("a"), "b")
     turn = done.agg(F.max("star")).first()[0]
-    rows = stored(rows.select("bucket", "id", "root").join(nodes.select("id", "bits"), "id"))
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("draw"), "id", "root", "bits")).alias("head"))
-    ends = rows.join(stored(heads), "bucket").filter("root != head.root").select(F.col("head.id").alias("a"), F.col("id").alias("b"), equal_bits("bits", "head.bits").alias("equal"))
+    rows = stored(largest_of(rows).join(nodes.select("id", "bits"), "id"))
+    heads = rows.filter("root = largest").groupBy("bucket").agg(F.max(F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("draw"), "id", "bits")).alias("head"))
+    ends = rows.filter("root != largest").join(stored(heads), "bucket").select(F.col("head.id").alias("a"), F.col("id").alias("b"), equal_bits("bits", "head.bits").alias("equal"))
     ends = ends.groupBy("a", "b").agg(F.max("equal").alias("equal"))  # a pair that shares several buckets
     met = done.select("a", "b").unionAll(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return ends.join(met, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("equal", "a")).alias("best")).select("best.a", "b")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("equal", "a")), asc=False), 1, TRIES)  # of one head a bucket
+    return ends.join(met, ["a", "b"], "left_anti").groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
+
+
+def largest_of(rows: DataFrame) -> DataFrame:
+    """rows (bucket, id, root) with the largest root of their bucket."""
+    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("largest"))
+    return rows.select("bucket", "id", "root").join(stored(most), "bucket")
 
 
 def equal_bits(x: str, y: str) -> Column:
@@ -196,25 +203,57 @@ def equal_bits(x: str, y: str) -> Column:
     return 255 - sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(4)), F.lit(0))
 
 
-def rest_pairs(rows: DataFrame, nodes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b): ids of different components that share an open bucket, but for pairs that can't be similar enough.
+def rest_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between rows outside the largest component of an open bucket and all rows of such buckets."""
+    regions = stored(largest_of(rows).select(F.col("largest").alias("region"), "id", "root").distinct().join(nodes.select("id", "n"), "id").withColumn("few", F.col("root") != F.col("region")))
+    size = lambda cond, most: F.greatest(F.lit(1), F.ceil(F.count(F.when(cond, 1)) / most), F.ceil(F.sum(F.when(cond, F.col("n"))) / SHINGLES)).cast("int")
+    blocks = regions.groupBy("region").agg(size(F.col("few"), FEW).alias("few_blocks"), size(F.lit(True), MANY).alias("blocks")).join(regions.filter("few").select("region").distinct(), "region")
+    dealt = regions.join(stored(blocks), "region")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.hash("id"), n)
+    few = dealt.filter("few").select("region", own("few_blocks").alias("fb"), each("blocks").alias("mb"), "id", "root", F.lit(True).alias("asks"))
+    many = dealt.select("region", each("few_blocks").alias("fb"), own("blocks").alias("mb"), "id", "root", F.lit(False).alias("asks"))
+    order = ["region", "fb", "mb", "asks", "id"]
+    both = few.unionAll(many).join(texts, "id").repartition("region", "fb", "mb").sortWithinPartitions(*order).select(*order, "root", "text")
+    kind = dict(rows.dtypes)["id"]
 
-    The first star of `done` gives each id its distance to a head; a head has distance 0 to itself.
-    """
-    first = done.filter("star = 0").select(F.col("b").alias("id"), F.col("a").alias("head"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("far"))
-    known = nodes.join(first, "id", "left").select("id", "n", "bits", F.coalesce("head", "id").alias("head"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    rows = stored(rows.select("bucket", "id", "root").join(known, "id"))
-    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("largest"))
-    few = rows.join(stored(most), "bucket").filter("root != largest").drop("largest")
-    x, y = few.alias("x"), rows.alias("y")
-    near = (
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (equal_bits("x.bits", "y.bits") >= LEAST_AGREE)
-        & ((F.col("x.head") != F.col("y.head")) | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9))
-    )
-    return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for part in row_slices(batches, "text"):
+            hashes, begin = sets_of(*string_bytes(column_of(part, "text")), k)
+            for i, row in enumerate(zip(*(column_of(part, c).to_pylist() for c in ("region", "fb", "mb", "asks", "id", "root")), strict=True)):
+                if row[:3] != now:
+                    yield from done(held)
+                    now, held = row[:3], []
+                held.append((*row[3:], hashes[begin[i] : begin[i + 1]].copy()))
+        yield from done(held)
+
+    def done(held: list) -> Iterator[pa.RecordBatch]:
+        found = list(block_links([x[1:] for x in held if x[0]], [x[1:] for x in held if not x[0]], percent)) if held else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return arrow_map(both, run, f"a {kind}, b {kind}")
+
+
+def block_links(few: list[tuple], many: list[tuple], percent: int) -> Iterator[tuple]:
+    """Links of rows (id, component, set): for each of `few`, one link at most to each other component among `many`."""
+    if not few or not many:
+        return
+    sizes = np.array([len(x[2]) for x in many])
+    flat = np.concatenate([x[2] for x in many])
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], np.repeat(np.arange(len(many)), sizes)[order]
+    for ident, root, own in few:
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+        common = np.bincount(holder[at], minlength=len(many))
+        seen = {root}
+        for j in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)).tolist():
+            if many[j][1] not in seen:
+                seen.add(many[j][1])
+                yield ident, many[j][0]
 
 
 def near_duplicates(df: DataFrame, text: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -246,9 +285,9 @@ def near_duplicates(df: DataFrame, text: str = "text", k: int = 5, percent: int
         if 100 * gain <= LEAST_GAIN * n:
             break
         star += 1
-    rest = stored(rest_pairs(open_buckets(buckets, roots), nodes, done, percent))
+    rest = stored(rest_links(open_buckets(buckets, roots), nodes, texts, k, percent))
     if not rest.isEmpty():
-        roots = components(links_of(done.drop("star").unionAll(compared(rest, texts, k)), percent))
+        roots = components(links_of(done, percent).unionAll(rest))
 
     lead = roots.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("lead"))
     # a merge join, so that Spark splits a root that a large part of the classes has

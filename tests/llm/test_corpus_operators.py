@@ -58,6 +58,8 @@ def test_groups_of_near_copies_by_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(f"d{i:03}", t) for i, t in rows], "doc_id string, text string")
     for least in (100, 2):  # after the first star all is left to step 2, or further stars do most
         monkeypatch.setattr(minhash, "LEAST_GAIN", least)
+        monkeypatch.setattr(minhash, "FEW", 5)
+        monkeypatch.setattr(minhash, "MANY", 7)
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=2).collect()} == {f"d{i:03}": f"d{c:03}" for i, c in want.items()}
 
 
