@@ -13,7 +13,8 @@ backslashes, ``|`` one more backslash goes before the bar, so that no text has
 
 Defined cases: a null text or role is empty; rows go by turn (null first), ties
 by role and text; repeated rows stay; rows with a null conversation id form one
-conversation; an empty table gives no rows. A conversation is one output value,
+conversation; an empty table gives no rows; only conv_id, turn, role and text are
+read, so other columns can't clash. A conversation is one output value,
 so a task holds at least one whole conversation, and no more than a slice else.
 """
 

@@ -158,8 +158,11 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ident: s
 
 
 def sample_mixture(docs: DataFrame) -> DataFrame:
-    """The sampled documents, with the columns of docs."""
-    return mixed(docs).filter("sampled").select(*docs.columns)
+    """The sampled documents, with the columns of docs, those that are named like an added column included."""
+    added = {"topic", "tokens", "probability", "sampled"}
+    clash = [c for c in docs.columns if c.lower() in added]
+    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
+    return mixed(own).filter("sampled").select(*[F.col(f"`__own_{c}`").alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

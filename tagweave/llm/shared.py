@@ -29,9 +29,14 @@ def _drop(path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this run below spark.checkpoint.dir; a local temporary one only where that is unset, as in tests."""
+    """A folder of this run below spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder is taken with a local master, as in tests; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own.setdefault("root", tempfile.mkdtemp(prefix="tagweave-"))
     if root not in _own:
         _own[root] = f"{root.rstrip('/')}/tagweave-{uuid.uuid4().hex}"

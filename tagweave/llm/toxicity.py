@@ -15,7 +15,9 @@ hashed id is least); all documents are scored, whole.
 Defined cases: a null or empty text has no features and gets the score of the
 prior; labels that are null, or of ids without a document, are not used; an id
 that is labelled twice counts as toxic if one label says so; without any usable
-label every score is 0; repeated rows are scored alike.
+label every score is 0; repeated rows are scored alike; a text of any length is
+scored whole; an empty table gives an empty result; input columns named `score` or
+`predicted` are replaced, and the pipeline stage gives its input's own columns back.
 """
 
 from __future__ import annotations
@@ -211,7 +213,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     model = fit(docs, labels.select("doc_id", "toxic"))
-    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+    names = [f"__{i}" for i in range(len(docs.columns))]  # so that a column named score or predicted stays as it is
+    own = docs.toDF(*names)
+    kept = score(own, model, text=names[docs.columns.index("text")]).filter("predicted = 0").select(*names)
+    return kept.toDF(*docs.columns)
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}

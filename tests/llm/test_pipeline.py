@@ -62,3 +62,22 @@ def test_last_stage_gives_the_token_ids(spark, docs, none):
     key = lambda r: (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)
     assert sorted(map(key, got)) == sorted(map(key, bpe.round_trip(docs, ["doc_id"]).collect()))
     assert corpus_pipeline.encode(spark, none, "").isEmpty()
+
+
+def test_stages_on_odd_rows(spark, docs, none, tmp_path):
+    """Null, empty and long texts, repeated rows, columns named like added ones, an empty table."""
+    names = ("score", "predicted", "topic", "tokens", "probability", "sampled", "key", "passages", "n_shingles", "component_id", "kept")
+    spark.createDataFrame([(1, 0, 1), (2, 1, None), (None, 1, 0), (77, None, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (docs, none):
+        now = rows.selectExpr("*", "cast(length(text) as long) n_chars", *(f"concat('{c}', doc_id) {c}" for c in names))
+        want = {(r.doc_id, *(r[c] for c in names)) for r in now.collect()}
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            if name == "bpe":
+                assert out.count() == now.count()
+                continue
+            assert out.columns == now.columns, name
+            path = str(tmp_path / f"{i}-{len(want)}")
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            assert {(r.doc_id, *(r[c] for c in names)) for r in now.collect()} <= want, name
