@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.
+
+Defined cases, as the operators state them: null and empty texts pass the first
+three stages and are never sampled; rows of a doc_id with different texts are judged
+each by its own text; repeated rows stay or go together; an empty table gives an
+empty result; extra columns are kept, whatever their names, but for names that begin
+with two underscores, which are reserved.
 """
 
 from __future__ import annotations
