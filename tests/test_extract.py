@@ -39,6 +39,17 @@ def test_every_language_finds_its_symbols():
     assert list(R.extractor_of("js")("<script>export default { }</script>", "a/Box.vue")) == [("Box", "class", "Vue Component: Box", 1, None)]
 
 
+def test_rust_csharp_and_bash_golden_rows():
+    assert [r[:4] for r in found("rust")] == [("Reader", "class", "pub struct Reader", 1), ("Kind", "class", "enum Kind", 2), ("read_all", "function", "pub async fn read_all<T>(r: T) -> usize", 3)]
+    assert [r[:4] for r in found("csharp")] == [("Acme.Core.Job", "class", "public class Job : IJob", 2), ("Run", "function", "public async Task Run(int n)", 3)]
+    assert [r[:4] for r in found("bash")] == [("push_all", "function", "function push_all()", 2), ("clean", "function", "clean()", 5)]
+
+
+def test_white_space_of_patterns_is_that_of_the_source_language():
+    got = [r[0] for r in R.extractor_of("rust")("pub\u00a0struct\u3000Wide;\n", "x.rs")]
+    assert got == ["Wide"]
+
+
 def test_guards_and_registry():
     assert list(R.extractor_of("cpp")("int f() {}\0", "x.cpp")) == []
     assert [r[0] for r in R.extractor_of("python")("def f():\n  pass\0", "x.py")] == ["f"]
