@@ -49,7 +49,8 @@ from .shared import arrow_map, table, without
 from .textnum import column_of, row_slices
 
 CHUNK = 1 << 16
-CACHE_BYTES = 24 << 20  # of the pretokens in the cache
+CACHE_BYTES = 48 << 20  # of the cache, at ENTRY_BYTES for each pretoken beside its text
+ENTRY_BYTES = 120
 NO_RANK = np.int64(1 << 40)
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -278,11 +279,11 @@ class Encoder:
         fresh = [p for p in pretokens if p not in self.place]
         if not fresh:
             return
-        if self.size + sum(map(len, fresh)) > CACHE_BYTES:
+        if self.size + sum(ENTRY_BYTES + len(p) for p in fresh) > CACHE_BYTES:
             self.clear()
             fresh = [p for p in pretokens if p not in self.place]
         coded = [p.encode() for p in fresh]
-        self.size += sum(map(len, coded))
+        self.size += sum(ENTRY_BYTES + len(p) for p in coded)
         ids, counts = self.merges.merge_all(coded)
         n = len(self.starts)
         begin = len(self.ids) + np.concatenate([[0], np.cumsum(counts)])[:-1]
