@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module for each operator, in the order of their numbers.
-MODULES = ("quality", "bpe", "chat", "minhash", "mixing", "passages", "sharding", "audio", "licenses", "toxicity", "importance", "divergence")
+MODULES = ("quality", "bpe", "chat", "minhash", "mixing", "passages", "sharding", "audio", "licenses", "toxicity", "importance", "divergence", "pii")
 
 
 def _modules():
