@@ -6,12 +6,15 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_open: list[list[str]] = []  # tables of the scopes that are open, the innermost last
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
@@ -45,10 +48,44 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the scratch folder and read it back: later steps reuse it and lost executors lose nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the scratch folder and read it back: later steps reuse it and lost executors lose nothing.
+
+    Shuffle files of the write go when it is done, since the table stands for them from then on.
+    """
+    spark = df.sparkSession
+    path, was = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    if _open:
+        _open[-1].append(path)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `stored` writes inside are deleted at the end; what is to be used after it goes through the function given, which writes it.
+
+    `with scratch() as kept: ... return kept(result)`
+    """
+    own: list[str] = []
+    _open.append(own)
+
+    def kept(df: DataFrame) -> DataFrame:
+        inner = _open.pop()
+        try:
+            return stored(df)  # belongs to the scope around this one, if there is one
+        finally:
+            _open.append(inner)
+
+    try:
+        yield kept
+    finally:
+        _open.pop()
+        for path in own:
+            _drop(path)
 
 
 def text_key(text: Column) -> Column:
