@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, stored, table
+from .shared import arrow_map, scratch, stored, table
 from .textnum import byte_class, column_of, lower_ascii, row_slices, span_ids, string_bytes, words_of
 
 SCALE = 1000  # of which the third power is the scale of probabilities
@@ -206,11 +206,12 @@ def top_terms(audit: Audit, top: int = TOP) -> DataFrame:
 
 def audited(docs: DataFrame, text: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank) of both parts."""
-    audit = Audit(docs, text)
-    order = F.expr("cast(row_number() over (partition by lang, source order by value desc, item asc) as int)")
-    pair = pairs(audit).select("lang", "source", F.lit("pair").alias("part"), "item", "value", order.alias("rank"))
-    term = top_terms(audit).join(audit.groups.select("g", "lang", "source"), "g").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.col("f").alias("value"), F.col("rank").cast("int").alias("rank"))
-    return pair.unionByName(term)
+    with scratch() as kept:
+        audit = Audit(docs, text)
+        order = F.expr("cast(row_number() over (partition by lang, source order by value desc, item asc) as int)")
+        pair = pairs(audit).select("lang", "source", F.lit("pair").alias("part"), "item", "value", order.alias("rank"))
+        term = top_terms(audit).join(audit.groups.select("g", "lang", "source"), "g").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.col("f").alias("value"), F.col("rank").cast("int").alias("rank"))
+        return kept(pair.unionByName(term))
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, stored, table
+from .shared import arrow_map, scratch, stored, table
 from .textnum import byte_class, column_of, lower_ascii, row_slices, span_ids, string_bytes, words_of
 
 BUCKETS = 10000
@@ -151,11 +151,12 @@ def weigh(rows: DataFrame, gain: np.ndarray) -> DataFrame:
 
 def scores(docs: DataFrame, target: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight and score (weight and Gumbel noise of the hashed id) of every row of docs."""
-    rows = stored(features(docs, text))
-    gain = gains(count_vector(rows), count_vector(features(target, text, keep=())))
     spread = f"conv(substr(sha2(concat('{int(seed)}:', coalesce(cast(doc_id as string), '')), 256), 1, 8), 16, 10)"
     noise = f"cast(floor(-1000D * ln(-ln((cast({spread} as double) + 0.5D) / 4294967296D))) as long)"
-    return stored(weigh(rows, gain).withColumn("score", F.col("weight") + F.expr(noise)))
+    with scratch() as kept:
+        rows = stored(features(docs, text))
+        gain = gains(count_vector(rows), count_vector(features(target, text, keep=())))
+        return kept(weigh(rows, gain).withColumn("score", F.col("weight") + F.expr(noise)))
 
 
 def draw(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:

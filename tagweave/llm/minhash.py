@@ -30,7 +30,8 @@ sequence as its one shingle; a null text, or one without words, has the empty
 set and links with nothing; every row has the result of its own text, so a doc_id
 with several texts is several documents; repeated rows are kept or go together;
 of a component's documents with the least doc_id the one with the least set is
-kept; a null doc_id is never linked and kept; ids may be of any ordered type; an
+kept; a null doc_id is never linked and kept; ids may be of any ordered type; a text
+of any length is compared on its whole set (a task's memory grows with its longest text); an
 empty table gives an empty result; only doc_id and the text are read, so other
 columns can't clash. Sets are sets of 64-bit shingle hashes: two sets of a million
 shingles hold one common hash too many with a probability of 5e-8.
@@ -42,10 +43,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, stored, table, text_key
+from .shared import arrow_map, scratch, stored, table, text_key
 from .textnum import column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
 
 ROWS = 5
@@ -259,43 +260,41 @@ def block_links(few: list[tuple], many: list[tuple], percent: int) -> Iterator[t
 def near_duplicates(df: DataFrame, text: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept) of every row of df; `key` is the text_key of its text."""
     docs = df.select("doc_id", F.col(f"`{text}`").alias("text"))
-    rows = stored(sketched(docs, "text", k))
-    sets = rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("own"))
-    # a class is known by its least doc_id; a doc_id that is the least of several sets gives its name to the first of them
-    turn = F.row_number().over(Window.partitionBy("own.doc_id").orderBy("n", "s1", "s2"))
-    kind = dict(docs.dtypes)["doc_id"]
-    name = F.when(F.col("turn") == 1, F.col("own.doc_id")).otherwise(F.xxhash64("own.doc_id", "n", "s1", "s2").cast(kind))
-    classes = stored(sets.withColumn("turn", turn).select("n", "s1", "s2", name.alias("id"), "own.doc_id", "own.key"))
-    firsts = rows.select("doc_id", "key", "bands", "bits").join(classes.select("doc_id", "key", "id", "n"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    banded = firsts.select("id", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    full = stored(banded.join(sizes, "bucket"))
-    crowd = full.groupBy("id").agg(F.sum("members").alias("rank"))
-    buckets = stored(full.join(crowd, "id").select("bucket", "id", "rank"))
-    nodes = stored(firsts.join(crowd.select("id"), "id", "left_semi").select("id", "n", "bits", "doc_id", "key"))
-    texts = stored(docs.withColumn("key", text_key(F.col("text"))).join(nodes.select("doc_id", "key", "id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text"))
-
-    roots, done, star = None, None, 0
-    while True:
-        found = stored(compared(stored(star_pairs(open_buckets(buckets, roots), nodes, done)), texts, k).withColumn("star", F.lit(star)))
-        done = found if done is None else done.unionAll(found)
-        n, gain = found.count(), links_of(found, percent).count()
-        if gain or roots is None:
-            roots = components(links_of(done, percent))
-        if 100 * gain <= LEAST_GAIN * n:
-            break
-        star += 1
-    rest = stored(rest_links(open_buckets(buckets, roots), nodes, texts, k, percent))
-    if not rest.isEmpty():
-        roots = components(links_of(done, percent).unionAll(rest))
-
-    lead = roots.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("lead"))
-    # a merge join, so that Spark splits a root that a large part of the classes has
-    ends = stored(roots.join(stored(lead).hint("merge"), "root").select("id", "lead"))
-    of_class = stored(classes.join(ends, "id", "left").select("n", "s1", "s2", F.coalesce("lead.doc_id", "doc_id").alias("least"), F.coalesce(F.col("lead.id") == F.col("id"), F.lit(True)).alias("leads")))
-    out = rows.select("doc_id", "key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(True)).alias("kept"))
+    with scratch() as kept:
+        rows = stored(sketched(docs, "text", k))
+        sets = rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "key")).alias("own"))
+        # classes have numbers of their own, whatever the type of doc_id and however many texts one has
+        classes = stored(sets.select("n", "s1", "s2", F.monotonically_increasing_id().alias("id"), "own.doc_id", "own.key"))
+        firsts = rows.select("doc_id", "key", "bands", "bits").join(classes.select("doc_id", "key", "id", "n"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+        banded = firsts.select("id", F.explode("bands").alias("bucket"))
+        sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+        full = stored(banded.join(sizes, "bucket"))
+        crowd = full.groupBy("id").agg(F.sum("members").alias("rank"))
+        buckets = stored(full.join(crowd, "id").select("bucket", "id", "rank"))
+        nodes = stored(firsts.join(crowd.select("id"), "id", "left_semi").select("id", "n", "bits", "doc_id", "key"))
+        texts = stored(docs.withColumn("key", text_key(F.col("text"))).join(nodes.select("doc_id", "key", "id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text"))
+
+        roots, done, star = None, None, 0
+        while True:
+            found = stored(compared(stored(star_pairs(open_buckets(buckets, roots), nodes, done)), texts, k).withColumn("star", F.lit(star)))
+            done = found if done is None else done.unionAll(found)
+            n, gain = found.count(), links_of(found, percent).count()
+            if gain or roots is None:
+                roots = components(links_of(done, percent))
+            if 100 * gain <= LEAST_GAIN * n:
+                break
+            star += 1
+        rest = stored(rest_links(open_buckets(buckets, roots), nodes, texts, k, percent))
+        if not rest.isEmpty():
+            roots = components(links_of(done, percent).unionAll(rest))
+
+        lead = roots.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("lead"))
+        # a merge join, so that Spark splits a root that a large part of the classes has
+        ends = stored(roots.join(stored(lead).hint("merge"), "root").select("id", "lead"))
+        of_class = stored(classes.join(ends, "id", "left").select("n", "s1", "s2", F.coalesce("lead.doc_id", "doc_id").alias("least"), F.coalesce(F.col("lead.id") == F.col("id"), F.lit(True)).alias("leads")))
+        out = rows.select("doc_id", "key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+        return kept(out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(True)).alias("kept")))
 
 
 def links_of(pairs: DataFrame, percent: int) -> DataFrame:

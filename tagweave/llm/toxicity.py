@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, stored, table, without
+from .shared import arrow_map, scratch, stored, table, without
 from .textnum import code_points, column_of, mix, row_slices, string_bytes
 
 SIZES = (3, 4, 5)
@@ -150,7 +150,12 @@ def _lbfgs(value_and_slope, x: np.ndarray, rounds: int, memory: int = 8) -> np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    rows = stored(training_features(docs, labels, text)).coalesce(FIT_TASKS)  # one vector from each task, whatever the files' split
+    with scratch():
+        # one vector from each task, whatever the files' split
+        return _fitted(stored(training_features(docs, labels, text)).coalesce(FIT_TASKS))
+
+
+def _fitted(rows: DataFrame) -> Model:
     dims = 1 << BITS
 
     def counts(label, row, bucket, value):

@@ -83,6 +83,17 @@ def test_sketch_fills_every_bin_and_estimates():
     assert abs((x[0] == x[1]).mean() - 800 / 1200) < 0.15
 
 
+def test_near_duplicates_with_ids_of_any_type(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    for kind, ids in (("int", (1, 2, 2147483647)), ("long", (1, 2, 1 << 62)), ("string", ("a", "b", "c"))):
+        a, b, c = ids
+        rows = [(a, body), (a, other), (b, f"{body} end"), (c, f"{other} end"), (c, body), (c, None)]
+        got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string"), k=2).collect()]
+        assert {x[2] for x in got if x[1] > 0} == {a} and sum(x[3] for x in got if x[1] > 0) == 2
+        assert (c, 0, c, True) in got and len(got) == 6
+
+
 def test_passages(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
