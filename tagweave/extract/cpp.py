@@ -3,13 +3,18 @@
 Comments, literals and preprocessor lines are blanked first (lines stay). What
 stands before a `{` or `;` at namespace or class level is a head, which is a
 class, a namespace, a function, or nothing of interest. Bodies are skipped.
-Not a full grammar: macros that open braces and K&R definitions are not seen.
+Not a full grammar: macros that open braces and K&R definitions are not seen. The
+body of a function is known by the place of its head; that of a declaration is
+the first definition of its name in the file.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+from .places import Places
 
 EXTENSIONS = ("c", "cpp", "cc", "cxx", "h", "hpp", "hxx", "hh")
 HEADERS = ("h", "hpp", "hxx", "hh")
@@ -63,8 +68,8 @@ def _parameters(head: str) -> tuple[int, int] | None:
     return None
 
 
-def _function(head: str) -> tuple[str, str] | None:
-    """(name, signature text) of a function head: return type, declarator with trailing qualifiers, leading const last."""
+def _function(head: str) -> tuple[str, str, int] | None:
+    """(name, signature text, place of the name) of a function head: return type, declarator with trailing qualifiers, leading const last."""
     if _CONTROL.match(head):
         return None
     span = _parameters(head)
@@ -87,15 +92,43 @@ def _function(head: str) -> tuple[str, str] | None:
     if rest and not re.match(r"^(?:const|noexcept|override|final|volatile|&&?|->|throw|\s|\()", rest):
         return None
     text = " ".join(x for x in (kind, name[1] + head[span[0] : span[1]], rest, *quals) if x)
-    return name[1], text
+    return name[1], text, name.start(1)
+
+
+Row = tuple[str, str, str, int | None, int | None]
 
 
-def declarations(code: str, path: str) -> Iterator[tuple[str, str, str, int | None, int | None]]:
+def declarations(code: str, path: str) -> Iterator[Row]:
     """(raw id, kind, signature, declaration line, implementation line); signatures aren't normalized yet."""
+    return (row for row, _, _ in _scan(code, path, None))
+
+
+def with_bodies(code: str, path: str) -> Iterator[tuple[Row, Callable[[], str | None]]]:
+    """The rows of `declarations`, each with a function that gives its body: from the line of its name to the closing brace."""
+    if not code or len(code) > MOST_CHARS or "\0" in code:
+        return
+    clean = _NOISE.sub(_blank, code)  # of the same length
+    places, first, rows = Places(clean), {}, []
+    for row, name_at, brace in _scan(code, path, clean):
+        body = None
+        if brace is not None and brace in places.ends:
+            body = (clean.rfind("\n", 0, name_at) + 1, places.ends[brace])
+            parts = row[0].split("::")
+            for k in range(len(parts)):
+                first.setdefault("::".join(parts[k:]), body)
+        rows.append((row, body))
+    for row, body in rows:
+        body = body or (first.get(row[0]) if row[1] == "function" else None)
+        yield row, lambda body=body: code[slice(*body)].strip() if body else None
+
+
+def _scan(code: str, path: str, clean: str | None) -> Iterator[tuple[Row, int, int | None]]:
+    """Rows with the place of the name and that of the opening brace of a function's body."""
     if not code or len(code) > MOST_CHARS or "\0" in code:
         return
     header = path.rpartition(".")[2].lower() in HEADERS
-    code = _NOISE.sub(_blank, code)
+    code = _NOISE.sub(_blank, code) if clean is None else clean
+    breaks = [m.start() for m in re.finditer("\n", code)]
     levels: list[tuple[str, str]] = []
     begin, parens = 0, 0
     for m in re.finditer(r"[{};()]", code):
@@ -116,9 +149,9 @@ def declarations(code: str, path: str) -> Iterator[tuple[str, str, str, int | No
             cut = _template_end(head)
             lead += cut + len(head[cut:]) - len(head[cut:].lstrip())
             head = head[cut:].strip()
-        line = code.count("\n", 0, begin + lead) + 1
         where, owner = levels[-1] if levels else ("space", "")
-        begin = at + 1
+        start, begin = begin + lead, at + 1
+        line = bisect_left(breaks, start) + 1
         if c == "}":
             if levels:
                 levels.pop()
@@ -129,20 +162,20 @@ def declarations(code: str, path: str) -> Iterator[tuple[str, str, str, int | No
             cls = _CLASS.match(head)
             if cls and "(" not in head:
                 name = cls[2].split("::")[-1]
-                yield cls[2], "class", f"{cls[1]} {cls[2]} {cls[3] or ''}", line, None
+                yield (cls[2], "class", f"{cls[1]} {cls[2]} {cls[3] or ''}", line, None), start, None
                 levels.append(("class", name))
             elif _SPACE_OPEN.match(head):
                 levels.append(("space", ""))
             else:
                 found = _function(head)
                 if found:
-                    yield found[0], "function", found[1], line if header else None, line
+                    yield (found[0], "function", found[1], line if header else None, line), start + found[2], at
                 levels.append(("other", ""))
         else:
             found = _function(head)
             if found:
-                name, text = found
+                name, text, place = found
                 if where == "class" and "::" not in name:
                     text = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", lambda _: f"{owner}::{name}", text, count=1)
                     name = f"{owner}::{name}"
-                yield name, "function", text, line, None
+                yield (name, "function", text, line, None), start + place, None

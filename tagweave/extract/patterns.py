@@ -8,12 +8,13 @@ includes leading blank lines.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 from ..functions.text import SPACE
+from .places import Places
 
 _WHITE = re.compile(f"[{SPACE}]+")
 
@@ -58,16 +59,27 @@ class Language:
 
     def symbols(self, code: str, path: str) -> Iterator[tuple[str, str, str, int]]:
         """(raw id, kind, signature, line) of all declarations, rule by rule."""
+        return (row for row, _ in self.with_bodies(code, path))
+
+    def with_bodies(self, code: str, path: str) -> Iterator[tuple[tuple[str, str, str, int], Callable[[], str | None]]]:
+        """The rows of `symbols`, each with a function that gives the body of this very declaration."""
         if not code:
             return
         code = self.source(code, path)
         found = re.search(white(self.scope), code, re.M | re.A) if self.scope else None
         scope = found[1] if found else ""
-        ends = [m.start() for m in re.finditer("\n", code)]
+        places = Places(code)
         for rule in self.rules:
             for m in rule.regex.finditer(code):
                 raw, signature = rule.build(m, code, scope)
-                yield raw, rule.kind, signature, bisect_left(ends, m.start()) + 1
+                yield (raw, rule.kind, signature, places.line(m.start())), lambda rule=rule, m=m: self.body_of(places, rule, m)
+
+    def body_of(self, places: Places, rule: Rule, m: re.Match) -> str | None:
+        if self.body == "braces":
+            return places.block(m, arrow=rule.build is _js_arrow)
+        if rule.kind != "function":
+            return None
+        return {"indent": places.deeper, "end": places.until_end, "shell": places.shell}[self.body](m)
 
     def source(self, code: str, path: str) -> str:
         return code
@@ -83,14 +95,24 @@ _ENCLOSING = {name: re.compile(white(p), re.M | re.A) for name, p in {"python":
 
 
 @lru_cache(1)
-def _types(language: str, code: str) -> list[tuple[int, int, str]]:
-    return [(m.end(), len(m[1]), m[2]) for m in _ENCLOSING[language].finditer(code)]
+def _types(language: str, code: str) -> list[tuple[int, int, str, int]]:
+    """(end, indentation, name, number of the last type before with less indentation or -1) of all types, in order."""
+    out: list[tuple[int, int, str, int]] = []
+    for m in _ENCLOSING[language].finditer(code):
+        outer = len(out) - 1
+        while outer >= 0 and out[outer][1] >= len(m[1]):
+            outer = out[outer][3]
+        out.append((m.end(), len(m[1]), m[2], outer))
+    return out
 
 
 def enclosing(language: str, code: str, at: int, indent: str) -> str:
     """Name of the last type before `at` that is indented less."""
     types = _types(language, code)
-    return next((name for _, size, name in reversed(types[: bisect_right(types, at, key=lambda x: x[0])]) if size < len(indent)), "")
+    i = bisect_right(types, at, key=lambda x: x[0]) - 1
+    while i >= 0 and types[i][1] >= len(indent):
+        i = types[i][3]
+    return types[i][2] if i >= 0 else ""
 
 
 def decorators(code: str, at: int) -> list[str]:
@@ -109,7 +131,27 @@ def decorators(code: str, at: int) -> list[str]:
 
 # --- Java ---
 
-_JAVA_OPEN = re.compile(white(r"(?:class|interface)\s+(\w+)[^{]*\{[^}]*$"), re.A)
+_JAVA_TYPE = re.compile(white(r"(?=(?:class|interface)\s+(\w+))"), re.A)
+
+
+@lru_cache(1)
+def _java_types(code: str) -> tuple[list[tuple[int, str]], list[int]]:
+    """(first brace behind the name, name) of all types, and the places of all closing braces, both in order."""
+    opens, closes = ([m.start() for m in re.finditer(c, code)] for c in "{}")
+    types = []
+    for m in _JAVA_TYPE.finditer(code):
+        k = bisect_right(opens, m.end(1))
+        if k < len(opens):
+            types.append((opens[k], m[1]))
+    return types, closes
+
+
+def _java_owner(code: str, at: int) -> str:
+    """The first type whose opening brace stands before `at` without a closing brace between."""
+    types, closes = _java_types(code)
+    k = bisect_right(closes, at - 1) - 1
+    i = bisect_right(types, closes[k] if k >= 0 else -1, key=lambda x: x[0])
+    return types[i][1] if i < len(types) and types[i][0] < at else ""
 
 
 def _java_class(m, code, scope):
@@ -118,8 +160,7 @@ def _java_class(m, code, scope):
 
 
 def _java_method(m, code, scope):
-    owner = _JAVA_OPEN.search(code[: m.start()])
-    return _dot(scope, owner and owner[1], m[3]), flat(f"{m[1].strip()} {m[2]} {m[3]}({m[4].strip()})")
+    return _dot(scope, _java_owner(code, m.start()), m[3]), flat(f"{m[1].strip()} {m[2]} {m[3]}({m[4].strip()})")
 
 
 # --- JavaScript, TypeScript, Vue ---
@@ -169,11 +210,11 @@ class Script(Language):
             return m[1] if m else code
         return code
 
-    def symbols(self, code, path):
-        yield from super().symbols(code, path)
+    def with_bodies(self, code, path):
+        yield from super().with_bodies(code, path)
         if path.lower().endswith(".vue") and code and re.search(r"export\s+default\s+", self.source(code, path)):
             name = re.split(r"[/\\]", path)[-1][: -len(".vue")]
-            yield name, "class", f"Vue Component: {name}", 1
+            yield (name, "class", f"Vue Component: {name}", 1), lambda: None
 
 
 # The declaration patterns decide which symbols there are.

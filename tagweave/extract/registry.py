@@ -26,6 +26,7 @@ def _plain(lang: str) -> Extractor:
 
 
 EXTRACTORS: dict[str, Extractor] = {"cpp": cpp.declarations} | {n: _plain(n) for n in LANGUAGES}
+_BUILT_IN = dict(EXTRACTORS)
 EXTENSIONS: dict[str, str] = {e: "cpp" for e in cpp.EXTENSIONS} | {e: x.name for x in LANGUAGES.values() for e in x.extensions}
 
 
@@ -42,6 +43,16 @@ def extractor_of(lang: str | None) -> Extractor:
     return EXTRACTORS.get(lang or "", EXTRACTORS["cpp"])
 
 
+def with_snippets(lang: str, code: str, path: str) -> Iterator[tuple]:
+    """Rows of the language's extractor, each with its snippet: the body of this very declaration for the built-in languages,
+    else what a search for the signature finds."""
+    if lang in LANGUAGES and EXTRACTORS.get(lang) is _BUILT_IN[lang]:
+        return ((*row, None, body()) for row, body in LANGUAGES[lang].with_bodies(code, path))
+    if extractor_of(lang) is cpp.declarations:
+        return ((*row, body()) for row, body in cpp.with_bodies(code, path))
+    return ((*row, bodies.implementation(lang, code, row[2])) for row in extractor_of(lang)(code, path))
+
+
 @udtf(returnType=SYMBOL)
 class ExtractSymbols:
     """LATERAL extract_symbols(lang, path, code)."""
@@ -69,7 +80,7 @@ def extract(files: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):  # a file at a time, so that a batch of symbols is as large as one file's
                 lang, path, code = (batch[c].iloc[i] for c in ("lang", "rel_path", "content"))
-                rows = [(*s, pos, bodies.implementation(lang, code, s[2])) for pos, s in enumerate(extractor_of(lang)(code, path))] if code else []
+                rows = [(*s[:-1], pos, s[-1]) for pos, s in enumerate(with_snippets(lang, code, path))] if code else []
                 if rows:
                     found = pd.DataFrame(rows, columns=[*SYMBOL_COLUMNS, "snippet"])
                     own = batch[kept].iloc[[i] * len(rows)].reset_index(drop=True)

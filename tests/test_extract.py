@@ -86,3 +86,52 @@ def test_size_guard_holds_for_cpp_only(spark):
     assert "content" not in rows.columns and "snippet" in rows.columns
     got = {(r.lang, r.raw_id, r.decl_line) for r in rows.collect()}
     assert got == {("python", "A", 60_001), ("python", "A.f", 60_003), ("js", "f", 1)}
+
+
+def test_bodies_belong_to_their_own_declaration():
+    code = "class A:\n    def __init__(self):\n        self.a = 1\n\n\n\n\n\nclass B:\n    # note\n    def __init__(self):\n        self.b = 2\n# end\n\nx = 1\n"
+    assert [r[-1] for r in R.with_snippets("python", code, "x.py") if r[1] == "function"] == ["self.a = 1", "self.b = 2\n# end"]
+    code = "struct A { void f(); };\nint g(int);\nvoid A::f() { one(); }\nnamespace n { int g(int x) { return '}'; } }\nint g(char) { return 2; }\n"
+    got = [(r[0], r[-1]) for r in R.with_snippets("cpp", code, "x.cpp")]
+    assert got == [
+        ("A", None), ("A::f", "void A::f() { one(); }"), ("g", "namespace n { int g(int x) { return '}'; }"), ("A::f", "void A::f() { one(); }"), ("g", "namespace n { int g(int x) { return '}'; }"), ("g", "int g(char) { return 2; }"),
+    ]
+    assert [r[-1] for r in R.with_snippets("rust", "struct A;\nfn f() { 1 }\n", "x.rs")] == [None, "{ 1 }"]
+    assert [r[-1] for r in R.with_snippets("js", "const f = (a) => { return 1; };\nconst g = (a) => a;\nfunction h() {", "x.js")] == ["{", "{ return 1; }", None]
+    assert [r[-1] for r in R.with_snippets("ruby", "def a\n  1\nend\n\n  def b\n    if x\n    end\n  end\n", "x.rb")] == ["1", "if x\n    end"]
+    assert [r[-1] for r in R.with_snippets("bash", "f() {\n a; }\nfunction g() {\n b\n", "x.sh")] == ["a;", "\n b\n"]
+
+
+def test_owners_by_the_plain_pattern():
+    """The first type whose brace is still open, or the last one indented less, against a search of the whole prefix."""
+    import random
+    import re
+
+    from tagweave.extract import patterns
+
+    rng = random.Random(11)
+    plain = re.compile(patterns.white(r"(?:class|interface)\s+(\w+)[^{]*\{[^}]*$"), re.A)
+    for _ in range(300):
+        code = "".join(rng.choice(["class A%d " % rng.randint(0, 9), "interface B ", "{", "}", "\n", " x;"]) for _ in range(rng.randint(1, 25)))
+        for at in range(0, len(code) + 1, 3):
+            found = plain.search(code[:at])
+            assert patterns._java_owner(code, at) == (found[1] if found else ""), (code, at)
+        lines = "".join(" " * rng.randint(0, 4) + rng.choice(["class A%d:\n" % rng.randint(0, 9), "pass\n"]) for _ in range(12))
+        types = [(m.end(), len(m[1]), m[2]) for m in patterns._ENCLOSING["python"].finditer(lines)]
+        for at in range(0, len(lines), 5):
+            for width in range(5):
+                assert patterns.enclosing("python", lines, at, " " * width) == next((n for e, s, n in reversed(types) if e <= at and s < width), "")
+
+
+def test_extraction_time_grows_with_the_file():
+    import time
+
+    made = {
+        "x.cpp": "".join(f"int fn{i}(int a) {{\n  if (a) {{ return {i}; }}\n  return a;\n}}\n" for i in range(4000)),
+        "x.py": "".join(f"class C{i}:\n    def f{i}(self):\n        return {i}\n" for i in range(4000)),
+        "x.java": "".join(f"class C{i} {{\n  public int f{i}(int a) {{\n    return a;\n  }}\n}}\n" for i in range(4000)),
+    }
+    for path, code in made.items():
+        began = time.process_time()
+        assert len(list(R.with_snippets(R.language_of(path), code, path))) >= 4000
+        assert time.process_time() - began < 2  # by searching the file for each symbol: 6 to 13 seconds
