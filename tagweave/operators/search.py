@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -150,13 +150,40 @@ def markdown_search(docs: DataFrame, query: str, path: str = "path", content: st
     return docs.select(F.col(path).alias("path"), title.alias("title"), X.preview(F.col(content)).alias("preview"), score.alias("score")).filter(F.col("score") >= min_score)
 
 
+BLOCK_LINES = 4096  # lines of a file that one task looks at together
+
+
 def nearest_symbols(cursors: DataFrame, symbols: DataFrame) -> DataFrame:
-    """For each (file_path, line) of cursors the symbol of that file with the nearest line; ties go to the first symbol."""
-    spots = symbols.filter("decl_line is not null or impl_line is not null")
-    near = F.array_min(F.transform(F.filter(F.array("decl_line", "impl_line"), lambda x: x.isNotNull()), lambda x: F.abs(x - F.col("line"))))
-    met = cursors.join(spots, "file_path").withColumn("distance", near)
-    best = met.groupBy("file_path", "line").agg(F.min(F.struct("distance", "seq", "symbol_id")).alias("b"))
-    return best.select("file_path", "line", F.col("b.symbol_id").alias("symbol_id"), F.col("b.distance").alias("distance"))
+    """For each (file_path, line) of cursors the symbol of that file with the nearest line; ties go to the first symbol.
+
+    An as-of join both ways: cursors and the symbols' lines are one sequence, in which each cursor takes the last line
+    with a symbol at or before it and the first at or after it. A file is cut into blocks of `BLOCK_LINES` lines; what lies
+    beyond a block's ends comes from the blocks' own first and last symbols. Work grows with cursors plus symbols.
+    """
+    lines = F.explode(F.array_distinct(F.array_compact(F.array("decl_line", "impl_line"))))
+    spots = symbols.select("file_path", lines.alias("line"), F.struct("seq", "symbol_id").alias("spot"))
+    asked = cursors.select("file_path", "line", F.lit(True).alias("asks"))
+    every = spots.withColumn("asks", F.lit(False)).unionByName(asked, allowMissingColumns=True).withColumn("block", F.floor(F.col("line") / BLOCK_LINES))
+    # dealt by block, so that the grouping by line and the windows need no other shuffle
+    rows = every.repartition("file_path", "block").groupBy("file_path", "block", "line").agg(F.max("asks").alias("asks"), F.min("spot").alias("spot"))
+    here = F.when(F.col("spot").isNotNull(), F.struct("line", "spot"))
+    inside = Window.partitionBy("file_path", "block").orderBy("line")
+    near = rows.select(
+        "file_path", "block", "line", "asks",
+        F.last(here, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
+        F.first(here, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("after"),
+    ).filter("asks")
+    along = Window.partitionBy("file_path").orderBy("block")
+    ends = rows.groupBy("file_path", "block").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+    beyond = ends.select(
+        "file_path", "block",
+        F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    met = near.join(beyond, ["file_path", "block"]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
+    of = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.line") - F.col("line")).alias("distance"), F.col(f"{c}.spot").alias("spot")))
+    best = met.withColumn("b", F.least(of("before"), of("after"))).filter("b is not null")
+    return best.select("file_path", "line", F.col("b.spot.symbol_id").alias("symbol_id"), F.col("b.distance").alias("distance"))
 
 
 def api_prompt(hits: DataFrame, code: str, order: Sequence[str] = ("score",)) -> DataFrame:
