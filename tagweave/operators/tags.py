@@ -28,6 +28,13 @@ def index_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("tag_type", "tag").agg(F.count("*").alias("count"))
 
 
+def shifted_counts(index: DataFrame, gone: DataFrame, came: DataFrame) -> DataFrame:
+    """index_counts of a set of edges, from the counts before and the edges that went and came; work grows with these."""
+    part = lambda edges, by: edges.groupBy("tag_type", "tag").agg((F.count("*") * by).alias("count"))
+    every = index.select("tag_type", "tag", "count").unionByName(part(gone, -1)).unionByName(part(came, 1))
+    return every.groupBy("tag_type", "tag").agg(F.sum("count").alias("count")).filter("count > 0")
+
+
 def index_scores(counts: DataFrame, previous: DataFrame) -> DataFrame:
     """Counts with the scores that the previous index had for (tag_type, tag)."""
     return counts.join(previous.select("tag_type", "tag", "score"), ["tag_type", "tag"], "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("long"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import tags as T
 from ..schema import ALIASES, CATEGORIES, FILE_META, META, ROUTING, ROUTING_FLAT, SCHEMA_VERSION, SYMBOL_TAGS, SYMBOLS, TAG_INDEX, TAG_TYPES
+from .store import Store
 
 
 @dataclass
@@ -110,6 +111,12 @@ def save_tables(index: Index, path: str) -> None:
 
 
 def load_tables(spark: SparkSession, path: str) -> Index:
+    """The tables that `save_tables` wrote to `path`, or those of the newest snapshot of an index (its folder, or `tables` below it)."""
+    for root in (path, path.rstrip("/").removesuffix("/tables")):
+        store = Store(spark, root)
+        now = store.snapshot()
+        if now is not None:
+            return Index(*(store.read(now, name) for name in TABLES), now.version)
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
 

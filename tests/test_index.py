@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.plans import index as I
 from tagweave.plans.config import BuildConfig
 from tagweave.plans.corpus import SNIPPETS
 from tagweave.sources import files, ignore, markdown, routing
+from tagweave.sources.store import Store
 from tagweave.streaming import updates
 
 
@@ -68,23 +70,61 @@ def test_build_update_and_reuse(spark, tree, tmp_path):
     assert left.filter("file_path like '%.sh'").isEmpty() and left.count() == len(ids) - 2
 
 
-def test_unchanged_files_are_not_extracted_again(spark, tmp_path):
+def rows_of(df):
+    return sorted((tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.select(sorted(df.columns)).collect()), key=repr)
+
+
+def test_untouched_symbols_are_not_worked_on_again(spark, tmp_path):
     root, out = tmp_path / "tree", str(tmp_path / "index")
     root.mkdir()
     (root / "a.py").write_text("def one():\n    return 1\n")
     (root / "b.py").write_text("def two():\n    return 2\n")
     I.build(spark, str(root), out)
-    # what the table holds of an unchanged file is what the next index has, so the file wasn't read by the extractor
-    rows = spark.read.parquet(f"{out}/tables/extracted").toPandas()
-    rows["signature"] = rows.signature.str.replace("one", "uno")
-    spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{out}/tables/extracted")
+    # what a snapshot holds of an unchanged file is what the next one has, so that file's symbols weren't made again
+    store = Store(spark, out)
+    now = store.snapshot()
+    draft = store.next(now, now.version)
+    draft.put("symbols", store.read(now, "symbols").withColumn("signature", F.replace("signature", F.lit("one"), F.lit("uno"))))
+    draft.commit()
     (root / "b.py").write_text("def two():\n    return 3\n")
     assert I.update(spark, str(root), out) is True
-    assert {r.signature for r in routing.load_tables(spark, f"{out}/tables").symbols.collect()} == {"def uno()", "def two()"}
+    assert {r.signature for r in routing.load_tables(spark, out).symbols.collect()} == {"def uno()", "def two()"}
 
 
-def test_logs_are_folded_into_the_index(spark, tmp_path):
-    root, out, log = tmp_path / "tree", str(tmp_path / "index"), str(tmp_path / "log")
+def test_update_equals_a_full_build_and_keeps_files(spark, tmp_path):
+    root, out = tmp_path / "tree", str(tmp_path / "index")
+    root.mkdir()
+    words = ["cache", "parse", "render", "socket", "matrix", "index", "token", "query"]
+    for i in range(24):
+        (root / f"m{i:02}").mkdir()
+        (root / f"m{i:02}" / f"{words[i % 8]}_{i}.py").write_text("".join(f"def {w}_{words[(i + k) % 8]}_{i}(a):\n    return a + {k}\n" for k, w in enumerate(words[:5])))
+    (root / "m00" / "twin.h").write_text("int shared(int a);\n")
+    (root / "m00" / "twin.cpp").write_text("int shared(int a) { return a * 2 + a; }\n")
+    I.build(spark, str(root), out)
+    store = Store(spark, out)
+    steps = [
+        lambda: (root / "m05" / "index_5.py").write_text("def cache_index_5(a):\n    return a + 100\ndef brand_new_symbol():\n    return 1\n"),
+        lambda: (root / "m00" / "twin.cpp").unlink(),  # the declaration takes its place
+        lambda: (root / "m03" / "added_file.py").write_text("def added_symbol():\n    return 5\n"),
+    ]
+    for k, step in enumerate(steps):
+        before = store.snapshot()
+        step()
+        assert I.update(spark, str(root), out) is True
+        after = store.snapshot()
+        fresh = str(tmp_path / f"fresh{k}")
+        I.build(spark, str(root), fresh)
+        one, other = routing.load_tables(spark, out), routing.load_tables(spark, fresh)
+        for name in ("symbols", "edges", "tag_index", "aliases", "categories"):
+            assert rows_of(getattr(one, name)) == rows_of(getattr(other, name)), (k, name)
+        for name in ("extracted", "edges", "meta"):
+            kept = sum(after.parts[name].get(b) == p for b, p in before.parts[name].items())
+            assert kept >= len(before.parts[name]) - 6, (k, name)
+        assert rows_of(store.read(after, "extracted")) == rows_of(Store(spark, fresh).read(Store(spark, fresh).snapshot(), "extracted"))
+
+
+def test_logs_are_folded_once(spark, tmp_path):
+    root, out, log, uses = tmp_path / "tree", str(tmp_path / "index"), str(tmp_path / "log"), str(tmp_path / "uses")
     root.mkdir()
     (root / "cache.py").write_text("def load_cache():\n    return 1\n")
     I.build(spark, str(root), out)
@@ -92,12 +132,50 @@ def test_logs_are_folded_into_the_index(spark, tmp_path):
     edits = "symbol_id string, op string, value string, tag_type string, seq long"
     I.append_log(spark.createDataFrame([(symbol, "add", "mine", "custom", 1)], edits), log)
     I.append_log(spark.createDataFrame([(symbol, "brief", "new words", None, 2), (symbol, "add", "gone", "custom", 3), (symbol, "remove", "gone", "custom", 4)], edits), log)
-    before = routing.load_tables(spark, f"{out}/tables").edges.count()
-    I.apply_logs(spark, out, spark.read.parquet(log), spark.createDataFrame([("mine",), ("mine",)], "tag string"))
-    now = routing.load_tables(spark, f"{out}/tables")
+    I.append_log(spark.createDataFrame([("mine",), ("mine",)], "tag string"), uses)
+    before = routing.load_tables(spark, out).edges.count()
+    I.apply_logs(spark, out, log, spark.read.parquet(uses))
+    now = routing.load_tables(spark, out)
     assert now.symbols.first().brief == "new words" and now.edges.count() == before + 1
     assert [(r["count"], r.score) for r in now.tag_index.filter("tag = 'mine'").collect()] == [(1, 2)]
     assert now.tag_index.filter("tag = 'gone'").isEmpty()
+    number = Store(spark, out).snapshot().number
+    I.apply_logs(spark, out, log, uses)  # the same files
+    assert Store(spark, out).snapshot().number == number
+    I.append_log(spark.createDataFrame([("mine",)], "tag string"), uses)
+    I.apply_logs(spark, out, log, uses)
+    I.apply_logs(spark, out, spark.read.parquet(log), spark.read.parquet(uses))
+    assert routing.load_tables(spark, out).tag_index.filter("tag = 'mine'").first().score == 3
+    (root / "cache.py").write_text("def load_cache():\n    return 2\n")
+    I.update(spark, str(root), out)
+    I.apply_logs(spark, out, log, uses)  # updates keep the names of folded files
+    assert routing.load_tables(spark, out).tag_index.filter("tag = 'mine'").first().score == 3
+    with pytest.raises(Exception):
+        I.apply_logs(spark, out, usage=spark.createDataFrame([("mine",)], "tag string"))
+
+
+def test_a_failed_publish_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    root, out, uses = tmp_path / "tree", str(tmp_path / "index"), str(tmp_path / "uses")
+    root.mkdir()
+    (root / "cache.py").write_text("def load_cache():\n    return 1\n")
+    I.build(spark, str(root), out)
+    before = rows_of(routing.load_tables(spark, out).tag_index)
+    I.append_log(spark.createDataFrame([("cache",)], "tag string"), uses)
+    from tagweave.sources import store
+
+    commit = store.Draft.commit
+    monkeypatch.setattr(store.Draft, "commit", lambda self, folded=None: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        I.apply_logs(spark, out, usage=uses)
+    assert rows_of(routing.load_tables(spark, out).tag_index) == before
+    monkeypatch.setattr(store.Draft, "commit", commit)
+    I.apply_logs(spark, out, usage=uses)  # nothing of the log is lost
+    assert routing.load_tables(spark, out).tag_index.filter("tag = 'cache' and score = 1").count() == 1
+    one, other = (Store(spark, out).next(Store(spark, out).snapshot(), 9) for _ in range(2))
+    one.commit()
+    with pytest.raises(Exception):
+        other.commit()
+    assert len(Store(spark, out).numbers()) == store.KEEP
 
 
 def test_old_documents_are_migrated(spark, tmp_path):
