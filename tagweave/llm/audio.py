@@ -3,20 +3,25 @@
 Samples become frames of twelve pitch-class energies. Over the integral image of
 the frames, `FILTERS` compare two parts of a window of time and pitch; each
 difference is quantised to two bits (Gray code), and the bits of all filters at
-one place are packed into one 32-bit integer. Recordings align where the share of
-differing bits over the whole overlap is `MOST_ERROR` at most. That share is
-computed for every offset of every pair, by correlating the bits as signs with
-one Fourier transform, and counted again bit by bit where it may hold: no pair
-depends on integers that are equal in both. Equal integers only choose between
-offsets. The work grows with queries times recordings; both are cut into blocks
-of `BLOCK` integers, and every pair of blocks is a row of its own.
+one place are packed into one 32-bit integer. Each integer gives two overlapping sub-keys
+of `KEY_BITS` bits, so that a few wrong bits leave one of them whole. For a query and
+a recording the equal sub-keys vote for their offsets: a histogram of offsets. Those
+with `LEAST_VOTES` are aligned, most votes first, and hold if the share of differing
+bits over the whole overlap is small enough: `MOST_ERROR` at `FULL_FRAMES` integers or
+more, and in proportion less for shorter overlaps, where chance finds more.
+
+A recording's integers are looked up by sub-key in sorted keys, a block of queries
+with a block of recordings (`BLOCK` integers each) at a time; the queries are the
+recordings with an id divisible by `QUERY_EVERY`. Equal sub-keys in a row (silence, a
+held note) count as one run: two runs vote for all their offsets by four changes of the
+histogram's slope, so a frequent integer doesn't make pairs of its places.
 
 Recordings with equal fingerprints are one class with the least id, so copies
 are never paired with each other.
 
 Defined cases: a null or too short recording has no fingerprint, gets no match
-and forms no class; of the offsets that hold the one with most equal integers is
-given, then the one with the least bit error, then the least; repeated rows of an
+and forms no class; of the offsets that hold the one with most votes is given,
+then the one with the least bit error, then the least; repeated rows of an
 id are one recording with the fingerprint that is first in order; silence has a
 fingerprint like any other recording; a long recording is read whole, a few
 thousand frames at a time; only the id and the media column are read, so other
@@ -45,6 +50,10 @@ BATCH_BYTES = 4 << 20  # of media values that are decoded together, but one valu
 BLOCK = 80_000
 LEAST_FRAMES = 20
 MOST_ERROR = 0.2
+FULL_FRAMES = 64
+KEY_BITS = 20
+LEAST_VOTES = 4
+RUN_PAIRS = 1 << 20  # pairs of runs that are counted together
 QUERY_EVERY = 50
 #: (kind, first pitch class, pitch classes, frames): what each filter compares inside its window.
 FILTERS = tuple((kind, low, high, width) for k, (low, high) in enumerate([(0, 12), (0, 6), (6, 6), (3, 6)]) for kind, width in (("time", 16), ("pitch", 8), ("cross", 12), ("middle", 12 if k else 15)))
@@ -143,53 +152,65 @@ def classes_of(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return member, own
 
 
-def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
-    """(recording, bit, frequency) of the bits as signs; places after the end are 0."""
-    signs = np.zeros((len(prints), 32, max(map(len, prints))), np.float32)
-    for i, p in enumerate(prints):
-        signs[i, :, : len(p)] = (p >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.float32) * 2 - 1
-    return np.fft.rfft(signs, size, axis=2)
+def error_limit(frames: int) -> float:
+    """The largest bit error of an overlap of so many integers that holds."""
+    return MOST_ERROR * min(1.0, frames / FULL_FRAMES)
 
 
-def _runs(prints: list[np.ndarray], most: int) -> Iterator[list[int]]:
-    """Numbers of prints of similar length, so many that they have `most` integers when padded, but one at least."""
-    run: list[int] = []
-    for i in sorted(range(len(prints)), key=lambda i: len(prints[i])):
-        if run and (len(prints[i]) * (len(run) + 1) > most or len(prints[i]) > 2 * len(prints[run[0]])):
-            yield run
-            run = []
-        run.append(i)
-    if run:
-        yield run
+def _key_runs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sub-key, first place and length of each run of equal sub-keys of a print; the second kind of sub-key is told apart by a bit."""
+    keys, starts, sizes = [], [], []
+    for kind in (0, 1):
+        k = (p >> np.uint32(kind * (32 - KEY_BITS)) & np.uint32((1 << KEY_BITS) - 1)).astype(np.int64) | kind << KEY_BITS
+        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))[: len(k)]
+        keys.append(k[begin])
+        starts.append(begin)
+        sizes.append(np.diff(np.append(begin, len(k))))
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes)
 
 
 def alignments(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
-    """(query, other, offset, votes, frames, bit error) of each pair of prints (uint32) with an offset that holds."""
-    for at_b in _runs(others, BLOCK):
-        b, held = [others[i] for i in at_b], 0
-        for at_a in _runs(queries, min(BLOCK, 25 * BLOCK // len(at_b))):
-            a = [queries[i] for i in at_a]
-            most_a, most_b = max(map(len, a)), max(map(len, b))
-            size = min(m << max(0, (-(-(most_a + most_b) // m) - 1).bit_length()) for m in (1, 3, 5, 7, 9, 15, 21))
-            if size != held:
-                right, held = np.ascontiguousarray(_spectra(b, size).transpose(2, 1, 0)), size
-            left = np.ascontiguousarray(_spectra(a, size).conj().transpose(2, 0, 1))
-            both = np.ascontiguousarray(np.matmul(left, right).reshape(len(left), -1).T)
-            agree = np.fft.irfft(both, size, axis=1).reshape(len(a), len(b), size)
-            offset = (np.arange(size) + most_a) % size - most_a
-            (len_a, of_a), (len_b, of_b) = (np.unique([len(p) for p in x], return_inverse=True) for x in (a, b))
-            frames = np.minimum(len_a[:, None, None] - np.maximum(-offset, 0), len_b[None, :, None] - np.maximum(offset, 0))
-            least = np.where(frames >= LEAST_FRAMES, 32 * (1 - 2 * MOST_ERROR) * frames - 1 - 1e-3 * frames, np.inf).astype(np.float32)
-            near = agree >= (least[of_a][:, of_b] if least[..., 0].size > 1 else least)
-            best: dict[tuple[int, int], tuple] = {}
-            for i, j, k in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                o, n = int(offset[k]), int(frames[of_a[i], of_b[j], k])
-                x, y = a[i][max(-o, 0) :][:n], b[j][max(o, 0) :][:n]
-                error = round(int(np.bitwise_count(x ^ y).sum()) / (32 * n), 6)
-                if error <= MOST_ERROR:
-                    best[i, j] = min(best.get((i, j), (1,)), (-int((x == y).sum()), error, o, n))
-            for (i, j), (votes, error, o, n) in best.items():
-                yield at_a[i], at_b[j], o, -votes, n, error
+    """(query, other, offset, votes, frames, bit error) of each pair of prints (uint32) with an offset that has votes and holds."""
+    lengths = np.array([len(p) for p in others])
+    runs = [_key_runs(p) for p in others]
+    keys, starts, sizes = (np.concatenate([r[i] for r in runs]) for i in range(3))
+    holder = np.repeat(np.arange(len(others)), [len(r[0]) for r in runs])
+    order = np.argsort(keys, kind="stable")
+    keys, starts, sizes, holder = keys[order], starts[order], sizes[order], holder[order]
+    for i, p in enumerate(queries):
+        own, at, size = _key_runs(p)
+        begin = np.concatenate([[0], np.cumsum(lengths + len(p) + 4)])  # the cells of each recording's offsets, -len(p) first
+        slope = np.zeros(begin[-1] + 1, np.int64)
+        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        steps = np.concatenate([[0], np.cumsum(high - low)])
+        part = 0
+        while part < len(own):
+            end = max(part + 1, int(np.searchsorted(steps, steps[part] + RUN_PAIRS, "right")) - 1)
+            n = (high - low)[part:end]
+            x = np.repeat(np.arange(part, end), n)
+            y = np.arange(len(x)) + np.repeat(low[part:end] - np.cumsum(n) + n, n)
+            # votes rise by one a step, stay, and fall again: offsets from first place less last place on
+            cell = begin[holder[y]] + len(p) + starts[y] - at[x] - size[x] + 1
+            for places, sign in ((cell, 1), (cell + size[x], -1), (cell + sizes[y], -1), (cell + size[x] + sizes[y], 1)):
+                slope += sign * np.bincount(places, minlength=len(slope))
+            part = end
+        votes = np.cumsum(np.cumsum(slope))
+        found = np.flatnonzero(votes >= LEAST_VOTES)
+        found = found[np.lexsort((found, -votes[found], np.searchsorted(begin, found, "right")))]
+        best: dict[int, tuple] = {}
+        for cell, j in zip(found.tolist(), (np.searchsorted(begin, found, "right") - 1).tolist(), strict=True):
+            n_votes, o = int(votes[cell]), cell - int(begin[j]) - len(p)
+            if j in best and n_votes < best[j][0]:
+                continue  # an offset with more votes holds
+            x, y = p[max(-o, 0) :], others[j][max(o, 0) :]
+            n = min(len(x), len(y))
+            if n < LEAST_FRAMES:
+                continue
+            error = round(int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n), 6)
+            if error <= error_limit(n) and (j not in best or (error, o) < best[j][1:3]):
+                best[j] = (n_votes, error, o, n)
+        for j, (n_votes, error, o, n) in best.items():
+            yield i, j, o, n_votes, n, error
 
 
 def blocks_of(prints: DataFrame, name: str) -> DataFrame:
@@ -221,12 +242,17 @@ def blocks_of(prints: DataFrame, name: str) -> DataFrame:
 
 
 def matches(queries: DataFrame, all_prints: DataFrame) -> DataFrame:
-    """(query, match, offset, votes, frames, bit_error): for each pair of classes the best offset that holds, of all offsets.
+    """(query, match, offset, votes, frames, bit_error): for each pair of classes the offset with most votes that holds.
 
-    `queries` and `all_prints` have (class, print).
+    `queries` and `all_prints` have (class, print). Each block of recordings goes to each block of queries.
     """
     kind = dict(all_prints.dtypes)["class"]
-    pairs = blocks_of(queries, "query").crossJoin(blocks_of(all_prints, "match"))
+    asked = stored(blocks_of(queries, "query").withColumn("no", F.monotonically_increasing_id()))
+    numbers = [r.no for r in asked.select("no").collect()]  # a block has BLOCK integers
+    if not numbers:
+        return asked.sparkSession.createDataFrame([], f"query {kind}, match {kind}, offset int, votes long, frames int, bit_error double")
+    met = blocks_of(all_prints, "match").withColumn("no", F.explode(F.array(*[F.lit(n) for n in numbers])))
+    pairs = met.join(asked, "no").select("query", "query_sizes", "query_codes", "match", "match_sizes", "match_codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

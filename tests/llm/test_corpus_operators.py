@@ -320,24 +320,58 @@ def test_long_and_silent_recordings(spark, monkeypatch):
     assert {(50, 50), (50, 1)} <= got and {m for q, m in got if q == 100} == set(range(100, 112))
 
 
-def test_audio_matches_need_no_equal_integers(spark):
+def _by_all_offsets(query, other):
+    """(-votes, bit error, offset) of the best offset that holds, by trying all of them."""
+    best = None
+    for o in range(1 - len(query), len(other)):
+        x, y = query[max(-o, 0) :], other[max(o, 0) :]
+        n = min(len(x), len(y))
+        error = round(int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n), 6)
+        if n >= audio.LEAST_FRAMES and error <= audio.error_limit(n):
+            votes = sum(int(((x[:n] >> s & 0xFFFFF) == (y[:n] >> s & 0xFFFFF)).sum()) for s in (np.uint32(0), np.uint32(12)))
+            best = min(best or (1,), (-votes, error, o))
+    return best
+
+
+def test_audio_matches_have_wrong_bits(spark):
     rng = np.random.default_rng(4)
     one, other = rng.integers(0, 1 << 32, (2, 84), dtype=np.uint32)
-    flipped = lambda p, share: p ^ (rng.random((len(p), 32)) < share) @ (1 << np.arange(32, dtype=np.uint32))
-    prints = {50: one, 51: flipped(one, 0.05), 52: flipped(one, 0.15), 53: np.concatenate([other[:70], flipped(one, 0.1)[:24]]), 54: one[:19], 55: other, 56: np.tile(one, 40)}
-    df = spark.createDataFrame([(i, p.astype(np.uint32).view(np.int32).tolist()) for i, p in prints.items()], "id long, print array<int>")
+    flipped = lambda p, share: p ^ ((rng.random((len(p), 32)) < share) @ (1 << np.arange(32))).astype(np.uint32)
+    prints = {50: one, 51: flipped(one, 0.05), 52: flipped(one, 0.1), 53: np.concatenate([other[:40], flipped(one, 0.05)[:44]]), 54: one[:19], 55: other, 56: np.tile(one, 40)}
+    df = spark.createDataFrame([(i, p.view(np.int32).tolist()) for i, p in prints.items()], "id long, print array<int>")
     got = {r.match_class: r for r in audio.search(df).collect()}
     assert set(got) == {50, 51, 52, 53, 56}
-    assert [got[i].offset for i in (50, 51, 52, 53)] == [0, 0, 0, 70] and got[53].frames == 24
-    want = {}
-    for i, p in prints.items():
-        for o in range(-83, len(p)):
-            x, y = one[max(-o, 0) :], p[max(o, 0) :].astype(np.uint32)
-            n = min(len(x), len(y))
-            error = int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)
-            if n >= audio.LEAST_FRAMES and error <= audio.MOST_ERROR:
-                want[i] = min(want.get(i, (1,)), (-int((x[:n] == y[:n]).sum()), round(error, 6), o))
-    assert want == {i: (-r.votes, r.bit_error, r.offset) for i, r in got.items()}
+    assert [got[i].offset for i in (50, 51, 52, 53)] == [0, 0, 0, 40] and got[53].frames == 44
+    want = {i: _by_all_offsets(one, p) for i, p in prints.items()}
+    assert {i: w for i, w in want.items() if w} == {i: (-r.votes, r.bit_error, r.offset) for i, r in got.items()}
+
+
+def test_audio_histogram_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(6)
+    prints = [rng.choice(np.array([7, 7, 7, 1 << 25, 90210], np.uint32), rng.integers(1, 70)) for _ in range(40)]  # long runs of equal integers
+    prints += [rng.integers(0, 1 << 32, 60, dtype=np.uint32), np.zeros(0, np.uint32), np.full(200, 3, np.uint32)]
+    monkeypatch.setattr(audio, "RUN_PAIRS", 50)
+    got = {(i, j): (-v, e, o) for i, j, o, v, n, e in audio.alignments(prints, prints)}
+    for i, p in enumerate(prints):
+        for j, q in enumerate(prints):
+            want = _by_all_offsets(p, q) if len(p) and len(q) else None
+            assert got.get((i, j)) == (want if want and -want[0] >= audio.LEAST_VOTES else None), (i, j)
+
+
+def test_audio_recall_against_all_offsets(spark):
+    """Noise, changed notes and cut recordings of melodies: found, where some offset holds."""
+    rng = np.random.default_rng(12)
+    tunes = rng.normal(0, 0.2, (30, 64))
+    others = []
+    for t in tunes:
+        t = np.where(rng.random(64) < 0.06, rng.normal(0, 0.2, 64), t)
+        sound = audio.melody_of(t.tolist())[int(rng.integers(0, 6000)) :]
+        others.append(sound + rng.normal(0, 0.1, len(sound)))
+    prints = [audio.fingerprint(audio.chroma(audio.melody_of(t.tolist()))) for t in tunes]
+    found = [audio.fingerprint(audio.chroma(x)) for x in others]
+    want = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(found) if _by_all_offsets(p, q)}
+    got = {x[:2] for x in audio.alignments(prints, found)}
+    assert len(want) >= 15 and got <= want and len(got & want) >= 0.9 * len(want)
 
 
 def test_toxicity(spark):
