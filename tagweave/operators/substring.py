@@ -16,8 +16,9 @@ GRAM = 4  # the least length at which tags match by containment
 
 
 def grams(c: Column, size: int = GRAM) -> Column:
-    """Distinct pieces of `size` characters; none for shorter strings."""
-    return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(c, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    """Distinct pieces of `size` characters, in time linear in the string; none for shorter strings."""
+    # a look ahead at each place that isn't the second half of a surrogate pair
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def containing(needles: DataFrame, haystack: DataFrame, needle: str = "needle", hay: str = "hay", size: int = GRAM) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import part_queries, search_queries, tag_queries, text_queries
+from . import part_queries, search_queries, substring_queries, tag_queries, text_queries
 
-MODULES = [search_queries, tag_queries, text_queries, part_queries]
+MODULES = [search_queries, tag_queries, text_queries, part_queries, substring_queries]
 
 
 def queries() -> dict:
