@@ -402,31 +402,38 @@ def encode_column(df: DataFrame, text: str = "text", path: str | None = None, id
 DIGESTS = (("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string"))
 
 
-def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """Columns `keep`, number of tokens, digest of the ids and digest of the text decoded from them.
+def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, ids: str | None = None) -> DataFrame:
+    """Columns `keep`, number of tokens, digest of the ids and digest of the text decoded from them; with `ids` the ids too, as array<int>.
 
-    Ids and decoded text pass through as streams; neither is held whole.
+    Ids and decoded text pass through as streams; neither is held whole, but for ids that are asked for.
     """
     file = path or default_path()
-    kept = [c for c in keep if c not in {d[0] for d in DIGESTS}]
+    kept = [c for c in keep if c not in {d[0] for d in DIGESTS} and c != ids]
     source = df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__text"))
 
-    def one(encoder: Encoder, stream: Iterator[np.ndarray]) -> tuple[int, str, str]:
+    def one(encoder: Encoder, stream: Iterator[np.ndarray], seen: list) -> tuple[int, str, str]:
         n, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder()
         for piece in stream:
             n += len(piece)
             of_ids.update(piece.astype("<u4").tobytes())
             of_text.update(machine.push(encoder.merges.bytes_for(piece)).encode())
+            if ids is not None:
+                seen.append(piece.astype(np.int32))
         of_text.update(machine.finish().encode())
         return n, of_ids.hexdigest(), of_text.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(file)
         for part in row_slices(batches, "__text"):
-            cols = zip(*(one(encoder, s) for s in encoder.streams([t or "" for t in column_of(part, "__text").to_pylist()])), strict=True)
-            yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in kept), *(pa.array(c, d[1]) for c, d in zip(cols, DIGESTS, strict=True))], names=[*kept, *(d[0] for d in DIGESTS)])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), *(f"{d[0]} {d[2]}" for d in DIGESTS)])
+            seen: list[np.ndarray] = []
+            cols = list(zip(*(one(encoder, s, seen) for s in encoder.streams([t or "" for t in column_of(part, "__text").to_pylist()])), strict=True))
+            out = [*(column_of(part, c) for c in kept), *(pa.array(c, d[1]) for c, d in zip(cols, DIGESTS, strict=True))]
+            if ids is not None:
+                offs = pa.array(np.concatenate([[0], np.cumsum(cols[0])]), pa.int32())
+                out.append(pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int32), *seen]))))
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, *(d[0] for d in DIGESTS), *([ids] if ids is not None else [])])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), *(f"{d[0]} {d[2]}" for d in DIGESTS), *([f"`{ids}` array<int>"] if ids is not None else [])])
     return arrow_map(source, run, schema)
 
 
