@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, with the digests of a round trip."""
-    return bpe.with_digests(bpe.encode_column(docs.select("doc_id", "source", "lang", "text")).drop("text"))
+    return bpe.round_trip(docs, ["doc_id", "source", "lang"], ids="token_ids")
 
 
 STAGES = [
