@@ -437,28 +437,6 @@ def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | N
     return arrow_map(source, run, schema)
 
 
-def with_digests(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
-    """All columns of df and, of its array<int> `ids`, what `round_trip` gives of the same text."""
-    file = path or default_path()
-    source = without(df, [d[0] for d in DIGESTS])
-    kept = source.columns
-
-    def one(own: np.ndarray) -> tuple[int, str, str]:
-        of_text = hashlib.sha256()
-        for piece in decode(iter(np.array_split(own, max(1, -(-len(own) // CHUNK)))), file):
-            of_text.update(piece.encode())
-        return len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), of_text.hexdigest()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                cols = zip(*(one(x.values.to_numpy()) for x in column_of(part, ids)), strict=True)
-                yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in kept), *(pa.array(c, d[1]) for c, d in zip(cols, DIGESTS, strict=True))], names=[*kept, *(d[0] for d in DIGESTS)])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{d[0]} {d[2]}" for d in DIGESTS)])
-    return arrow_map(source, run, schema)
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(sf_dir, "documents", spark), ["doc_id"])
 
