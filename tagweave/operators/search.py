@@ -150,6 +150,11 @@ def markdown_search(docs: DataFrame, query: str, path: str = "path", content: st
     return docs.select(F.col(path).alias("path"), title.alias("title"), X.preview(F.col(content)).alias("preview"), score.alias("score")).filter(F.col("score") >= min_score)
 
 
+def ranked_docs(found: DataFrame, path: str = "path") -> DataFrame:
+    """Documents of a search, best first; equal scores by path."""
+    return found.orderBy(F.desc("score"), path)
+
+
 BLOCK_LINES = 4096  # lines of a file that one task looks at together
 
 

@@ -51,6 +51,11 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return nodes.join(type_of_tags(edges), "tag").select("tag", "tag_type", "count")
 
 
+def ranked_nodes(edges: DataFrame) -> DataFrame:
+    """graph_nodes in the order of the tag graph: most symbols first, equal ones by tag."""
+    return graph_nodes(edges).orderBy(F.desc("count"), "tag")
+
+
 def graph_items(edges: DataFrame) -> DataFrame:
     """(tag, symbol_id): the symbols of each tag as rows, in order; no tag is gathered in one row."""
     return edges.select("tag", "symbol_id").distinct().orderBy("tag", "symbol_id")
@@ -233,6 +238,25 @@ def groups_to_aliases(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode("groups").alias("canonical", "raws")).select(F.explode("raws").alias("raw"), "canonical").filter("raw <> canonical").distinct()
 
 
+def merged_groups(groups: DataFrame) -> DataFrame:
+    """(grp, term, merged): for rows (grp, term) the least group that can be reached over shared terms; as `search.merge_groups` for groups that don't fit a driver.
+
+    Least labels with pointer jumping on written tables: rounds grow with the logarithm of the longest chain, and a
+    term or group that many rows have is combined before each shuffle.
+    """
+    rows = settled(groups.select("grp", "term").distinct())
+    labels = settled(rows.groupBy("grp").agg(F.min("grp").alias("merged")))
+    while True:
+        by_term = rows.join(labels, "grp").groupBy("term").agg(F.min("merged").alias("near"))
+        near = rows.join(by_term, "term").groupBy("grp").agg(F.min("near").alias("near"))
+        low = labels.join(near, "grp").select("grp", "merged", F.least("merged", "near").alias("low"))
+        jump = low.join(labels.select(F.col("grp").alias("low"), F.col("merged").alias("far")), "low")
+        after = settled(jump.select("grp", F.col("merged").alias("was"), F.least("low", "far").alias("merged")))
+        if after.filter("merged < was").isEmpty():
+            return rows.join(after.select("grp", "merged"), "grp").select("grp", "term", "merged")
+        labels = after.select("grp", "merged")
+
+
 # --- edits and usage as logs ---------------------------------------------------------------------
 
 

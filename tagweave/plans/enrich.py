@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import tags as T
+from .client import in_flight
 from .config import EnrichConfig
 
 #: (module, signature, snippet) -> answer of the model, which holds {"brief": ..., "tags": ...}.
@@ -49,12 +50,11 @@ def with_briefs(tasks: DataFrame, client: Client | None = None, config: EnrichCo
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            asked = list(zip(batch.module, batch.signature, batch["__prompt"], strict=True))
+            calls = (lambda m=m, s=s, b=b: client(m, s, b or "") for m, s, b in asked)
             out = []
-            for module, signature, snippet in zip(batch.module, batch.signature, batch["__prompt"], strict=True):
-                try:
-                    brief, tags = answer_of(client(module, signature, snippet or ""))
-                except Exception:  # a failed call must not fail the job; the row is marked and asked again next time
-                    brief, tags = None, None
+            for (_, signature, _), raw in zip(asked, in_flight(calls, config.concurrency, config.retries, config.pause), strict=True):
+                brief, tags = (None, None) if raw is None else answer_of(raw)  # a row without an answer is asked again next time
                 out.append((brief or signature, tags or "", "model" if brief else "fallback"))
             brief, tags, status = zip(*out, strict=True) if out else ((), (), ())
             yield batch.drop(columns="__prompt").assign(brief=brief, __tags=tags, brief_status=status)
@@ -73,12 +73,12 @@ def enabled() -> bool:
     return os.environ.get("TAGWEAVE_TAG_AGGREGATION", "1").strip().lower() not in ("0", "false", "off", "no")
 
 
-def aggregate_unknown(unknown: DataFrame, categories: DataFrame, client: Callable[[str], str] | None, size: int = 100) -> DataFrame:
+def aggregate_unknown(unknown: DataFrame, categories: DataFrame, client: Callable[[str], str] | None, size: int = 100, config: EnrichConfig | None = None) -> DataFrame:
     """(raw, canonical) aliases that a model gives for unknown tags, a batch of `size` tags a call.
 
     Groups that only name placeholders are rejected, and so are tags that weren't in the batch.
     """
-    spark = unknown.sparkSession
+    spark, limits = unknown.sparkSession, config or EnrichConfig()
     if client is None or not enabled():
         return spark.createDataFrame([], "raw string, canonical string")
     sample = [r.tag for r in T.category_sample(categories).collect()]
@@ -86,7 +86,8 @@ def aggregate_unknown(unknown: DataFrame, categories: DataFrame, client: Callabl
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(answer=[client(aggregation_prompt(sample, list(t))) for t in batch.tags])
+            calls = (lambda t=t: client(aggregation_prompt(sample, list(t))) for t in batch.tags)
+            yield batch.assign(answer=list(in_flight(calls, limits.concurrency, limits.retries, limits.pause)))
 
     groups = listed.mapInPandas(ask, "batch long, tags array<string>, answer string").withColumn("groups", X.aggregation_groups(F.col("answer")))
     good = groups.filter("groups is not null").filter(~X.is_placeholder(F.col("groups")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..extract import registry as R
@@ -74,7 +74,7 @@ def assemble(rows: DataFrame, previous: J.Index, client: Client | None, aggregat
 
     semantic = symbols.select(F.explode("semantic").alias("tag"))
     known = previous.categories
-    new_aliases = aggregate_unknown(T.unknown_tags(semantic, previous.aliases, known), known, aggregator, config.batch_size)
+    new_aliases = aggregate_unknown(T.unknown_tags(semantic, previous.aliases, known), known, aggregator, config.batch_size, config.enrich)
     merged = settled(T.merge_maps(previous.aliases, new_aliases, "raw", "canonical"))
     aliases = settled(T.without_cycles(merged))
     canon = settled(T.resolve_aliases(semantic, aliases))
@@ -135,18 +135,39 @@ def _extracted(files: DataFrame) -> DataFrame:
     return R.extract(files.select("rel_path", "lang", "content")).select("rel_path", "lang", *R.SYMBOL_COLUMNS, "snippet")
 
 
-def build(spark: SparkSession, root: str, out: str, client: Client | None = None, aggregator=None, config: BuildConfig | None = None) -> None:
-    """Build the index of a source tree anew; scores, aliases and custom tags of the index before are kept."""
+Progress = Callable[[str, dict], None]
+
+
+def _counted(df: DataFrame, stage: str, progress: Progress | None, **metrics: Column) -> DataFrame:
+    """df as a checkpoint, whose write also counts; the counts are reported when it is done, without another action."""
+    if progress is None:
+        return settled(df)
+    seen = Observation()
+    out = settled(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in metrics.items()]))
+    progress(stage, dict(seen.get))
+    return out
+
+
+def build(spark: SparkSession, root: str, out: str, client: Client | None = None, aggregator=None, config: BuildConfig | None = None, progress: Progress | None = None) -> None:
+    """Build the index of a source tree anew; scores, aliases and custom tags of the index before are kept.
+
+    `progress` is called with a stage (extracted, candidates, symbols, edges) and what was counted in it.
+    """
     config = config or BuildConfig()
     files = scan(spark, root, config).persist()
     previous, now = _previous(spark, out)
     store = Store(spark, out)
     draft = store.next(now, previous.version + 1)
     nothing = J.Index(previous.symbols.limit(0), previous.edges.filter("tag_type = 'custom'"), previous.tag_index, previous.aliases, previous.categories, previous.version)
-    extracted = settled(_extracted(files))
+    extracted = _counted(_extracted(files), "extracted", progress, files=F.approx_count_distinct("rel_path"))
     draft.put("extracted", extracted)
     draft.put("meta", _dated(files, store, now))
-    _publish(store, draft, assemble(candidates(_placed(extracted, files)), nothing, client, aggregator, config), config)
+    rows = _counted(candidates(_placed(extracted, files)), "candidates", progress)
+    index = assemble(rows, nothing, client, aggregator, config)
+    if progress is not None:
+        index.symbols = _counted(index.symbols, "symbols", progress, fallback=F.count_if(F.col("brief_status") == "fallback"))
+        index.edges = _counted(index.edges, "edges", progress, semantic=F.count_if(F.col("tag_type") == "semantic"))
+    _publish(store, draft, index, config)
     files.unpersist()
 
 

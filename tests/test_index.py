@@ -206,3 +206,104 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     query = updates.running_scores(updates.usage_stream(spark, folder)).writeStream.outputMode("complete").format("memory").queryName("scores").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.tag, r.score) for r in spark.table("scores").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_calls_in_flight_are_bounded_and_in_order(spark):
+    import threading
+    import time
+
+    from tagweave.plans import client
+    from tagweave.plans.config import EnrichConfig
+    from tagweave.plans.enrich import with_briefs
+
+    now, most, lock, tries = [0], [0], threading.Lock(), {}
+
+    def call(i):
+        def run():
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                tries[i] = tries.get(i, 0) + 1
+            time.sleep(0.002 * (7 - i % 7))
+            with lock:
+                now[0] -= 1
+            if i % 10 == 3 and tries[i] < 2 or i == 25:
+                raise OSError("busy")
+            return str(i)
+
+        return run
+
+    got = list(client.in_flight(map(call, range(40)), 3, retries=1, pause=0.001))
+    assert got == [None if i == 25 else str(i) for i in range(40)] and 1 < most[0] <= 3 and tries[3] == 2 and tries[25] == 2
+    assert list(client.in_flight([], 3)) == []
+    tasks = spark.createDataFrame([("m", f"f{i}(x)", "a = 1; b(a); c(b);") for i in range(30)], "module string, signature string, snippet string").coalesce(1)
+    rows = with_briefs(tasks, lambda m, s, b: '{"brief": "is %s", "tags": ["x"]}' % s if "7" not in s else 1 / 0, EnrichConfig(retries=0, concurrency=5)).collect()
+    assert {(r.signature, r.brief, r.brief_status) for r in rows} == {(f"f{i}(x)", f"f{i}(x)" if "7" in str(i) else f"is f{i}(x)", "fallback" if "7" in str(i) else "model") for i in range(30)}
+
+
+def test_http_client():
+    import http.server
+    import threading
+
+    from tagweave.plans.client import http_client
+    from tagweave.plans.config import EnrichConfig
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers.get("Authorization"), json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": "fine"}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = http_client(EnrichConfig(base_url=f"http://127.0.0.1:{server.server_port}/v1/", model="m1", temperature=7), "key")
+    assert ask("net", "int f()", "return 1;") == "fine"
+    server.shutdown()
+    path, key, body = seen[0]
+    assert path == "/v1/chat/completions" and key == "Bearer key" and body["model"] == "m1" and body["temperature"] == 1.0
+    assert "int f()" in body["messages"][0]["content"] and "return 1;" in body["messages"][0]["content"]
+
+
+def test_progress_counts_without_further_actions(spark, tmp_path):
+    root, out = tmp_path / "tree", str(tmp_path / "index")
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    return 1\n\ndef two():\n    return 2\n")
+    (root / "b.py").write_text("def three():\n    return 3\n")
+    seen = {}
+    I.build(spark, str(root), out, progress=lambda stage, counts: seen.update({stage: counts}))
+    index = routing.load_tables(spark, out)
+    assert list(seen) == ["extracted", "candidates", "symbols", "edges"]
+    assert seen["extracted"] == {"rows": 3, "files": 2} and seen["symbols"]["rows"] == index.symbols.count() == 3 and seen["edges"]["rows"] == index.edges.count()
+
+
+def test_merged_groups_equal_the_driver_version(spark):
+    import random
+
+    from tagweave.operators import search, tags
+
+    rng = random.Random(31)
+    for size in (6, 40):
+        groups = {g: {f"t{rng.randint(0, size * 2)}" for _ in range(rng.randint(1, 3))} for g in range(size)} | {1000 + i: {f"c{i}", f"c{i + 1}"} for i in range(size)}
+        rows = tags.merged_groups(spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "grp int, term string")).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.merged, set()).add(r.term)
+        assert sorted(sorted(x) for x in got.values()) == sorted(search.merge_groups([sorted(x) for x in groups.values()]))
+        assert {r.merged for r in rows} <= set(groups) and all(r.merged <= r.grp for r in rows)
+
+
+def test_orders_of_documents_and_of_the_graph(spark):
+    from tagweave.operators import search, tags
+
+    docs = spark.createDataFrame([("b.md", "x x"), ("a.md", "none"), ("c.md", "# x\nx"), ("d.md", "x x")], "path string, content string")
+    assert [r.path for r in search.ranked_docs(search.markdown_search(docs, "x")).collect()] == ["c.md", "b.md", "d.md", "a.md"]
+    edges = spark.createDataFrame([("s1", "b", "base"), ("s2", "b", "semantic"), ("s1", "a", "base"), ("s3", "c", "base"), ("s4", "c", "base")], "symbol_id string, tag string, tag_type string")
+    assert [(r.tag, r["count"]) for r in tags.ranked_nodes(edges).collect()] == [("b", 2), ("c", 2), ("a", 1)]
