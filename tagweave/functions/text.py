@@ -124,17 +124,23 @@ def alias_map() -> Column:
     return F.create_map(*[F.lit(x) for pair in HARD_ALIASES.items() for x in pair])
 
 
-def index_tag(tag: Column) -> Column:
-    """Normalization of a new tag; null where the tag is dropped."""
-    t = clean_tag(tag)
-    long = F.length(t) >= 2
+def bound(value: Column, body) -> Column:
+    """body(value), with the value evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _index_form(t: Column) -> Column:
     u = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf"[{SPACE}\-.]+", "_"), r"_+", "_"), r"^_|_$", "")
     for left, right in ((CJK, CJK), ("a-z0-9", CJK), (CJK, "a-z0-9")):
         u = F.regexp_replace(u, rf"([{left}])_+([{right}])", "$1$2")
-    u = F.regexp_replace(u, rf"[^a-z0-9_{CJK}]", "")
-    keep = long & (F.length(u) >= 2) & ~u.isin(*STOP_WORDS) & (u != "constructor")
-    out = F.coalesce(F.element_at(alias_map(), u), u)
-    return F.when(keep & (F.length(out) >= 2), out)
+    return F.regexp_replace(u, rf"[^a-z0-9_{CJK}]", "")
+
+
+def index_tag(tag: Column) -> Column:
+    """Normalization of a new tag; null where the tag is dropped."""
+    alias = lambda u: bound(F.coalesce(F.element_at(alias_map(), u), u), lambda out: F.when(F.length(out) >= 2, out))
+    keep = lambda u: F.when((F.length(u) >= 2) & ~u.isin(*STOP_WORDS) & (u != "constructor"), alias(u))
+    return bound(clean_tag(tag), lambda t: F.when(F.length(t) >= 2, bound(_index_form(t), keep)))
 
 
 def index_tags(tags: Column) -> Column:
