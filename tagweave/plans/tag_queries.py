@@ -66,7 +66,11 @@ def resolve(spark, d):
 
 
 def cycles(spark, d):
-    return T.cyclic_aliases(_aliases(spark))
+    """Suppliers lead to the supplier with their nation's number, and so in circles; customers join them; parts lead to their size, which leads nowhere."""
+    supplier = B.read(spark, d, "supplier").selectExpr("concat('s', s_suppkey) raw", "concat('s', s_nationkey) canonical")
+    customer = B.read(spark, d, "customer").selectExpr("concat('c', c_custkey) raw", "concat('s', c_nationkey) canonical")
+    part = B.read(spark, d, "part").selectExpr("concat('p', p_partkey) raw", "concat('z', p_size) canonical")
+    return T.cyclic_aliases(_aliases(spark).select("raw", "canonical").union(supplier).union(customer).union(part))
 
 
 def category_counts(spark, d):
@@ -163,7 +167,7 @@ SELECT symbol_id, CASE WHEN big THEN tag ELSE path END AS cluster_id, CASE WHEN
     "cluster_by_path": "SELECT p_partkey AS symbol_id, s AS cluster_id, 'path' AS kind, upper(s[1]) || s[2:] AS title FROM (SELECT p_partkey, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM part)",
     "unknown_tags": f"WITH {EDGES}, {AL}, {CAT} SELECT DISTINCT tag FROM e WHERE tag NOT IN (SELECT raw FROM al UNION SELECT canonical FROM al UNION SELECT tag FROM cat)",
     "alias_resolve": f"WITH RECURSIVE {EDGES}, {AL}, r(tag, canonical, path, n) AS (SELECT tag, tag, [tag], 0 FROM (SELECT tag FROM e UNION SELECT raw FROM al) UNION ALL SELECT r.tag, al.canonical, list_append(path, al.canonical), n + 1 FROM r JOIN al ON al.raw = r.canonical WHERE n < 10 AND NOT list_contains(path, al.canonical)) SELECT tag, arg_max(canonical, n) AS canonical FROM r GROUP BY tag",
-    "alias_cycles": f"WITH RECURSIVE {AL}, r(raw, c, n) AS (SELECT raw, canonical, 1 FROM al UNION ALL SELECT r.raw, al.canonical, n + 1 FROM r JOIN al ON al.raw = r.c WHERE n < 64) SELECT DISTINCT raw FROM r WHERE n = 64",
+    "alias_cycles": f"WITH RECURSIVE {AL.replace('al(', 'a0(', 1)}, al AS (SELECT * FROM a0 UNION ALL SELECT 's' || s_suppkey, 's' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 's' || c_nationkey FROM customer UNION ALL SELECT 'p' || p_partkey, 'z' || p_size FROM part), r(raw, c, n) AS (SELECT raw, canonical, 1 FROM al UNION ALL SELECT r.raw, al.canonical, n + 1 FROM r JOIN al ON al.raw = r.c WHERE n < 64) SELECT DISTINCT raw FROM r WHERE n = 64",
     "category_counts": f"WITH {EDGES}, {CAT} SELECT tag, count(symbol_id) AS count FROM (SELECT tag FROM cat UNION SELECT tag FROM e) LEFT JOIN e USING (tag) GROUP BY tag",
     "alias_cleanup": "SELECT * FROM (VALUES ('crimson', 'red'), ('nothing', 'unused'), ('offer', 'promo')) a(raw, canonical) WHERE canonical IN (SELECT unnest(string_split(lower(p_name), ' ')) FROM part UNION SELECT lower(p_type) FROM part)",
     "metadata_merge": f"WITH {EDGES} SELECT coalesce(o.tag, n.tag) AS tag, coalesce(n.count, o.count)::BIGINT AS count FROM (SELECT tag, count(*) AS count FROM e GROUP BY tag) o FULL JOIN (VALUES ('red', 1), ('fresh', 2)) n(tag, count) ON o.tag = n.tag",

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from ..extract import registry as R
 from ..functions import text as X
-from ..functions.basetags import base_tags
 from ..functions.vocabulary import HARD_ALIASES, STOP_WORDS
 from ..operators import changes as C
 from ..sources import ignore
 from . import bindings as B
-from .corpus import SNIPPETS
+from .corpus import GENERATED
 
 BODIES = ["{}", "{ return; }", "{ return nullptr; }", "{ return m_x; }", "{ return x; }", "{ return f(x); }", "{ /* none */ }", "int f() { return this->size; } // end", "{ x = 1; return x; }", "{ return a.b; } # tail"]
 IDS = ["RectItem", "addLine", "HTTPServer", "parse_json-file", "a1B2"]
@@ -63,8 +62,12 @@ def script_extract(spark, d):
     return B.read(spark, d, "pages").select("page_id", X.script_body(F.col("html")).alias("script"))
 
 
+#: A body for each part, as an expression that Spark and the oracle share.
+PART_BODY = "CASE WHEN p_size < 12 THEN '{ return m_' || replace(p_name, ' ', '_') || '; }' WHEN p_size < 24 THEN '{ return ' || replace(p_name, ' ', '.') || p_partkey || '; } // ' || p_type WHEN p_size < 36 THEN '{ /* ' || p_name || p_partkey || ' */ }' ELSE '{ x = ' || p_size || '; return ' || replace(p_name, ' ', '(') || '); }' END"
+
+
 def trivial(spark, d):
-    rows = spark.createDataFrame([(x,) for x in BODIES], "body string")
+    rows = spark.createDataFrame([(x,) for x in BODIES], "body string").union(B.read(spark, d, "part").select(F.expr(PART_BODY))).distinct()
     return rows.select("body", F.trim(X.strip_comments(F.col("body"))).alias("bare"), X.trivial_brief(F.col("body")).alias("brief"))
 
 
@@ -85,17 +88,25 @@ def ignore_filter(spark, d):
 
 def extracted(lang):
     def run(spark, d):
-        """Symbols of the sample source of one language, with their base tags."""
-        path, code = SNIPPETS[lang]
-        files = spark.createDataFrame([(path, lang, code, 0)], "rel_path string, lang string, content string, scan_seq long")
-        rows = R.extract(files)
-        hint = (X.module_hint_cpp if lang == "cpp" else X.module_hint)(F.col("rel_path"))
-        tags = base_tags(lang, X.symbol_id(hint, F.col("raw_id")), F.col("signature"), F.col("rel_path"), hint)
-        return rows.select("raw_id", "kind", "signature", "decl_line", "impl_line", F.array_join(tags, ",").alias("base_tags"))
+        """Symbols of one source file for each part, with their snippets."""
+        ext, code, _ = GENERATED[lang]
+        part = B.read(spark, d, "part")
+        text = F.replace(F.replace(F.lit(code), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{z}"), F.col("p_size").cast("string"))
+        files = part.select(F.concat(F.lit("gen/part"), F.col("p_partkey").cast("string"), F.lit(f".{ext}")).alias("rel_path"), F.lit(lang).alias("lang"), text.alias("content"))
+        return R.extract(files).select("rel_path", "raw_id", "kind", "signature", "decl_line", "impl_line", "snippet")
 
     return run
 
 
+def _symbols_sql(lang: str) -> str:
+    """The symbols that corpus.GENERATED names, for each part."""
+    ext, _, rows = GENERATED[lang]
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+    values = ", ".join(f"({', '.join(map(cell, r))})" for r in rows)
+    fill = lambda c: f"replace(replace({c}, '{{k}}', p_partkey::VARCHAR), '{{z}}', p_size::VARCHAR) AS {c}"
+    return f"SELECT 'gen/part' || p_partkey || '.{ext}' AS rel_path, {fill('raw_id')}, kind, {fill('signature')}, decl_line::INT AS decl_line, impl_line::INT AS impl_line, {fill('snippet')} FROM part, (VALUES {values}) s(raw_id, kind, signature, decl_line, impl_line, snippet)"
+
+
 QUERIES = {
     "tag_normalize": tag_normalize,
     "camel_split": camel_split,
@@ -110,7 +121,7 @@ QUERIES = {
     "truncate_text": truncate,
     "lenient_json": lenient_json,
     "ignore_filter": ignore_filter,
-} | {f"symbols_{lang}": extracted(lang) for lang in SNIPPETS}
+} | {f"symbols_{lang}": extracted(lang) for lang in GENERATED}
 
 
 def _quoted(values) -> str:
@@ -133,7 +144,7 @@ SELECT tag, CASE WHEN length(trim(tag)) >= 2 AND length(u) >= 2 AND NOT list_con
     "candidate_dedup": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'A')::INT, l_linenumber DESC, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1",
     "decl_impl_merge": "SELECT o_orderpriority AS module, o_custkey::VARCHAR AS raw_id, min(o_orderkey) FILTER (o_orderkey % 3 > 0)::INT AS decl_line, min(o_orderkey) FILTER (o_orderkey % 2 > 0)::INT AS impl_line, 's' || coalesce(min(o_orderkey) FILTER (o_orderkey % 3 > 0), min(o_orderkey)) AS signature FROM orders GROUP BY ALL",
     "script_extract": "SELECT page_id, CASE WHEN regexp_matches(html, '<script[^>]*>[\\s\\S]*?</script>') THEN regexp_extract(html, '<script[^>]*>([\\s\\S]*?)</script>', 1) ELSE html END AS script FROM pages",
-    "trivial_brief": f"""WITH b(body) AS (VALUES {_quoted(BODIES)}), c AS (SELECT body, trim(regexp_replace(regexp_replace(regexp_replace(body, '/\\*[\\s\\S]*?\\*/', ' ', 'g'), '(?m)//.*$', ' ', 'g'), '(?m)#.*$', ' ', 'g')) AS bare,
+    "trivial_brief": f"""WITH b(body) AS (VALUES {_quoted(BODIES)} UNION SELECT {PART_BODY} FROM part), c AS (SELECT body, trim(regexp_replace(regexp_replace(regexp_replace(body, '/\\*[\\s\\S]*?\\*/', ' ', 'g'), '(?m)//.*$', ' ', 'g'), '(?m)#.*$', ' ', 'g')) AS bare,
 trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(body, '\\{{([\\s\\S]*)\\}}', 1), '/\\*[\\s\\S]*?\\*/', ' ', 'g'), '(?m)//.*$', ' ', 'g'), '(?m)#.*$', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM b),
 v AS (SELECT *, trim(regexp_replace(regexp_replace(x, '^return ', ''), '; *$', '')) AS e FROM c)
 SELECT body, bare, CASE WHEN x = '' OR regexp_matches(x, '^return *;? *$') OR regexp_matches(x, '^return *(nullptr|null|none|nil|undefined) *;? *$') THEN '空返回' WHEN x LIKE 'return %' AND e <> '' AND NOT regexp_matches(replace(e, '->', ''), '[^A-Za-z0-9_$.]') THEN CASE WHEN contains(e, 'this.') OR contains(e, 'this->') OR regexp_matches(e, '^(_|m_)[A-Za-z0-9_]+$') THEN '返回成员变量' ELSE '简单返回' END END AS brief FROM v""",
@@ -144,4 +155,4 @@ m AS (SELECT chr(10) || '// ... truncated ...' || chr(10) AS k)
 SELECT doc_id, sha1(CASE WHEN n > 900 THEN left(t, 342) || k || substr(t, mid + 1, 171) || k || substr(t, greatest(mid + 171, n - 343) + 1) ELSE t END) AS digest FROM c, m""",
     "lenient_json": "SELECT event_id, 'kind' AS category, CASE WHEN event_type = user_id::VARCHAR THEN event_type ELSE event_type || '|' || user_id END AS tags FROM events",
     "ignore_filter": "SELECT page_id, path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/$', '') AS path FROM pages) WHERE CASE WHEN regexp_matches(path, '^fr/8[^/]*(/|$)') THEN true WHEN regexp_matches(path, '(^|/)fr/') THEN false WHEN regexp_matches(path, '^build/') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.log(/|$)') THEN false WHEN regexp_matches(path, '(^|/)node_modules(/|$)') THEN false ELSE true END",
-}
+} | {f"symbols_{lang}": _symbols_sql(lang) for lang in GENERATED}
