@@ -404,3 +404,55 @@ def test_pipeline_is_wired(spark):
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == 6
     assert passages.dedup_passages(kept).columns == docs.columns and mixing.sample_mixture(kept).columns == docs.columns
+
+
+def plain_features(text):
+    """Bucket shares of a text's 3- to 5-grams, by plain loops."""
+    mask = (1 << 64) - 1
+    mixed = lambda x: (lambda y: y ^ y >> 31)(((lambda y: (y ^ y >> 27) * 0x94D049BB133111EB & mask)((x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask)))
+    if not text:
+        return {}
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "\xc0" <= c <= "\xde" else " " if c <= " " else c for c in text)
+    own, counts, total = f" {low} ", {}, 0
+    for n in toxicity.SIZES:
+        for i in range(len(own) - n + 1):
+            h = 0
+            for c in own[i : i + n]:
+                h = (h * int(toxicity._STEP) + ord(c) + 1) & mask
+            b = mixed((h + n) & mask) >> (64 - toxicity.BITS)
+            counts[b] = counts.get(b, 0) + 1
+            total += 1
+    return {b: min(1.0, n * toxicity.SCALE / max(total, toxicity.SCALE)) for b, n in counts.items()}
+
+
+def test_toxicity_equals_a_plain_fit(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    docs = [(i, " ".join([word() for _ in range(40)] + (["Vilegrim É"] * 3 if i % 5 == 0 else []))) for i in range(60)] + [(60, None), (61, "")]
+    labels = [(i, int(i % 5 == 0)) for i in range(60)]
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    feats = {i: plain_features(t) for i, t in docs}
+    train = [(feats[i], y) for i, y in labels if i not in held]
+    names = {b: k for k, b in enumerate(sorted({b for f, _ in train for b in f}))}
+    x = np.zeros((len(train), len(names)))
+    for r, (f, _) in enumerate(train):
+        for b, v in f.items():
+            x[r, names[b]] = v
+    y = np.array([t for _, t in train], float)
+    # buckets that no training text has share in the smoothing
+    rest = toxicity.SMOOTH * ((1 << toxicity.BITS) - len(names))
+    p, q = x[y == 1].sum(0) + toxicity.SMOOTH, x[y == 0].sum(0) + toxicity.SMOOTH
+    z = x * np.log((p / (p.sum() + rest)) / (q / (q.sum() + rest)))
+
+    def loss(v):
+        sums = z @ v[:-1] + v[-1]
+        miss = 1 / (1 + np.exp(-sums)) - y
+        return (np.logaddexp(0, sums) - y * sums).sum() + toxicity.PENALTY / 2 * (v[:-1] @ v[:-1]), np.append(z.T @ miss + toxicity.PENALTY * v[:-1], miss.sum())
+
+    v = toxicity._lbfgs(loss, np.zeros(z.shape[1] + 1), 300)
+    for r, i in enumerate(i for i, _ in labels if i not in held):
+        assert abs(got[i] - 1 / (1 + np.exp(-(z[r] @ v[:-1] + v[-1])))) < 0.02, i
+    assert all(got[i] > 0.5 for i in range(0, 60, 5)) and all(got[i] < 0.3 for i in range(60) if i % 5)
