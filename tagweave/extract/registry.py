@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -18,6 +18,8 @@ from .patterns import LANGUAGES
 
 SYMBOL_COLUMNS = ("raw_id", "kind", "signature", "decl_line", "impl_line", "pos")
 SYMBOL = "raw_id: string, kind: string, signature: string, decl_line: int, impl_line: int, pos: int"
+#: Symbols are handed on in batches of so many bytes, about; a row without its snippet counts as so many.
+BATCH_BYTES, ROW_BYTES = 2_000_000, 200
 Extractor = Callable[[str, str], Iterator[tuple[str, str, str, int | None, int | None]]]
 
 
@@ -75,16 +77,28 @@ def extract(files: DataFrame) -> DataFrame:
     C++ scanner, against long files and files with a NUL, hold for C++ only.
     """
     kept = [c for c in files.columns if c != "content"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):  # a file at a time, so that a batch of symbols is as large as one file's
-                lang, path, code = (batch[c].iloc[i] for c in ("lang", "rel_path", "content"))
-                rows = [(*s[:-1], pos, s[-1]) for pos, s in enumerate(with_snippets(lang, code, path))] if code else []
-                if rows:
-                    found = pd.DataFrame(rows, columns=[*SYMBOL_COLUMNS, "snippet"])
-                    own = batch[kept].iloc[[i] * len(rows)].reset_index(drop=True)
-                    yield pd.concat([own, found.astype({"decl_line": "Int32", "impl_line": "Int32"})], axis=1)
+            of = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            owners, rows, size = [], [], 0
+            for i in range(batch.num_rows):
+                lang, path, code = (of[c][i].as_py() for c in ("lang", "rel_path", "content"))
+                for pos, s in enumerate(with_snippets(lang, code, path)):
+                    owners.append(i)
+                    rows.append((*s[:-1], pos, s[-1]))
+                    size += ROW_BYTES + len(s[-1] or "")
+                    if size >= BATCH_BYTES:  # by size, so that many small files share a batch and a large one has several
+                        yield whole(of, owners, rows)
+                        owners, rows, size = [], [], 0
+            if rows:
+                yield whole(of, owners, rows)
+
+    def whole(of: dict[str, pa.Array], owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        own = pa.array(owners, pa.int32())
+        found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*(of[c].take(own) for c in kept), *found], names=[*kept, *SYMBOL_COLUMNS, "snippet"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content"), *(c.replace(":", "") for c in SYMBOL.split(", ")), "snippet string"])
-    return files.filter(F.length("content") > 0).mapInPandas(run, schema)
+    return files.filter(F.length("content") > 0).mapInArrow(run, schema)

@@ -90,7 +90,8 @@ def extracted(lang):
     def run(spark, d):
         """Symbols of one source file for each part, with their snippets."""
         ext, code, _ = GENERATED[lang]
-        part = B.read(spark, d, "part")
+        # parts are few bytes each, so one task may read them all; their files are dealt over the cluster
+        part = B.read(spark, d, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
         text = F.replace(F.replace(F.lit(code), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{z}"), F.col("p_size").cast("string"))
         files = part.select(F.concat(F.lit("gen/part"), F.col("p_partkey").cast("string"), F.lit(f".{ext}")).alias("rel_path"), F.lit(lang).alias("lang"), text.alias("content"))
         return R.extract(files).select("rel_path", "raw_id", "kind", "signature", "decl_line", "impl_line", "snippet")
