@@ -13,14 +13,16 @@ def dedup_candidates(rows: DataFrame, key: str = "symbol_key", *seq: str) -> Dat
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("__r = 1").drop("__r")
 
 
-def first_of(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(seq))).filter("__r = 1").drop("__r")
+def first_of(rows: DataFrame, key: str, seq: str, *ties: str) -> DataFrame:
+    """The row of each key with the least seq; of several such rows the first by `ties`, so that the choice is open only without them."""
+    order = W.partitionBy(key).orderBy(F.asc_nulls_last(seq), *ties)
+    return rows.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
 
 
-def last_of(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last row of each key at the place of the first."""
+def last_of(rows: DataFrame, key: str, seq: str, *ties: str) -> DataFrame:
+    """The last row of each key at the place of the first; of several rows with the largest seq the first by `ties`."""
     w = W.partitionBy(key)
-    return rows.withColumn("__r", F.row_number().over(w.orderBy(F.desc(seq)))).withColumn(seq, F.min(seq).over(w)).filter("__r = 1").drop("__r")
+    return rows.withColumn("__r", F.row_number().over(w.orderBy(F.desc(seq), *ties))).withColumn(seq, F.min(seq).over(w)).filter("__r = 1").drop("__r")
 
 
 def changed_files(now: DataFrame, before: DataFrame, path: str = "rel_path") -> DataFrame:

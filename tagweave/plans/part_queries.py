@@ -71,14 +71,18 @@ def auto_prompt(spark, d):
     return S.auto_prompt(B.symbols(spark, d), "x = 1", selection=" ", line="red bolt brand")
 
 
+def _lines_as_stored(spark, d):
+    """Order lines with their place in the files: line numbers repeat within an order, and of equal ones the first that is read counts, as in SQL."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return B.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("seq"), *place)
+
+
 def first_rows(spark, d):
-    rows = B.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("seq"))
-    return C.first_of(rows, "l_orderkey", "seq")
+    return C.first_of(_lines_as_stored(spark, d), "l_orderkey", "seq", "file", "row").drop("file", "row")
 
 
 def last_rows(spark, d):
-    rows = B.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("seq"))
-    return C.last_of(rows, "l_orderkey", "seq")
+    return C.last_of(_lines_as_stored(spark, d), "l_orderkey", "seq", "file", "row").drop("file", "row")
 
 
 def impacted_modules(spark, d):
