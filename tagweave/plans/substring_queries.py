@@ -43,14 +43,19 @@ def _index(spark, rows, ident, fields) -> str:
     return path
 
 
+def _dealt(spark, symbols):
+    """Symbols are few bytes each, so one task may read them all; they are dealt over the cluster for the work on their texts."""
+    return symbols.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def keyword_indexed(spark, d):
     symbols = B.symbols(spark, d)
-    return P.keyword_indexed(symbols, _index(spark, symbols, "symbol_id", P.symbol_fields(symbols)), Q.QUERY).select("symbol_id", "score")
+    return P.keyword_indexed(symbols, _index(spark, _dealt(spark, symbols), "symbol_id", P.symbol_fields(symbols)), Q.QUERY).select("symbol_id", "score")
 
 
 def keyword_topn_indexed(spark, d):
     symbols = B.symbols(spark, d)
-    return P.top_indexed(symbols, _index(spark, symbols, "symbol_id", P.symbol_fields(symbols)), Q.QUERY, 8, "symbol_id").select("symbol_id", "score")
+    return P.top_indexed(symbols, _index(spark, _dealt(spark, symbols), "symbol_id", P.symbol_fields(symbols)), Q.QUERY, 8, "symbol_id").select("symbol_id", "score")
 
 
 def markdown_indexed(spark, d):

@@ -110,3 +110,14 @@ def test_nearest_symbols_of_many_cursors_in_one_file(spark):
         d, _, s = min((abs(x - line), seq, s) for x, seq, s in spots)
         assert got["big", line] == (d, s)
     assert not [j for j in found._jdf.queryExecution().toString().split("\n") if "Join" in j and "block" not in j]
+
+
+def test_a_gram_is_a_row_for_each_block_and_not_for_each_document(spark):
+    texts = ["cache line", "Cache", "ab", "a", "", None, "x\U0001f600yz\U0001f600", "缓存ab"] * 50
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "path string, content string").coalesce(1)
+    rows = postings.postings(docs, "path", {"content": F.col("content")}).collect()
+    idents = {r.block: r.idents for r in rows if r.gram is None}
+    got = {(idents[r.block][i], r.gram) for r in rows if r.gram is not None for i in r.places}
+    pieces = lambda t: {t[i : i + 3] for i in range(len(t) - 2)} if len(t) >= 3 else {t} - {""}
+    assert got == {(f"d{i}", g) for i, t in enumerate(texts) for g in pieces((t or "").lower())}
+    assert len([r for r in rows if r.gram == "cac"]) == len(idents) == 1
