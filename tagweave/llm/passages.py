@@ -1,22 +1,23 @@
 """Substring dedup: fuzzy passages that documents share, found by collinear chaining.
 
-1. *Seeds*: of every whole text the `K`-word shingles whose hash is divisible by
-   `SAMPLE`. The choice depends on the shingle alone, so a shingle that two
-   documents share is a seed in both or in neither.
+1. *Seeds*: the `K`-word shingles of every whole text, at every place. They are met in
+   `ROUNDS`, in each those with one remainder of the hash, so that the disk holds a part of
+   them at a time; together the rounds take all.
 2. Every seed has one first place, the least (doc_id, position). Other places are
    joined with the first one only: anchors grow with the seeds, not with the
    pairs of documents that share a passage. Where neighbouring seeds of a document
    stood first in different documents, as they do when pieces of a passage stand
-   elsewhere too, the *pair* of them (each seed with the next `STEPS`, within
+   elsewhere too, the *pair* of them (each seed with all that follow within
    `NEAR` words) is a seed of its own, with a first place and two anchors. Whether
-   a pair counts depends on its seeds alone, so two documents with both seeds agree on
-   that. First places are a written table, so both sides of the join are shuffled
+   a pair counts depends on its seeds and their distance alone, so two documents with both
+   seeds agree on that. First places are a written table, so both sides of the join are shuffled
    anew and Spark splits a seed that a large part of the documents has.
 3. *Chains*: the anchors of a document and a source are chained in order of
    both positions; the score of a chain is `K` for each anchor less `GAP` for
    each word between anchors on either side, and the best predecessor is found
-   with a Fenwick tree of prefix maxima. A document has no more anchors than
-   seeds, so a group is as large as a text at most.
+   with a Fenwick tree of prefix maxima. Where anchors follow each other word by word
+   on both sides, the two at the ends and every `K`th between them are chained: they cover
+   all words of the run.
 4. *Alignment*: the word sequences of a chain in both texts are fetched once for
    each distinct span (`SPANS` of a text in a row). Between anchors the longest
    common subsequence counts, at both ends the alignment grows within a band of
@@ -25,10 +26,11 @@
    growth, or is split at its largest gap and its parts are aligned.
 5. *Exact repeats* need no chain: each `MIN_WORDS`-word shingle that a document with
    a lesser id has too is a span, whatever other partners its seeds have. All
-   seeds inside such a shingle stand in both documents, so only stretches without
-   a seed of one document alone are hashed.
-6. Spans of a document that touch are merged; those of `MIN_WORDS` words or more
-   are passages. The copy in the document with the least id stays.
+   seeds inside such a shingle stand in both documents. Where their first places follow each
+   other word by word in one document, that document has the shingle; equal shingles have
+   equal first places, so the others only meet each other, by hash.
+6. Spans of a document that touch and have the same source are merged; those of `MIN_WORDS`
+   words or more are passages, so short pieces from several documents don't add up to one. The copy in the document with the least id stays.
 
 Words are split at white space and A-Z lower-cased. Defined cases: a null text
 has no words; a document whose text equals that of a lesser doc_id is one
@@ -45,6 +47,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +58,7 @@ from .shared import arrow_map, scratch, stored, table, text_key
 from .textnum import BASE, column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
 
 K = 5
-SAMPLE = 6  # one shingle in so many is a seed
-STEPS = 3  # seeds that a seed is paired with
+ROUNDS = 3
 NEAR = 40  # words between the seeds of a pair
 GAP = 0.03
 REACH = 64  # words that an alignment may grow beyond a chain at either end
@@ -78,17 +80,19 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and place of each seed of the rows' words."""
     hashes, begin = shingle_hashes(words, first, K)
-    at = np.flatnonzero((hashes % np.uint64(SAMPLE) == 0) & np.repeat(np.diff(first) >= K, np.diff(begin)))
+    at = np.flatnonzero(np.repeat(np.diff(first) >= K, np.diff(begin)))
     owner = np.searchsorted(begin, at, "right") - 1
     return hashes[at], owner, at - begin[owner]
 
 
-def seeds_of(texts: DataFrame) -> DataFrame:
-    """(seed, id, pos) of rows (id, text) with at least K words."""
+def seeds_of(texts: DataFrame, part_no: int = 0, parts: int = 1) -> DataFrame:
+    """(seed, id, pos) of rows (id, text) with at least K words: the seeds of one of so many parts of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, "text"):
             hashes, owner, place = _seeds(*_words(column_of(part, "text")))
+            use = hashes % np.uint64(parts) == part_no
+            hashes, owner, place = hashes[use], owner[use], place[use]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), column_of(part, "id").take(pa.array(owner)), pa.array(place, pa.int32())], names=["seed", "id", "pos"])
 
     return arrow_map(texts, run, f"seed long, id {dict(texts.dtypes)['id']}, pos int")
@@ -102,9 +106,9 @@ def shared_seeds(seeds: DataFrame) -> DataFrame:
 
 def pair_anchors(shared: DataFrame) -> DataFrame:
     """(id, src, q, s): places of both seeds of a pair with those of its first place, for seeds that stood first in different documents."""
-    order = Window.partitionBy("id").orderBy("q", "seed")
-    later = F.array(*[F.lead(F.struct("seed", "q", "src"), d).over(order) for d in range(1, STEPS + 1)])
-    pairs = shared.select("id", "seed", "q", "src", later.alias("later")).select("id", "seed", "q", "src", F.explode("later").alias("x")).filter(f"x is not null and x.src != src and x.q - q <= {NEAR}").select("id", "q", "seed", F.col("x.q").alias("q2"), F.col("x.seed").alias("seed2"))
+    near = Window.partitionBy("id").orderBy("q").rangeBetween(1, NEAR)
+    later = F.collect_list(F.struct("seed", "q", "src")).over(near)
+    pairs = shared.select("id", "seed", "q", "src", later.alias("later")).select("id", "seed", "q", F.explode(F.filter("later", lambda x: x.src != F.col("src"))).alias("x")).select("id", "q", "seed", F.col("x.q").alias("q2"), F.col("x.seed").alias("seed2"))
     pairs = stored(pairs)
     first = pairs.groupBy("seed", "seed2").agg(F.min(F.struct("id", "q", "q2")).alias("first"), F.max("id").alias("last")).filter("last != first.id").select("seed", "seed2", "first")
     met = pairs.join(stored(first), ["seed", "seed2"]).filter("id != first.id")
@@ -128,32 +132,42 @@ def _islands(places: DataFrame, most: int) -> DataFrame:
 def exact_spans(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, lo, hi): stretches whose shingles of MIN_WORDS words all stand in a document with a lesser id."""
     kind = dict(texts.dtypes)["id"]
-    places = shared.groupBy("id").agg(F.collect_set("q").alias("shared"))
+    # src only tells neighbours apart here, so a hash stands for it
+    places = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("q", "s", F.xxhash64("src").alias("src"), (F.col("id") == F.col("src")).alias("own")))).alias("shared"))
+    steps = MIN_WORDS - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, "text"):
             words, first = _words(column_of(part, "text"))
-            _, owner, place = _seeds(words, first)
-            alone = np.zeros(len(words) + 1, np.int64)  # 1 at seeds that no other document has
-            alone[first[owner] + place + 1] = 1
             listed = column_of(part, "shared")
-            alone[np.repeat(first[:-1], np.diff(listed.offsets.to_numpy())) + listed.flatten().to_numpy() + 1] = 0
-            before = np.cumsum(alone)
-            starts = np.maximum(np.diff(first) - MIN_WORDS + 1, 0)
-            row = np.repeat(np.arange(part.num_rows), starts)
-            at = np.arange(len(row)) + (first[:-1] - np.cumsum(starts) + starts)[row]
-            use = before[at + MIN_WORDS - K + 1] == before[at]
-            at, row = at[use], row[use]
+            inner = listed.flatten()
+            row = np.repeat(np.arange(part.num_rows), np.diff(listed.offsets.to_numpy()))
+            q, s, src = (inner.field(i).to_numpy() for i in range(3))
+            own = inner.field(3).to_numpy(zero_copy_only=False)
+            last = np.arange(steps, len(q))  # a window is known by its last and its first seed
+            use = (row[last] == row[last - steps]) & (q[last] - q[last - steps] == steps)
+            last = last[use]
+            breaks = np.concatenate([[0], np.cumsum((np.diff(s) != 1) | (np.diff(src) != 0))]) if len(q) else np.zeros(0, np.int64)
+            straight = breaks[last] == breaks[last - steps]
+            known = last[straight & ~own[last]] - steps
+            bent = last[~straight] - steps
+            at = first[row[bent]] + q[bent]
             hashes = np.zeros(len(at), np.uint64)
             for j in range(MIN_WORDS):
                 hashes = (hashes ^ hashes >> np.uint64(29)) * BASE + words[at + j]
-            yield pa.RecordBatch.from_arrays([column_of(part, "id").take(pa.array(row)), pa.array(at - first[row], pa.int32()), pa.array(mix(hashes).view(np.int64))], names=["id", "q", "h"])
-
-    rows = texts.join(places, "id", "left").select("id", "text", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
-    hashed = stored(arrow_map(rows, run, f"id {kind}, q int, h long"))
+            begin = known[np.flatnonzero(np.append(True, (np.diff(known) != 1))[: len(known)])]  # straight windows side by side are one stretch
+            end = known[np.flatnonzero(np.append(np.diff(known) != 1, True)[: len(known)])]
+            cuts = np.concatenate([bent, begin])
+            h = pa.array(np.concatenate([mix(hashes).view(np.int64), np.zeros(len(begin), np.int64)]), mask=np.arange(len(cuts)) >= len(bent))
+            hi = pa.array(np.concatenate([q[bent], q[end]]).astype(np.int32) + MIN_WORDS, pa.int32())
+            yield pa.RecordBatch.from_arrays([column_of(part, "id").take(pa.array(row[cuts])), pa.array(q[cuts], pa.int32()), hi, h], names=["id", "q", "hi", "h"])
+
+    found = stored(arrow_map(texts.join(places, "id").select("id", "text", "shared"), run, f"id {kind}, q int, hi int, h long"))
+    hashed = found.filter("h is not null")
     first = stored(hashed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least != last").select("h", "least"))
     again = hashed.join(first, "h").filter("id != least").select("id", "q")
-    return _islands(again, 1).select("id", "lo", (F.col("hi") + MIN_WORDS).alias("hi"))
+    bent = _islands(again, 1).select("id", "lo", (F.col("hi") + MIN_WORDS).alias("hi"))
+    return bent.unionAll(found.filter("h is null").select("id", F.col("q").alias("lo"), "hi"))
 
 
 def best_chains(q: np.ndarray, s: np.ndarray) -> list[list[int]]:
@@ -199,6 +213,17 @@ def best_chains(q: np.ndarray, s: np.ndarray) -> list[list[int]]:
     return chains
 
 
+def run_ends(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of the distinct anchors count for chains: of each run of anchors that follow each other word by word the ends and every Kth."""
+    order = np.lexsort((q, q - s))
+    step = (np.diff(q[order]) == 1) & (np.diff(s[order]) == 1)
+    inner = np.append(False, step) & np.append(step, False)
+    begin = np.maximum.accumulate(np.where(np.append(True, ~step), np.arange(len(q)), 0))
+    use = np.empty(len(q), bool)
+    use[order] = ~inner | ((np.arange(len(q)) - begin) % K == 0)
+    return use
+
+
 def chains_of(anchors: DataFrame) -> DataFrame:
     """(id, src, q0, q1, s0, s1, qs, ss): ends of chains of two anchors or more, in words, and their anchors."""
     kind = dict(anchors.dtypes)["id"]
@@ -232,6 +257,7 @@ def chains_of(anchors: DataFrame) -> DataFrame:
         out = []
         for a, b in zip(begin[many], end[many], strict=True):
             fresh = a + np.flatnonzero(np.append(True, (np.diff(q[a:b]) != 0) | (np.diff(s[a:b]) != 0)))
+            fresh = fresh[run_ends(q[fresh], s[fresh])]
             for chain in best_chains(q[fresh], s[fresh]):
                 at = fresh[chain]
                 lo, hi = at[0], at[-1]
@@ -356,32 +382,32 @@ def held_parts(a: list[int], b: list[int], q: list[int], s: list[int]) -> list[t
 
 
 def aligned(chains: DataFrame, slices: DataFrame) -> DataFrame:
-    """(id, lo, hi) of chains, or parts of chains, whose alignment holds."""
+    """(id, src, lo, hi) of chains, or parts of chains, whose alignment holds."""
     kind = dict(chains.dtypes)["id"]
     of = lambda p, key, lo, hi: slices.select(F.col("id").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("from").alias(f"{p}_from"), F.col("words").alias(f"{p}_words"))
-    rows = chains.join(of("q", "id", "q0", "q1"), ["id", "q0", "q1"]).join(of("s", "src", "s0", "s1"), ["src", "s0", "s1"]).select("id", "q0", "q1", "s0", "s1", "q_from", "q_words", "s_from", "s_words", "qs", "ss")
+    rows = chains.join(of("q", "id", "q0", "q1"), ["id", "q0", "q1"]).join(of("s", "src", "s0", "s1"), ["src", "s0", "s1"]).select("id", "src", "q_from", "q_words", "s_from", "s_words", "qs", "ss")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, "q_words"):
-            ids, los, his = [], [], []
-            for key, _, _, _, _, qf, qw, sf, sw, qs, ss in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            ids, srcs, los, his = [], [], [], []
+            for key, src, qf, qw, sf, sw, qs, ss in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for lo, hi in held_parts(np.frombuffer(qw, np.uint32).tolist(), np.frombuffer(sw, np.uint32).tolist(), [x - qf for x in qs], [x - sf for x in ss]):
                     ids.append(key)
+                    srcs.append(src)
                     los.append(qf + lo)
                     his.append(qf + hi)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), pa.array(los, pa.int32()), pa.array(his, pa.int32())], names=["id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), pa.array(srcs, part.column(1).type), pa.array(los, pa.int32()), pa.array(his, pa.int32())], names=["id", "src", "lo", "hi"])
 
-    return arrow_map(rows, run, f"id {kind}, lo int, hi int")
+    return arrow_map(rows, run, f"id {kind}, src {kind}, lo int, hi int")
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """(id, passages) with array<struct<lo, hi>>: spans that touch are one; shorter ones than MIN_WORDS go."""
-    order = Window.partitionBy("id").orderBy("lo", "hi")
+def merged(spans: DataFrame, *by: str) -> DataFrame:
+    """(by, lo, hi): spans that touch are one; shorter ones than MIN_WORDS go."""
+    order = Window.partitionBy(*by).orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cuts = spans.withColumn("new", F.coalesce(F.col("lo") > before + JOIN_WORDS, F.lit(True)).cast("int"))
-    runs = cuts.withColumn("run", F.sum("new").over(order)).groupBy("id", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    long = runs.filter(F.col("hi") - F.col("lo") >= MIN_WORDS)
-    return long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages"))
+    runs = cuts.withColumn("run", F.sum("new").over(order)).groupBy(*by, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.filter(F.col("hi") - F.col("lo") >= MIN_WORDS).select(*by, "lo", "hi")
 
 
 def passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -390,17 +416,20 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     with scratch() as kept:
         ids = stored(rows.groupBy("id").agg(F.min("key").alias("key")))
         first = stored(ids.groupBy("key").agg(F.min("id").alias("first")))
-        # joined by id alone, so that the texts are shuffled once for this and whatever is done by id next
-        texts = rows.join(first.select(F.col("first").alias("id"), F.col("key").alias("own")), "id").filter("key = own").dropDuplicates(["id"]).select("id", "text")
-        with scratch() as kept_here:
-            shared = kept_here(shared_seeds(stored(seeds_of(texts))))
+        texts = stored(rows.join(first.select(F.col("first").alias("id"), F.col("key").alias("own")), "id").filter("key = own").dropDuplicates(["id"]).select("id", "text"))
+        met = []
+        for i in range(ROUNDS):
+            with scratch() as kept_here:
+                met.append(kept_here(shared_seeds(stored(seeds_of(texts, i, ROUNDS)))))
+        shared = reduce(DataFrame.unionAll, met)
         with scratch() as kept_here:
             exact = kept_here(exact_spans(shared, texts))
         with scratch() as kept_here:
             chains = kept_here(chains_of(anchors_of(shared)))
         spans = chains.select("id", F.col("q0").alias("lo"), F.col("q1").alias("hi")).unionAll(chains.select(F.col("src").alias("id"), F.col("s0").alias("lo"), F.col("s1").alias("hi")))
         slices = stored(slices_of(stored(spans.distinct()), texts))
-        found = merged(aligned(chains, slices).unionAll(exact)).join(ids, "id").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "passages")
+        spans = merged(merged(aligned(chains, slices), "id", "src").select("id", "lo", "hi").unionAll(exact), "id")
+        found = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages")).join(ids, "id").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "passages")
         copies = ids.join(first, "key").filter("id != first").select("id", "key")
         whole = rows.join(copies, ["id", "key"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("n")).filter(F.col("n") >= MIN_WORDS)
         return kept(found.unionAll(whole.select("doc_id", "text_key", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("passages"))))

@@ -198,6 +198,39 @@ def test_recall_of_fuzzy_passages(spark):
         assert np.mean(covered) >= 90
 
 
+def _shingles(words):
+    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, first = passages.words_of(buf, np.array([0, len(buf)]))
+    return passages.shingle_hashes(passages.span_hashes(buf, starts, ends), first, passages.K)[0]
+
+
+def test_passages_are_found_by_any_shingle(spark):
+    """Passages none of whose common shingles has a hash divisible by six, which were the only seeds before."""
+    rng = random.Random(11)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    docs = []
+    while len(docs) < 20:
+        one = fresh(60)
+        other = [w if i % 8 != 5 else "other" for i, w in enumerate(one)]
+        common = np.intersect1d(_shingles(one), _shingles(other))
+        assert len(common) == 21
+        if (common % np.uint64(6) != 0).all():
+            docs += [(len(docs), fresh(30) + one + fresh(30)), (len(docs) + 1, fresh(20) + other + fresh(20))]
+    got = _spans(spark, docs)
+    assert set(got) == set(range(1, 20, 2)) and all(abs(lo - 20) <= 5 and abs(hi - 80) <= 5 for (lo, hi), in got.values())
+
+
+def test_ends_of_runs():
+    rng = random.Random(12)
+    for _ in range(100):
+        at = sorted({(d + i, i) for _ in range(6) for d in [rng.randint(-9, 9)] for b in [rng.randint(10, 90)] for i in range(b, b + rng.randint(1, 30))})
+        q, s = np.array(at).T
+        kept = {at[i] for i in np.flatnonzero(passages.run_ends(q, s))}
+        assert {x for x in at if (x[0] - 1, x[1] - 1) not in at or (x[0] + 1, x[1] + 1) not in at} <= kept
+        words = lambda anchors: {(x + k, y + k) for x, y in anchors for k in range(passages.K)}
+        assert words(kept) == words(at)
+
+
 def test_growth_and_matches_by_brute_force():
     rng = random.Random(9)
     for _ in range(200):
