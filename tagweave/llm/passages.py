@@ -99,16 +99,19 @@ def seeds_of(texts: DataFrame, part_no: int = 0, parts: int = 1) -> DataFrame:
 
 
 def shared_seeds(seeds: DataFrame) -> DataFrame:
-    """(seed, id, src, q, s): each place of a seed that several documents have, with the first place of that seed."""
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("last != first.id").select("seed", F.col("first.id").alias("src"), F.col("first.pos").alias("s"))
-    return seeds.join(stored(first), "seed").select("seed", "id", "src", F.col("pos").alias("q"), "s")
+    """(seed, id, src, q, s, many): each place of a seed that several documents have, with the first place of that seed; many: it has three places or more."""
+    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("last != first.id").select("seed", F.col("first.id").alias("src"), F.col("first.pos").alias("s"), (F.col("n") > 2).alias("many"))
+    return seeds.join(stored(first), "seed").select("seed", "id", "src", F.col("pos").alias("q"), "s", "many")
 
 
 def pair_anchors(shared: DataFrame) -> DataFrame:
-    """(id, src, q, s): places of both seeds of a pair with those of its first place, for seeds that stood first in different documents."""
+    """(id, src, q, s): places of both seeds of a pair with those of its first place, for seeds that stood first in different documents.
+
+    Two seeds of two places each, with different first documents, have one document in common at most, so such pairs aren't made.
+    """
     near = Window.partitionBy("id").orderBy("q").rangeBetween(1, NEAR)
-    later = F.collect_list(F.struct("seed", "q", "src")).over(near)
-    pairs = shared.select("id", "seed", "q", "src", later.alias("later")).select("id", "seed", "q", F.explode(F.filter("later", lambda x: x.src != F.col("src"))).alias("x")).select("id", "q", "seed", F.col("x.q").alias("q2"), F.col("x.seed").alias("seed2"))
+    later = F.collect_list(F.struct("seed", "q", "src", "many")).over(near)
+    pairs = shared.select("id", "seed", "q", "src", "many", later.alias("later")).select("id", "seed", "q", F.explode(F.filter("later", lambda x: (x.src != F.col("src")) & (x.many | F.col("many")))).alias("x")).select("id", "q", "seed", F.col("x.q").alias("q2"), F.col("x.seed").alias("seed2"))
     pairs = stored(pairs)
     first = pairs.groupBy("seed", "seed2").agg(F.min(F.struct("id", "q", "q2")).alias("first"), F.max("id").alias("last")).filter("last != first.id").select("seed", "seed2", "first")
     met = pairs.join(stored(first), ["seed", "seed2"]).filter("id != first.id")
