@@ -1,34 +1,38 @@
 """Substring dedup: fuzzy passages that documents share, found by collinear chaining.
 
-1. *Seeds*: the `K`-word shingles of every whole text, at every place. They are met in
-   `ROUNDS`, in each those with one remainder of the hash, so that the disk holds a part of
-   them at a time; together the rounds take all.
-2. Every seed has one first place, the least (doc_id, position). Other places are
-   joined with the first one only: anchors grow with the seeds, not with the
+1. *Seeds*: the `K`-word shingles of every whole text, at every place. Texts are kept in
+   *blocks* of about `BLOCK_BYTES`. Every seed that several documents have gets one first
+   place, the least (doc_id, position): `first_places` asks for it in two rounds. First each
+   block sends 32 bits of each of its distinct seeds, dealt by the seeds' leading bits, and
+   is told which of them another document may have; most seeds end here. Of the rest it
+   sends the whole seed and its least place, and is told the first place of those that are
+   shared in truth. A block sends a seed once, however often it stands there, so a seed that
+   a large part of the documents has is no hot key.
+2. Other places meet the first one only: anchors grow with the seeds, not with the
    pairs of documents that share a passage. Where neighbouring seeds of a document
    stood first in different documents, as they do when pieces of a passage stand
    elsewhere too, the *pair* of them (each seed with all that follow within
-   `NEAR` words) is a seed of its own, with a first place and two anchors. Whether
-   a pair counts depends on its seeds and their distance alone, so two documents with both
-   seeds agree on that. First places are a written table, so both sides of the join are shuffled
-   anew and Spark splits a seed that a large part of the documents has.
+   `NEAR` words) is a seed of its own, with a first place and two anchors, which are found
+   by the same two rounds. Whether a pair counts depends on its seeds and their distance alone,
+   so two documents with both seeds agree on that.
 3. *Chains*: the anchors of a document and a source are chained in order of
    both positions; the score of a chain is `K` for each anchor less `GAP` for
    each word between anchors on either side, and the best predecessor is found
    with a Fenwick tree of prefix maxima. Where anchors follow each other word by word
-   on both sides, the two at the ends and every `K`th between them are chained: they cover
-   all words of the run.
+   on both sides, the two at the ends and every `K`th between them are kept, before they are
+   dealt by document: they cover all words of the run.
 4. *Alignment*: the word sequences of a chain in both texts are fetched once for
    each distinct span (`SPANS` of a text in a row). Between anchors the longest
    common subsequence counts, at both ends the alignment grows within a band of
    `DRIFT` words until its score falls `DROP` below its best. Spans with at least
    `PERCENT` per cent of matching words hold; else the chain counts without its
-   growth, or is split at its largest gap and its parts are aligned.
+   growth, or is split at its largest gap and its parts are aligned. Growth mostly ends after a
+   few words, so only chains whose growth needs more than `FIRST_REACH` are aligned again with all of `REACH`.
 5. *Exact repeats* need no chain: each `MIN_WORDS`-word shingle that a document with
    a lesser id has too is a span, whatever other partners its seeds have. All
    seeds inside such a shingle stand in both documents. Where their first places follow each
    other word by word in one document, that document has the shingle; equal shingles have
-   equal first places, so the others only meet each other, by hash.
+   equal first places, so the others only meet each other, by a hash of those.
 6. Spans of a document that touch and have the same source are merged; those of `MIN_WORDS`
    words or more are passages, so short pieces from several documents don't add up to one. The copy in the document with the least id stays.
 
@@ -46,22 +50,24 @@ begin with two underscores are reserved.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, scratch, stored, table, text_key
-from .textnum import BASE, column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
+from .textnum import BASE, STEP, column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
 
 K = 5
-ROUNDS = 3
+BLOCK_BYTES = 4 << 20  # of the texts of a block
+PART_KEYS = 2_000_000  # keys that are compared together, about
+PAIR_CELLS = 4_000_000  # pairs of seeds of a block that are looked at together
 NEAR = 40  # words between the seeds of a pair
 GAP = 0.03
 REACH = 64  # words that an alignment may grow beyond a chain at either end
+FIRST_REACH = 20  # of which so many are fetched first
 DRIFT = 4  # words by which a growing alignment may shift
 DROP = 16  # growth ends where the score has fallen so far below its best; a match is 1, any difference -2
 PERCENT = 80
@@ -85,43 +91,222 @@ def _seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes[at], owner, at - begin[owner]
 
 
-def seeds_of(texts: DataFrame, part_no: int = 0, parts: int = 1) -> DataFrame:
-    """(seed, id, pos) of rows (id, text) with at least K words: the seeds of one of so many parts of the hashes."""
+def blocks_of(texts: DataFrame) -> DataFrame:
+    """(block, size, ids, texts) of rows (id, text) with distinct long ids: blocks in order of id, known by the least one, and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches, "text"):
-            hashes, owner, place = _seeds(*_words(column_of(part, "text")))
-            use = hashes % np.uint64(parts) == part_no
-            hashes, owner, place = hashes[use], owner[use], place[use]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), column_of(part, "id").take(pa.array(owner)), pa.array(place, pa.int32())], names=["seed", "id", "pos"])
+        for part in row_slices(batches, "text", BLOCK_BYTES):
+            order = pa.array(np.argsort(column_of(part, "id").to_numpy()))
+            ids, texts = column_of(part, "id").take(order), column_of(part, "text").take(order)
+            whole = pa.array([0, part.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids[:1], pa.array([len(string_bytes(texts)[0])], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, texts)], names=["block", "size", "ids", "texts"])
+
+    return arrow_map(texts, run, "block long, size long, ids array<long>, texts array<string>")
+
+
+def seed_keys(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of a block of texts, the document of each and its place there, in order of document and place."""
+    hashes, owner, place = _seeds(*_words(block["texts"].values))
+    return hashes, block["ids"].values.to_numpy()[owner], place
+
+
+SHARED = {"id": np.int64, "q": np.int32, "src": np.int64, "s": np.int32, "many": np.uint8}
 
-    return arrow_map(texts, run, f"seed long, id {dict(texts.dtypes)['id']}, pos int")
 
+def _places(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(block[c].as_buffer(), kind) for c, kind in SHARED.items())
 
-def shared_seeds(seeds: DataFrame) -> DataFrame:
-    """(seed, id, src, q, s, many): each place of a seed that several documents have, with the first place of that seed; many: it has three places or more."""
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("last != first.id").select("seed", F.col("first.id").alias("src"), F.col("first.pos").alias("s"), (F.col("n") > 2).alias("many"))
-    return seeds.join(stored(first), "seed").select("seed", "id", "src", F.col("pos").alias("q"), "s", "many")
 
+def _codes(src: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """A first place as one number, which stands for its seed."""
+    return mix(mix(src.view(np.uint64) + STEP) + s.astype(np.uint64))
 
-def pair_anchors(shared: DataFrame) -> DataFrame:
-    """(id, src, q, s): places of both seeds of a pair with those of its first place, for seeds that stood first in different documents.
+
+def _near(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each pair of seeds of a block of shared places, in order.
 
     Two seeds of two places each, with different first documents, have one document in common at most, so such pairs aren't made.
     """
-    near = Window.partitionBy("id").orderBy("q").rangeBetween(1, NEAR)
-    later = F.collect_list(F.struct("seed", "q", "src", "many")).over(near)
-    pairs = shared.select("id", "seed", "q", "src", "many", later.alias("later")).select("id", "seed", "q", F.explode(F.filter("later", lambda x: (x.src != F.col("src")) & (x.many | F.col("many")))).alias("x")).select("id", "q", "seed", F.col("x.q").alias("q2"), F.col("x.seed").alias("seed2"))
-    pairs = stored(pairs)
-    first = pairs.groupBy("seed", "seed2").agg(F.min(F.struct("id", "q", "q2")).alias("first"), F.max("id").alias("last")).filter("last != first.id").select("seed", "seed2", "first")
-    met = pairs.join(stored(first), ["seed", "seed2"]).filter("id != first.id")
-    ends = F.array(F.struct("q", F.col("first.q").alias("s")), F.struct(F.col("q2").alias("q"), F.col("first.q2").alias("s")))
-    return met.select("id", F.col("first.id").alias("src"), F.explode(ends).alias("x")).select("id", "src", "x.q", "x.s")
+    ids, q, src, _, many = _places(block)
+    at = np.cumsum(np.append(False, ids[1:] != ids[:-1])[: len(ids)]) << 32 | q
+    n = np.searchsorted(at, at + NEAR, "right") - np.arange(len(at)) - 1
+    steps = np.concatenate([[0], np.cumsum(n)])
+    left, right, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(steps, steps[begin] + PAIR_CELLS, "right")) - 1)
+        i = np.repeat(np.arange(begin, end), n[begin:end])
+        j = np.arange(len(i)) - np.repeat(steps[begin:end] - steps[begin], n[begin:end]) + i + 1
+        use = (src[i] != src[j]) & (many[i] | many[j]).astype(bool)
+        left.append(i[use])
+        right.append(j[use])
+        begin = end
+    return np.concatenate(left), np.concatenate(right)
+
+
+def pair_keys(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of seeds of a block of shared places, the document of each and its two places (the second as the distance, in the last byte)."""
+    ids, q, src, s, _ = _places(block)
+    i, j = _near(block)
+    code = _codes(src, s)
+    return mix(code[i] * BASE + code[j]), ids[i], q[i].astype(np.int64) << 8 | (q[j] - q[i])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the first and the last place of each among the keys given, and how often it comes."""
+    order = np.argsort(keys)
+    begin = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))[: len(keys)]
+    if not len(keys):
+        return keys, order, order, order
+    return keys[order[begin]], np.minimum.reduceat(order, begin), np.maximum.reduceat(order, begin), np.diff(np.append(begin, len(keys)))
+
+
+def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for i in range(table.num_rows):
+        yield {c: table.column(k)[i] for k, c in enumerate(table.schema.names)}
+
+
+def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(schema.items())})
+
+
+def _flat(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
+
+
+def first_places(blocks: DataFrame, keys: Callable, parts: int) -> DataFrame:
+    """(block, at, src, place, many): for keys that several documents have their number among the block's distinct keys and their first place.
+
+    `keys` gives a block's keys, their documents and their places, in order; many: a key has three places or more. All
+    but the block are arrays, as bytes: uint32, int64, int64, uint8.
+    """
+    cuts_of = lambda own: np.searchsorted((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1)).tolist()
+    asked = {"part": pa.int32(), "block": pa.int64(), "prints": pa.binary(), "several": pa.binary()}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _rows(batch):
+                every, ids, _ = keys(block)
+                own, first, last, _ = _distinct(every)
+                several, prints, cuts = (ids[first] != ids[last]).astype(np.uint8), own.astype(np.uint32), cuts_of(own)
+                rows = [(p, block["block"].as_py(), prints[a:b].tobytes(), several[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                yield from _table(asked, rows).to_batches()
+
+    def met(rows: pa.Table) -> pa.Table:
+        prints = _flat(rows, "prints", np.uint32)
+        order = np.argsort(prints)
+        same = prints[order[1:]] == prints[order[:-1]]
+        use = np.empty(len(prints), bool)
+        use[order] = np.append(False, same) | np.append(same, False)
+        use |= _flat(rows, "several", np.uint8).astype(bool)
+        sizes = [len(x.as_buffer()) for x in rows.column("several")]
+        ends = np.cumsum(sizes)
+        return _table({"part": pa.int32(), "block": pa.int64(), "bits": pa.binary()}, [(p, b, np.packbits(use[e - n : e]).tobytes()) for p, b, n, e in zip(rows.column("part").to_pylist(), rows.column("block").to_pylist(), sizes, ends, strict=True)])
+
+    sent = {"part": pa.int32(), "block": pa.int64(), "at": pa.binary(), "keys": pa.binary(), "ids": pa.binary(), "places": pa.binary(), "counts": pa.binary()}
+
+    def send(block: pa.Table, told: pa.Table) -> pa.Table:
+        rows = []
+        for x in _rows(block):
+            every, ids, places = keys(x)
+            own, first, last, n = _distinct(every)
+            cuts, counts = cuts_of(own), (np.minimum(n, 3) | (ids[first] != ids[last]).astype(np.int64) << 2).astype(np.uint8)
+            for p, bits in zip(told.column("part").to_pylist(), told.column("bits").to_pylist(), strict=True):
+                at = cuts[p] + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[p + 1] - cuts[p]))
+                if len(at):
+                    rows.append((p, x["block"].as_py(), at.astype(np.uint32).tobytes(), own[at].tobytes(), ids[first[at]].tobytes(), places[first[at]].astype(np.int64).tobytes(), counts[at].tobytes()))
+        return _table(sent, rows)
+
+    def answer(rows: pa.Table) -> pa.Table:
+        at, every, ids, places, counts = (_flat(rows, c, kind) for c, kind in (("at", np.uint32), ("keys", np.uint64), ("ids", np.int64), ("places", np.int64), ("counts", np.uint8)))
+        order = np.lexsort((places, ids, every))
+        begin = np.flatnonzero(np.append(True, every[order[1:]] != every[order[:-1]]))
+        size = np.diff(np.append(begin, len(order)))
+        shared = (size > 1) | (np.maximum.reduceat(counts[order], begin) > 3)
+        many = (np.add.reduceat((counts[order] & 3).astype(np.int64), begin) > 2).astype(np.uint8)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(begin)), size)
+        first, out, end = order[begin], [], 0
+        for block, x in zip(rows.column("block").to_pylist(), rows.column("counts"), strict=True):
+            own = slice(end, end := end + len(x.as_buffer()))
+            use = shared[group[own]]
+            g = group[own][use]
+            out.append((block, at[own][use].tobytes(), ids[first[g]].tobytes(), places[first[g]].tobytes(), many[g].tobytes()))
+        return _table({"block": pa.int64(), "at": pa.binary(), "src": pa.binary(), "place": pa.binary(), "many": pa.binary()}, out)
+
+    with scratch() as kept:
+        bits = stored(arrow_map(blocks, ask, "part int, block long, prints binary, several binary").groupBy("part").applyInArrow(met, "part int, block long, bits binary"))
+        rows = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(send, "part int, block long, at binary, keys binary, ids binary, places binary, counts binary")
+        return kept(rows.groupBy("part").applyInArrow(answer, "block long, at binary, src binary, place binary, many binary"))
+
+
+def _told(every: np.ndarray, told: pa.Table) -> tuple[np.ndarray, ...]:
+    """Which of a block's keys `first_places` told of, and the document, place and `many` of each of those."""
+    own, _, _, _ = _distinct(every)
+    src, place, many = np.full(len(own), -1), np.zeros(len(own), np.int64), np.zeros(len(own), np.uint8)
+    at = _flat(told, "at", np.uint32)
+    src[at], place[at], many[at] = _flat(told, "src", np.int64), _flat(told, "place", np.int64), _flat(told, "many", np.uint8)
+    rank = np.searchsorted(own, every)
+    use = np.flatnonzero(src[rank] >= 0)
+    rank = rank[use]
+    return use, src[rank], place[rank], many[rank]
+
+
+def shared_places(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, n, id, q, src, s, many): the places of a block's seeds that several documents have, with the first place of each seed; arrays, as bytes (`SHARED`)."""
+    schema = {"block": pa.int64(), "n": pa.int64(), **{c: pa.binary() for c in SHARED}}
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        rows = []
+        for x in _rows(block) if told.num_rows else ():
+            every, ids, places = seed_keys(x)
+            use, src, s, many = _told(every, told)
+            rows.append((x["block"].as_py(), len(use), *(v.astype(kind).tobytes() for v, kind in zip((ids[use], places[use], src, s, many), SHARED.values(), strict=True))))
+        return _table(schema, rows)
+
+    told = first_places(blocks, seed_keys, parts)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "block long, n long, id binary, q binary, src binary, s binary, many binary")
+
+
+def _anchors(ids: np.ndarray, src: np.ndarray, q: np.ndarray, s: np.ndarray) -> pa.Table:
+    """(id, src, q, s): the distinct anchors at the ends of runs and every Kth."""
+    order = np.lexsort((s, q, src, ids))
+    ids, src, q, s = ids[order], src[order], q[order], s[order]
+    other = np.append(False, (ids[1:] != ids[:-1]) | (src[1:] != src[:-1]))[: len(ids)]
+    fresh = np.append(True, other[1:] | (q[1:] != q[:-1]) | (s[1:] != s[:-1]))[: len(ids)]
+    group = np.cumsum(other)[fresh]
+    ids, src, q, s = ids[fresh], src[fresh], q[fresh], s[fresh]
+    use = run_ends(q, s, group)
+    return pa.table({"id": pa.array(ids[use]), "src": pa.array(src[use]), "q": pa.array(q[use], pa.int32()), "s": pa.array(s[use], pa.int32())})
 
 
 def anchors_of(shared: DataFrame) -> DataFrame:
     """(id, src, q, s): places of a seed with its first place in another document, and those of pairs of seeds; some come twice."""
-    return shared.filter("id != src").select("id", "src", "q", "s").unionAll(pair_anchors(shared))
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _rows(batch):
+                ids, q, src, s, _ = _places(block)
+                use = ids != src
+                yield from _anchors(ids[use], src[use], q[use], s[use]).to_batches()
+
+    def of_pairs(block: pa.Table, told: pa.Table) -> pa.Table:
+        found = [_anchors(*(np.zeros(0, np.int64) for _ in range(4)))]
+        for x in _rows(block) if told.num_rows else ():
+            every, ids, places = pair_keys(x)
+            use, src, first, _ = _told(every, told)
+            other = src != ids[use]
+            use, src, first = use[other], src[other], first[other]
+            q, s = places[use], first
+            found.append(_anchors(np.tile(ids[use], 2), np.tile(src, 2), np.concatenate([q >> 8, (q >> 8) + (q & 255)]), np.concatenate([s >> 8, (s >> 8) + (s & 255)])))
+        return pa.concat_tables(found)
+
+    columns = "id long, src long, q int, s int"
+    told = first_places(shared, pair_keys, _parts(shared, F.sum("n") * 3))  # about three pairs a place
+    return arrow_map(shared, direct, columns).unionAll(shared.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(of_pairs, columns))
+
+
+def _parts(blocks: DataFrame, keys: Column) -> int:
+    return max(1, -(-int(blocks.agg(keys).first()[0] or 0) // PART_KEYS))
 
 
 def _islands(places: DataFrame, most: int) -> DataFrame:
@@ -132,40 +317,31 @@ def _islands(places: DataFrame, most: int) -> DataFrame:
     return runs.groupBy("id", "run").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).drop("run")
 
 
-def exact_spans(shared: DataFrame, texts: DataFrame) -> DataFrame:
+def exact_spans(shared: DataFrame) -> DataFrame:
     """(id, lo, hi): stretches whose shingles of MIN_WORDS words all stand in a document with a lesser id."""
-    kind = dict(texts.dtypes)["id"]
-    # src only tells neighbours apart here, so a hash stands for it
-    places = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("q", "s", F.xxhash64("src").alias("src"), (F.col("id") == F.col("src")).alias("own")))).alias("shared"))
     steps = MIN_WORDS - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches, "text"):
-            words, first = _words(column_of(part, "text"))
-            listed = column_of(part, "shared")
-            inner = listed.flatten()
-            row = np.repeat(np.arange(part.num_rows), np.diff(listed.offsets.to_numpy()))
-            q, s, src = (inner.field(i).to_numpy() for i in range(3))
-            own = inner.field(3).to_numpy(zero_copy_only=False)
-            last = np.arange(steps, len(q))  # a window is known by its last and its first seed
-            use = (row[last] == row[last - steps]) & (q[last] - q[last - steps] == steps)
-            last = last[use]
-            breaks = np.concatenate([[0], np.cumsum((np.diff(s) != 1) | (np.diff(src) != 0))]) if len(q) else np.zeros(0, np.int64)
-            straight = breaks[last] == breaks[last - steps]
-            known = last[straight & ~own[last]] - steps
-            bent = last[~straight] - steps
-            at = first[row[bent]] + q[bent]
-            hashes = np.zeros(len(at), np.uint64)
-            for j in range(MIN_WORDS):
-                hashes = (hashes ^ hashes >> np.uint64(29)) * BASE + words[at + j]
-            begin = known[np.flatnonzero(np.append(True, (np.diff(known) != 1))[: len(known)])]  # straight windows side by side are one stretch
-            end = known[np.flatnonzero(np.append(np.diff(known) != 1, True)[: len(known)])]
-            cuts = np.concatenate([bent, begin])
-            h = pa.array(np.concatenate([mix(hashes).view(np.int64), np.zeros(len(begin), np.int64)]), mask=np.arange(len(cuts)) >= len(bent))
-            hi = pa.array(np.concatenate([q[bent], q[end]]).astype(np.int32) + MIN_WORDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([column_of(part, "id").take(pa.array(row[cuts])), pa.array(q[cuts], pa.int32()), hi, h], names=["id", "q", "hi", "h"])
-
-    found = stored(arrow_map(texts.join(places, "id").select("id", "text", "shared"), run, f"id {kind}, q int, hi int, h long"))
+        for batch in batches:
+            for block in _rows(batch):
+                ids, q, src, s, _ = _places(block)
+                last = np.arange(steps, len(q))  # a window is known by its last and its first seed
+                last = last[(ids[last] == ids[last - steps]) & (q[last] - q[last - steps] == steps)]
+                breaks = np.cumsum(np.append(False, (np.diff(s) != 1) | (np.diff(src) != 0))[: len(q)])
+                straight = breaks[last] == breaks[last - steps]
+                known = last[straight & (ids[last] != src[last])] - steps
+                bent = last[~straight] - steps
+                code, hashes = _codes(src, s), np.zeros(len(bent), np.uint64)
+                for j in [*range(0, steps, K), steps]:  # seeds that cover the window's words
+                    hashes = (hashes ^ hashes >> np.uint64(29)) * BASE + code[bent + j]
+                begin = known[np.flatnonzero(np.append(True, (np.diff(known) != 1))[: len(known)])]  # straight windows side by side are one stretch
+                end = known[np.flatnonzero(np.append(np.diff(known) != 1, True)[: len(known)])]
+                cuts = np.concatenate([bent, begin])
+                h = pa.array(np.concatenate([mix(hashes).view(np.int64), np.zeros(len(begin), np.int64)]), mask=np.arange(len(cuts)) >= len(bent))
+                hi = pa.array(np.concatenate([q[bent], q[end]]).astype(np.int32) + MIN_WORDS, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array(q[cuts], pa.int32()), hi, h], names=["id", "q", "hi", "h"])
+
+    found = stored(arrow_map(shared, run, "id long, q int, hi int, h long"))
     hashed = found.filter("h is not null")
     first = stored(hashed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least != last").select("h", "least"))
     again = hashed.join(first, "h").filter("id != least").select("id", "q")
@@ -216,10 +392,13 @@ def best_chains(q: np.ndarray, s: np.ndarray) -> list[list[int]]:
     return chains
 
 
-def run_ends(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Which of the distinct anchors count for chains: of each run of anchors that follow each other word by word the ends and every Kth."""
-    order = np.lexsort((q, q - s))
-    step = (np.diff(q[order]) == 1) & (np.diff(s[order]) == 1)
+def run_ends(q: np.ndarray, s: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Which of the distinct anchors (of each group) count for chains: of each run of anchors that follow each other word by word the ends and every Kth."""
+    group = np.zeros(len(q), np.int64) if group is None else group
+    order = np.lexsort((q, q - s, group))
+    if not len(q):
+        return np.zeros(0, bool)
+    step = (np.diff(q[order]) == 1) & (np.diff(s[order]) == 1) & (np.diff(group[order]) == 0)
     inner = np.append(False, step) & np.append(step, False)
     begin = np.maximum.accumulate(np.where(np.append(True, ~step), np.arange(len(q)), 0))
     use = np.empty(len(q), bool)
@@ -257,6 +436,16 @@ def chains_of(anchors: DataFrame) -> DataFrame:
         if not all_of_it:
             many[-1] = False
         q, s, ids, src = (rows.column(c).to_numpy() for c in ("q", "s", "id", "src"))
+        names = ["id", "src", "q0", "q1", "s0", "s1", "qs", "ss"]
+        two = begin[many & (end - begin == 2)]  # most groups: a chain, if one anchor gains by the other
+        two = two[(q[two] < q[two + 1]) & (s[two] < s[two + 1]) & (K - GAP * (q[two + 1] - q[two] + s[two + 1] - s[two]) > 0)]
+        if len(two):
+            both = (two[:, None] + np.arange(2)).reshape(-1)
+            offs = pa.array(np.arange(len(two) + 1) * 2, pa.int32())
+            lists = [pa.ListArray.from_arrays(offs, pa.array(x[both], pa.int32())) for x in (q, s)]
+            ends = [pa.array(x, pa.int32()) for x in (q[two], q[two + 1] + K, s[two], s[two + 1] + K)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[two]), pa.array(src[two]), *ends, *lists], names=names)
+        many &= end - begin > 2
         out = []
         for a, b in zip(begin[many], end[many], strict=True):
             fresh = a + np.flatnonzero(np.append(True, (np.diff(q[a:b]) != 0) | (np.diff(s[a:b]) != 0)))
@@ -268,13 +457,13 @@ def chains_of(anchors: DataFrame) -> DataFrame:
         if out:
             cols = list(zip(*out, strict=True))
             kinds = [rows.schema.field("id").type, rows.schema.field("src").type, *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "src", "q0", "q1", "s0", "s1", "qs", "ss"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return arrow_map(dealt, run, f"id {kind}, src {kind}, q0 int, q1 int, s0 int, s1 int, qs array<int>, ss array<int>")
 
 
-def slices_of(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, lo, hi, from, words): word hashes (4 bytes each) of distinct spans (id, lo, hi), with REACH words on either side.
+def slices_of(spans: DataFrame, texts: DataFrame, reach: int = REACH) -> DataFrame:
+    """(id, lo, hi, from, words): word hashes (4 bytes each) of distinct spans (id, lo, hi), with `reach` words on either side.
 
     A text with more than SPANS spans, which many documents may quote, is read in several rows.
     """
@@ -292,12 +481,12 @@ def slices_of(spans: DataFrame, texts: DataFrame) -> DataFrame:
             for i, (key, spans) in enumerate(zip(column_of(part, "id").to_pylist(), column_of(part, "spans").to_pylist(), strict=True)):
                 own = low[first[i] : first[i + 1]]
                 for x in spans:
-                    start = max(0, x["lo"] - REACH)
+                    start = max(0, x["lo"] - reach)
                     ids.append(key)
                     los.append(x["lo"])
                     his.append(x["hi"])
                     froms.append(start)
-                    pieces.append(own[start : x["hi"] + REACH].tobytes())
+                    pieces.append(own[start : x["hi"] + reach].tobytes())
                     if len(pieces) >= 2000:
                         yield batch(part, ids, los, his, froms, pieces)
                         ids, los, his, froms, pieces = [], [], [], [], []
@@ -325,6 +514,11 @@ def common_words(a: list[int], b: list[int]) -> int:
 
 def grown(a: list[int], b: list[int]) -> tuple[int, int]:
     """How many words of two sequences an alignment from their beginnings takes in until its score is best, within a band of DRIFT."""
+    return _grown(a, b)[:2]
+
+
+def _grown(a: list[int], b: list[int]) -> tuple[int, int, bool]:
+    """As `grown`; and whether it ended before the end of both sequences, so that more words wouldn't change it."""
     same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     a, b = a[same:], b[same:]
     best, end = 0, (0, 0)
@@ -346,8 +540,8 @@ def grown(a: list[int], b: list[int]) -> tuple[int, int]:
                 best, end = value, (i + 1, j + 1)
         row = after
         if max(row) < best - DROP:
-            break
-    return same + end[0], same + end[1]
+            return same + end[0], same + end[1], i + DRIFT < len(b)
+    return same + end[0], same + end[1], False
 
 
 def matched(a: list[int], b: list[int], q: list[int], s: list[int]) -> int:
@@ -363,8 +557,11 @@ def matched(a: list[int], b: list[int], q: list[int], s: list[int]) -> int:
     return n
 
 
-def held_parts(a: list[int], b: list[int], q: list[int], s: list[int]) -> list[tuple[int, int]]:
-    """Spans of a that align with b: the whole chain of anchors (q, s), or, split at the largest gap, such parts of two anchors or more."""
+def held_parts(a: list[int], b: list[int], q: list[int], s: list[int], reach: int = REACH) -> list[tuple[int, int]] | None:
+    """Spans of a that align with b: the whole chain of anchors (q, s), or, split at the largest gap, such parts of two anchors or more.
+
+    None if growth may need more than `reach` words, where that is less than REACH.
+    """
     found, parts = [], [(0, len(q))]
     while parts:
         x, y = parts.pop()
@@ -372,7 +569,9 @@ def held_parts(a: list[int], b: list[int], q: list[int], s: list[int]) -> list[t
             continue
         lo, hi, s_lo, s_hi = q[x], q[y - 1] + K, s[x], s[y - 1] + K
         n = hi - lo if a[lo:hi] == b[s_lo:s_hi] else matched(a, b, q[x:y], s[x:y])
-        right, left = grown(a[hi : hi + REACH], b[s_hi : s_hi + REACH]), grown(a[max(0, lo - REACH) : lo][::-1], b[max(0, s_lo - REACH) : s_lo][::-1])
+        right, left = _grown(a[hi : hi + reach], b[s_hi : s_hi + reach]), _grown(a[max(0, lo - reach) : lo][::-1], b[max(0, s_lo - reach) : s_lo][::-1])
+        if reach < REACH and not (right[2] and left[2]):
+            return None
         more = common_words(a[hi : hi + right[0]], b[s_hi : s_hi + right[1]]) + common_words(a[lo - left[0] : lo], b[s_lo - left[1] : s_lo])
         if 100 * (n + more) >= PERCENT * max(hi - lo + left[0] + right[0], s_hi - s_lo + left[1] + right[1]):
             found.append((lo - left[0], hi + right[0]))
@@ -384,24 +583,38 @@ def held_parts(a: list[int], b: list[int], q: list[int], s: list[int]) -> list[t
     return found
 
 
-def aligned(chains: DataFrame, slices: DataFrame) -> DataFrame:
-    """(id, src, lo, hi) of chains, or parts of chains, whose alignment holds."""
-    kind = dict(chains.dtypes)["id"]
+def aligned(chains: DataFrame, slices: DataFrame, reach: int = REACH) -> DataFrame:
+    """(id, src, lo, hi, s0, s1, qs, ss) of chains, or parts of chains, whose alignment holds, the last four null; those that need more than `reach` words come as they are."""
     of = lambda p, key, lo, hi: slices.select(F.col("id").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("from").alias(f"{p}_from"), F.col("words").alias(f"{p}_words"))
-    rows = chains.join(of("q", "id", "q0", "q1"), ["id", "q0", "q1"]).join(of("s", "src", "s0", "s1"), ["src", "s0", "s1"]).select("id", "src", "q_from", "q_words", "s_from", "s_words", "qs", "ss")
+    rows = chains.join(of("q", "id", "q0", "q1"), ["id", "q0", "q1"]).join(of("s", "src", "s0", "s1"), ["src", "s0", "s1"]).select("id", "src", "q0", "q1", "s0", "s1", "q_from", "q_words", "s_from", "s_words", "qs", "ss")
+    schema = pa.schema([("id", pa.int64()), ("src", pa.int64()), *((c, pa.int32()) for c in ("lo", "hi", "s0", "s1")), *((c, pa.list_(pa.int32())) for c in ("qs", "ss"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, "q_words"):
-            ids, srcs, los, his = [], [], [], []
-            for key, src, qf, qw, sf, sw, qs, ss in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for lo, hi in held_parts(np.frombuffer(qw, np.uint32).tolist(), np.frombuffer(sw, np.uint32).tolist(), [x - qf for x in qs], [x - sf for x in ss]):
-                    ids.append(key)
-                    srcs.append(src)
-                    los.append(qf + lo)
-                    his.append(qf + hi)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), pa.array(srcs, part.column(1).type), pa.array(los, pa.int32()), pa.array(his, pa.int32())], names=["id", "src", "lo", "hi"])
+            out = []
+            for key, src, q0, q1, s0, s1, qf, qw, sf, sw, qs, ss in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                held = held_parts(np.frombuffer(qw, np.uint32).tolist(), np.frombuffer(sw, np.uint32).tolist(), [x - qf for x in qs], [x - sf for x in ss], reach)
+                if held is None:
+                    out.append((key, src, q0, q1, s0, s1, qs, ss))
+                else:
+                    out += [(key, src, qf + lo, qf + hi, None, None, None, None) for lo, hi in held]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return arrow_map(rows, run, "id long, src long, lo int, hi int, s0 int, s1 int, qs array<int>, ss array<int>")
+
 
-    return arrow_map(rows, run, f"id {kind}, src {kind}, lo int, hi int")
+def aligned_spans(chains: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, src, lo, hi) of chains, or parts of chains, whose alignment holds."""
+
+    def near(chains: DataFrame, reach: int) -> DataFrame:
+        spans = chains.select("id", F.col("q0").alias("lo"), F.col("q1").alias("hi")).unionAll(chains.select(F.col("src").alias("id"), F.col("s0").alias("lo"), F.col("s1").alias("hi")))
+        return aligned(chains, stored(slices_of(stored(spans.distinct()), texts, reach)), reach)
+
+    with scratch() as kept:
+        first = kept(near(chains, FIRST_REACH))
+    more = near(first.filter("qs is not null").withColumnsRenamed({"lo": "q0", "hi": "q1"}), REACH)
+    return first.filter("qs is null").unionAll(more).select("id", "src", "lo", "hi")
 
 
 def merged(spans: DataFrame, *by: str) -> DataFrame:
@@ -419,19 +632,17 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     with scratch() as kept:
         ids = stored(rows.groupBy("id").agg(F.min("key").alias("key")))
         first = stored(ids.groupBy("key").agg(F.min("id").alias("first")))
-        texts = stored(rows.join(first.select(F.col("first").alias("id"), F.col("key").alias("own")), "id").filter("key = own").dropDuplicates(["id"]).select("id", "text"))
-        met = []
-        for i in range(ROUNDS):
+        # documents are numbered in order of their ids
+        numbers = stored(first.select(F.col("first").alias("id"), F.col("key").alias("own")).orderBy("id").withColumn("no", F.monotonically_increasing_id()))
+        texts = rows.join(numbers, "id").filter("key = own").dropDuplicates(["id"]).select(F.col("no").alias("id"), "text")
+        blocks = stored(blocks_of(texts))
+        with scratch() as kept_longer:  # without the shared places from here on
             with scratch() as kept_here:
-                met.append(kept_here(shared_seeds(stored(seeds_of(texts, i, ROUNDS)))))
-        shared = reduce(DataFrame.unionAll, met)
-        with scratch() as kept_here:
-            exact = kept_here(exact_spans(shared, texts))
-        with scratch() as kept_here:
-            chains = kept_here(chains_of(anchors_of(shared)))
-        spans = chains.select("id", F.col("q0").alias("lo"), F.col("q1").alias("hi")).unionAll(chains.select(F.col("src").alias("id"), F.col("s0").alias("lo"), F.col("s1").alias("hi")))
-        slices = stored(slices_of(stored(spans.distinct()), texts))
-        spans = merged(merged(aligned(chains, slices), "id", "src").select("id", "lo", "hi").unionAll(exact), "id")
+                shared = kept_here(shared_places(blocks, _parts(blocks, F.sum("size") / 6)))  # about six bytes a word
+            exact = kept_longer(exact_spans(shared))
+            chains = kept_longer(chains_of(anchors_of(shared)))
+        held = aligned_spans(chains, blocks.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("texts").alias("text")))))
+        spans = merged(merged(held, "id", "src").select("id", "lo", "hi").unionAll(exact), "id").withColumnRenamed("id", "no").join(numbers, "no").select("id", "lo", "hi")
         found = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages")).join(ids, "id").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "passages")
         copies = ids.join(first, "key").filter("id != first").select("id", "key")
         whole = rows.join(copies, ["id", "key"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("n")).filter(F.col("n") >= MIN_WORDS)

@@ -220,6 +220,42 @@ def test_passages_are_found_by_any_shingle(spark):
     assert set(got) == set(range(1, 20, 2)) and all(abs(lo - 20) <= 5 and abs(hi - 80) <= 5 for (lo, hi), in got.values())
 
 
+def test_a_seed_is_sent_once_for_each_block(spark):
+    """First places by brute force; a seed that each document has many times is one row's entry for each block, not a row for each place."""
+    rng = random.Random(13)
+    texts = [(i, " ".join(["all of us say this"] * 50 + [rng.choice("abcd") for _ in range(rng.randint(0, 12))])) for i in range(40)]
+    blocks = passages.blocks_of(spark.createDataFrame(texts, "id long, text string").repartition(3)).localCheckpoint()
+    first, docs, n = {}, {}, {}
+    for i, text in texts:
+        for q, seed in enumerate(_shingles(text.split()).tolist()):
+            first.setdefault(seed, (i, q))
+            docs.setdefault(seed, set()).add(i)
+            n[seed] = n.get(seed, 0) + 1
+    want = {(i, q, *first[seed], n[seed] > 2) for i, text in texts for q, seed in enumerate(_shingles(text.split()).tolist()) if len(docs[seed]) > 1}
+    got = set()
+    for r in passages.shared_places(blocks, 4).collect():
+        got |= set(zip(*(np.frombuffer(r[c], kind).tolist() for c, kind in passages.SHARED.items()), strict=True))
+    assert got == want and len(want) > 40 * 240
+    told = passages.first_places(blocks, passages.seed_keys, 4).collect()
+    assert sum(len(r.at) // 4 for r in told) <= 3 * len(first)
+
+
+def test_short_reach_gives_the_same_spans_or_none():
+    rng = random.Random(14)
+    ended = 0
+    for _ in range(300):
+        one = [rng.randrange(10**6) for _ in range(64 + rng.randint(5, 40) + 64)]
+        other = [x if 60 <= i < len(one) - 60 or rng.random() < rng.choice((0.1, 0.9)) else -1 for i, x in enumerate(one)]
+        cut = passages.REACH - passages.FIRST_REACH
+        q = [64, len(one) - 64 - passages.K]
+        whole = passages.held_parts(one, other, q, q)
+        near = passages.held_parts(one[cut:-cut], other[cut:-cut], [x - cut for x in q], [x - cut for x in q], passages.FIRST_REACH)
+        if near is not None:
+            ended += 1
+            assert [(lo + cut, hi + cut) for lo, hi in near] == whole
+    assert 0 < ended < 300
+
+
 def test_ends_of_runs():
     rng = random.Random(12)
     for _ in range(100):
