@@ -47,7 +47,7 @@ def grouped_search_many(edges: DataFrame, queries: DataFrame, scores: DataFrame
     edges: (symbol_id, tag). queries: (query_id, grp, term, negative), a row for each term of each group; terms are
     normalized already. A query without positive groups finds nothing.
     """
-    low = edges.select("symbol_id", F.lower("tag").alias("tag")).distinct()
+    low = edges.select("symbol_id", F.lower("tag").alias("tag"))
     asked = queries.select("query_id", "grp", "term", F.coalesce("negative", F.lit(False)).alias("negative")).distinct()
     wanted = asked.filter("not negative").groupBy("query_id").agg(F.count_distinct("grp").alias("groups"))
     tags = low.select("tag").distinct()
@@ -57,6 +57,8 @@ def grouped_search_many(edges: DataFrame, queries: DataFrame, scores: DataFrame
     # what a tag means for a query, before it meets the tag's symbols
     of_tag = met.groupBy("query_id", "tag").agg(F.max("negative").alias("bad"), F.collect_set(F.when(~F.col("negative"), F.col("grp"))).alias("hits"))
     of_tag = of_tag.withColumn("usage", F.lit(0)) if scores is None else of_tag.join(usage, "tag", "left")
+    # only edges to tags that some query meets are dealt out
+    low = low.join(of_tag.select("tag").distinct(), "tag", "left_semi").distinct()
     gain = F.when(F.size("hits") > 0, F.coalesce("usage", F.lit(0)) + 1).otherwise(0)
     found = of_tag.join(low, "tag").groupBy("query_id", "symbol_id").agg(F.max("bad").alias("bad"), F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("match_count"), F.sum(gain).cast("long").alias("score"))
     whole = found.join(wanted, "query_id").filter("not bad and match_count = groups")

@@ -16,7 +16,8 @@ def _words(c: str):
 
 
 def _edges(spark, d):
-    return B.read(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.explode(_words("text")).alias("tag")).distinct()
+    """(symbol_id, tag): the distinct words of each row; rows of one doc_id may repeat them."""
+    return B.read(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.explode(F.array_distinct(_words("text"))).alias("tag"))
 
 
 def _queries(spark, d):
@@ -32,7 +33,7 @@ def search_many(spark, d):
 
 def suggest_many(spark, d):
     """The words of all benchmark items as what was typed so far, without their last letter."""
-    counts = _edges(spark, d).groupBy("tag").agg(F.count("*").alias("count"))
+    counts = _edges(spark, d).distinct().groupBy("tag").agg(F.count("*").alias("count"))
     typed = B.read(spark, d, "benchmark").select(F.explode(_words("text")).alias("w")).select(F.expr("left(w, length(w) - 1)").alias("query"))
     return U.suggestions_many(counts, typed)
 

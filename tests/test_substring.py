@@ -58,6 +58,13 @@ def test_many_queries_equal_one_by_one(spark, words):
     assert got == want
 
 
+def test_many_queries_deal_out_met_tags_only(spark):
+    edges = spark.createDataFrame([("a", "Cache"), ("a", "cache"), ("a", "cache"), ("b", "other")], "symbol_id string, tag string")
+    found = substring.grouped_search_many(edges, spark.createDataFrame([(1, 0, "cache", False)], "query_id int, grp int, term string, negative boolean"))
+    assert [tuple(r) for r in found.collect()] == [(1, "a", 1, 1)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_suggestions_of_many(spark, words):
     terms, tags = words
     counts = {t: 1 + len(t) % 4 for t in tags}
