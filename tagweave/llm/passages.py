@@ -18,16 +18,16 @@
 3. *Chains*: the anchors of a document and a source are chained in order of
    both positions; the score of a chain is `K` for each anchor less `GAP` for
    each word between anchors on either side, and the best predecessor is found
-   with a Fenwick tree of prefix maxima. Where anchors follow each other word by word
-   on both sides, the two at the ends and every `K`th between them are kept, before they are
-   dealt by document: they cover all words of the run.
-4. *Alignment*: the word sequences of a chain in both texts are fetched once for
-   each distinct span (`SPANS` of a text in a row). Between anchors the longest
+   with a Fenwick tree of prefix maxima, or, where all anchors grow on both sides, is the anchor before. Where anchors follow
+   each other word by word on both sides, the two at the ends and every `K`th between them are kept: they cover all words of
+   the run. All anchors of a document stand in its block, so they are chained there and none is shuffled.
+4. *Alignment*: a chain takes its words along from its own block and goes to its source's block; one that many
+   chains read is sent to several tasks. Between anchors the longest
    common subsequence counts, at both ends the alignment grows within a band of
    `DRIFT` words until its score falls `DROP` below its best. Spans with at least
    `PERCENT` per cent of matching words hold; else the chain counts without its
-   growth, or is split at its largest gap and its parts are aligned. Growth mostly ends after a
-   few words, so only chains whose growth needs more than `FIRST_REACH` are aligned again with all of `REACH`.
+   growth, or is split at its largest gap and its parts are aligned. Growth mostly ends after a few words, so a chain takes
+   `FIRST_REACH` words along at either end, or `REACH` where other chains cover half of those; the few that need more are aligned again.
 5. *Exact repeats* need no chain: each `MIN_WORDS`-word shingle that a document with
    a lesser id has too is a span, whatever other partners its seeds have. All
    seeds inside such a shingle stand in both documents. Where their first places follow each
@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, scratch, stored, table, text_key
-from .textnum import BASE, STEP, column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of
+from .textnum import BASE, STEP, column_of, lower_ascii, mix, row_slices, shingle_hashes, span_hashes, string_bytes, words_of  # noqa: F401
 
 K = 5
 BLOCK_BYTES = 4 << 20  # of the texts of a block
@@ -73,7 +73,8 @@ DROP = 16  # growth ends where the score has fallen so far below its best; a mat
 PERCENT = 80
 MIN_WORDS = 40
 JOIN_WORDS = 3  # spans with so few words between them are one
-SPANS = 1000  # spans of one text in a row, about
+ALIGN_WORDS = 2_000_000  # words of chains that are aligned in one task, about
+ALIGN_ROWS = 8192  # chains that are aligned together
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,30 +85,49 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and place of each seed of the rows' words."""
-    hashes, begin = shingle_hashes(words, first, K)
-    at = np.flatnonzero(np.repeat(np.diff(first) >= K, np.diff(begin)))
-    owner = np.searchsorted(begin, at, "right") - 1
-    return hashes[at], owner, at - begin[owner]
+    """Hash, row and place of each seed of the rows' words; the hashes are those of `shingle_hashes`."""
+    n = max(0, len(words) - K + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(K):
+        h = (h ^ h >> np.uint64(29)) * BASE + words[j : n + j]
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+    at = np.flatnonzero(first[owner + 1] - np.arange(n) >= K)  # the others begin in one row and end in the next
+    return mix(h[at] + np.uint64(K)), owner[at], at - first[owner[at]]
+
+
+BLOCK = {"ids": np.int64, "first": np.int32, "codes": np.int32, "known": np.uint64}
 
 
 def blocks_of(texts: DataFrame) -> DataFrame:
-    """(block, size, ids, texts) of rows (id, text) with distinct long ids: blocks in order of id, known by the least one, and their bytes."""
+    """(block, n, ids, first, codes, known) of rows (id, text) with distinct long ids: blocks in order of id, known by the least one, and their words.
+
+    All but the first two are arrays, as bytes (`BLOCK`): the documents, the first word of each and the number of words, and for
+    each word its place among the block's distinct word hashes. Texts are split into words here only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, "text", BLOCK_BYTES):
-            order = pa.array(np.argsort(column_of(part, "id").to_numpy()))
-            ids, texts = column_of(part, "id").take(order), column_of(part, "text").take(order)
-            whole = pa.array([0, part.num_rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids[:1], pa.array([len(string_bytes(texts)[0])], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, texts)], names=["block", "size", "ids", "texts"])
+            order = np.argsort(column_of(part, "id").to_numpy())
+            ids = column_of(part, "id").to_numpy()[order]
+            words, first = _words(column_of(part, "text").take(pa.array(order)))
+            coded = pa.array(words).dictionary_encode()
+            arrays = (ids, first, coded.indices.to_numpy(), coded.dictionary.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array([len(words)], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(arrays, BLOCK.values(), strict=True))], names=["block", "n", *BLOCK])
+
+    return arrow_map(texts, run, "block long, n long, ids binary, first binary, codes binary, known binary")
 
-    return arrow_map(texts, run, "block long, size long, ids array<long>, texts array<string>")
+
+def _block(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of a block of texts, the first word of each (and their number), and the hashes of all words."""
+    ids, first, codes, known = (np.frombuffer(block[c].as_buffer(), kind) for c, kind in BLOCK.items())
+    return ids, first.astype(np.int64), known[codes]
 
 
 def seed_keys(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seeds of a block of texts, the document of each and its place there, in order of document and place."""
-    hashes, owner, place = _seeds(*_words(block["texts"].values))
-    return hashes, block["ids"].values.to_numpy()[owner], place
+    ids, first, words = _block(block)
+    hashes, owner, place = _seeds(words, first)
+    return hashes, ids[owner], place
 
 
 SHARED = {"id": np.int64, "q": np.int32, "src": np.int64, "s": np.int32, "many": np.uint8}
@@ -218,19 +238,21 @@ def first_places(blocks: DataFrame, keys: Callable, parts: int) -> DataFrame:
 
     def answer(rows: pa.Table) -> pa.Table:
         at, every, ids, places, counts = (_flat(rows, c, kind) for c, kind in (("at", np.uint32), ("keys", np.uint64), ("ids", np.int64), ("places", np.int64), ("counts", np.uint8)))
-        order = np.lexsort((places, ids, every))
+        order = np.argsort(every)
         begin = np.flatnonzero(np.append(True, every[order[1:]] != every[order[:-1]]))
         size = np.diff(np.append(begin, len(order)))
         shared = (size > 1) | (np.maximum.reduceat(counts[order], begin) > 3)
         many = (np.add.reduceat((counts[order] & 3).astype(np.int64), begin) > 2).astype(np.uint8)
+        src = np.minimum.reduceat(ids[order], begin)
+        place = np.minimum.reduceat(np.where(ids[order] == np.repeat(src, size), places[order], np.iinfo(np.int64).max), begin)
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(begin)), size)
-        first, out, end = order[begin], [], 0
+        out, end = [], 0
         for block, x in zip(rows.column("block").to_pylist(), rows.column("counts"), strict=True):
             own = slice(end, end := end + len(x.as_buffer()))
             use = shared[group[own]]
             g = group[own][use]
-            out.append((block, at[own][use].tobytes(), ids[first[g]].tobytes(), places[first[g]].tobytes(), many[g].tobytes()))
+            out.append((block, at[own][use].tobytes(), src[g].tobytes(), place[g].tobytes(), many[g].tobytes()))
         return _table({"block": pa.int64(), "at": pa.binary(), "src": pa.binary(), "place": pa.binary(), "many": pa.binary()}, out)
 
     with scratch() as kept:
@@ -241,11 +263,13 @@ def first_places(blocks: DataFrame, keys: Callable, parts: int) -> DataFrame:
 
 def _told(every: np.ndarray, told: pa.Table) -> tuple[np.ndarray, ...]:
     """Which of a block's keys `first_places` told of, and the document, place and `many` of each of those."""
-    own, _, _, _ = _distinct(every)
-    src, place, many = np.full(len(own), -1), np.zeros(len(own), np.int64), np.zeros(len(own), np.uint8)
+    order = np.argsort(every)
+    rank = np.empty(len(every), np.int64)
+    rank[order] = np.cumsum(np.append(False, every[order[1:]] != every[order[:-1]])[: len(every)])
+    n = int(rank.max()) + 1 if len(rank) else 0
+    src, place, many = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.uint8)
     at = _flat(told, "at", np.uint32)
     src[at], place[at], many[at] = _flat(told, "src", np.int64), _flat(told, "place", np.int64), _flat(told, "many", np.uint8)
-    rank = np.searchsorted(own, every)
     use = np.flatnonzero(src[rank] >= 0)
     rank = rank[use]
     return use, src[rank], place[rank], many[rank]
@@ -267,58 +291,60 @@ def shared_places(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "block long, n long, id binary, q binary, src binary, s binary, many binary")
 
 
-def _anchors(ids: np.ndarray, src: np.ndarray, q: np.ndarray, s: np.ndarray) -> pa.Table:
-    """(id, src, q, s): the distinct anchors at the ends of runs and every Kth."""
-    order = np.lexsort((s, q, src, ids))
-    ids, src, q, s = ids[order], src[order], q[order], s[order]
-    other = np.append(False, (ids[1:] != ids[:-1]) | (src[1:] != src[:-1]))[: len(ids)]
-    fresh = np.append(True, other[1:] | (q[1:] != q[:-1]) | (s[1:] != s[:-1]))[: len(ids)]
-    group = np.cumsum(other)[fresh]
-    ids, src, q, s = ids[fresh], src[fresh], q[fresh], s[fresh]
-    use = run_ends(q, s, group)
-    return pa.table({"id": pa.array(ids[use]), "src": pa.array(src[use]), "q": pa.array(q[use], pa.int32()), "s": pa.array(s[use], pa.int32())})
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Where rows in order differ from the row before in one of the columns."""
+    n = len(columns[0])
+    return np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns]))[:n] if n else np.zeros(0, bool)
 
 
-def anchors_of(shared: DataFrame) -> DataFrame:
-    """(id, src, q, s): places of a seed with its first place in another document, and those of pairs of seeds; some come twice."""
+def _anchors(ids: np.ndarray, src: np.ndarray, q: np.ndarray, s: np.ndarray, thin: bool = True) -> tuple[np.ndarray, ...]:
+    """The distinct anchors in order of id, src, q and s; those at the ends of runs and every Kth, if they are to be thinned out."""
+    _, source = np.unique(src, return_inverse=True)
+    _, own = np.unique(ids, return_inverse=True)
+    pair, place = own << 32 | source, q.astype(np.int64) << 32 | s
+    order = np.lexsort((place, pair))
+    fresh = order[_groups(pair[order], place[order])]
+    if thin:
+        fresh = fresh[run_ends(q[fresh], s[fresh], pair[fresh])]
+    return ids[fresh], src[fresh], q[fresh].astype(np.int32), s[fresh].astype(np.int32)
 
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _rows(batch):
-                ids, q, src, s, _ = _places(block)
-                use = ids != src
-                yield from _anchors(ids[use], src[use], q[use], s[use]).to_batches()
 
-    def of_pairs(block: pa.Table, told: pa.Table) -> pa.Table:
-        found = [_anchors(*(np.zeros(0, np.int64) for _ in range(4)))]
-        for x in _rows(block) if told.num_rows else ():
-            every, ids, places = pair_keys(x)
-            use, src, first, _ = _told(every, told)
-            other = src != ids[use]
-            use, src, first = use[other], src[other], first[other]
-            q, s = places[use], first
-            found.append(_anchors(np.tile(ids[use], 2), np.tile(src, 2), np.concatenate([q >> 8, (q >> 8) + (q & 255)]), np.concatenate([s >> 8, (s >> 8) + (s & 255)])))
+CHAINS = {"id": pa.int64(), "block": pa.int64(), "src": pa.int64(), "q0": pa.int32(), "q1": pa.int32(), "s0": pa.int32(), "s1": pa.int32(), "qs": pa.binary(), "ss": pa.binary()}
+
+
+def chains_of(shared: DataFrame) -> DataFrame:
+    """(id, block, src, q0, q1, s0, s1, qs, ss): ends of chains of two anchors or more, in words, and their anchors (int32, as bytes).
+
+    The anchors are the places of a seed with its first place in another document, and those of pairs of seeds. All of a
+    document stand in its block, so they are chained where they are found.
+    """
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        found = [_chains(0, *(np.zeros(0, np.int64) for _ in range(4)))]
+        for x in _rows(block):
+            ids, q, src, s, _ = _places(x)
+            use = ids != src
+            anchors = [_anchors(ids[use], src[use], q[use], s[use])]
+            if told.num_rows:
+                every, ids, places = pair_keys(x)
+                use, src, first, _ = _told(every, told)
+                other = src != ids[use]
+                use, src, first = use[other], src[other], first[other]
+                q, s = places[use], first
+                anchors.append(_anchors(np.tile(ids[use], 2), np.tile(src, 2), np.concatenate([q >> 8, (q >> 8) + (q & 255)]), np.concatenate([s >> 8, (s >> 8) + (s & 255)])))
+            found.append(_chains(x["block"].as_py(), *_anchors(*(np.concatenate(c) for c in zip(*anchors, strict=True)))))
         return pa.concat_tables(found)
 
-    columns = "id long, src long, q int, s int"
     told = first_places(shared, pair_keys, _parts(shared, F.sum("n") * 3))  # about three pairs a place
-    return arrow_map(shared, direct, columns).unionAll(shared.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(of_pairs, columns))
+    return shared.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "id long, block long, src long, q0 int, q1 int, s0 int, s1 int, qs binary, ss binary")
 
 
 def _parts(blocks: DataFrame, keys: Column) -> int:
     return max(1, -(-int(blocks.agg(keys).first()[0] or 0) // PART_KEYS))
 
 
-def _islands(places: DataFrame, most: int) -> DataFrame:
-    """(id, lo, hi): first and last of the places (id, q) with steps of `most` at most."""
-    order = Window.partitionBy("id").orderBy("q")
-    cuts = places.withColumn("new", F.coalesce(F.col("q") - F.lag("q").over(order) > most, F.lit(True)).cast("int"))
-    runs = cuts.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("id", "run").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).drop("run")
-
-
 def exact_spans(shared: DataFrame) -> DataFrame:
-    """(id, lo, hi): stretches whose shingles of MIN_WORDS words all stand in a document with a lesser id."""
+    """(id, lo, hi): stretches, or single ones of their shingles of MIN_WORDS words, that stand in a document with a lesser id."""
     steps = MIN_WORDS - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,9 +370,8 @@ def exact_spans(shared: DataFrame) -> DataFrame:
     found = stored(arrow_map(shared, run, "id long, q int, hi int, h long"))
     hashed = found.filter("h is not null")
     first = stored(hashed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least != last").select("h", "least"))
-    again = hashed.join(first, "h").filter("id != least").select("id", "q")
-    bent = _islands(again, 1).select("id", "lo", (F.col("hi") + MIN_WORDS).alias("hi"))
-    return bent.unionAll(found.filter("h is null").select("id", F.col("q").alias("lo"), "hi"))
+    again = hashed.join(first, "h").filter("id != least")
+    return again.unionByName(found.filter("h is null"), allowMissingColumns=True).select("id", F.col("q").alias("lo"), "hi")
 
 
 def best_chains(q: np.ndarray, s: np.ndarray) -> list[list[int]]:
@@ -406,96 +431,55 @@ def run_ends(q: np.ndarray, s: np.ndarray, group: np.ndarray | None = None) -> n
     return use
 
 
-def chains_of(anchors: DataFrame) -> DataFrame:
-    """(id, src, q0, q1, s0, s1, qs, ss): ends of chains of two anchors or more, in words, and their anchors."""
-    kind = dict(anchors.dtypes)["id"]
-    dealt = anchors.repartition("id").sortWithinPartitions("id", "src", "q", "s")
+def straight_chains(q: np.ndarray, s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last anchor of the chains of `best_chains` of two anchors or more, of groups that begin at `begin` and grow in q and s.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            yield from cut(held, False)
-            held = held.slice(held.num_rows - tail(held))
-        if held is not None and held.num_rows:
-            yield from cut(held, True)
-
-    def edges(rows: pa.Table) -> np.ndarray:
-        ids, src = rows.column("id").to_numpy(), rows.column("src").to_numpy()
-        return np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (src[1:] != src[:-1])))
-
-    def tail(rows: pa.Table) -> int:
-        return rows.num_rows - int(edges(rows)[-1]) if rows.num_rows else 0
-
-    def cut(rows: pa.Table, all_of_it: bool) -> Iterator[pa.RecordBatch]:
-        if not rows.num_rows:
-            return
-        begin = edges(rows)
-        end = np.append(begin[1:], rows.num_rows)
-        many = end - begin > 1
-        if not all_of_it:
-            many[-1] = False
-        q, s, ids, src = (rows.column(c).to_numpy() for c in ("q", "s", "id", "src"))
-        names = ["id", "src", "q0", "q1", "s0", "s1", "qs", "ss"]
-        two = begin[many & (end - begin == 2)]  # most groups: a chain, if one anchor gains by the other
-        two = two[(q[two] < q[two + 1]) & (s[two] < s[two + 1]) & (K - GAP * (q[two + 1] - q[two] + s[two + 1] - s[two]) > 0)]
-        if len(two):
-            both = (two[:, None] + np.arange(2)).reshape(-1)
-            offs = pa.array(np.arange(len(two) + 1) * 2, pa.int32())
-            lists = [pa.ListArray.from_arrays(offs, pa.array(x[both], pa.int32())) for x in (q, s)]
-            ends = [pa.array(x, pa.int32()) for x in (q[two], q[two + 1] + K, s[two], s[two + 1] + K)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[two]), pa.array(src[two]), *ends, *lists], names=names)
-        many &= end - begin > 2
-        out = []
-        for a, b in zip(begin[many], end[many], strict=True):
-            fresh = a + np.flatnonzero(np.append(True, (np.diff(q[a:b]) != 0) | (np.diff(s[a:b]) != 0)))
-            fresh = fresh[run_ends(q[fresh], s[fresh])]
-            for chain in best_chains(q[fresh], s[fresh]):
-                at = fresh[chain]
-                lo, hi = at[0], at[-1]
-                out.append((ids[a], src[a], q[lo], q[hi] + K, s[lo], s[hi] + K, q[at], s[at]))
-        if out:
-            cols = list(zip(*out, strict=True))
-            kinds = [rows.schema.field("id").type, rows.schema.field("src").type, *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return arrow_map(dealt, run, f"id {kind}, src {kind}, q0 int, q1 int, s0 int, s1 int, qs array<int>, ss array<int>")
-
-
-def slices_of(spans: DataFrame, texts: DataFrame, reach: int = REACH) -> DataFrame:
-    """(id, lo, hi, from, words): word hashes (4 bytes each) of distinct spans (id, lo, hi), with `reach` words on either side.
-
-    A text with more than SPANS spans, which many documents may quote, is read in several rows.
+    There the best predecessor is the anchor before, so f(j) = K + max(0, f(j - 1) - GAP * distance), counted in hundredths: the
+    sum of the steps less its least value so far. A chain ends where no later anchor of its run has a higher score.
     """
-    kind = dict(spans.dtypes)["id"]
-    parts = stored(spans.groupBy("id").agg(F.ceil(F.count("*") / SPANS).cast("int").alias("parts")))
-    dealt = spans.join(parts, "id").withColumn("part", F.pmod(F.hash("lo", "hi"), "parts"))
-    wanted = dealt.groupBy("id", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = texts.join(wanted, "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches, "text"):
-            words, first = _words(column_of(part, "text"))
-            low = (words >> np.uint64(32)).astype(np.uint32)
-            ids, los, his, froms, pieces = [], [], [], [], []
-            for i, (key, spans) in enumerate(zip(column_of(part, "id").to_pylist(), column_of(part, "spans").to_pylist(), strict=True)):
-                own = low[first[i] : first[i + 1]]
-                for x in spans:
-                    start = max(0, x["lo"] - reach)
-                    ids.append(key)
-                    los.append(x["lo"])
-                    his.append(x["hi"])
-                    froms.append(start)
-                    pieces.append(own[start : x["hi"] + reach].tobytes())
-                    if len(pieces) >= 2000:
-                        yield batch(part, ids, los, his, froms, pieces)
-                        ids, los, his, froms, pieces = [], [], [], [], []
-            yield batch(part, ids, los, his, froms, pieces)
-
-    def batch(part, ids, los, his, froms, pieces) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, column_of(part, "id").type), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(froms, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "lo", "hi", "from", "words"])
-
-    return arrow_map(rows.select("id", "text", "spans"), run, f"id {kind}, lo int, hi int, `from` int, words binary")
+    n, far = len(q), 1 << 32
+    if not n:
+        return begin, begin
+    step = np.concatenate([[0], 100 * K - round(100 * GAP) * (np.diff(q).astype(np.int64) + np.diff(s))])
+    step[begin] = -far * K
+    total = np.cumsum(step)
+    score = total - np.minimum.accumulate(total)
+    fresh = score == 0  # no gain by the anchor before
+    run = np.cumsum(fresh)
+    after = np.maximum.accumulate((score - run * far * K)[::-1])[::-1]  # the highest score from here to the end of the run
+    last = np.append(fresh[1:], True)
+    last[:-1] |= score[:-1] - run[:-1] * far * K >= after[1:]
+    first = np.flatnonzero(fresh | np.append(True, last[:-1]))
+    end = np.flatnonzero(last)
+    return first[end > first], end[end > first]
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Binary values of n numbers each, from `begin` on."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    own = values[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(own)])
+
+
+def _chains(block: int, ids: np.ndarray, src: np.ndarray, q: np.ndarray, s: np.ndarray) -> pa.Table:
+    """The chains (`CHAINS`) of a block's distinct anchors in order."""
+    begin = np.flatnonzero(_groups(ids, src))
+    size = np.diff(np.append(begin, len(ids)))
+    bent = np.append(False, (np.diff(q) <= 0) | (np.diff(s) <= 0))[: len(q)]
+    bent[begin] = False
+    bent = np.add.reduceat(bent, begin, dtype=np.int64) > 0 if len(begin) else bent
+    straight = ~bent & (size > 1)
+    use = np.flatnonzero(np.repeat(straight, size))
+    first, last = straight_chains(q[use], s[use], np.cumsum(size[straight]) - size[straight])
+    others = [a + np.array(chain) for a, n in zip(begin[bent].tolist(), size[bent].tolist(), strict=True) for chain in best_chains(q[a : a + n], s[a : a + n])]
+    sizes = np.array([len(x) for x in others], np.int64)
+    n = np.append(last - first + 1, sizes)
+    first = np.append(first, len(use) + np.cumsum(sizes) - sizes)
+    use = np.concatenate([use, *others])
+    lo, hi = use[first], use[first + n - 1]
+    columns = [ids[lo], np.full(len(lo), block), src[lo], q[lo], q[hi] + K, s[lo], s[hi] + K]
+    lists = [_lists(x[use].astype(np.int32), first, n) for x in (q, s)]
+    return pa.table({c: pa.array(x, kind) if isinstance(x, np.ndarray) else x for (c, kind), x in zip(CHAINS.items(), [*columns, *lists], strict=True)})
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -583,33 +567,131 @@ def held_parts(a: list[int], b: list[int], q: list[int], s: list[int], reach: in
     return found
 
 
-def aligned(chains: DataFrame, slices: DataFrame, reach: int = REACH) -> DataFrame:
-    """(id, src, lo, hi, s0, s1, qs, ss) of chains, or parts of chains, whose alignment holds, the last four null; those that need more than `reach` words come as they are."""
-    of = lambda p, key, lo, hi: slices.select(F.col("id").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("from").alias(f"{p}_from"), F.col("words").alias(f"{p}_words"))
-    rows = chains.join(of("q", "id", "q0", "q1"), ["id", "q0", "q1"]).join(of("s", "src", "s0", "s1"), ["src", "s0", "s1"]).select("id", "src", "q0", "q1", "s0", "s1", "q_from", "q_words", "s_from", "s_words", "qs", "ss")
-    schema = pa.schema([("id", pa.int64()), ("src", pa.int64()), *((c, pa.int32()) for c in ("lo", "hi", "s0", "s1")), *((c, pa.list_(pa.int32())) for c in ("qs", "ss"))])
+def _by_block(rows: DataFrame, blocks: DataFrame, by: str, fn: Callable, schema: str) -> DataFrame:
+    """`fn` of the chains whose column `by` names a block, and of that block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches, "q_words"):
-            out = []
-            for key, src, q0, q1, s0, s1, qf, qw, sf, sw, qs, ss in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                held = held_parts(np.frombuffer(qw, np.uint32).tolist(), np.frombuffer(sw, np.uint32).tolist(), [x - qf for x in qs], [x - sf for x in ss], reach)
-                if held is None:
-                    out.append((key, src, q0, q1, s0, s1, qs, ss))
-                else:
-                    out += [(key, src, qf + lo, qf + hi, None, None, None, None) for lo, hi in held]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    A block that many chains read is sent to several tasks, one for ALIGN_WORDS words of them, about. The table of their number has a row a block.
+    """
+    words = F.sum(F.col("q1") - F.col("q0") + F.col("s1") - F.col("s0") + 2 * REACH)
+    parts = stored(rows.groupBy(F.col(by).alias("block")).agg(F.ceil(words / ALIGN_WORDS).cast("int").alias("parts")))
+    sent = blocks.select("block", *BLOCK).join(F.broadcast(parts), "block").select("block", *BLOCK, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    several = F.broadcast(parts.filter("parts > 1").withColumnRenamed("block", by))
+    dealt = rows.join(several, by, "left").withColumn("part", F.coalesce(F.pmod(F.hash("id", "src", "q0", "s0"), "parts"), F.lit(0))).drop("parts")
+    return dealt.groupBy(by, "part").cogroup(sent.groupBy("block", "part")).applyInArrow(fn, schema)
 
-    return arrow_map(rows, run, "id long, src long, lo int, hi int, s0 int, s1 int, qs array<int>, ss array<int>")
 
+def grown_rows(a: np.ndarray, a_at: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_n: np.ndarray, way: int) -> tuple[np.ndarray, ...]:
+    """`_grown` of many rows: the sequences begin at a_at and b_at, have a_n and b_n words, and are read forwards or backwards (way 1 or -1).
 
-def aligned_spans(chains: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, src, lo, hi) of chains, or parts of chains, whose alignment holds."""
+    Gives the words taken in of both, whether growth ended, and how many words agree from the beginning on.
+    """
+    n, most = len(a_at), int(min(a_n.max(initial=0), b_n.max(initial=0)))
+    word = lambda x, at, k: x[np.clip(at + way * k, 0, max(0, len(x) - 1))] if len(x) else np.zeros(np.broadcast(at, k).shape, x.dtype)
+    k = np.arange(most)
+    other = (word(a, a_at[:, None], k) != word(b, b_at[:, None], k)) | (k >= np.minimum(a_n, b_n)[:, None])
+    same = np.where(other.any(axis=1), other.argmax(axis=1), most) if most else np.zeros(n, np.int64)
+    best, end_a, end_b, ended = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    a_at, b_at, a_n, b_n = a_at + way * same, b_at + way * same, a_n - same, b_n - same
+    d = np.arange(2 * DRIFT + 1, dtype=np.int32)
+    own, i = np.flatnonzero(a_n > 0), 0
+    row = np.tile(np.where(d < DRIFT, -1000, 2 * (DRIFT - d)).astype(np.int32), (len(own), 1))
+    while len(own):
+        j = i + d - DRIFT
+        hit = word(a, a_at[own], i)[:, None] == word(b, b_at[own][:, None], j)
+        value = np.where(j >= 0, row + np.where(hit, np.int32(1), np.int32(-2)), np.int32(-1000))
+        value[:, :-1] = np.maximum(value[:, :-1], row[:, 1:] - 2)
+        value = np.maximum.accumulate(value + 2 * d, axis=1) - 2 * d
+        value[(j >= b_n[own][:, None]) | (j < -1)] = -1000
+        top = value.argmax(axis=1)
+        high = value[np.arange(len(own)), top]
+        up = high > best[own]
+        best[own[up]], end_a[own[up]], end_b[own[up]] = high[up], i + 1, j[top[up]] + 1
+        low = high < best[own] - DROP
+        ended[own[low]] = i + DRIFT < b_n[own[low]]
+        i += 1
+        left = ~low & (a_n[own] > i)
+        own, row = own[left], value[left]
+    return same + end_a, same + end_b, ended, same
+
+
+def aligned(rows: pa.Table, block: pa.Table) -> Iterator[pa.Table]:
+    """(id, src, lo, hi, block, s0, s1, qs, ss) of chains with their words, and of their sources' block, as `held_parts` finds them; the last five are null.
+
+    Chains that need more words than their `reach` come as they are. Mostly a chain's words agree, and all rows are aligned together.
+    """
+    documents, first, words = _block(next(_rows(block)))
+    words = (words >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, rows.num_rows, ALIGN_ROWS):
+        part = rows.slice(at, ALIGN_ROWS).combine_chunks()
+        ids, src, q0, q1, s0, s1, qf, n_q, reach = (part.column(c).to_numpy().astype(np.int64) for c in ("id", "src", "q0", "q1", "s0", "s1", "q_from", "q_n", "reach"))
+        buf, offs = string_bytes(part.column("q_words"))
+        a = np.frombuffer(np.ascontiguousarray(buf), np.uint32)
+        a_lo, a_end = offs[:-1] // 4, offs[1:] // 4
+        doc = np.searchsorted(documents, src)
+        b_lo, b_end = np.maximum(first[doc], first[doc] + s0 - reach), np.minimum(first[doc + 1], first[doc] + s1 + reach)
+        x0, x1, y0, y1 = a_lo + q0 - qf, a_lo + q1 - qf, first[doc] + s0, first[doc] + s1
+        right = grown_rows(a, x1, a_end - x1, words, y1, b_end - y1, 1)
+        left = grown_rows(a, x0 - 1, x0 - a_lo, words, y0 - 1, y0 - b_lo, -1)
+        whole_right = (qf + a_end - a_lo == n_q) & (b_end == first[doc + 1])  # the texts end there
+        whole_left = (qf == 0) & (b_lo == first[doc])
+        more = (reach < REACH) & ~((right[2] | whole_right) & (left[2] | whole_left))
+        exact = (q1 - q0 == s1 - s0) & ~more
+        n, rank = (q1 - q0)[exact], np.flatnonzero(exact)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = a[np.repeat(x0[exact], n) + k] != words[np.repeat(y0[exact], n) + k]
+        exact[rank[np.unique(np.repeat(np.arange(len(n)), n)[differ])]] = False
+        agree = q1 - q0
+        for da, db, _, same, begin_a, begin_b, way in ((*right, x1, y1, 1), (*left, x0 - 1, y0 - 1, -1)):
+            agree = agree + np.where((da == same) & (db == same), same, 0)
+            for i in np.flatnonzero(exact & ((da != same) | (db != same))).tolist():
+                u, v, x, y = int(da[i]), int(db[i]), int(begin_a[i]), int(begin_b[i])
+                agree[i] += common_words(a[x : x + u].tolist(), words[y : y + v].tolist()) if way > 0 else common_words(a[x - u + 1 : x + 1].tolist(), words[y - v + 1 : y + 1].tolist())
+        wide = 100 * agree >= PERCENT * np.maximum(q1 - q0 + left[0] + right[0], s1 - s0 + left[1] + right[1])
+        lo, hi = np.where(wide, q0 - left[0], q0)[exact], np.where(wide, q1 + right[0], q1)[exact]
+        out = [(ids[exact], src[exact], lo, hi)]
+        for i in np.flatnonzero(~exact & ~more).tolist():
+            qs, ss = (np.frombuffer(part.column(c)[i].as_buffer(), np.int32).tolist() for c in ("qs", "ss"))
+            base = int(b_lo[i] - first[doc[i]])
+            held = held_parts(a[a_lo[i] : a_end[i]].tolist(), words[b_lo[i] : b_end[i]].tolist(), [x - int(qf[i]) for x in qs], [x - base for x in ss], int(reach[i]))
+            more[i] = held is None
+            if held:
+                spans = np.array(held) + qf[i]
+                out.append((np.full(len(spans), ids[i]), np.full(len(spans), src[i]), spans[:, 0], spans[:, 1]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        done = pa.table({c: pa.array(x, kind) for (c, kind), x in zip(ALIGNED.items(), columns, strict=False)})
+        again = part.filter(pa.array(more))
+        yield pa.concat_tables([pa.table({c: done.column(c) if c in done.column_names else pa.nulls(done.num_rows, kind) for c, kind in ALIGNED.items()}), again.rename_columns({"q0": "lo", "q1": "hi"}).select(list(ALIGNED)).cast(pa.schema(list(ALIGNED.items())))])
+
+
+ALIGNED = {"id": pa.int64(), "src": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "block": pa.int64(), "home": pa.int64(), "s0": pa.int32(), "s1": pa.int32(), "qs": pa.binary(), "ss": pa.binary()}
+SENT = {**CHAINS, "home": pa.int64(), "reach": pa.int32(), "q_from": pa.int32(), "q_n": pa.int32(), "q_words": pa.binary()}
+
+
+def aligned_spans(chains: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, src, lo, hi) of chains (`CHAINS`, and `home`, the block of the source), or parts of chains, whose alignment holds."""
+    sql = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    schema_of = lambda columns: ", ".join(f"{c} {sql[kind]}" for c, kind in columns.items())
 
     def near(chains: DataFrame, reach: int) -> DataFrame:
-        spans = chains.select("id", F.col("q0").alias("lo"), F.col("q1").alias("hi")).unionAll(chains.select(F.col("src").alias("id"), F.col("s0").alias("lo"), F.col("s1").alias("hi")))
-        return aligned(chains, stored(slices_of(stored(spans.distinct()), texts, reach)), reach)
+        def send(rows: pa.Table, block: pa.Table) -> pa.Table:
+            documents, first, words = _block(next(_rows(block)))
+            words = (words >> np.uint64(32)).astype(np.uint32)
+            doc = np.searchsorted(documents, rows.column("id").to_numpy())
+            n, q0, q1 = np.diff(first)[doc], rows.column("q0").to_numpy(), rows.column("q1").to_numpy()
+            ends = [np.bincount(first[doc] + x, minlength=len(words) + 1) for x in (q0, q1)]
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(ends[0] - ends[1]) > 0)])  # words of chains before each word
+            after = covered[first[doc] + np.minimum(n, q1 + reach)] - covered[first[doc] + q1]
+            before = covered[first[doc] + q0] - covered[first[doc] + np.maximum(0, q0 - reach)]
+            own = np.where(np.maximum(after, before) >= FIRST_REACH // 2, REACH, reach)  # where other chains go on, growth does too, mostly
+            begin, end = np.maximum(0, q0 - own), np.minimum(n, q1 + own)
+            more = {"reach": pa.array(own, pa.int32()), "q_from": pa.array(begin, pa.int32()), "q_n": pa.array(n, pa.int32()), "q_words": _lists(words, first[doc] + begin, end - begin)}
+            return pa.table({c: more[c] if c in more else rows.column(c) for c in SENT})
+
+        def align(rows: pa.Table, block: pa.Table) -> pa.Table:
+            return pa.concat_tables([pa.table({c: pa.array([], kind) for c, kind in ALIGNED.items()}), *(aligned(rows, block) if rows.num_rows else ())])
+
+        sent = stored(_by_block(chains, blocks, "block", send, schema_of(SENT)))
+        return _by_block(sent, blocks, "home", align, schema_of(ALIGNED))
 
     with scratch() as kept:
         first = kept(near(chains, FIRST_REACH))
@@ -617,6 +699,18 @@ def aligned_spans(chains: DataFrame, texts: DataFrame) -> DataFrame:
     return first.filter("qs is null").unionAll(more).select("id", "src", "lo", "hi")
 
 
+def homes_of(blocks: DataFrame) -> DataFrame:
+    """(no, block, n): the block of each document, and its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _rows(batch):
+                ids, first = (np.frombuffer(x[c].as_buffer(), BLOCK[c]) for c in ("ids", "first"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), x["block"].as_py())), pa.array(np.diff(first), pa.int32())], names=["no", "block", "n"])
+
+    return arrow_map(blocks.select("block", "ids", "first"), run, "no long, block long, n int")
+
+
 def merged(spans: DataFrame, *by: str) -> DataFrame:
     """(by, lo, hi): spans that touch are one; shorter ones than MIN_WORDS go."""
     order = Window.partitionBy(*by).orderBy("lo", "hi")
@@ -636,16 +730,17 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
         numbers = stored(first.select(F.col("first").alias("id"), F.col("key").alias("own")).orderBy("id").withColumn("no", F.monotonically_increasing_id()))
         texts = rows.join(numbers, "id").filter("key = own").dropDuplicates(["id"]).select(F.col("no").alias("id"), "text")
         blocks = stored(blocks_of(texts))
+        homes = stored(homes_of(blocks))
         with scratch() as kept_longer:  # without the shared places from here on
             with scratch() as kept_here:
-                shared = kept_here(shared_places(blocks, _parts(blocks, F.sum("size") / 6)))  # about six bytes a word
+                shared = kept_here(shared_places(blocks, _parts(blocks, F.sum("n"))))
             exact = kept_longer(exact_spans(shared))
-            chains = kept_longer(chains_of(anchors_of(shared)))
-        held = aligned_spans(chains, blocks.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("texts").alias("text")))))
+            chains = kept_longer(chains_of(shared).join(homes.select(F.col("no").alias("src"), F.col("block").alias("home")), "src"))
+        held = aligned_spans(chains, blocks)
         spans = merged(merged(held, "id", "src").select("id", "lo", "hi").unionAll(exact), "id").withColumnRenamed("id", "no").join(numbers, "no").select("id", "lo", "hi")
         found = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages")).join(ids, "id").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "passages")
-        copies = ids.join(first, "key").filter("id != first").select("id", "key")
-        whole = rows.join(copies, ["id", "key"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("n")).filter(F.col("n") >= MIN_WORDS)
+        long = homes.filter(F.col("n") >= MIN_WORDS).join(numbers, "no").select(F.col("own").alias("key"), "n")
+        whole = ids.join(first, "key").filter("id != first").join(long, "key").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "n")
         return kept(found.unionAll(whole.select("doc_id", "text_key", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("passages"))))
 
 

@@ -267,6 +267,43 @@ def test_ends_of_runs():
         assert words(kept) == words(at)
 
 
+def test_straight_chains_are_the_best_chains():
+    rng = np.random.default_rng(15)
+    groups = [np.cumsum(rng.integers(1, rng.choice([3, 60, 200]), (rng.integers(1, 40), 2)), axis=0) for _ in range(300)]
+    q, s = np.concatenate(groups).T
+    begin = np.cumsum([0, *map(len, groups)])[:-1]
+    want = {(b + c[0], b + c[-1]) for b, g in zip(begin, groups, strict=True) for c in passages.best_chains(*g.T)}
+    assert set(zip(*passages.straight_chains(q, s, begin), strict=True)) == want and len(want) > 300
+
+
+def test_rows_grow_as_one_by_one():
+    rng = np.random.default_rng(16)
+    a, b = rng.integers(0, 4, 3000).astype(np.uint32), rng.integers(0, 4, 3000).astype(np.uint32)
+    b[500:2500] = np.where(rng.random(2000) < 0.15, 9, np.delete(a, rng.integers(400, 2400, 3))[480:2480])
+    at, n = rng.integers(70, 2900, (2, 500)), rng.integers(0, 65, (2, 500))
+    at[1, :250] = np.clip(at[0, :250] + rng.integers(-2, 23, 250), 70, 2900)
+    for way in (1, -1):
+        got = passages.grown_rows(a, at[0], n[0], b, at[1], n[1], way)
+        for i in range(500):
+            x, y = (v[k : k + m] if way > 0 else v[k - m + 1 : k + 1][::-1] for v, k, m in ((a, at[0, i], n[0, i]), (b, at[1, i], n[1, i])))
+            assert tuple(c[i] for c in got[:3]) == passages._grown(x.tolist(), y.tolist())
+        assert len(set(got[0].tolist())) > 10 and got[2].any() and not got[2].all()
+
+
+def test_anchors_of_a_document_are_chained_in_its_block(spark, monkeypatch):
+    """No anchor is shuffled: chains leave the blocks whole; a block that all others quote is met in several tasks."""
+    shared = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join([f"a{i}"] * 5 + shared + [f"z{i}"] * 5)) for i in range(30)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    blocks = passages.blocks_of(df).localCheckpoint()
+    found = passages.chains_of(passages.shared_places(blocks, 2).localCheckpoint()).localCheckpoint()
+    assert {(r.id, r.src, r.q0, r.q1, r.s0, r.s1) for r in found.collect()} == {(i, 0, 5, 65, 5, 65) for i in range(1, 30)}
+    monkeypatch.setattr(passages, "ALIGN_WORDS", 500)
+    homes = passages.homes_of(blocks).selectExpr("no src", "block home")
+    spans = passages.aligned_spans(found.join(homes, "src").localCheckpoint(), blocks).collect()
+    assert sorted((r.id, r.src, r.lo, r.hi) for r in spans) == [(i, 0, 5, 65) for i in range(1, 30)]
+
+
 def test_growth_and_matches_by_brute_force():
     rng = random.Random(9)
     for _ in range(200):
