@@ -244,15 +244,14 @@ def blocks_of(prints: DataFrame, name: str) -> DataFrame:
 def matches(queries: DataFrame, all_prints: DataFrame) -> DataFrame:
     """(query, match, offset, votes, frames, bit_error): for each pair of classes the offset with most votes that holds.
 
-    `queries` and `all_prints` have (class, print). Each block of recordings goes to each block of queries.
+    `queries` and `all_prints` have (class, print). Each block of queries goes to each block of recordings; these are dealt over
+    as many tasks, as there are far more of them.
     """
     kind = dict(all_prints.dtypes)["class"]
-    asked = stored(blocks_of(queries, "query").withColumn("no", F.monotonically_increasing_id()))
-    numbers = [r.no for r in asked.select("no").collect()]  # a block has BLOCK integers
-    if not numbers:
-        return asked.sparkSession.createDataFrame([], f"query {kind}, match {kind}, offset int, votes long, frames int, bit_error double")
-    met = blocks_of(all_prints, "match").withColumn("no", F.explode(F.array(*[F.lit(n) for n in numbers])))
-    pairs = met.join(asked, "no").select("query", "query_sizes", "query_codes", "match", "match_sizes", "match_codes")
+    met = stored(blocks_of(all_prints, "match").withColumn("block", F.monotonically_increasing_id()))
+    n = max(1, met.count())
+    asked = blocks_of(queries, "query").crossJoin(F.broadcast(met.select("block")))  # a block's number for BLOCK integers
+    pairs = met.repartition(n, "block").join(asked.repartition(n, "block"), "block").select("query", "query_sizes", "query_codes", "match", "match_sizes", "match_codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

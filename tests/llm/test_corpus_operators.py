@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.llm import audio, minhash, mixing, passages, toxicity
 
@@ -480,6 +481,17 @@ def test_audio_recall_against_all_offsets(spark):
     assert len(want) >= 15 and got <= want and len(got & want) >= 0.9 * len(want)
 
 
+def test_blocks_of_recordings_are_dealt_over_tasks(spark, monkeypatch):
+    """One block of queries against many blocks of recordings, which all went to one task before."""
+    monkeypatch.setattr(audio, "BLOCK", 300)
+    rng = np.random.default_rng(18)
+    one = rng.integers(0, 1 << 32, 84, dtype=np.uint32)
+    prints = [(50 + i, np.where(np.arange(84) == i, 7, one).astype(np.uint32).view(np.int32).tolist()) for i in range(49)]
+    rows = spark.createDataFrame(prints, "class long, print array<int>")
+    found = audio.matches(rows.filter("class = 50"), rows).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.match for r in found) == list(range(50, 99)) and len({r.task for r in found}) > 3
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
