@@ -95,14 +95,14 @@ def _seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(h[at] + np.uint64(K)), owner[at], at - first[owner[at]]
 
 
-BLOCK = {"ids": np.int64, "first": np.int32, "codes": np.int32, "known": np.uint64}
+BLOCK = {"ids": np.int64, "first": np.int32, "codes": np.uint8, "known": np.uint64}
 
 
 def blocks_of(texts: DataFrame) -> DataFrame:
     """(block, n, ids, first, codes, known) of rows (id, text) with distinct long ids: blocks in order of id, known by the least one, and their words.
 
     All but the first two are arrays, as bytes (`BLOCK`): the documents, the first word of each and the number of words, and for
-    each word its place among the block's distinct word hashes. Texts are split into words here only.
+    each word its place among the block's distinct word hashes, all lowest bytes first and no more bytes than are needed. Texts are split into words here only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,8 @@ def blocks_of(texts: DataFrame) -> DataFrame:
             ids = column_of(part, "id").to_numpy()[order]
             words, first = _words(column_of(part, "text").take(pa.array(order)))
             coded = pa.array(words).dictionary_encode()
-            arrays = (ids, first, coded.indices.to_numpy(), coded.dictionary.to_numpy())
+            planes = coded.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T[: (len(coded.dictionary).bit_length() + 7) // 8]
+            arrays = (ids, first, planes, coded.dictionary.to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array([len(words)], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(arrays, BLOCK.values(), strict=True))], names=["block", "n", *BLOCK])
 
     return arrow_map(texts, run, "block long, n long, ids binary, first binary, codes binary, known binary")
@@ -120,7 +121,10 @@ def blocks_of(texts: DataFrame) -> DataFrame:
 def _block(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents of a block of texts, the first word of each (and their number), and the hashes of all words."""
     ids, first, codes, known = (np.frombuffer(block[c].as_buffer(), kind) for c, kind in BLOCK.items())
-    return ids, first.astype(np.int64), known[codes]
+    n, places = int(first[-1]), np.zeros(int(first[-1]), np.int64)
+    for k in range(len(codes) // n if n else 0):
+        places |= codes[k * n : (k + 1) * n].astype(np.int64) << 8 * k
+    return ids, first.astype(np.int64), known[places]
 
 
 def seed_keys(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
