@@ -30,7 +30,8 @@ columns can't clash; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +46,8 @@ RATE = 4000
 FRAME = 512
 HOP = 256
 WIDTH = 16
-SPECTRA = 4096  # frames that are transformed together
+SPECTRA = 4096  # frames of a recording that are transformed together
+TOGETHER = 1 << 17  # samples of recordings that are decoded together, about, one recording at least
 BATCH_BYTES = 4 << 20  # of media values that are decoded together, but one value at least
 BLOCK = 80_000
 LEAST_FRAMES = 20
@@ -53,7 +55,9 @@ MOST_ERROR = 0.2
 FULL_FRAMES = 64
 KEY_BITS = 20
 LEAST_VOTES = 4
-RUN_PAIRS = 1 << 20  # pairs of runs that are counted together
+RUN_PAIRS = 1 << 17  # pairs of runs that are counted together
+GROUP = 16  # offsets that are looked at together first
+CELLS = 1 << 24  # offsets of queries that are counted together, one query at least
 QUERY_EVERY = 50
 #: (kind, first pitch class, pitch classes, frames): what each filter compares inside its window.
 FILTERS = tuple((kind, low, high, width) for k, (low, high) in enumerate([(0, 12), (0, 6), (6, 6), (3, 6)]) for kind, width in (("time", 16), ("pitch", 8), ("cross", 12), ("middle", 12 if k else 15)))
@@ -75,27 +79,26 @@ def _pitch_bins(rate: int) -> np.ndarray:
 
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Frames of twelve pitch-class energies, each of length one."""
-    n = (len(samples) - FRAME) // HOP + 1
+    """Frames of twelve pitch-class energies, each of length one, of a recording or of rows of recordings."""
+    n = (samples.shape[-1] - FRAME) // HOP + 1
     if n < 1:
-        return np.zeros((0, 12))
-    out = np.empty((n, 12))
+        return np.zeros((*samples.shape[:-1], 0, 12))
+    out, window = np.empty((*samples.shape[:-1], n, 12)), np.hanning(FRAME)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME, axis=-1)[..., ::HOP, :]
     for begin in range(0, n, SPECTRA):
-        at = np.arange(begin, min(n, begin + SPECTRA))[:, None] * HOP + np.arange(FRAME)
-        out[begin : begin + SPECTRA] = np.abs(np.fft.rfft(samples[at] * np.hanning(FRAME), axis=1)) ** 2 @ _pitch_bins(rate)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        out[..., begin : begin + SPECTRA, :] = np.abs(np.fft.rfft(frames[..., begin : begin + SPECTRA, :] * window, axis=-1)) ** 2 @ _pitch_bins(rate)
+    return out / np.maximum(np.linalg.norm(out, axis=-1, keepdims=True), 1e-9)
 
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
-    """One packed 32-bit integer for each window of WIDTH frames."""
-    n = len(frames) - WIDTH + 1
+    """One packed 32-bit integer for each window of WIDTH frames, of a recording or of rows of recordings."""
+    n = frames.shape[-2] - WIDTH + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
-    image = np.zeros((len(frames) + 1, 13))
-    image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-    t = np.arange(n)
-    area = lambda a, b, lo, hi: image[t + b, hi] - image[t + a, hi] - image[t + b, lo] + image[t + a, lo]
-    packed = np.zeros(n, np.uint32)
+        return np.zeros((*frames.shape[:-2], 0), np.uint32)
+    image = np.zeros((13, *frames.shape[:-2], frames.shape[-2] + 1))  # pitch classes first, so that an area is four rows of numbers
+    image[1:, ..., 1:] = np.moveaxis(frames.cumsum(axis=-2).cumsum(axis=-1), -1, 0)
+    area = lambda a, b, lo, hi: image[hi, ..., b : b + n] - image[hi, ..., a : a + n] - image[lo, ..., b : b + n] + image[lo, ..., a : a + n]
+    packed = np.zeros((*frames.shape[:-2], n), np.uint32)
     for kind, low, size, width in FILTERS:
         high, mid, half = low + size, low + size // 2, width // 2
         if kind == "time":
@@ -114,6 +117,29 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return packed
 
 
+def prints_of(recordings: Iterable[np.ndarray | None], rate: int = RATE) -> list[np.ndarray]:
+    """Fingerprints of recordings; of about TOGETHER samples at a time those of one length are taken together."""
+    out: list[np.ndarray] = []
+    like, held = defaultdict(list), 0
+
+    def flush() -> None:
+        for own in like.values():
+            for (i, _), found in zip(own, fingerprint(chroma(np.stack([x for _, x in own]), rate)), strict=True):
+                out[i] = found
+        like.clear()
+
+    for i, x in enumerate(recordings):
+        out.append(np.zeros(0, np.uint32))
+        if x is not None:
+            like[len(x)].append((i, x))
+            held += len(x)
+        if held >= TOGETHER:
+            flush()
+            held = 0
+    flush()
+    return out
+
+
 def media_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no part has more than BATCH_BYTES of its binary or list column `media`, but one row at least."""
     media = column_of(batch, "media")
@@ -134,7 +160,7 @@ def fingerprints(df: DataFrame, ident: str, media: str, samples: Callable = samp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in media_slices(batch):
-                prints = [fingerprint(chroma(samples(v), rate)).view(np.int32) if v is not None else np.zeros(0, np.int32) for v in column_of(part, "media").to_pylist()]
+                prints = [p.view(np.int32) for p in prints_of((samples(v) if v is not None else None for v in column_of(part, "media").to_pylist()), rate)]
                 offs = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prints])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([column_of(part, "id"), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(prints)))], names=["id", "print"])
 
@@ -157,60 +183,145 @@ def error_limit(frames: int) -> float:
     return MOST_ERROR * min(1.0, frames / FULL_FRAMES)
 
 
-def _key_runs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sub-key, first place and length of each run of equal sub-keys of a print; the second kind of sub-key is told apart by a bit."""
-    keys, starts, sizes = [], [], []
+def _key_runs(prints: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sub-key, first place, length and number of the print of each run of equal sub-keys; the second kind of sub-key is told apart by a bit."""
+    ends = np.cumsum([len(p) for p in prints], dtype=np.int64)
+    p = np.concatenate([np.zeros(0, np.uint32), *prints])
+    print_of = np.repeat(np.arange(len(prints)), np.diff(ends, prepend=0))
+    runs = []
     for kind in (0, 1):
         k = (p >> np.uint32(kind * (32 - KEY_BITS)) & np.uint32((1 << KEY_BITS) - 1)).astype(np.int64) | kind << KEY_BITS
-        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))[: len(k)]
-        keys.append(k[begin])
-        starts.append(begin)
-        sizes.append(np.diff(np.append(begin, len(k))))
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes)
+        begin = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (print_of[1:] != print_of[:-1]))[: len(k)])
+        holder = print_of[begin]
+        runs.append((k[begin], begin - np.append(0, ends)[holder], np.diff(np.append(begin, len(k))), holder))
+    return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
+
+
+def _voted(pairs: Callable[[], Iterable[tuple[np.ndarray, ...]]], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that get LEAST_VOTES from pairs of runs (first cell and both lengths), in order, and their votes.
+
+    A pair's votes rise by one a step, stay, and fall again. Cells are looked at in groups of GROUP first: those of a group have no more votes
+    than the pairs that reach it are high. Only pairs that reach a group with enough are counted, by the changes of their slope.
+    """
+    groups = cells // GROUP + 1
+    reach = np.zeros(groups, np.int64)
+
+    def wide(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pairs that may give a group more than one vote or reach several, the first and the last group of each, and their heights."""
+        last, high = (cell + a + b - 2) // GROUP, np.minimum(a, b)
+        w = np.flatnonzero((last != cell // GROUP) | (high > 1))
+        return w, cell[w] // GROUP, last[w], high[w]
+
+    for cell, a, b in pairs():
+        reach += np.bincount(cell // GROUP, minlength=groups)
+        _, first, last, high = wide(cell, a, b)
+        more = np.zeros(groups + 1, np.int64)
+        np.add.at(more, first, high)
+        np.subtract.at(more, last + 1, high)
+        reach += np.cumsum(more)[:-1]
+    before = np.append(0, np.cumsum(rich := reach >= LEAST_VOTES))
+    at, change = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for cell, a, b in pairs() if before[-1] else ():
+        use = rich[cell // GROUP]
+        w, first, last, _ = wide(cell, a, b)
+        use[w] = before[last + 1] > before[first]
+        cell, a, b = cell[use], a[use], b[use]
+        turns = np.sort(np.concatenate([2 * cell + 1, 2 * (cell + a), 2 * (cell + b), 2 * (cell + a + b) + 1]))  # odd where the slope rises
+        own, step = turns >> 1, (turns & 1) * 2 - 1
+        if len(at):
+            own, step = np.concatenate([at, own]), np.concatenate([change, step])
+            order = np.argsort(own, kind="stable")
+            own, step = own[order], step[order]
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        at, change = own[begin], np.add.reduceat(step, begin) if len(begin) else step
+    slope, size = np.cumsum(change), np.diff(at, append=at[-1:])
+    end = np.cumsum(slope * size)  # votes before the next change
+    most = np.flatnonzero(np.maximum(end, end - slope * (size - 1)) >= LEAST_VOTES)
+    n = size[most]
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    votes = np.repeat((end - slope * (size - 1))[most], n) + k * np.repeat(slope[most], n)
+    hold = votes >= LEAST_VOTES
+    return (np.repeat(at[most], n) + k)[hold], votes[hold]
+
+
+def _errors(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many bits of n integers differ, from the places given on."""
+    out, ends, begin = np.zeros(len(n), np.int64), np.cumsum(n), 0
+    while begin < len(n):
+        done = int(ends[begin] - n[begin])
+        end = max(begin + 1, int(np.searchsorted(ends, done + RUN_PAIRS, "right")))
+        own = n[begin:end]
+        first = ends[begin:end] - own - done
+        k = np.arange(own.sum()) - np.repeat(first, own)
+        out[begin:end] = np.add.reduceat(np.bitwise_count(x[np.repeat(x_at[begin:end], own) + k] ^ y[np.repeat(y_at[begin:end], own) + k]), first, dtype=np.int64)
+        begin = end
+    return out
 
 
 def alignments(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
-    """(query, other, offset, votes, frames, bit error) of each pair of prints (uint32) with an offset that has votes and holds."""
-    lengths = np.array([len(p) for p in others])
-    runs = [_key_runs(p) for p in others]
-    keys, starts, sizes = (np.concatenate([r[i] for r in runs]) for i in range(3))
-    holder = np.repeat(np.arange(len(others)), [len(r[0]) for r in runs])
-    order = np.argsort(keys, kind="stable")
-    keys, starts, sizes, holder = keys[order], starts[order], sizes[order], holder[order]
-    for i, p in enumerate(queries):
-        own, at, size = _key_runs(p)
-        begin = np.concatenate([[0], np.cumsum(lengths + len(p) + 4)])  # the cells of each recording's offsets, -len(p) first
-        slope = np.zeros(begin[-1] + 1, np.int64)
-        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-        steps = np.concatenate([[0], np.cumsum(high - low)])
-        part = 0
-        while part < len(own):
-            end = max(part + 1, int(np.searchsorted(steps, steps[part] + RUN_PAIRS, "right")) - 1)
-            n = (high - low)[part:end]
-            x = np.repeat(np.arange(part, end), n)
-            y = np.arange(len(x)) + np.repeat(low[part:end] - np.cumsum(n) + n, n)
-            # votes rise by one a step, stay, and fall again: offsets from first place less last place on
-            cell = begin[holder[y]] + len(p) + starts[y] - at[x] - size[x] + 1
-            for places, sign in ((cell, 1), (cell + size[x], -1), (cell + sizes[y], -1), (cell + size[x] + sizes[y], 1)):
-                slope += sign * np.bincount(places, minlength=len(slope))
-            part = end
-        votes = np.cumsum(np.cumsum(slope))
-        found = np.flatnonzero(votes >= LEAST_VOTES)
-        found = found[np.lexsort((found, -votes[found], np.searchsorted(begin, found, "right")))]
-        best: dict[int, tuple] = {}
-        for cell, j in zip(found.tolist(), (np.searchsorted(begin, found, "right") - 1).tolist(), strict=True):
-            n_votes, o = int(votes[cell]), cell - int(begin[j]) - len(p)
-            if j in best and n_votes < best[j][0]:
-                continue  # an offset with more votes holds
-            x, y = p[max(-o, 0) :], others[j][max(o, 0) :]
-            n = min(len(x), len(y))
-            if n < LEAST_FRAMES:
-                continue
-            error = round(int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n), 6)
-            if error <= error_limit(n) and (j not in best or (error, o) < best[j][1:3]):
-                best[j] = (n_votes, error, o, n)
-        for j, (n_votes, error, o, n) in best.items():
-            yield i, j, o, n_votes, n, error
+    """(query, other, offset, votes, frames, bit error) of each pair of prints (uint32) with an offset that has votes and holds.
+
+    Queries are taken together as far as they make RUN_PAIRS pairs of runs and have CELLS offsets.
+    """
+    lengths, asked = (np.array([len(p) for p in x], np.int64) for x in (others, queries))
+    x_all, y_all = (np.concatenate([np.zeros(0, np.uint32), *x]) for x in (queries, others))
+    x_first, y_first = np.cumsum(asked) - asked, np.cumsum(lengths) - lengths
+    by = lambda runs, k: [v[order] for order in [np.argsort(runs[k], kind="stable")] for v in runs]
+    keys, starts, sizes, holder = by(_key_runs(others), 0)
+    own, at, size, query = by(_key_runs(queries), 3)
+    low = np.searchsorted(keys, own, "left")
+    count = np.searchsorted(keys, own, "right") - low
+    steps = np.concatenate([[0], np.cumsum(count)])
+    runs_of = np.searchsorted(query, np.arange(len(queries) + 1))
+    most = max(1, CELLS // (int(lengths.sum()) + (int(asked.max(initial=0)) + 4) * len(others) + 1))
+    begin = 0
+    while begin < len(queries):
+        end = min(len(queries), begin + most, begin + max(1, int(np.searchsorted(steps[runs_of[begin + 1 :]], steps[runs_of[begin]] + RUN_PAIRS, "right"))))
+        widest = int(asked[begin:end].max())
+        first = np.concatenate([[0], np.cumsum(lengths + widest + 4)])  # the cells of each recording's offsets, -widest first
+        a, b = int(runs_of[begin]), int(runs_of[end])
+        cuts = [a]
+        while cuts[-1] < b:
+            cuts.append(min(b, max(cuts[-1] + 1, int(np.searchsorted(steps, steps[cuts[-1]] + RUN_PAIRS, "right")) - 1)))
+        place, base = first[holder] + starts, (query - begin) * first[-1] + widest + 1 - at - size
+
+        def part(a: int, b: int, place: np.ndarray = place, base: np.ndarray = base) -> tuple[np.ndarray, ...]:
+            n = count[a:b]
+            y = np.arange(n.sum()) + np.repeat(low[a:b] - np.cumsum(n) + n, n)
+            return np.repeat(base[a:b], n) + place[y], np.repeat(size[a:b], n), sizes[y]
+
+        slices = list(zip(cuts, cuts[1:], strict=False))
+        once = [part(*x) for x in slices] if len(slices) == 1 else []
+        cell, votes = _voted(lambda: once or (part(*x) for x in slices), int(first[-1]) * (end - begin))  # noqa: B023
+        i, cell = begin + cell // first[-1], cell % first[-1]
+        j = np.searchsorted(first, cell, "right") - 1
+        yield from _held(i, j, cell - first[j] - widest, votes, (x_all, x_first, asked), (y_all, y_first, lengths))
+        begin = end
+
+
+def _held(i: np.ndarray, j: np.ndarray, offset: np.ndarray, votes: np.ndarray, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """Of each pair the offset with most votes that holds, then the least bit error, then the least offset; x and y are all integers, and each print's first and number."""
+    x_at, y_at = x[1][i] + np.maximum(-offset, 0), y[1][j] + np.maximum(offset, 0)
+    n = np.minimum(x[1][i] + x[2][i] - x_at, y[1][j] + y[2][j] - y_at)
+    left = np.flatnonzero(n >= LEAST_FRAMES)
+    left = left[np.lexsort((-votes[left], j[left], i[left]))]
+    best: dict[tuple[int, int], tuple] = {}
+    while len(left):  # those with most votes of each pair; the others only count if none of these holds
+        fresh = np.append(True, (np.diff(i[left]) != 0) | (np.diff(j[left]) != 0))[: len(left)]
+        pair = np.cumsum(fresh) - 1
+        top = votes[left] == votes[left][fresh][pair]
+        now = left[top]
+        wrong = _errors(x[0], x_at[now], y[0], y_at[now], n[now])
+        found = np.zeros(int(pair[-1]) + 1, bool)
+        for k in np.flatnonzero(wrong <= 32 * n[now] * (MOST_ERROR * np.minimum(1.0, n[now] / FULL_FRAMES) + 1e-6)).tolist():
+            own, frames = now[k], int(n[now[k]])
+            error, key = round(int(wrong[k]) / (32 * frames), 6), (int(i[own]), int(j[own]))
+            if error <= error_limit(frames):
+                found[pair[top][k]] = True
+                best[key] = min(best.get(key, (2.0,)), (error, int(offset[own]), int(votes[own]), frames))
+        left = left[~top & ~found[pair]]
+    for (a, b), (error, o, n_votes, frames) in sorted(best.items()):
+        yield a, b, o, n_votes, frames, error
 
 
 def blocks_of(prints: DataFrame, name: str) -> DataFrame:

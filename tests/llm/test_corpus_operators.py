@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -574,3 +575,33 @@ def test_toxicity_equals_a_plain_fit(spark):
     for r, i in enumerate(i for i, _ in labels if i not in held):
         assert abs(got[i] - 1 / (1 + np.exp(-(z[r] @ v[:-1] + v[-1])))) < 0.02, i
     assert all(got[i] > 0.5 for i in range(0, 60, 5)) and all(got[i] < 0.3 for i in range(60) if i % 5)
+
+
+def test_votes_are_counted_where_they_meet_and_not_for_every_offset():
+    rng = np.random.default_rng(9)
+    long = rng.integers(0, 1 << 32, 20_000, np.uint32)
+    others = [rng.integers(0, 1 << 32, 84, np.uint32) for _ in range(499)] + [long[700:784].copy()]
+    tracemalloc.start()
+    try:
+        got = list(audio.alignments([long], others))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [(0, 499, -700, 168, 84, 0.0)]
+    assert peak < 100 << 20  # there are ten million offsets
+
+
+def test_recordings_of_one_length_are_printed_together_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(10)
+    tunes = [audio.melody_of(rng.normal(0, 0.2, n).tolist()) for n in (64, 20, 64, 64, 30, 64, 2, 20)] + [None, np.zeros(9000), np.zeros(0)]
+    want = [audio.fingerprint(audio.chroma(x)) if x is not None else np.zeros(0, np.uint32) for x in tunes]
+    calls = []
+    alone = audio.chroma
+    monkeypatch.setattr(audio, "chroma", lambda x, rate: calls.append(x.shape) or alone(x, rate))
+    got = audio.prints_of(tunes)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want, strict=True))
+    assert (4, 64 * audio.RATE // 10) in calls
+    monkeypatch.setattr(audio, "TOGETHER", 1)  # one is decoded at a time
+    calls.clear()
+    audio.prints_of(iter(tunes))
+    assert len(calls) == 10 and {n for n, _ in calls} == {1}
