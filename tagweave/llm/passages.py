@@ -51,6 +51,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,7 @@ MIN_WORDS = 40
 JOIN_WORDS = 3  # spans with so few words between them are one
 ALIGN_WORDS = 2_000_000  # words of chains that are aligned in one task, about
 ALIGN_ROWS = 8192  # chains that are aligned together
+ROUNDS = 4  # in which chains are aligned, one after the other, so that a part of the blocks and words is on disk at once
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +97,16 @@ def _seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(h[at] + np.uint64(K)), owner[at], at - first[owner[at]]
 
 
-BLOCK = {"ids": np.int64, "first": np.int32, "codes": np.uint8, "known": np.uint64}
+BLOCK = {"ids": np.int64, "first": np.int32, "codes": np.uint8, "known": np.uint32, "rest": np.uint32}
+ALIGNED_BY = [c for c in BLOCK if c != "rest"]  # words are compared by half their hashes
 
 
 def blocks_of(texts: DataFrame) -> DataFrame:
-    """(block, n, ids, first, codes, known) of rows (id, text) with distinct long ids: blocks in order of id, known by the least one, and their words.
+    """(block, n, ids, first, codes, known, rest) of rows (id, text) with distinct long ids: blocks in order of id, known by the least one, and their words.
 
     All but the first two are arrays, as bytes (`BLOCK`): the documents, the first word of each and the number of words, and for
-    each word its place among the block's distinct word hashes, all lowest bytes first and no more bytes than are needed. Texts are split into words here only.
+    each word its place among the block's distinct word hashes, all lowest bytes first and no more bytes than are needed, compressed; of those hashes the
+    upper and the lower halves. Texts are split into words here only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +115,28 @@ def blocks_of(texts: DataFrame) -> DataFrame:
             ids = column_of(part, "id").to_numpy()[order]
             words, first = _words(column_of(part, "text").take(pa.array(order)))
             coded = pa.array(words).dictionary_encode()
-            planes = coded.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T[: (len(coded.dictionary).bit_length() + 7) // 8]
-            arrays = (ids, first, planes, coded.dictionary.to_numpy())
+            planes = coded.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T[: _planes(len(coded.dictionary))]
+            codes, known = np.frombuffer(pa.compress(planes.tobytes(), "zstd", asbytes=True), np.uint8), coded.dictionary.to_numpy()
+            arrays = (ids, first, codes, known >> np.uint64(32), known)
             yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array([len(words)], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(arrays, BLOCK.values(), strict=True))], names=["block", "n", *BLOCK])
 
-    return arrow_map(texts, run, "block long, n long, ids binary, first binary, codes binary, known binary")
+    return arrow_map(texts, run, "block long, n long, ids binary, first binary, codes binary, known binary, rest binary")
+
+
+def _planes(known: int) -> int:
+    """Bytes that a place among so many words needs."""
+    return (known.bit_length() + 7) // 8
 
 
 def _block(block: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of a block of texts, the first word of each (and their number), and the hashes of all words."""
-    ids, first, codes, known = (np.frombuffer(block[c].as_buffer(), kind) for c, kind in BLOCK.items())
+    """Documents of a block of texts, the first word of each (and their number), and the hashes of all words, or their upper halves if the block has no others."""
+    ids, first, known = (np.frombuffer(block[c].as_buffer(), BLOCK[c]) for c in ("ids", "first", "known"))
     n, places = int(first[-1]), np.zeros(int(first[-1]), np.int64)
-    for k in range(len(codes) // n if n else 0):
+    codes = np.frombuffer(pa.decompress(block["codes"].as_buffer(), n * _planes(len(known)), "zstd"), np.uint8)
+    for k in range(_planes(len(known))):
         places |= codes[k * n : (k + 1) * n].astype(np.int64) << 8 * k
+    if "rest" in block:
+        known = known.astype(np.uint64) << np.uint64(32) | np.frombuffer(block["rest"].as_buffer(), BLOCK["rest"])
     return ids, first.astype(np.int64), known[places]
 
 
@@ -571,17 +584,20 @@ def held_parts(a: list[int], b: list[int], q: list[int], s: list[int], reach: in
     return found
 
 
-def _by_block(rows: DataFrame, blocks: DataFrame, by: str, fn: Callable, schema: str) -> DataFrame:
-    """`fn` of the chains whose column `by` names a block, and of that block.
+def _by_block(rows: DataFrame, blocks: DataFrame, by: str, fn: Callable, schema: str, rounds: int = 1) -> Iterator[DataFrame]:
+    """`fn` of the chains whose column `by` names a block, and of that block; each round takes its share of the blocks and all chains of those.
 
     A block that many chains read is sent to several tasks, one for ALIGN_WORDS words of them, about. The table of their number has a row a block.
     """
     words = F.sum(F.col("q1") - F.col("q0") + F.col("s1") - F.col("s0") + 2 * REACH)
     parts = stored(rows.groupBy(F.col(by).alias("block")).agg(F.ceil(words / ALIGN_WORDS).cast("int").alias("parts")))
-    sent = blocks.select("block", *BLOCK).join(F.broadcast(parts), "block").select("block", *BLOCK, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    several = F.broadcast(parts.filter("parts > 1").withColumnRenamed("block", by))
-    dealt = rows.join(several, by, "left").withColumn("part", F.coalesce(F.pmod(F.hash("id", "src", "q0", "s0"), "parts"), F.lit(0))).drop("parts")
-    return dealt.groupBy(by, "part").cogroup(sent.groupBy("block", "part")).applyInArrow(fn, schema)
+    for k in range(rounds):
+        turn = lambda c: F.pmod(F.hash(c), F.lit(rounds)) == k  # noqa: B023, E731
+        own = parts.filter(turn("block"))
+        sent = blocks.select("block", *ALIGNED_BY).join(F.broadcast(own), "block").select("block", *ALIGNED_BY, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        several = F.broadcast(own.filter("parts > 1").withColumnRenamed("block", by))
+        dealt = rows.filter(turn(by)).join(several, by, "left").withColumn("part", F.coalesce(F.pmod(F.hash("id", "src", "q0", "s0"), "parts"), F.lit(0))).drop("parts")
+        yield dealt.groupBy(by, "part").cogroup(sent.groupBy("block", "part")).applyInArrow(fn, schema)
 
 
 def grown_rows(a: np.ndarray, a_at: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_n: np.ndarray, way: int) -> tuple[np.ndarray, ...]:
@@ -624,7 +640,6 @@ def aligned(rows: pa.Table, block: pa.Table) -> Iterator[pa.Table]:
     Chains that need more words than their `reach` come as they are. Mostly a chain's words agree, and all rows are aligned together.
     """
     documents, first, words = _block(next(_rows(block)))
-    words = (words >> np.uint64(32)).astype(np.uint32)
     for at in range(0, rows.num_rows, ALIGN_ROWS):
         part = rows.slice(at, ALIGN_ROWS).combine_chunks()
         ids, src, q0, q1, s0, s1, qf, n_q, reach = (part.column(c).to_numpy().astype(np.int64) for c in ("id", "src", "q0", "q1", "s0", "s1", "q_from", "q_n", "reach"))
@@ -676,10 +691,9 @@ def aligned_spans(chains: DataFrame, blocks: DataFrame) -> DataFrame:
     sql = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
     schema_of = lambda columns: ", ".join(f"{c} {sql[kind]}" for c, kind in columns.items())
 
-    def near(chains: DataFrame, reach: int) -> DataFrame:
+    def near(chains: DataFrame, reach: int, rounds: int) -> Iterator[DataFrame]:
         def send(rows: pa.Table, block: pa.Table) -> pa.Table:
             documents, first, words = _block(next(_rows(block)))
-            words = (words >> np.uint64(32)).astype(np.uint32)
             doc = np.searchsorted(documents, rows.column("id").to_numpy())
             n, q0, q1 = np.diff(first)[doc], rows.column("q0").to_numpy(), rows.column("q1").to_numpy()
             ends = [np.bincount(first[doc] + x, minlength=len(words) + 1) for x in (q0, q1)]
@@ -694,12 +708,12 @@ def aligned_spans(chains: DataFrame, blocks: DataFrame) -> DataFrame:
         def align(rows: pa.Table, block: pa.Table) -> pa.Table:
             return pa.concat_tables([pa.table({c: pa.array([], kind) for c, kind in ALIGNED.items()}), *(aligned(rows, block) if rows.num_rows else ())])
 
-        sent = stored(_by_block(chains, blocks, "block", send, schema_of(SENT)))
-        return _by_block(sent, blocks, "home", align, schema_of(ALIGNED))
+        sent = stored(next(_by_block(chains, blocks, "block", send, schema_of(SENT))))
+        return _by_block(sent, blocks, "home", align, schema_of(ALIGNED), rounds)
 
-    with scratch() as kept:
-        first = kept(near(chains, FIRST_REACH))
-    more = near(first.filter("qs is not null").withColumnsRenamed({"lo": "q0", "hi": "q1"}), REACH)
+    with scratch() as kept:  # a round's shuffled words and blocks go before the next one's are made
+        first = reduce(DataFrame.unionAll, [kept(part) for part in near(chains, FIRST_REACH, ROUNDS)])
+    (more,) = near(first.filter("qs is not null").withColumnsRenamed({"lo": "q0", "hi": "q1"}), REACH, 1)
     return first.filter("qs is null").unionAll(more).select("id", "src", "lo", "hi")
 
 

@@ -482,6 +482,32 @@ def test_audio_recall_against_all_offsets(spark):
     assert len(want) >= 15 and got <= want and len(got & want) >= 0.9 * len(want)
 
 
+def test_chains_are_aligned_in_rounds_of_some_blocks_each(spark, monkeypatch):
+    """One round sent all blocks and the words of all chains at once, which was the most disk that op6 took."""
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 2000)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [[word() for _ in range(60)] for _ in range(12)]
+    texts = [(i, " ".join([word() for _ in range(40)] + shared[i % 12] + [word() for _ in range(20)])) for i in range(48)]
+    blocks = passages.blocks_of(spark.createDataFrame(texts, "id long, text string").repartition(3)).localCheckpoint()
+    homes = passages.homes_of(blocks).select(F.col("no").alias("src"), F.col("block").alias("home"))
+    chains = passages.chains_of(passages.shared_places(blocks, 2)).join(homes, "src").localCheckpoint()
+
+    def seen(rows, block):
+        assert "rest" not in block.column_names  # half of the hashes isn't compared
+        return pa.table({"home": rows.column("home").slice(0, 1), "n": pa.array([rows.num_rows], pa.int64())}) if rows.num_rows else pa.table({"home": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+
+    rounds = [{(r.home, r.n) for r in part.collect()} for part in passages._by_block(chains, blocks, "home", seen, "home long, n long", 3)]
+    met = [{home for home, _ in x} for x in rounds]
+    assert len(rounds) == 3 and sum(len(x) > 0 for x in met) > 1 and len(set.union(*met)) == sum(len(x) for x in met)
+    assert sum(n for x in rounds for _, n in x) == chains.count() > 30
+    spans = []
+    for n in (1, 5):
+        monkeypatch.setattr(passages, "ROUNDS", n)
+        spans.append(sorted(map(tuple, passages.aligned_spans(chains, blocks).collect())))
+    assert spans[0] == spans[1] and len({x[0] for x in spans[0]}) == 36
+
+
 def test_blocks_of_recordings_are_dealt_over_tasks(spark, monkeypatch):
     """One block of queries against many blocks of recordings, which all went to one task before."""
     monkeypatch.setattr(audio, "BLOCK", 300)
